@@ -50,7 +50,8 @@ def key_join(big: DataFrame, keys: DataFrame, on, how: str, limit: int = BROADCA
     """
     if keys.count() <= limit:
         keys = F.broadcast(keys)
-    return big.join(keys, on, how)
+    out = big.join(keys, on, how)
+    return out.select(*big.columns) if how in ("left_semi", "left_anti") else out
 
 
 def row_key(*cols: str):

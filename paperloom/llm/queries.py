@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, quality_rules, sharding, url_filter
+import public_tokenizers
+
+from paperloom.llm import bpe, chat_format, line_dedup, quality_rules, sharding, span_dedup, token_files, url_filter
+from paperloom.llm.common import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +57,50 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard_by_bytes(docs, 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op4_chat_format, op7_sharding)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that loses text: the smallest document that keeps some of it, the places cut and the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = span_dedup.dedup_spans(docs).where("removed_spans IS NOT NULL")
+    cut = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "first_id", F.size("removed_spans").alias("n_spans"), cut.alias("removed_chars"), "removed_spans", F.col("text").alias("clean_text"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that loses lines: the documents that keep them, how many go and the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs).where("removed_lines > 0")
+    return out.select("doc_id", F.array_min("first_ids").alias("first_id"), "removed_lines", "emptied", F.col("text").alias("clean_text"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{scratch_dir(spark)}/tokens"
+    vocabulary = token_files.WordVocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    token_files.write_tokens(docs, vocabulary, path, end_id=1)
+    return token_files.read_documents(spark, path)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_url_filters, op4_chat_format, op5_byte_bpe, op7_sharding, op8_substring_dedup, op9_line_dedup, op10_token_files)
+}
 
 ORACLES: dict[str, str] = {}
