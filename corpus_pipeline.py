@@ -1,8 +1,84 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, decontamination, tokens."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, decontamination, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+``run`` writes every stage as Parquet in the shared scratch folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
+from paperloom.llm.common import Scratch, key_join, row_key
+
+
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """``docs`` with a new text and, where the table has it, its length."""
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose the lines that fail a line rule."""
+    judged = quality_rules.quality_rules(docs, into="_quality").where("_quality.kept")
+    return _with_text(judged, F.col("_quality.clean_text")).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go; so does a document of which nothing is left."""
+    out = line_dedup.dedup_lines(docs).where(~F.col("emptied"))
+    return _with_text(out, F.col("text")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest id stays, once.
+
+    Documents without a word are in no group and stay; rows with a null id stay too, unless a row with an id is in
+    their group.
+    """
+    scratch = Scratch(spark)
+    found = ngram_join.ngram_components(docs, scratch=scratch)
+    gone = found.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT doc_id <=> component_id").select("_rid").distinct()
+    gone = scratch.write(gone, "gone")
+    rest = key_join(docs.withColumn("_rid", row_key("doc_id", "text")), gone, "_rid", "left_anti")
+    # Repeated rows of the document that stays: one of them.
+    again = scratch.write(rest.where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").groupBy("_rid").count().where("count > 1").select("_rid"), "again")
+    once = key_join(rest, again, "_rid", "left_semi").dropDuplicates(["_rid"])
+    return key_join(rest, again, "_rid", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a benchmark item's tiles cover go."""
+    scratch = Scratch(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = scratch.write(decontaminate.contaminated(docs, items, scratch=scratch).select("_rid").distinct(), "gone")
+    return key_join(docs.withColumn("_rid", row_key("doc_id", "text")), gone, "_rid", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text."""
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_free),
+    ("byte-level BPE", tokens),
+]
+
+#: The stages judge lines by code, cut content-defined chunks and apply BPE merges, which SQL cannot state.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage_{i}")
+    return docs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paperloom.llm import bpe, chat_format, line_dedup, quality_rules, sharding, span_dedup, token_files, url_filter
+from paperloom.llm import bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sharding, span_dedup, token_files, url_filter
 from paperloom.llm.common import scratch_dir
 
 
@@ -39,6 +39,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every contaminated document with the items that its tiles cover."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("_rid")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -69,6 +75,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_components(docs).drop("_rid")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard_by_bytes(docs, 24)
@@ -100,7 +111,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_url_filters, op4_chat_format, op5_byte_bpe, op7_sharding, op8_substring_dedup, op9_line_dedup, op10_token_files)
+    for f in (
+        op1_quality_rules,
+        op2_url_filters,
+        op3_decontamination,
+        op4_chat_format,
+        op5_byte_bpe,
+        op6_ngram_join,
+        op7_sharding,
+        op8_substring_dedup,
+        op9_line_dedup,
+        op10_token_files,
+    )
 }
 
 ORACLES: dict[str, str] = {}
