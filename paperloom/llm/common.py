@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,15 @@ def row_key(*cols: str):
     """A 64-bit key of a row's values; equal rows share it. Nulls and empty strings differ."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols]
     return F.xxhash64(*parts)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While jobs run inside, Arrow batches have ``rows`` rows at most, to bound the memory of Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

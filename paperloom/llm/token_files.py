@@ -20,6 +20,8 @@ not stored.
 from __future__ import annotations
 
 import os
+import re
+import string
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import small_batches
+
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
-#: Words remembered with their ids in each worker.
-CACHE = 300_000
+#: Words remembered with their ids in each worker: so many new ones, and as many that were new before them.
+CACHE = 200_000
 MAX_VOCABULARY = 64_000_000
 
 
@@ -110,13 +114,27 @@ class Segment:
 # --- words to ids
 
 
+#: Words of these letters (ASCII and Latin-1, UTF-8) reach the vocabulary's merges as they are but for case.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+_PUNCTUATION = string.punctuation.encode()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Encodes texts through the tokenizers library, word by word with a memory of words.
 
     The vocabulary's pre-tokenizer drops white space and never joins what white space parts, and its normalizer works
-    inside words, so a text's ids are those of its words in order. A word that ends in full stops or commas after an
-    ASCII letter or digit parts there, too. Texts without combining marks are looked up with A-Z lower-cased, as the
-    normalizer does.
+    inside words, so a text's ids are those of its words in order. A word that ends in ASCII punctuation after a
+    plain letter or digit parts there, too. Texts without combining marks are looked up with A-Z lower-cased, as the
+    normalizer does. Words of plain Latin letters, which the normalizer only lower-cases and the pre-tokenizer keeps
+    whole, go to the library's model at once; all others through its whole chain.
     """
 
     def __init__(self, vocabulary: str):
@@ -126,32 +144,43 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.marks = regex.compile(r"\p{M}")
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        parts = {w: (w[: len(c)], w[len(c) :]) for w in words if (c := w.rstrip(b".,")) and len(c) < len(w) and c[-1:].isalnum()}
-        wanted = list(dict.fromkeys(x for w in words for x in parts.get(w, (w,)) if x not in self.known))
-        for at in range(0, len(wanted), 10_000):
-            some = wanted[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (a, b) in parts.items():
-            self.known[w] = self.known[a] + self.known[b]
+        self.before: dict[bytes, bytes] = {}
+
+    def _one(self, word: bytes) -> bytes:
+        if _PLAIN.fullmatch(word):
+            raw = word.decode("utf-8").lower().encode("utf-8")
+            ids = [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, word: bytes) -> bytes:
+        """The ids of a word that ``known`` lacks, which then has it."""
+        found = self.before.get(word)
+        if found is None:
+            core = word.rstrip(_PUNCTUATION)
+            if len(core) < len(word) and (core[-1:].isalnum() or _PLAIN.fullmatch(core)):
+                found = b"".join([self.known.get(x) or self._ids(x) for x in (core, word[len(core) :])])
+            else:
+                found = self._one(word)
+        self.known[word] = found
+        return found
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit little-endian bytes."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        split = []
+        out = []
         for t in texts:
+            if len(self.known) > CACHE:
+                self.before, self.known = self.known, {}
             raw = t.encode("utf-8")
-            split.append((raw if not raw.isascii() and self.marks.search(t) else raw.lower()).split())
-        missing = set().union(*split).difference(self.known)
-        if missing:
-            self._learn(missing)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+            words = (raw if not raw.isascii() and self.marks.search(t) else raw.lower()).split()
+            get, learn = self.known.get, self._ids
+            out.append(b"".join([get(w) or learn(w) for w in words]))
+        return out
 
 
 @lru_cache(2)
@@ -220,7 +249,8 @@ def write_tokens(docs: DataFrame, vocabulary: WordVocabulary, path: str, end_id:
     rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartitionByRange(parts, "_key", "_crc", "_salt").sortWithinPartitions("_key", "_crc", "_salt")
-    rows.select("_key", "_text").mapInArrow(_segments(vocabulary, end_id), _SEGMENTS.format(key_type)).write.mode("overwrite").parquet(path)
+    with small_batches(spark):
+        rows.select("_key", "_text").mapInArrow(_segments(vocabulary, end_id), _SEGMENTS.format(key_type)).write.mode("overwrite").parquet(path)
 
 
 def _starts(segments: DataFrame) -> DataFrame:
