@@ -56,6 +56,18 @@ def key_join(big: DataFrame, keys: DataFrame, on, how: str, limit: int = BROADCA
     return out.select(*big.columns) if how in ("left_semi", "left_anti") else out
 
 
+def patched(rows: DataFrame, patches: DataFrame, key: str, change, scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` where those with a row in ``patches`` (unique by ``key``) are joined with it and changed.
+
+    ``change`` gets the joined rows; the others get its new columns as nulls. Only rows that change are shuffled.
+    """
+    patches = scratch.write(patches, name)
+    keys = scratch.write(patches.select(key), f"{name}_keys")
+    changed = change(key_join(rows, keys, key, "left_semi").join(patches, key))
+    rest = key_join(rows, keys, key, "left_anti")
+    return rest.unionByName(changed.select(*rows.columns, *[c for c in changed.columns if c not in rows.columns]), allowMissingColumns=True)
+
+
 def row_key(*cols: str):
     """A 64-bit key of a row's values; equal rows share it. Nulls and empty strings differ."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols]

@@ -17,7 +17,6 @@ _LOWER = _AS_IS.copy()
 _LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.int64).view(np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes hashed at once; eight-byte arrays of this length are the working memory.
 SEGMENT = 1 << 20
@@ -33,14 +32,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n - 1, 1).bit_length()
-    if size not in _powers:
-        _powers.clear()
+def powers(n: int, base: np.uint64 = _P) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd ``base`` and of its inverse, modulo 2**64."""
+    size, held = 1 << max(n - 1, 1).bit_length(), _powers.get(int(base))
+    if held is None or len(held[0]) < size:
         one = np.ones(1, np.uint64)
-        _powers[size] = tuple(np.concatenate([one, np.cumprod(np.full(size - 1, p, np.uint64), dtype=np.uint64)]) for p in (_P, _P_INVERSE))
-    up, down = _powers[size]
-    return up[:n], down[:n]
+        inverse = np.uint64(pow(int(base), -1, 2**64))
+        held = tuple(np.concatenate([one, np.cumprod(np.full(size - 1, p, np.uint64), dtype=np.uint64)]) for p in (base, inverse))
+        if size <= 4 * SEGMENT:
+            _powers[int(base)] = held
+    return held[0][:n], held[1][:n]
+
+
+def range_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: np.uint64 = _P) -> np.ndarray:
+    """Polynomial hashes of values[begins[i]:ends[i]]; equal ranges have equal hashes wherever they lie."""
+    up, down = powers(len(values) + 1, base)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1], dtype=np.uint64)])
+    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * _STEP)
 
 
 def _segments(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,22 +66,26 @@ def _segments(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         at = end
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, first): text i has the words first[i] to first[i + 1]."""
+def word_spans(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, hashes, starts, ends, first) of all words in order, in the texts put behind each other with a line end
+    after each: text i has the words first[i] to first[i + 1]."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    found, places = [], []
+    hashes, begins, stops = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for at, seg in _segments(buf):
-        space = _SPACE[seg]
-        edges = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+        edges = np.diff(np.concatenate([[True], _SPACE[seg], [True]]).astype(np.int8))
         starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        up, down = _power(len(seg))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[(_LOWER if lower else _AS_IS)[seg]] * up, dtype=np.uint64)])
-        found.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP))
-        places.append(starts + at)
-    hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
-    where = np.concatenate(places) if places else np.empty(0, np.int64)
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(where, begins)
+        hashes.append(range_hashes(_BYTE[(_LOWER if lower else _AS_IS)[seg]], starts, ends))
+        begins.append(starts + at)
+        stops.append(ends + at)
+    starts = np.concatenate(begins)
+    first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return buf, np.concatenate(hashes), starts, np.concatenate(stops), first
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, first): text i has the words first[i] to first[i + 1]."""
+    _, hashes, _, _, first = word_spans(texts, lower)
+    return hashes, first
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, key_join, row_key
+from paperloom.llm.common import Scratch, key_join, patched, row_key
 
 _MASK = (1 << 64) - 1
 
@@ -124,20 +124,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", params
     cuts = repeated_chunks(docs, key, text, params, scratch)
     # Repeated rows list the same chunk more than once.
     cuts = cuts.groupBy("_rid").agg(F.collect_set(F.struct("first", "lines")).alias("_cuts"), F.array_sort(F.collect_set("first_id")).alias("first_ids"))
-    cuts = scratch.write(cuts, "line_cuts")
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         out = []
         for t, c in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
-            if t is not None and c:
-                lines = t.split("\n")
-                gone = {i for x in c for i in range(x["first"], x["first"] + x["lines"])}
-                t = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-            out.append(t)
+            gone = {i for x in c for i in range(x["first"], x["first"] + x["lines"])}
+            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
         return pa.array(out, pa.string())
 
-    out = key_join(docs.withColumn("_rid", row_key(key, text)), cuts, "_rid", "left", limit=300_000)
-    removed = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda a, x: a + x["lines"]), F.lit(0))
-    out = out.withColumns({"removed_lines": removed, text: F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_cuts")))})
-    return out.withColumn("emptied", (F.col("removed_lines") > 0) & ~F.col(text).rlike(r"[^\x20\x09-\x0D]")).drop("_rid", "_cuts")
+    def change(rows: DataFrame) -> DataFrame:
+        removed = F.aggregate("_cuts", F.lit(0), lambda a, x: a + x["lines"])
+        return rows.withColumns({"removed_lines": removed, text: cut(F.col(text), F.col("_cuts"))}).drop("_cuts")
+
+    rows = docs.drop("removed_lines", "first_ids", "emptied").withColumn("_rid", row_key(key, text))
+    out = patched(rows, cuts, "_rid", change, scratch, "line_cuts").drop("_rid")
+    out = out.withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0)))
+    return out.withColumn("emptied", (F.col("removed_lines") > 0) & ~F.col(text).rlike(r"[^\x20\x09-\x0D]"))

@@ -16,19 +16,20 @@ the join back is left to skew handling at run time; no list of a run's documents
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, key_join, row_key
+from paperloom.llm.common import Scratch, key_join, patched, row_key
+from paperloom.llm.hashing import groups, range_hashes, word_spans
 
-_BREAK = re.compile(r"(?<=[.!?…])\s+|\n")
-_WORD = re.compile(r"\S+")
+_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+_STOP = np.zeros(256, np.bool_)
+_STOP[[ord(c) for c in ".!?"]] = True
 
 
 @dataclass(frozen=True)
@@ -38,80 +39,63 @@ class SpanParams:
     long_words: int = 30
 
 
-def sentences(text: str, p: SpanParams) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash) of each sentence with a word; start and end in code points."""
-    out = []
-    at = 0
-    for m in [*_BREAK.finditer(text), None]:
-        end = m.start() if m else len(text)
-        piece = text[at:end]
-        words = piece.split()
-        if len(words) > p.long_words:
-            step = max(p.long_words // 2, 1)
-            places = [x.span() for x in _WORD.finditer(piece)]
-            for i in range(0, len(places), step):
-                part = places[i : i + step]
-                out.append((at + part[0][0], at + part[-1][1], len(part), _hash(words[i : i + step])))
-        elif words:
-            out.append((at, end, len(words), _hash(words)))
-        at = m.end() if m else end
-    return out
-
-
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def _hash(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass").translate(_LOWER))
-
-
-def runs(text: str, p: SpanParams) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, hash) of the shortest run from each sentence on."""
-    found = sentences(text, p)
-    packed = [x[3].to_bytes(8, "little") for x in found]
-    j, words = 0, 0
-    for i, (start, _, n, _) in enumerate(found):
-        while j < len(found) and (words < p.min_words or j - i < p.min_sentences):
-            words += found[j][2]
-            j += 1
-        if words < p.min_words or j - i < p.min_sentences:
-            return
-        yield start, found[j - 1][1], xxhash.xxh3_128_digest(b"".join(packed[i:j]))
-        words -= n
+def runs(texts: list[bytes], p: SpanParams) -> tuple[np.ndarray, ...]:
+    """(text, start, end, hash, hash) of the shortest run from each sentence on; start and end in bytes of its text."""
+    buf, words, starts, ends, first = word_spans(texts, lower=True)
+    if not len(words):
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    lines = np.cumsum(buf == 10)
+    tail = np.concatenate([np.zeros(2, np.uint8), buf])  # tail[i] is the byte two before i
+    stop = _STOP[buf[ends - 1]] | ((buf[ends - 1] == 0xA6) & (tail[ends] == 0x80) & (tail[ends - 1] == 0xE2))
+    stop[:-1] |= lines[starts[1:] - 1] > lines[ends[:-1] - 1]  # texts are parted by a line end as well
+    stop[-1] = True
+    head = np.concatenate([[True], stop[:-1]])
+    sentence = np.cumsum(head) - 1
+    begin = np.flatnonzero(head)
+    length = np.diff(np.concatenate([begin, [len(words)]]))
+    step = max(p.long_words // 2, 1)
+    stop |= (length[sentence] > p.long_words) & ((np.arange(len(words)) - begin[sentence] + 1) % step == 0)
+    end = np.flatnonzero(stop) + 1
+    begin = np.concatenate([[0], end[:-1]])
+    last = np.maximum(np.searchsorted(end, begin + p.min_words), np.arange(len(begin)) + p.min_sentences - 1)
+    fits = last < len(end)
+    begin, last = begin[fits], last[fits]
+    fits = text[begin] == text[end[last] - 1]
+    begin, stop_at = begin[fits], end[last[fits]]
+    owner = text[begin]
+    offset = np.cumsum([0, *(len(t) + 1 for t in texts)])[owner]
+    hashes = [range_hashes(words, begin, stop_at), range_hashes(words, begin, stop_at, _BASE)]
+    return owner, starts[begin] - offset, ends[stop_at - 1] - offset, hashes[0].view(np.int64), hashes[1].view(np.int64)
 
 
 def _run_rows(p: SpanParams):
-    names = ["_id", "_rid", "start", "end", "h1", "h2"]
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            out: list[list] = [[] for _ in names]
-            ids, rids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, r, text in zip(ids, rids, batch.column(2), strict=True):
-                for start, end, h in runs(text.as_py() or "", p):
-                    halves = int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
-                    for c, v in zip(out, (i, r, start, end, *halves), strict=True):
-                        c.append(v)
-                if len(out[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+            raw = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            for lo, hi in groups(raw):
+                owner, start, end, h1, h2 = runs(raw[lo:hi], p)
+                at = pa.array(owner + lo, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h1), pa.array(h2)],
+                    ["_id", "_rid", "start", "end", "h1", "h2"],
+                )
 
     return rows
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", params: SpanParams | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """A row for each non-first repeated span: _id, _rid (row key), start, end (code points), first_id."""
+    """A row for each non-first repeated span: _id, _rid (row key), start, end (UTF-8 bytes), first_id."""
     p = params or SpanParams()
     scratch = scratch or Scratch(docs.sparkSession)
     source = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_rid"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
     spans = scratch.write(source.mapInArrow(_run_rows(p), f"_id {id_type}, _rid long, start int, end int, h1 long, h2 long"), "spans")
+    many = scratch.write(spans.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "span_hashes")
+    found = scratch.write(key_join(spans, many, ["h1", "h2"], "left_semi", limit=300_000), "span_repeats")
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), F.col("start").alias("start"))
-    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("at")).where("n > 1").drop("n")
-    firsts = scratch.write(firsts, "span_firsts")
-    hits = key_join(spans, firsts, ["h1", "h2"], "inner", limit=300_000).where(~place.eqNullSafe(F.col("at")))
+    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("at"))
+    hits = found.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("at")))
     return hits.select("_id", "_rid", "start", "end", F.col("at.id").alias("first_id"))
 
 
@@ -128,27 +112,27 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", params: SpanParams | None = None, scratch: Scratch | None = None) -> DataFrame:
     """All rows of ``docs`` with the covered sentences cut out of ``text``.
 
-    Adds removed_spans, array<struct<start, end>> in code points of the old text, merged and in order (null: none), and
+    Adds removed_spans, array<struct<start, end>> in UTF-8 bytes of the old text, merged and in order (null: none), and
     first_id, the smallest id of a document that keeps one of them.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     spans = repeated_spans(docs, key, text, params, scratch)
     cuts = spans.groupBy("_rid").agg(F.collect_set(F.struct("start", "end")).alias("_cuts"), F.min("first_id").alias("first_id"))
-    cuts = scratch.write(cuts, "span_cuts")
 
     @F.arrow_udf("struct<text:string,spans:array<struct<start:int,end:int>>>")
     def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         out = []
-        for t, c in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
-            gone = merge_spans([(x["start"], x["end"]) for x in c or ()])
-            if t is not None and gone:
-                edges = [0, *(x for s in gone for x in s), len(t)]
-                t = "".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append({"text": t, "spans": [{"start": a, "end": b} for a, b in gone] or None})
+        for t, c in zip(texts.cast(pa.binary()).to_pylist(), cuts.to_pylist(), strict=True):
+            gone = merge_spans([(x["start"], x["end"]) for x in c])
+            edges = [0, *(x for s in gone for x in s), len(t)]
+            rest = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            out.append({"text": rest.decode("utf-8"), "spans": [{"start": a, "end": b} for a, b in gone]})
         kind = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         return pa.array(out, kind)
 
-    out = key_join(docs.withColumn("_rid", row_key(key, text)), cuts, "_rid", "left", limit=300_000)
-    out = out.withColumn("_new", F.when(F.col("_cuts").isNotNull(), cut(F.col(text), F.col("_cuts"))))
-    out = out.withColumns({text: F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.col("_new.text")), "removed_spans": F.col("_new.spans")})
-    return out.drop("_rid", "_cuts", "_new")
+    def change(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_new", cut(F.col(text), F.col("_cuts")))
+        return rows.withColumns({text: F.col("_new.text"), "removed_spans": F.col("_new.spans")}).drop("_new", "_cuts")
+
+    rows = docs.drop("removed_spans", "first_id").withColumn("_rid", row_key(key, text))
+    return patched(rows, cuts, "_rid", change, scratch, "span_cuts").drop("_rid")
