@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, list[int]] = {}
 
-    def whole(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text)
+    def whole(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
     def pieces(self, pieces: Sequence[str]) -> list[int]:
         """The ids of pre-tokens."""
@@ -87,8 +88,52 @@ class Vocabulary:
         return _codec(self.sent.value, self.pattern)
 
 
-def _ids(rows: list[list[int]]) -> pa.Array:
-    return pa.array(rows, pa.list_(pa.int32()))
+def _list(rows: list[np.ndarray | None]) -> pa.Array:
+    edges = np.cumsum([0, *(0 if x is None else len(x) for x in rows)]).astype(np.int32)
+    values = np.concatenate([np.empty(0, np.int32), *(x for x in rows if x is not None)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(values), mask=pa.array([x is None for x in rows], pa.bool_()))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
+    """Small pieces of the batches: what is made from one piece is handed on before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _with_ids(codec: Codec, keys: pa.RecordBatch, ids: list[np.ndarray], decoded: str | None) -> pa.RecordBatch:
+    columns, names = [*keys.columns, _list(ids)], [*keys.schema.names, "ids"]
+    if decoded:
+        columns.append(pa.array([codec.encoding.decode_bytes(x.tolist()) for x in ids], pa.binary()))
+        names.append(decoded)
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _whole(vocabulary: Vocabulary, decoded: str | None):
+    """Encodes the last column; the others stay."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = vocabulary.codec()
+        for part in _slices(batches):
+            keys = part.select(part.schema.names[:-1])
+            yield _with_ids(codec, keys, [codec.whole(t) for t in part.column(part.num_columns - 1).to_pylist()], decoded)
+
+    return rows
+
+
+def _rejoined(vocabulary: Vocabulary, decoded: str | None):
+    """(row, ids of all chunks, text of a broken document) to (row, ids)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = vocabulary.codec()
+        for part in _slices(batches, 10):
+            ids = []
+            for flat, raw in zip(part.column(1), part.column(2), strict=True):
+                text = raw.as_py()
+                ids.append(codec.whole(text) if text else flat.values.to_numpy())
+            yield _with_ids(codec, part.select(["_row"]), ids, decoded)
+
+    return rows
 
 
 def _cut(p: BpeParams):
@@ -131,9 +176,9 @@ def _edges(vocabulary: Vocabulary, p: BpeParams):
 def _encode_chunks(vocabulary: Vocabulary, p: BpeParams):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for batch in batches:
+        for part in _slices(batches, 20):
             ids, raw = [], []
-            columns = [batch.column(c).to_pylist() for c in ("_start", "_piece", "_from", "_to", "_broken")]
+            columns = [part.column(c).to_pylist() for c in ("_start", "_piece", "_from", "_to", "_broken")]
             for start, piece, begin, end, broken in zip(*columns, strict=True):
                 if broken:
                     ids.append(None)
@@ -145,37 +190,30 @@ def _encode_chunks(vocabulary: Vocabulary, p: BpeParams):
                     if m.start() >= stop:
                         break
                     pieces.append(m[0])
-                ids.append(codec.pieces(pieces))
+                ids.append(np.array(codec.pieces(pieces), np.int32))
                 raw.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_chunk"), _ids(ids), pa.array(raw, pa.string())], ["_row", "_chunk", "_ids", "_raw"])
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_chunk"), _list(ids), pa.array(raw, pa.string())], ["_row", "_chunk", "_ids", "_raw"])
 
     return rows
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keys: Sequence[str] = ("doc_id",), text: str = "text", params: BpeParams | None = None) -> DataFrame:
-    """``keys`` and ``ids`` (array<int>) for every row of ``docs``."""
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, keys: Sequence[str] = ("doc_id",), text: str = "text", params: BpeParams | None = None, decoded: str | None = None
+) -> DataFrame:
+    """``keys`` and ``ids`` (array<int>) for every row of ``docs``.
+
+    With ``decoded`` the ids are decoded again in the same pass, into a column of that name; see ``decode``.
+    """
     p = params or BpeParams()
     if p.overlap > p.chunk // 2 or p.overlap <= MARGIN:
         raise ValueError("the overlap must be over MARGIN and at most half a chunk")
     rows = docs.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     names = [F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)]
+    results = ["ids array<int>", *[f"`{decoded}` binary"] * bool(decoded)]
+    kept = [f"_key{i} {rows.schema[f'_key{i}'].dataType.simpleString()}" for i in range(len(keys))]
+    out = [*names, "ids", *[decoded] * bool(decoded)]
 
-    @F.arrow_udf("array<int>")
-    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = vocabulary.codec()
-        for texts in batches:
-            yield _ids([codec.whole(t) for t in texts.to_pylist()])
-
-    @F.arrow_udf("array<int>")
-    def rejoined(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        codec = vocabulary.codec()
-        for raws, parts in batches:
-            out = []
-            for raw, part in zip(raws.to_pylist(), parts.to_pylist(), strict=True):
-                out.append(codec.whole(raw) if raw else list(chain.from_iterable(part)))
-            yield _ids(out)
-
-    short = rows.where(F.length("_text") <= p.chunk).select(*names, whole("_text").alias("ids"))
+    short = rows.where(F.length("_text") <= p.chunk).mapInArrow(_whole(vocabulary, decoded), ", ".join([*kept, *results])).select(*out)
     long = rows.where(F.length("_text") > p.chunk).withColumn("_row", F.monotonically_increasing_id())
     chunks = long.select("_row", "_text").mapInArrow(_cut(p), "_row long, _chunk int, _start int, _piece string, _last boolean")
     chunks = chunks.repartition("_row", "_chunk").mapInArrow(_edges(vocabulary, p), "_row long, _chunk int, _start int, _piece string, _last boolean, _left array<int>, _right array<int>")
@@ -185,9 +223,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keys: Sequence[str] = ("doc_
     chunks = chunks.withColumns({"_to": F.lead("_from").over(order), "_broken": F.max(F.col("_from").isNull()).over(Window.partitionBy("_row"))})
     parts = chunks.repartition("_row", "_chunk").mapInArrow(_encode_chunks(vocabulary, p), "_row long, _chunk int, _ids array<int>, _raw string")
     parts = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_ids", "_raw"))).alias("_parts"))
-    encoded = parts.select("_row", rejoined(F.array_join("_parts._raw", ""), F.coalesce("_parts._ids", F.array())).alias("ids"))
-    long = long.drop("_text").join(encoded, "_row").select(*names, "ids")
-    return short.unionByName(long)
+    empty = F.array().cast("array<int>")
+    flat = F.flatten(F.transform("_parts", lambda x: F.coalesce(x["_ids"], empty)))
+    encoded = parts.select("_row", flat.alias("_ids"), F.array_join("_parts._raw", "").alias("_raw"))
+    encoded = encoded.mapInArrow(_rejoined(vocabulary, decoded), ", ".join(["_row long", *results]))
+    return short.unionByName(long.drop("_text").join(encoded, "_row").select(*out))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -197,6 +237,6 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: s
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = vocabulary.codec().encoding
         for rows in batches:
-            yield pa.array([encoding.decode_bytes(x or []) for x in rows.to_pylist()], pa.binary())
+            yield pa.array([encoding.decode_bytes(x.values.to_pylist() if x.is_valid else []) for x in rows], pa.binary())
 
     return encoded.withColumn(into, joined(F.col(ids)))
