@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+
+from paperloom.plans.catalog import ORACLES, QUERIES
+
+for _name in ("text_queries", "search_queries", "evidence_queries", "knowledge_queries", "table_queries", "stream_queries"):
+    importlib.import_module(f"paperloom.plans.{_name}")
+
 FLAGSHIP = "c6_bm25_topk"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
