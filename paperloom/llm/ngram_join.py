@@ -15,10 +15,12 @@ links.
    indexed: one narrow row for each prefix shingle of a group.
 3. Group pairs come from shingles that at most ``FREQUENT`` members share. They are filtered by size and by the largest
    intersection that the counted shared prefix leaves possible, then expanded to members and verified on whole sets.
-4. Shingles that more members share hold clusters of near copies. There, members are verified against one member of
-   each shingle at a time; what links becomes one component, and only members of different components are compared
-   further, until few comparisons are left; these are then all made. No link between components is lost, and no
-   cluster is expanded into all its pairs.
+4. Shingles that more members share hold crowds of near copies. A pair that meets nowhere but there has no other
+   shingle in common than frequent ones, so its intersection is at most the smaller number of frequent shingles of the
+   two. In a few rounds the members of every crowd are verified against one of them, one with few shingles of its own;
+   what links becomes one component. Then every member outside its crowd's largest component is compared with all
+   members of other components that this bound and the sizes allow. No link between components is lost, and no cluster
+   is expanded into all its pairs.
 
 Null doc ids take no part in the smallest id. Null text counts as empty. Repeated rows are rows of the same set. Extra
 columns are ignored. An empty table gives an empty result.
@@ -42,7 +44,8 @@ FREQUENT = 64
 MAX_FREQUENT = 2_000_000
 #: Shingles that one bucket of the count should hold.
 BUCKET_SHINGLES = 250_000
-MAX_ROUNDS = 12
+#: Rounds in which crowds are verified against one member, before what is left is compared.
+ROUNDS = 3
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -77,37 +80,43 @@ def _packed(k: int, buckets: int):
     return rows
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    bucket = table.column("bucket")[0].as_py()
-    keys, counts = [], []
-    for blob, more in zip(table.column("keys"), table.column("more"), strict=True):
-        part = np.frombuffer(blob.as_py(), "<u4")
-        n = np.ones(len(part), np.int64)
-        at, extra = np.frombuffer(more.as_py(), "<u4").reshape(2, -1)
-        n[at] += extra
-        keys.append(part)
-        counts.append(n)
-    key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
-    hot = total > FREQUENT
-    return pa.table({"key": pa.array((bucket << 32) | key[hot].astype(np.int64), pa.int64()), "n": pa.array(total[hot], pa.int64())})
-
-
-def frequent_shingles(texts: DataFrame, k: int, scratch: Scratch) -> tuple[np.ndarray, int]:
-    """(sorted keys of the frequent shingles, number of buckets). A key is the low bits of a shingle's number."""
+def _counted(least: int):
+    def rows(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        keys, counts = [], []
+        for blob, more in zip(table.column("keys"), table.column("more"), strict=True):
+            part = np.frombuffer(blob.as_py(), "<u4")
+            n = np.ones(len(part), np.int64)
+            at, extra = np.frombuffer(more.as_py(), "<u4").reshape(2, -1)
+            n[at] += extra
+            keys.append(part)
+            counts.append(n)
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+        hot = total > least
+        return pa.table({"key": pa.array((bucket << 32) | key[hot].astype(np.int64), pa.int64()), "n": pa.array(total[hot], pa.int64())})
+
+    return rows
+
+
+def frequent_shingles(texts: DataFrame, k: int, frequent: int, scratch: Scratch) -> tuple[np.ndarray, int, int]:
+    """(sorted keys of the frequent shingles, number of buckets, documents that any other shingle may have).
+
+    A key is the low bits of a shingle's number.
+    """
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = 1 << min(max((int(size / 6 / BUCKET_SHINGLES)).bit_length(), 6), 24)
     counted = texts.select("_text").mapInArrow(_packed(k, buckets), "bucket int, keys binary, more binary")
-    counted = scratch.write(counted.groupBy("bucket").applyInArrow(_counted, "key long, n long"), "frequent")
+    counted = scratch.write(counted.groupBy("bucket").applyInArrow(_counted(frequent), "key long, n long"), "frequent")
     levels = counted.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()  # 64 rows at most
-    least, total = 1 << 62, 0
+    least, total = frequent + 1, 0
     for r in levels:
         total += r["count"]
         if total > MAX_FREQUENT:
+            least = 2 << int(r["level"])
             break
-        least = 1 << int(r["level"])
     keys = counted.where(F.col("n") >= least).select("key").toPandas()["key"].to_numpy(np.int64)
-    return np.sort(keys), buckets
+    return np.sort(keys), buckets, least - 1
 
 
 # --- 2. prefixes
@@ -124,12 +133,12 @@ def _prefixes(k: int, percent: int, sent, buckets: int):
         frequent = sent.value
         low = np.int64(np.iinfo(np.int64).min)
         for batch in batches:
-            sizes, digests, gids, prefixes = [], [], [], []
+            sizes, digests, gids, prefixes, own = [], [], [], [], []
             for s in _sets(batch.column(2), k):
                 n = len(s)
                 sizes.append(n)
                 if not n:
-                    digests.append(None), gids.append(None), prefixes.append(None)
+                    digests.append(None), gids.append(None), prefixes.append(None), own.append(0)
                     continue
                 order = s + low  # below zero: not frequent
                 if len(frequent):
@@ -138,13 +147,14 @@ def _prefixes(k: int, percent: int, sent, buckets: int):
                     hot = frequent[at] == key
                     if hot.any():
                         order = np.concatenate([order[~hot], s[hot]])
+                own.append(int((order < 0).sum()))
                 prefix = order[: n - -(-percent * n // 100) + 1]
                 digests.append(_digest(s, 16))
                 gids.append(int.from_bytes(_digest(np.concatenate([prefix, [n]]), 8), "little", signed=True))
                 prefixes.append(prefix)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["_id", "_rid", "n", "fp", "gid", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(own, pa.int32())],
+                ["_id", "_rid", "n", "fp", "gid", "prefix", "own"],
             )
 
     return rows
@@ -177,20 +187,22 @@ def _sizes_fit(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+def ngram_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, frequent: int = FREQUENT, scratch: Scratch | None = None
+) -> DataFrame:
     """``key``, n_shingles and component_id for every row of ``docs``, with the row's key ``_rid`` beside them."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     source = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_rid"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
 
-    frequent, buckets = frequent_shingles(source, k, scratch)
-    sent = spark.sparkContext.broadcast(frequent)  # MAX_FREQUENT numbers at most
-    ddl = f"_id {id_type}, _rid long, n int, fp binary, gid long, prefix array<long>"
+    last, buckets, limit = frequent_shingles(source, k, frequent, scratch)
+    sent = spark.sparkContext.broadcast(last)  # MAX_FREQUENT numbers at most
+    ddl = f"_id {id_type}, _rid long, n int, fp binary, gid long, prefix array<long>, own int"
     sets = source.mapInArrow(_prefixes(k, percent, sent, buckets), ddl).withColumn("pos", F.monotonically_increasing_id())
     sets = scratch.write(sets, "sets")
 
-    members = sets.where("n > 0").groupBy("gid", "n", "fp").agg(F.min("pos").alias("pos"), F.min("_rid").alias("_rid"), F.min("_id").alias("low_id"), F.count("*").alias("copies"))
+    members = sets.where("n > 0").groupBy("gid", "n", "fp", "own").agg(F.min("pos").alias("pos"), F.min("_rid").alias("_rid"), F.min("_id").alias("low_id"), F.count("*").alias("copies"))
     members = scratch.write(members, "members")
     grouped = scratch.write(members.groupBy("gid").agg(F.min("pos").alias("pos"), F.count("*").alias("m")), "groups")
     indexed = key_join(sets.select("pos", "gid", "n", "prefix"), grouped.select("pos", "m"), "pos", "inner")
@@ -199,10 +211,10 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     index = indexed.select(F.explode("prefix").alias("tok"), "gid", "n", "m").repartition("tok")
     weights = index.groupBy("tok").agg(F.count("*").alias("c"), F.sum("m").alias("w")).where("c > 1").select("tok", "w")
     shared = scratch.write(index.join(weights, "tok").select("tok", "gid", "n", "w"), "shared")
-    hot = shared.where(F.col("w") > FREQUENT)
+    hot = shared.where(F.col("w") > limit)
     held = scratch.write(hot.groupBy("gid").agg(F.count("*").alias("h")), "hot_groups")
 
-    x = shared.where(F.col("w") <= FREQUENT)
+    x = shared.where(F.col("w") <= limit)
     y = x.select("tok", F.col("gid").alias("gid2"), F.col("n").alias("n2"))
     met = x.join(y, "tok").where((F.col("gid") < F.col("gid2")) & _sizes_fit("n", "n2", percent))
     met = met.groupBy("gid", "gid2").agg(F.count("*").alias("c"))
@@ -217,14 +229,16 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     one = members.select("gid", F.col("fp").alias("a"))
     two = members.select(F.col("gid").alias("gid2"), F.col("fp").alias("b"))
     pairs = met.join(one, "gid").join(two, "gid2").select("a", "b")
-    few = grouped.where((F.col("m") > 1) & (F.col("m") <= FREQUENT)).select("gid")
+    few = grouped.where((F.col("m") > 1) & (F.col("m") <= limit)).select("gid")
     inside = one.join(few, "gid", "left_semi")
     inside = inside.join(inside.select("gid", F.col("a").alias("b")), "gid").where("a < b").select("a", "b")
     pairs = scratch.write(pairs.unionByName(inside).distinct(), "pairs")
 
-    crowds = hot.select(F.col("tok").alias("crowd"), "gid").join(members, "gid").select("crowd", "fp", "n")
-    large = grouped.where(F.col("m") > FREQUENT).select("gid")
-    crowds = scratch.write(crowds.unionByName(members.join(large, "gid", "left_semi").select(F.col("gid").alias("crowd"), "fp", "n")), "crowds")
+    crowded = ["fp", "n", (F.col("n") - F.col("own")).alias("common")]
+    crowds = hot.select(F.col("tok").alias("crowd"), "gid").join(members, "gid").select("crowd", *crowded)
+    large = grouped.where(F.col("m") > limit).select("gid")
+    crowds = crowds.unionByName(members.join(large, "gid", "left_semi").select(F.col("gid").alias("crowd"), *crowded))
+    crowds = scratch.write(crowds, "crowds")
 
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).union(crowds.select("fp")).distinct()
     rids = scratch.write(members.join(wanted, "fp", "left_semi").select("_rid").distinct(), "wanted")
@@ -233,26 +247,25 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
 
     links = scratch.write(_verified(pairs, tokens, percent), "links_pairs")
     comps = components(links, scratch, "cc_pairs")
-    n_crowd = crowds.count()
-    for turn in range(MAX_ROUNDS if n_crowd else 0):
-        now = crowds.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("crowd", "fp", "n", F.coalesce("comp", "fp").alias("comp"))
+    for turn in range(ROUNDS + 1 if crowds.head(1) else 0):
+        now = crowds.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("crowd", "fp", "n", "common", F.coalesce("comp", "fp").alias("comp"))
         now = scratch.write(now, f"crowds_{turn}")
-        parts = now.groupBy("crowd", "comp").agg(F.count("*").cast("double").alias("c"))
-        left = parts.groupBy("crowd").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("open")).agg(F.sum("open") / 2).first()[0] or 0
-        last = left <= n_crowd or turn == MAX_ROUNDS - 1
-        if last:
-            other = now.select("crowd", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            tried = now.join(other, "crowd").where((F.col("fp") < F.col("fp2")) & (F.col("comp") != F.col("comp2")) & _sizes_fit("n", "n2", percent))
-            tried = tried.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+        other = now.select("crowd", *[F.col(c).alias(c + "2") for c in ("fp", "n", "common", "comp")])
+        most = F.least("common", "common2")
+        linkable = (F.col("comp") != F.col("comp2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
+        if turn < ROUNDS:
+            near = F.struct(F.floor(10 * (F.col("n2") - F.col("common2")) / F.col("n2")), F.xxhash64("fp2", F.lit(turn)), F.col("fp2"))
+            pivot = other.groupBy("crowd").agg(F.min_by(F.struct("fp2", "n2", "common2", "comp2"), near).alias("p")).select("crowd", "p.*")
+            tried = now.join(pivot, "crowd").where(linkable)
         else:
-            pivot = now.groupBy("crowd").agg(F.min_by(F.struct("fp", "n", "comp"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp")).alias("p"))
-            tried = now.join(pivot, "crowd").where(F.col("comp") != F.col("p.comp")).select("fp", "n", F.col("p.fp").alias("fp2"), F.col("p.n").alias("n2"))
-            tried = tried.where(_sizes_fit("n", "n2", percent)).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
-        more = _verified(tried.distinct(), tokens, percent)
-        links = scratch.write(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b").unionByName(more), f"links_{turn}")
-        comps = components(links, scratch, f"cc_{turn}")
-        if last:
-            break
+            main = now.groupBy("crowd", "comp").agg(F.count("*").alias("c")).groupBy("crowd").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+            apart = now.join(main, "crowd").where(F.col("comp") != F.col("main"))
+            tried = apart.join(other, "crowd").where(linkable & ((F.col("comp2") == F.col("main")) | (F.col("fp") < F.col("fp2"))))
+        tried = scratch.write(tried.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct(), f"tried_{turn}")
+        more = scratch.write(_verified(tried, tokens, percent), f"links_{turn}")
+        if more.head(1):
+            joined = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
+            comps = components(joined, scratch, f"cc_{turn}")
 
     owned = members.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low_id", "copies", F.coalesce("comp", "fp").alias("comp"), F.col("comp").isNotNull().alias("linked"))
     lows = owned.where("linked").groupBy("comp").agg(F.min("low_id").alias("component_id"))
