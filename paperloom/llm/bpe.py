@@ -178,11 +178,11 @@ def _encode_chunks(vocabulary: Vocabulary, p: BpeParams):
         codec = vocabulary.codec()
         for part in _slices(batches, 20):
             ids, raw = [], []
-            columns = [part.column(c).to_pylist() for c in ("_start", "_piece", "_from", "_to", "_broken")]
-            for start, piece, begin, end, broken in zip(*columns, strict=True):
+            columns = [part.column(c).to_pylist() for c in ("_start", "_piece", "_last", "_from", "_to", "_broken")]
+            for start, piece, last, begin, end, broken in zip(*columns, strict=True):
                 if broken:
                     ids.append(None)
-                    raw.append(piece[: p.chunk])
+                    raw.append(piece if last else piece[: p.chunk])
                     continue
                 stop = len(piece) if end is None else end - start
                 pieces = []
