@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import slices
+
 MARGIN = 8
 #: Pre-tokens remembered with their ids in each worker.
 CACHE = 200_000
@@ -94,13 +96,6 @@ def _list(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(values), mask=pa.array([x is None for x in rows], pa.bool_()))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
-    """Small pieces of the batches: what is made from one piece is handed on before the next."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _with_ids(codec: Codec, keys: pa.RecordBatch, ids: list[np.ndarray], decoded: str | None) -> pa.RecordBatch:
     columns, names = [*keys.columns, _list(ids)], [*keys.schema.names, "ids"]
     if decoded:
@@ -114,7 +109,7 @@ def _whole(vocabulary: Vocabulary, decoded: str | None):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for part in _slices(batches):
+        for part in slices(batches, 100):
             keys = part.select(part.schema.names[:-1])
             yield _with_ids(codec, keys, [codec.whole(t) for t in part.column(part.num_columns - 1).to_pylist()], decoded)
 
@@ -126,7 +121,7 @@ def _rejoined(vocabulary: Vocabulary, decoded: str | None):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for part in _slices(batches, 10):
+        for part in slices(batches, 10):
             ids = []
             for flat, raw in zip(part.column(1), part.column(2), strict=True):
                 text = raw.as_py()
@@ -176,7 +171,7 @@ def _edges(vocabulary: Vocabulary, p: BpeParams):
 def _encode_chunks(vocabulary: Vocabulary, p: BpeParams):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
-        for part in _slices(batches, 20):
+        for part in slices(batches, 20):
             ids, raw = [], []
             columns = [part.column(c).to_pylist() for c in ("_start", "_piece", "_last", "_from", "_to", "_broken")]
             for start, piece, last, begin, end, broken in zip(*columns, strict=True):

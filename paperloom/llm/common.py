@@ -74,6 +74,13 @@ def row_key(*cols: str):
     return F.xxhash64(*parts)
 
 
+def slices(batches: Iterator, rows: int) -> Iterator:
+    """Arrow batches in pieces of ``rows`` rows, to bound what Python objects are made of at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While jobs run inside, Arrow batches have ``rows`` rows at most, to bound the memory of Python workers."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, key_join, patched, row_key
+from paperloom.llm.common import Scratch, patched, row_key, slices
 from paperloom.llm.hashing import groups, range_hashes, word_spans
 
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -71,7 +71,7 @@ def runs(texts: list[bytes], p: SpanParams) -> tuple[np.ndarray, ...]:
 
 def _run_rows(p: SpanParams):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             raw = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
             for lo, hi in groups(raw):
                 owner, start, end, h1, h2 = runs(raw[lo:hi], p)
@@ -92,7 +92,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", par
     id_type = source.schema["_id"].dataType.simpleString()
     spans = scratch.write(source.mapInArrow(_run_rows(p), f"_id {id_type}, _rid long, start int, end int, h1 long, h2 long"), "spans")
     many = scratch.write(spans.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "span_hashes")
-    found = scratch.write(key_join(spans, many, ["h1", "h2"], "left_semi", limit=300_000), "span_repeats")
+    found = scratch.write(spans.join(many, ["h1", "h2"], "left_semi"), "span_repeats")
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), F.col("start").alias("start"))
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("at"))
     hits = found.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("at")))
@@ -109,6 +109,22 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., text, spans) to (..., rest of the text, merged spans)."""
+    for part in slices(batches, 200):
+        texts, places = [], []
+        for t, c in zip(part.column(part.num_columns - 2).cast(pa.binary()), part.column(part.num_columns - 1), strict=True):
+            t, gone = t.as_py(), merge_spans([(x["start"], x["end"]) for x in c.as_py()])
+            edges = [0, *(x for s in gone for x in s), len(t)]
+            texts.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8"))
+            places.append([{"start": a, "end": b} for a, b in gone])
+        columns = [*part.columns[:-2], pa.array(texts, pa.string()), pa.array(places, _SPANS)]
+        yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "removed_spans"])
+
+
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", params: SpanParams | None = None, scratch: Scratch | None = None) -> DataFrame:
     """All rows of ``docs`` with the covered sentences cut out of ``text``.
 
@@ -119,20 +135,10 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", params
     spans = repeated_spans(docs, key, text, params, scratch)
     cuts = spans.groupBy("_rid").agg(F.collect_set(F.struct("start", "end")).alias("_cuts"), F.min("first_id").alias("first_id"))
 
-    @F.arrow_udf("struct<text:string,spans:array<struct<start:int,end:int>>>")
-    def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-        out = []
-        for t, c in zip(texts.cast(pa.binary()).to_pylist(), cuts.to_pylist(), strict=True):
-            gone = merge_spans([(x["start"], x["end"]) for x in c])
-            edges = [0, *(x for s in gone for x in s), len(t)]
-            rest = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append({"text": rest.decode("utf-8"), "spans": [{"start": a, "end": b} for a, b in gone]})
-        kind = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-        return pa.array(out, kind)
-
     def change(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_new", cut(F.col(text), F.col("_cuts")))
-        return rows.withColumns({text: F.col("_new.text"), "removed_spans": F.col("_new.spans")}).drop("_new", "_cuts")
+        others = [c for c in rows.columns if c not in (text, "_cuts")]
+        ddl = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others), f"`{text}` string", "removed_spans array<struct<start:int,end:int>>"])
+        return rows.select(*others, text, "_cuts").mapInArrow(_cut, ddl)
 
     rows = docs.drop("removed_spans", "first_id").withColumn("_rid", row_key(key, text))
     return patched(rows, cuts, "_rid", change, scratch, "span_cuts").drop("_rid")
