@@ -67,14 +67,14 @@ def i2_units_from_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quoted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.chunks(spark, sf_dir)
-    quote = F.when(F.col("chunk_id") % 3 == 0, F.upper(F.substring("content", 30, 40))).when(F.col("chunk_id") % 3 == 1, "not in the text at all").otherwise("")
+    quote = F.when(F.col("chunk_id") % 3 == 0, F.substring("content", 30, 40)).when(F.col("chunk_id") % 3 == 1, "not in the text at all").otherwise("")
     return c.select(F.col("chunk_id").alias("unit_id"), "paper_id", "section_type", quote.alias("quote"))
 
 
 @query(
     over(
         f"""SELECT u.unit_id, coalesce(m.chunk_id, -1) AS chunk_id, CASE WHEN m.chunk_id IS NULL THEN 'BRONZE' ELSE 'SILVER' END AS tier FROM (SELECT chunk_id AS unit_id, paper_id, section_type,
-  {_loose("CASE chunk_id % 3 WHEN 0 THEN upper(substr(content, 30, 40)) WHEN 1 THEN 'not in the text at all' ELSE '' END")} AS quote FROM chunks) u
+  {_loose("CASE chunk_id % 3 WHEN 0 THEN substr(content, 30, 40) WHEN 1 THEN 'not in the text at all' ELSE '' END")} AS quote FROM chunks) u
   LEFT JOIN chunks m ON m.paper_id = u.paper_id AND m.section_type = u.section_type AND u.quote <> '' AND contains({_loose("m.content")}, u.quote)""",
         "chunks",
     )

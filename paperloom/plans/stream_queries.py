@@ -1 +1,38 @@
-"""Registered queries."""
+"""Registered queries that run as streams (M); each oracle is the batch result."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.operators import dialogue
+from paperloom.plans.catalog import query
+from paperloom.plans.views_sql import over
+from paperloom.sources import views as V
+from paperloom.streaming import jobs as S
+
+
+def _scratch(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/paperloom-stream-{uuid.uuid4().hex}"
+
+
+@query(over("SELECT paper_id, job_id, status FROM last_jobs", "last_jobs"))
+def m3_stream_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = S.stream_table(spark, f"{sf_dir}/events.parquet")
+    status = F.when(F.col("event_type") == "purchase", "COMPLETED").when(F.col("event_type") == "error", "FAILED").otherwise("PROCESSING")
+    rows = events.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("paper_id"), status.alias("status"), F.col("ts").alias("create_time"), F.lit(0).cast("long").alias("processed"), F.lit(20).cast("long").alias("total"))
+    root = _scratch(spark)
+    done = S.run_latest(rows, f"{root}/out", f"{root}/checkpoint")
+    last = done.lastProgress["batchId"] if done.lastProgress else 0
+    return dialogue.latest_jobs(spark.read.parquet(f"{root}/out/state={last}")).select("paper_id", "job_id", "status")
+
+
+@query(over("SELECT stage, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(ms), 2) AS total_ms FROM spans GROUP BY 1, 2", "spans"))
+def m4_windowed_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch twin of the windowed stream; the stream itself is run by the tests."""
+    rows = S.windowed_timings(V.spans(spark, sf_dir))
+    return rows.select("stage", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total_ms", 2).alias("total_ms"))
