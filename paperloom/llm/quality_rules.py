@@ -47,7 +47,9 @@ STOCK_PHRASES = (
     "terms of use",
 )
 
-_SENTENCE_END = re.compile(r"[.!?…。！？](?:[\"'”’»)\]]*)(?:\s|$)|[:;]\s*$")
+#: A sentence end: a closing mark, quotes and brackets, then white space or the line's end; or a colon at the line's end.
+SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*(?:[ \t\r\f\v]|$)|[:;][ \t\r\f\v]*$"
+_SENTENCE_END = re.compile(SENTENCE_END)
 
 
 @dataclass(frozen=True)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
 from paperloom.llm import bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sharding, span_dedup, token_files, url_filter
 from paperloom.llm.common import scratch_dir
+from paperloom.llm.oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,4 +125,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
