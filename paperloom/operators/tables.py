@@ -77,7 +77,7 @@ def normalize_ids(ids: Column) -> Column:
 
 def parse_ids(text: Column) -> Column:
     """Ids of a comma-separated text; what is no number is skipped."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.try_to_number(trim_all(x), F.lit("999999999999")).cast("long")), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: trim_all(x).try_cast("long")), lambda x: x.isNotNull())
 
 
 def backfill_chunks(chunks: DataFrame) -> DataFrame:
