@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import dialogue
-from paperloom.plans.catalog import query
+from paperloom.operators import dialogue, knowledge
+from paperloom.plans.catalog import ORACLES, query
 from paperloom.plans.views_sql import over
 from paperloom.sources import views as V
 from paperloom.streaming import jobs as S
@@ -26,11 +26,29 @@ def m3_stream_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "COMPLETED").when(F.col("event_type") == "error", "FAILED").otherwise("PROCESSING")
     rows = events.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("paper_id"), status.alias("status"), F.col("ts").alias("create_time"), F.lit(0).cast("long").alias("processed"), F.lit(20).cast("long").alias("total"))
     root = _scratch(spark)
-    done = S.run_latest(rows, f"{root}/out", f"{root}/checkpoint")
-    last = done.lastProgress["batchId"] if done.lastProgress else 0
+    last = S.run_fold(rows, S.keep_latest_job, f"{root}/out", f"{root}/checkpoint")
     return dialogue.latest_jobs(spark.read.parquet(f"{root}/out/state={last}")).select("paper_id", "job_id", "status")
 
 
+@query(over("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM postings GROUP BY 1", "postings"))
+def m1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.stream_table(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    root = _scratch(spark)
+    last = S.run_fold(docs, S.keep_postings, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out/state={last}").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(ORACLES["i10_apply_feedback"])
+def m2_stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = S.stream_table(spark, f"{sf_dir}/events.parquet")
+    action = F.when(F.col("event_type") == "purchase", "CONFIRM").when(F.col("event_type") == "error", "REJECT").when(F.col("event_type") == "signup", "CORRECT")
+    value = F.when(F.col("event_type") == "signup", F.concat(F.lit("v"), "event_id"))
+    rows = events.select("event_id", F.col("user_id").alias("unit_id"), action.alias("action"), value.alias("object_value"), "ts").where("action IS NOT NULL")
+    root = _scratch(spark)
+    last = S.run_fold(rows, S.keep_feedback, f"{root}/out", f"{root}/checkpoint")
+    return knowledge.apply_feedback(spark.read.parquet(f"{root}/out/state={last}"))
+
+
 @query(over("SELECT stage, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(ms), 2) AS total_ms FROM spans GROUP BY 1, 2", "spans"))
 def m4_windowed_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch twin of the windowed stream; the stream itself is run by the tests."""

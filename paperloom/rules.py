@@ -156,3 +156,30 @@ CRITICAL_GROUPS = (
     ("metrics", ("METRIC",)),
     ("environment", ("ENVIRONMENT",)),
 )
+
+# --- questions and answers
+
+LATIN_TERM = r"[A-Za-z][A-Za-z0-9+\-]{1,}"
+GENERIC_TERMS = (
+    "paper", "papers", "method", "methods", "model", "models", "forecast", "forecasting", "prediction", "wind", "speed", "power",
+    "time", "series", "论文", "方法", "模型", "预测",
+)
+MAX_TERMS = 12
+EXPLICIT_PAPER = r"(?i)(论文|paper)\s*[#：:]?\s*\d+|《[^》]{2,}》"
+NEEDS_CONTEXT = r"它|这个|这个方法|该方法|该论文|上述|前者|后者|二者|两者|相比|还有|继续|进一步|那么|这些|其|呢"
+RESEARCH_GATE = (
+    r"改进|优化|建议|方向|探索|未来|提升|扩展|不足|局限|尝试|替代|对比|比较|创新|新方法|新思路|"
+    r"improve|optimize|suggest|explore|future|limitation|extension|alternative|compare|novel|innovative"
+)
+MISSING_SOURCE = "[待补充来源]"
+SAVE_TYPES = ("draft", "idea", "todo", "implemented")
+
+#: Assets worth a closer look, by type: words of the caption, or of caption and text below this confidence.
+VISION_FIGURE = r"architecture|framework|flowchart|network|structure|pipeline|workflow"
+VISION_TABLE = r"parameter|configuration|setting|algorithm|hyperparameter"
+VISION_EQUATION = r"loss|objective|input|output|where|defined|learning|optimization"
+VISION_CONFIDENCE = 0.7
+
+#: Points of fact types and of section words, most first.
+FACT_POINTS = ((5, r"HYPERPARAMETER|^LOSS$|^DATASET$"), (4, r"ALGORITHM|^IMPLEMENTATION$"), (3, r"ARCHITECTURE"), (2, r"^EQUATION$|^PREPROCESSING$"))
+SECTION_POINTS = ((4, r"METHOD|MODEL|ALGORITHM"), (3, r"EXPERIMENT|RESULT|IMPLEMENT"), (2, r"ABSTRACT|INTRODUCTION"), (0, r"REFERENCE|CONFLICT|AUTHOR"))

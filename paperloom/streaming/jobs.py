@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.dialogue import latest_jobs
+from paperloom.operators.lexical import postings
+from paperloom.operators.tables import replace_by_key
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -30,25 +34,41 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return query
 
 
-def run_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last job of each paper in ``path``: every batch is folded into the table of the batch before.
+def run_fold(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], path: str, checkpoint: str) -> int:
+    """Fold every batch of what is there now into a table and stop; gives the number of the last state.
 
-    Batch n reads state n - 1 and writes state n, so a repeated batch overwrites itself with the same rows.
+    Batch n reads state n - 1 and writes ``path/state=n``, so a repeated batch overwrites itself with the same rows.
     """
 
-    def fold(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if n > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/state={n - 1}"))
-        latest_jobs_full(rows).write.mode("overwrite").parquet(f"{path}/state={n}")
+    def step(batch: DataFrame, n: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{path}/state={n - 1}") if n else None
+        fold(before, batch).write.mode("overwrite").parquet(f"{path}/state={n}")
 
-    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return query.lastProgress["batchId"] if query.lastProgress else -1
+
+
+def together(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    return batch if state is None else state.unionByName(batch)
+
+
+def keep_latest_job(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The last job of each paper with all its columns, so that it can be folded again."""
+    jobs = together(state, batch)
+    return jobs.join(latest_jobs(jobs).select("job_id"), "job_id", "left_semi").select(*jobs.columns)
+
+
+def keep_feedback(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Of each unit the last event and the last one with a value: what its state follows from."""
+    events = together(state, batch)
+    order = Window.partitionBy("unit_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    valued = Window.partitionBy("unit_id").orderBy(F.when(F.col("object_value").isNotNull(), 0).otherwise(1), F.desc("ts"), F.desc("event_id"))
+    rows = events.withColumns({"_a": F.row_number().over(order), "_v": F.row_number().over(valued)})
+    return rows.where((F.col("_a") == 1) | (F.col("_v") == 1)).select(*events.columns)
 
 
-def latest_jobs_full(jobs: DataFrame) -> DataFrame:
-    """``latest_jobs`` with all columns, so that it can be folded again."""
-    last = latest_jobs(jobs).select("job_id")
-    return jobs.join(last, "job_id", "left_semi").select(*jobs.columns)
+def keep_postings(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Postings of all chunks: those of a chunk that comes again are replaced; frequencies follow from them by grouping."""
+    fresh = postings(batch)
+    return fresh if state is None else replace_by_key(state, fresh, "chunk_id")

@@ -103,7 +103,7 @@ def test_streams_equal_batches(spark, tmp_path):
         df.where(f"event_id % 4 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/spans.parquet")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/spans.parquet")
     late = streams.windowed_timings(stream, "1 day", None, "60 days")
-    streams.run_to_table(late.writeStream and late, f"{tmp_path}/out", f"{tmp_path}/ck", "append")
+    streams.run_to_table(late, f"{tmp_path}/out", f"{tmp_path}/ck", "append")
     got = spark.read.schema("stage string, start timestamp, n long, total_ms double").parquet(f"{tmp_path}/out").count()
     whole = streams.windowed_timings(df).count()
     assert got <= whole  # append mode holds back windows that the watermark has not passed
@@ -111,8 +111,14 @@ def test_streams_equal_batches(spark, tmp_path):
     for i in range(3):
         job.where(f"job_id % 3 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/jobs.parquet")
     live = spark.readStream.schema(job.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/jobs.parquet")
-    done = streams.run_latest(live, f"{tmp_path}/latest", f"{tmp_path}/ck2")
-    assert done.lastProgress is not None
-    states = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "latest").iterdir() if "=" in p.name)
-    final = dialogue.latest_jobs(spark.read.parquet(f"{tmp_path}/latest/state={states[-1]}"))
+    last = streams.run_fold(live, streams.keep_latest_job, f"{tmp_path}/latest", f"{tmp_path}/ck2")
+    assert last == 2
+    final = dialogue.latest_jobs(spark.read.parquet(f"{tmp_path}/latest/state={last}"))
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, dialogue.latest_jobs(job).collect()))
+    events = df.select("event_id", (F.col("event_id") % 5).alias("unit_id"), F.when(F.col("event_id") % 3 == 0, "CORRECT").otherwise("CONFIRM").alias("action"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("v"), "event_id")).alias("object_value"), "ts")
+    for i in range(3):
+        events.where(f"event_id % 4 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/feedback.parquet")
+    told = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/feedback.parquet")
+    last = streams.run_fold(told, streams.keep_feedback, f"{tmp_path}/feedback", f"{tmp_path}/ck3")
+    got = knowledge.apply_feedback(spark.read.parquet(f"{tmp_path}/feedback/state={last}"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knowledge.apply_feedback(events.where("event_id % 4 < 3")).collect()))
