@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from paperloom.operators.lexical import topk
 
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 20_000
+
 
 def hash_embed(text: Column) -> Column:
     """Four numbers from a text's length and its 31-based 32-bit hash (over UTF-16 units)."""
@@ -43,13 +46,18 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, by_type: bool = False) -> DataFrame:
     """query_id, point_id, (content_type), score, rank: exact search of every vector for a stated set of queries.
 
-    The queries are the stated side: each vector row meets them where it lies and only the best stay per task, as the
-    rank filter is pushed below the shuffle. Filter ``vectors`` before the call to search part of them.
+    The queries are counted and run in blocks of ``QUERY_BLOCK``: each vector row meets a block where it lies, and only
+    the best of each task are shuffled. Filter ``vectors`` before the call to search part of them.
     """
-    scored = vectors.join(F.broadcast(queries)).withColumn("score", F.round(cosine(F.col("query"), F.col("embedding")), 8))
     parts = ("query_id", "content_type") if by_type else ("query_id",)
-    kept = ["query_id", "point_id", "paper_id", "content_type", "score"]
-    return topk(scored.select(*kept), k, parts, "point_id")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = vectors.join(F.broadcast(block)).withColumn("score", F.round(cosine(F.col("query"), F.col("embedding")), 8))
+        best = topk(scored.select("query_id", "point_id", "paper_id", "content_type", "score"), k, parts, "point_id")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, dim_norm: float = 2.0, tables: int = 6, seed: int = 7) -> DataFrame:
@@ -58,7 +66,7 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, dim_norm: float = 2
     index = as_rows(vectors, "point_id", "embedding")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=dim_norm, numHashTables=tables, seed=seed).fit(index)
     pairs = model.approxSimilarityJoin(as_rows(queries, "query_id", "query"), index, 10.0, "d").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.point_id").alias("point_id")).distinct()
-    both = pairs.join(vectors, "point_id").join(F.broadcast(queries), "query_id")
+    both = pairs.join(vectors, "point_id").join(queries, "query_id")
     return topk(both.select("query_id", "point_id", F.round(cosine(F.col("query"), F.col("embedding")), 8).alias("score")), k, ("query_id",), "point_id")
 
 

@@ -104,9 +104,9 @@ def i6_flag_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.flag_conflicts(_claims(spark, sf_dir)).select("unit_id", "conflict_group", "has_conflict")
 
 
-@query(f"SELECT doc_id, unnest(list_distinct({_tags('substr(text, 1, 200)')})) AS tag FROM documents")
+@query(f"SELECT doc_id, unnest(list_distinct({_tags('text')})) AS tag FROM documents")
 def i7_split_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.explode(K.split_tags(F.substring("text", 1, 200))).alias("tag"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.explode(K.split_tags(F.col("text"))).alias("tag"))
 
 
 _GROUPS = "CASE WHEN knowledge_type IN ('RESEARCH_DOMAIN', 'KEYWORD') THEN 'domains' WHEN knowledge_type IN ('RESEARCH_TASK', 'RESEARCH_PROBLEM') THEN 'tasks' WHEN knowledge_type IN ('METHOD', 'MODEL_COMPONENT') THEN 'methods' WHEN knowledge_type = 'DATASET' THEN 'datasets' WHEN knowledge_type = 'METRIC' THEN 'metrics' END"
@@ -168,12 +168,12 @@ def i11_list_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("unit_id", "paper_id", "knowledge_type", "section_title").orderBy("knowledge_type", "section_title", "unit_id")
 
 
-@query(over("SELECT paper_id, (n - 1) // 3 AS batch, count(*) AS members, substr(string_agg(substr(content, 1, 50), chr(10) ORDER BY n), 1, 7000) AS material FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS n FROM chunks) GROUP BY 1, 2", "chunks"))
+@query(over("SELECT paper_id, (n - 1) // 3 AS batch, count(*) AS members, substr(string_agg(content, chr(10) ORDER BY n), 1, 7000) AS material FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS n FROM chunks) GROUP BY 1, 2", "chunks"))
 def i12_extraction_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     rows = V.chunks(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("chunk_index")))
-    rows = rows.select("paper_id", F.floor((F.col("n") - 1) / 3).alias("batch"), F.struct("n", F.substring("content", 1, 50).alias("t")).alias("r"))
+    rows = rows.select("paper_id", F.floor((F.col("n") - 1) / 3).alias("batch"), F.struct("n", F.col("content").alias("t")).alias("r"))
     out = rows.groupBy("paper_id", "batch").agg(F.count("*").alias("members"), F.sort_array(F.collect_list("r")).alias("rs"))
     return out.select("paper_id", "batch", "members", F.substring(F.array_join("rs.t", "\n"), 1, 7000).alias("material"))
 

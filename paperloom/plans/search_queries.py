@@ -63,9 +63,9 @@ def c4_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.corpus_stats(_docs(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(over("SELECT question_id, chunk_id, round(score, 6) AS score FROM scored", "scored"))
+@query(over("SELECT question_id, chunk_id, round(score, 4) AS score FROM scored", "scored"))
 def c5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
+    return _scored(spark, sf_dir).select("question_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
 @query(over("SELECT question_id, chunk_id, rank FROM topped", "topped"))
@@ -245,7 +245,7 @@ def e7_aggregate_by_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WEIGHT = "CASE source_type " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in rules.TYPE_WEIGHTS) + " END"
 add_view("hit_terms", ("questions",), f"SELECT question_id, term FROM (SELECT question_id, unnest({tokens_sql('question')}[1:4]) AS term FROM questions) GROUP BY ALL")
-add_view("hit_texts", ("hits", "chunks", "paper_rows"), "SELECT h.*, coalesce(p.title, '') AS title, substr(c.content, 1, 300) AS content FROM hits h JOIN chunks c USING (chunk_id) LEFT JOIN paper_rows p ON p.paper_id = h.paper_id")
+add_view("hit_texts", ("hits", "chunks", "paper_rows"), "SELECT h.*, coalesce(p.title, '') AS title, c.content FROM hits h JOIN chunks c USING (chunk_id) LEFT JOIN paper_rows p ON p.paper_id = h.paper_id")
 add_view(
     "coverage",
     ("hit_texts", "hit_terms"),
@@ -269,7 +269,7 @@ add_view(
 
 
 def _hit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = V.chunks(spark, sf_dir).select("chunk_id", F.substring("content", 1, 300).alias("content"))
+    chunks = V.chunks(spark, sf_dir).select("chunk_id", "content")
     titles = V.paper_rows(spark, sf_dir).select("paper_id", "title")
     return V.hits(spark, sf_dir).join(chunks, "chunk_id").join(titles, "paper_id", "left")
 

@@ -51,10 +51,10 @@ VIEWS = {
     WHEN 3 THEN 'Evaluation on dataset D' || ((doc_id // 6 + 1) % 5) || ' with batch size 32 for 50 epochs. ' || text ELSE text END AS content,
   doc_id % 6 = 5 AS is_reference, length(text) < 200 AS is_noise, round(length(text) % 100 / 100.0, 2) AS quality_score FROM documents""",
     ),
-    "questions": ((), "SELECT item_id AS question_id, substr(text, 1, 120) AS question FROM benchmark"),
+    "questions": ((), "SELECT item_id AS question_id, text AS question FROM benchmark"),
     "gold": ((), "SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))"),
     "vectors": ((), f"SELECT vec_id AS point_id, vec_id % 50 + 1 AS paper_id, {choice(VECTOR_TYPES, 'label % 3')} AS content_type, embedding FROM embeddings"),
-    "vector_queries": ((), "SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 10"),
+    "vector_queries": ((), "SELECT vec_id // 100 AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0"),
     "hits": (
         (),
         f"""SELECT vec_id % 10 AS question_id, {choice(("dense", "rewritten", "lexical"), "vec_id // 10 % 3")} AS route, {choice(VECTOR_TYPES, "label % 3")} AS source_type,

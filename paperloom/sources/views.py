@@ -80,7 +80,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 120).alias("question"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +99,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: the first ten vectors."""
-    return table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    """The stated query set: every vector whose id is divisible by 100."""
+    v = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    return v.select(F.floor(F.col("vec_id") / 100).alias("query_id"), F.col("embedding").alias("query"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
