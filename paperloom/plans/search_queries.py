@@ -63,9 +63,10 @@ def c4_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.corpus_stats(_docs(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(over("SELECT question_id, chunk_id, round(round(score, 8), 4) AS score FROM scored", "scored"))
+@query(over("SELECT question_id, chunk_id, CAST(floor(score * 1000) AS BIGINT) AS milli_score FROM scored", "scored"))
 def c5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("question_id", "chunk_id", F.round("score", 4).alias("score"))
+    out = lexical.bm25(V.questions(spark, sf_dir), lexical.build_index(_docs(spark, sf_dir)))
+    return out.select("question_id", "chunk_id", F.floor(F.col("score") * 1000).alias("milli_score"))
 
 
 @query(over("SELECT question_id, chunk_id, rank FROM topped", "topped"))
