@@ -18,9 +18,10 @@ links.
 4. Shingles that more members share hold crowds of near copies. A pair that meets nowhere but there has no other
    shingle in common than frequent ones, so its intersection is at most the smaller number of frequent shingles of the
    two. In a few rounds the members of every crowd are verified against one of them, one with few shingles of its own;
-   what links becomes one component. Then every member outside its crowd's largest component is compared with all
-   members of other components that this bound and the sizes allow. No link between components is lost, and no cluster
-   is expanded into all its pairs.
+   what links becomes one component. Then every member outside its crowd's largest component meets the members of
+   other components, and a pair is verified if this bound, the sizes and a bitmap of each set leave a link possible:
+   bits that differ are elements that only one of the two has. No link between components is lost, and no cluster is
+   expanded into all its pairs.
 
 Null doc ids take no part in the smallest id. Null text counts as empty. Repeated rows are rows of the same set. Extra
 columns are ignored. An empty table gives an empty result.
@@ -42,6 +43,8 @@ from paperloom.llm.hashing import groups, shingle_sets
 
 FREQUENT = 64
 MAX_FREQUENT = 2_000_000
+#: Bits of a set's bitmap: each is the parity of the set's shingles that fall to it.
+BITS = 1024
 #: Shingles that one bucket of the count should hold.
 BUCKET_SHINGLES = 250_000
 #: Rounds in which crowds are verified against one member, before what is left is compared.
@@ -166,7 +169,10 @@ def _tokens(k: int):
             texts = batch.column(0)
             for lo in range(0, len(texts), 500):
                 found = [s for s in _sets(texts[lo : lo + 500], k) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s, 16) for s in found], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["fp", "tokens"])
+                bits = [np.packbits(np.bincount(s & (BITS - 1), minlength=BITS) & 1).view(np.int64) for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_digest(s, 16) for s in found], pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["fp", "tokens", "bits"]
+                )
 
     return rows
 
@@ -242,20 +248,24 @@ def ngram_components(
 
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).union(crowds.select("fp")).distinct()
     rids = scratch.write(members.join(wanted, "fp", "left_semi").select("_rid").distinct(), "wanted")
-    tokens = key_join(source, rids, "_rid", "left_semi").select("_text").mapInArrow(_tokens(k), "fp binary, tokens array<long>")
+    tokens = key_join(source, rids, "_rid", "left_semi").select("_text").mapInArrow(_tokens(k), "fp binary, tokens array<long>, bits array<long>")
     tokens = scratch.write(tokens.dropDuplicates(["fp"]), "tokens")
 
     links = scratch.write(_verified(pairs, tokens, percent), "links_pairs")
     comps = components(links, scratch, "cc_pairs")
-    for turn in range(ROUNDS + 1 if crowds.head(1) else 0):
-        now = crowds.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("crowd", "fp", "n", "common", F.coalesce("comp", "fp").alias("comp"))
+    some = bool(crowds.head(1))
+    crowds = crowds.join(tokens.select("fp", "bits"), "fp")
+    for turn in range(ROUNDS + 1 if some else 0):
+        now = crowds.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("crowd", "fp", "n", "common", "bits", F.coalesce("comp", "fp").alias("comp"))
         now = scratch.write(now, f"crowds_{turn}")
-        other = now.select("crowd", *[F.col(c).alias(c + "2") for c in ("fp", "n", "common", "comp")])
-        most = F.least("common", "common2")
-        linkable = (F.col("comp") != F.col("comp2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
+        other = now.select("crowd", *[F.col(c).alias(c + "2") for c in ("fp", "n", "common", "bits", "comp")])
+        both = F.col("n") + F.col("n2")
+        apart_bits = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(BITS // 64)), F.lit(0))
+        # The intersection is at most half of the sizes less the elements that only one has.
+        linkable = (F.col("comp") != F.col("comp2")) & ((100 + percent) * F.least("common", "common2") >= percent * both) & ((100 + percent) * (both - apart_bits) >= 2 * percent * both)
         if turn < ROUNDS:
             near = F.struct(F.floor(10 * (F.col("n2") - F.col("common2")) / F.col("n2")), F.xxhash64("fp2", F.lit(turn)), F.col("fp2"))
-            pivot = other.groupBy("crowd").agg(F.min_by(F.struct("fp2", "n2", "common2", "comp2"), near).alias("p")).select("crowd", "p.*")
+            pivot = other.groupBy("crowd").agg(F.min_by(F.struct("fp2", "n2", "common2", "bits2", "comp2"), near).alias("p")).select("crowd", "p.*")
             tried = now.join(pivot, "crowd").where(linkable)
         else:
             main = now.groupBy("crowd", "comp").agg(F.count("*").alias("c")).groupBy("crowd").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
