@@ -20,14 +20,24 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+#: Rows of an Arrow batch while the pipeline runs: bounds what each Python worker holds, as workers live through all stages.
+BATCH_ROWS = "1000"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that fail a line rule."""
+    _bound_batches(spark)
     judged = quality_rules.quality_rules(docs, into="_quality").where("_quality.kept")
     return _with_text(judged, F.col("_quality.clean_text")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; so does a document of which nothing is left."""
+    _bound_batches(spark)
     out = line_dedup.dedup_lines(docs).where(~F.col("emptied"))
     return _with_text(out, F.col("text")).select(*docs.columns)
 
@@ -38,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without a word are in no group and stay; rows with a null id stay too, unless a row with an id is in
     their group.
     """
+    _bound_batches(spark)
     scratch = Scratch(spark)
     found = ngram_join.ngram_components(docs, scratch=scratch)
     gone = found.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT doc_id <=> component_id").select("_rid").distinct()
@@ -51,6 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a benchmark item's tiles cover go."""
+    _bound_batches(spark)
     scratch = Scratch(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = scratch.write(decontaminate.contaminated(docs, items, scratch=scratch).select("_rid").distinct(), "gone")
@@ -59,6 +71,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether they decode to its text."""
+    _bound_batches(spark)
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     out = bpe.encode(docs, vocabulary, decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

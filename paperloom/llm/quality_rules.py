@@ -152,5 +152,6 @@ def quality_rules(docs: DataFrame, text: str = "text", params: QualityParams | N
                 columns[-1] = [None] * len(rows)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], fields=list(RESULT))
 
-    return docs.withColumn(into, judged(F.col(text)))
+    # Marked so that a filter on the verdict does not make Spark judge every text twice.
+    return docs.withColumn(into, judged.asNondeterministic()(F.col(text)))
 
