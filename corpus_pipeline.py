@@ -36,9 +36,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; so does a document of which nothing is left."""
+    """Repeated stretches of two or more lines go; so does a document of which nothing is left."""
     _bound_batches(spark)
-    out = line_dedup.dedup_lines(docs).where(~F.col("emptied"))
+    out = line_dedup.dedup_lines(docs, params=line_dedup.WHOLE).where(~F.col("emptied"))
     return _with_text(out, F.col("text")).select(*docs.columns)
 
 

@@ -3,7 +3,10 @@ r"""Line dedup (operator 9): content-defined chunks of lines; a chunk that occur
 Lines are the pieces between ``\n``. A rolling hash over the hashes of the last ``window`` lines decides whether a chunk
 ends after a line, so equal passages are cut alike wherever they stand in a document. A chunk has ``min_lines`` lines
 at least and ``max_lines`` at most; a single line left at the end joins the chunk before it. Only chunks of two or more
-lines with a word take part.
+lines with a word take part. Chunks alone miss most short passages, as two cuts must fall inside them; with ``pairs``
+(``WHOLE``, what the query and the pipeline use) every two lines with a word that follow each other, and the empty lines
+between them, are a chunk too. So every stretch of two or more repeated lines goes, wherever it begins. Chunks may then
+overlap; the first occurrence of each line always stays, since a line only goes for an earlier place that has it.
 
 Steps: the narrow table of chunk hashes (128 bits) is grouped to find hashes that occur more than once; only chunks
 with such a hash are read again with their text, and these are grouped and joined on hash and bytes, so that a removal
@@ -37,6 +40,10 @@ class LineChunkParams:
     divisor: int = 4
     min_lines: int = 2
     max_lines: int = 32
+    pairs: bool = False
+
+
+WHOLE = LineChunkParams(pairs=True)
 
 
 def _rotate(x: int, n: int) -> int:
@@ -68,7 +75,11 @@ def chunk_lines(lines: list[bytes], p: LineChunkParams) -> Iterator[tuple[int, i
 def _chunks(text: bytes, p: LineChunkParams) -> Iterator[tuple[int, int, bytes]]:
     lines = text.split(b"\n")
     if len(lines) > 1:
-        for first, size in chunk_lines(lines, p):
+        found = dict.fromkeys(chunk_lines(lines, p))
+        if p.pairs:
+            told = [i for i, x in enumerate(lines) if x.strip()]
+            found |= dict.fromkeys((a, b - a + 1) for a, b in zip(told, told[1:]))
+        for first, size in found:
             body = b"\n".join(lines[first : first + size])
             if size > 1 and body.strip():
                 yield first, size, body
@@ -134,7 +145,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", params
         return pa.array(out, pa.string())
 
     def change(rows: DataFrame) -> DataFrame:
-        removed = F.aggregate("_cuts", F.lit(0), lambda a, x: a + x["lines"])
+        # Cuts may overlap: every line counts once.
+        removed = F.size(F.array_distinct(F.flatten(F.transform("_cuts", lambda x: F.sequence(x["first"], x["first"] + x["lines"] - 1)))))
         return rows.withColumns({"removed_lines": removed, text: cut(F.col(text), F.col("_cuts"))}).drop("_cuts")
 
     rows = docs.drop("removed_lines", "first_ids", "emptied").withColumn("_rid", row_key(key, text))

@@ -97,7 +97,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that loses lines: the documents that keep them, how many go and the rest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_lines(docs).where("removed_lines > 0")
+    out = line_dedup.dedup_lines(docs, params=line_dedup.WHOLE).where("removed_lines > 0")
     return out.select("doc_id", F.array_min("first_ids").alias("first_id"), "removed_lines", "emptied", F.col("text").alias("clean_text"))
 
 

@@ -152,3 +152,51 @@ def test_line_dedup_of_repeated_rows(spark):
     out = line_dedup.dedup_lines(frame(spark, [(1, t), (1, t), (2, t), (None, t)])).collect()
     assert sorted((x["doc_id"] or -1, bool(x["removed_lines"])) for x in out) == [(-1, True), (1, False), (1, False), (2, True)]
     assert line_dedup.dedup_lines(frame(spark, [(1, t)]).limit(0)).count() == 0
+
+
+def plain_repeated_lines(docs):
+    """id -> lines that lie in two neighbouring lines that stood earlier, found without hashes or chunks."""
+    seen, gone = set(), {}
+    for i, t in docs:
+        rows = t.split("\n")
+        gone[i] = set()
+        for j, pair in enumerate(zip(rows, rows[1:])):
+            if pair in seen:
+                gone[i] |= {j, j + 1}
+            seen.add(pair)
+    return gone
+
+
+def test_query_finds_every_short_passage(spark, tmp_path):
+    """Passages of 2 to 6 lines planted between a document's own lines lose all lines in later documents."""
+    from paperloom.llm import queries
+
+    r, docs, planted = random.Random(17), [], {}
+    for n in range(2, 7):
+        for _ in range(4):
+            passage = lines(r, n)
+            for first in (True, False):
+                own = lines(r, r.randrange(2, 8))
+                at = r.randrange(len(own) + 1)
+                docs.append((len(docs), "\n".join(own[:at] + passage + own[at:])))
+                if not first:
+                    planted[docs[-1][0]] = (own, passage)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {x["doc_id"]: x for x in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert sorted(out) == sorted(planted)
+    for i, (own, passage) in planted.items():
+        assert out[i]["clean_text"] == "\n".join(own) and out[i]["removed_lines"] == len(passage) and out[i]["first_id"] == i - 1
+
+
+def test_pairs_keep_the_first_of_each_line(spark):
+    r = random.Random(18)
+    pool = lines(r, 12)
+    docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 9)))) for i in range(40)]
+    docs += [(50, "same\n" * 9 + "same"), (51, "\n\nhead\n\nbody\n\n"), (52, "other\nhead\n\nbody")]
+    out = {x["doc_id"]: x for x in line_dedup.dedup_lines(frame(spark, docs), params=line_dedup.WHOLE).collect()}
+    assert {x for _, t in docs for x in t.split("\n")} == {x for row in out.values() for x in row["text"].split("\n")} | {""}
+    gone = plain_repeated_lines(docs[:40])
+    for i, t in docs[:40]:
+        rest = [x for j, x in enumerate(t.split("\n")) if j not in gone[i]]
+        assert out[i]["text"] == "\n".join(rest) and out[i]["removed_lines"] == len(t.split("\n")) - len(rest)
+    assert out[52]["text"] == "other" and out[52]["removed_lines"] == 3 and out[50]["text"] == "same"
