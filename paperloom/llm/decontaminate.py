@@ -1,6 +1,7 @@
 r"""Benchmark decontamination (operator 3): greedy string tiling of test items over documents.
 
-Tokens are runs of letters and digits, lower-cased. A document is contaminated by an item when tiles, which are
+Tokens are runs of letters and digits, lower-cased; in scripts that put no spaces between words (``UNSPACED``) every
+letter is a token. A document is contaminated by an item when tiles, which are
 non-overlapping common runs of at least ``min_match`` tokens in any order, cover ``threshold`` or more of the item's
 tokens. So an item is caught whole, with other punctuation and case, and with its passages moved about.
 
@@ -15,7 +16,9 @@ tokens. So an item is caught whole, with other punctuation and case, and with it
 The items are a stated set: they are dealt into blocks of about ``block_chars`` characters by hash, and each block is
 run against all documents, so what is sent to the workers has a fixed bound however large the benchmark is.
 
-Items with fewer than ``min_match`` tokens, null ones too, cannot be tiled and match nothing. Null and empty documents
+An item with fewer than ``min_match`` tokens is one tile: a document that holds all of it in a row is contaminated. So a
+benchmark of single words catches every document with such a word; ``min_item`` leaves out items with fewer tokens.
+Items without a token, null ones too, match nothing. Null and empty documents
 have no tokens. Repeated items with one id and text count once; repeated documents, equal in id and text, get equal
 rows. Extra columns are ignored. Empty tables give an empty result.
 """
@@ -39,11 +42,20 @@ class TilingParams:
     min_match: int = 5
     threshold: float = 0.6
     block_chars: int = 8_000_000
+    min_item: int = 1
+
+    def least(self, tokens: int) -> int:
+        """The tokens of the shortest tile of an item with so many tokens."""
+        return min(self.min_match, tokens)
+
+
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
 def plain(text: Column) -> Column:
     """The tokens of a text with single spaces between."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    runs = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    return F.regexp_replace(runs, f"([{UNSPACED}])", " $1 ")
 
 
 def token_rows(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -136,17 +148,27 @@ def _stretches(seeds, min_match: int):
             ids, rids, found, stretches = [], [], [], []
             keys = batch.column(1).to_pylist()
             for i, tokens in enumerate(token_rows(batch.column(2))):
-                runs = shingles(tokens.view(np.uint64), min_match)
-                if not len(runs) or not len(known):
-                    continue
-                at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-                hits = np.flatnonzero(known[at] == runs)
-                if len(hits):
+                held, parts = [], []
+                for size, seeds_of in known.items():
+                    runs = shingles(tokens.view(np.uint64), size)
+                    if not len(runs):
+                        continue
+                    at = np.minimum(np.searchsorted(seeds_of, runs), len(seeds_of) - 1)
+                    hits = np.flatnonzero(seeds_of[at] == runs)
+                    if not len(hits):
+                        continue
+                    each, place = np.unique(runs[hits], return_index=True)
+                    held.append(each.view(np.int64))
+                    if size == min_match:
+                        ends = np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)
+                        parts += [tokens[p[0] : p[-1] + size].tolist() for p in ends]
+                    else:  # a whole short item, too short for any other's tile: once is enough
+                        parts += [tokens[a : a + size].tolist() for a in hits[place]]
+                if held:
                     ids.append(i)
                     rids.append(keys[i])
-                    found.append(np.unique(runs[hits]).view(np.int64))
-                    parts = np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)
-                    stretches.append([tokens[p[0] : p[-1] + min_match].tolist() for p in parts])
+                    found.append(np.concatenate(held))
+                    stretches.append(parts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(ids, pa.int32())), pa.array(rids, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(stretches, pa.list_(pa.list_(pa.int64())))],
                 ["_id", "_rid", "seeds", "stretches"],
@@ -164,7 +186,7 @@ def _tiled(items, p: TilingParams):
                 text: list[int | None] = []
                 for part in parts:
                     text += [*part, None]
-                found = tile(known[no], text, p.min_match)
+                found = tile(known[no], text, p.least(len(known[no])))
                 total = sum(n for _, _, n in found)
                 if total >= p.threshold * len(known[no]):
                     keep.append(i)
@@ -197,8 +219,11 @@ def contaminated(
     for block in range(blocks):
         rows = stated.where(F.col("block") == block).select("item", "plain").collect()  # about block_chars characters
         tokens = [t.tolist() for t in token_rows(pa.array([r["plain"] for r in rows], pa.string()))]
-        seeds = [np.unique(shingles(np.array(t, np.int64).view(np.uint64), p.min_match)) for t in tokens]
-        every = np.unique(np.concatenate(seeds)) if seeds else np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
+        usable = [len(t) >= max(p.min_item, 1) for t in tokens]
+        seeds = [np.unique(shingles(np.array(t, np.int64).view(np.uint64), p.least(len(t)))) if use else none for t, use in zip(tokens, usable, strict=True)]
+        lengths = {p.least(len(t)) for t, use in zip(tokens, usable, strict=True) if use}
+        every = {n: np.unique(np.concatenate([s for s, t in zip(seeds, tokens, strict=True) if len(s) and p.least(len(t)) == n])) for n in sorted(lengths)}
         sent = spark.sparkContext.broadcast(every)
         held = source.mapInArrow(_stretches(sent, p.min_match), f"_id {id_type}, _rid long, seeds array<long>, stretches array<array<long>>")
         held = scratch.write(held, f"stretches_{block}")
@@ -208,11 +233,12 @@ def contaminated(
         item_type = stated.schema["item"].dataType.simpleString()
         size_rows = spark.createDataFrame(sizes, f"no int, item {item_type}, size int")
         hits = held.select("_rid", F.explode("seeds").alias("seed")).join(F.broadcast(seed_rows), "seed").groupBy("_rid", "no").agg(F.countDistinct("seed").alias("hits"))
-        # A seed that occurs once in the item covers at most min_match of its tokens; an item of few distinct seeds repeats them.
+        # A seed that occurs once in the item covers at most the tokens of a seed; an item of few distinct seeds repeats them.
         distinct = seed_rows.groupBy("no").agg(F.count("*").alias("own"))
         hits = hits.join(F.broadcast(distinct), "no").join(F.broadcast(size_rows), "no")
-        spare = F.col("size") - (p.min_match - 1) - F.col("own")
-        hits = hits.where((F.col("hits") + spare) * p.min_match >= p.threshold * F.col("size")).select("_rid", "no")
+        least = F.least(F.lit(p.min_match), F.col("size"))
+        spare = F.col("size") - (least - 1) - F.col("own")
+        hits = hits.where((F.col("hits") + spare) * least >= p.threshold * F.col("size")).select("_rid", "no")
         pairs = held.dropDuplicates(["_rid"]).select("_id", "_rid", "stretches").join(hits, "_rid").repartition("_rid", "no")
         pairs = pairs.select("_id", "_rid", "no", "stretches").mapInArrow(
             _tiled(spark.sparkContext.broadcast(tokens), p), f"_id {id_type}, _rid long, no int, covered int, item_tokens int, tiles int"

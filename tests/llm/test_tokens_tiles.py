@@ -117,3 +117,24 @@ def test_contamination(spark):
         assert all(x["coverage"] > 0.9 for x in out)
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Blue Whale Song"), (2, "鯨は海で最も大きな動物です"), (3, "ปลาวาฬเป็นสัตว์ใหญ่"), (4, "eins zwei drei vier fünf sechs"), (5, "..."), (6, None), (7, "Zebra")]
+    docs = {
+        1: "they heard a blue whale song at night",
+        2: "blue whale, and then a song",
+        3: "図鑑によると鯨は海で最も大きな動物ですと書いてある",
+        4: "鯨は魚です",
+        5: "เขาว่าปลาวาฬเป็นสัตว์ใหญ่มาก",
+        6: "blue whale song, vorher eins zwei drei vier fünf sechs; BLUE WHALE SONG",
+        7: "two zebras",
+        8: "a zebra",
+        9: "eins zwei drei vier",
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **p: {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(d, b, params=decontaminate.TilingParams(**p)).collect()}
+    every = {(1, 1), (3, 2), (5, 3), (6, 1), (6, 4), (8, 7)}
+    assert found() == every and found(block_chars=20) == every
+    assert found(min_item=2) == every - {(8, 7)}
