@@ -7,27 +7,34 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a table of keys may have to be broadcast (at 16 bytes a key about 32 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that a table of keys may have, as rows in memory, to be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (single-machine sessions) a temporary folder is made and set.
+    Where the setting is absent, a session on one machine gets a temporary folder; on a cluster that is an error, as
+    executors could not read what others wrote.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
 class Scratch:
-    """Parquet tables of one operator call in the shared folder. They cut lineage and survive lost executors."""
+    """Parquet tables of one operator call in the shared folder. They cut lineage and survive lost executors.
+
+    An operator drops its larger tables when no later step reads them. The rest is read by the frame that it returns,
+    so a caller that wants them gone passes its own ``Scratch`` and calls ``drop()`` when the result is written.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -35,22 +42,31 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads; without names, all."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in [f"{self.root}/{n}" for n in names] or [self.root]:
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table_bytes(table: DataFrame) -> int:
+    """About the bytes that the rows of a table of plain columns take in memory, by counting them."""
+    wide = [F.octet_length(f.name) for f in table.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    told = table.agg(F.count("*").alias("n"), *[F.sum(x).alias(f"w{i}") for i, x in enumerate(wide)]).first()
+    return told[0] * (24 + 8 * len(table.columns)) + sum(x or 0 for x in told[1:])
 
 
-def key_join(big: DataFrame, keys: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``big`` with ``keys``, broadcasting ``keys`` only after counting that they are ``limit`` rows at most.
+def key_join(big: DataFrame, keys: DataFrame, on, how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``big`` with ``keys``, broadcasting ``keys`` only after measuring that it has ``limit`` bytes at most.
 
-    ``keys`` should be a written table with narrow rows: it is counted here. A larger table is joined by shuffle.
+    ``keys`` should be a written table of plain columns: it is counted here. A larger table is joined by shuffle.
     """
-    if keys.count() <= limit:
+    if table_bytes(keys) <= limit:
         keys = F.broadcast(keys)
     out = big.join(keys, on, how)
     return out.select(*big.columns) if how in ("left_semi", "left_anti") else out
@@ -68,10 +84,40 @@ def patched(rows: DataFrame, patches: DataFrame, key: str, change, scratch: Scra
     return rest.unionByName(changed.select(*rows.columns, *[c for c in changed.columns if c not in rows.columns]), allowMissingColumns=True)
 
 
-def row_key(*cols: str):
-    """A 64-bit key of a row's values; equal rows share it. Nulls and empty strings differ."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols]
-    return F.xxhash64(*parts)
+def row_key(*cols: str) -> Column:
+    """A 128-bit key of a row's values; equal rows share it. Nulls and empty strings differ."""
+    texts = [F.col(c).cast("string") for c in cols]
+    sizes = [F.coalesce(F.length(t), F.lit(-1)).cast("string") for t in texts]
+    return F.unhex(F.md5(F.concat_ws(" ", *sizes, *texts).cast("binary")))
+
+
+def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, id, rid, text): the caller's whole row as one struct beside its id, row key and text.
+
+    Operators that hand rows on work on this form, so the caller's columns cannot clash with theirs.
+    """
+    return docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), row_key(key, text).alias("rid"), F.col(text).alias("text"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *added: str, **replaced: Column) -> DataFrame:
+    """Back from ``packed``: the caller's ``columns``, some replaced, and the operator's; a caller's column named like
+    one of ``added`` gives way to it."""
+    own = {c.lower() for c in added}
+    kept = [c for c in columns if c.lower() not in own]
+    return rows.select(*[(replaced[c] if c in replaced else F.col("row").getField(c)).alias(c) for c in kept], *added)
+
+
+def hot_join(big: DataFrame, keys: DataFrame, on: list[str], count: str, hot: int = 1000) -> DataFrame:
+    """``big`` joined with the written table ``keys``, unique by ``on``, whose ``count`` says how many rows each key meets.
+
+    Keys of more than ``hot`` rows are few; they are broadcast if their measured size allows, so that no task gets all
+    rows of one key. The rest is joined by shuffle.
+    """
+    top = keys.where(F.col(count) > hot)
+    if table_bytes(top) > BROADCAST_BYTES:
+        return big.join(keys, on)
+    often = big.join(F.broadcast(top), on)
+    return often.unionByName(big.join(F.broadcast(top.select(*on)), on, "left_anti").join(keys.where(F.col(count) <= hot), on))
 
 
 def slices(batches: Iterator, rows: int) -> Iterator:

@@ -19,7 +19,7 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, d
 _P = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes hashed at once; eight-byte arrays of this length are the working memory.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
