@@ -17,11 +17,12 @@ links.
    intersection that the counted shared prefix leaves possible, then expanded to members and verified on whole sets.
 4. Shingles that more members share hold crowds of near copies. A pair that meets nowhere but there has no other
    shingle in common than frequent ones, so its intersection is at most the smaller number of frequent shingles of the
-   two. In a few rounds the members of every crowd are verified against one of them, one with few shingles of its own;
-   what links becomes one component. Then every member outside its crowd's largest component meets the members of
-   other components, and a pair is verified if this bound, the sizes and a bitmap of each set leave a link possible:
-   bits that differ are elements that only one of the two has. No link between components is lost, and no cluster is
-   expanded into all its pairs.
+   two. Every crowd is first verified against its member with the smallest share of shingles of its own, which is the
+   text that the others are copies of where there is one; what links becomes one component. While this pays, eight
+   times as many such pivots are taken from the members outside their crowd's largest component. Then each of those
+   meets the members of other components, and a pair is verified if the bound of frequent shingles, the sizes and a
+   bitmap of each set leave a link possible: bits that differ are elements that only one of the two has. No link between
+   components is lost, and no cluster is expanded into all its pairs.
 
 Null doc ids take no part in the smallest id. Null text counts as empty. Repeated rows are rows of the same set. Extra
 columns are ignored. An empty table gives an empty result.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch, key_join, row_key
@@ -47,8 +48,10 @@ MAX_FREQUENT = 2_000_000
 BITS = 1024
 #: Shingles that one bucket of the count should hold.
 BUCKET_SHINGLES = 250_000
-#: Rounds in which crowds are verified against one member, before what is left is compared.
-ROUNDS = 3
+#: Shingles gathered before they are handed on by bucket.
+GATHERED = 1_500_000
+#: What is left of all crowds is compared at once where that makes so many comparisons for each of their members.
+PLAIN = 20
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -63,22 +66,30 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _packed(k: int, buckets: int):
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(found) & ((buckets << 32) - 1), return_counts=True)
+        edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.int64) << 32)
+        low = (keys & 0xFFFFFFFF).astype("<u4")
+        ids, blobs, many = [], [], []
+        for b in np.flatnonzero(np.diff(edges)):
+            part, n = low[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]
+            at = np.flatnonzero(n > 1)
+            ids.append(int(b))
+            blobs.append(part.tobytes())
+            many.append(np.stack([at, n[at] - 1]).astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.array(many, pa.binary())], ["bucket", "keys", "more"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
-            found = [s for s in _sets(batch.column(0), k) if len(s)]
-            if not found:
-                continue
-            keys, counts = np.unique(np.concatenate(found) & ((buckets << 32) - 1), return_counts=True)
-            edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.int64) << 32)
-            low = (keys & 0xFFFFFFFF).astype("<u4")
-            ids, blobs, many = [], [], []
-            for b in np.flatnonzero(np.diff(edges)):
-                part, n = low[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]
-                at = np.flatnonzero(n > 1)
-                ids.append(int(b))
-                blobs.append(part.tobytes())
-                many.append(np.stack([at, n[at] - 1]).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.array(many, pa.binary())], ["bucket", "keys", "more"])
+            for s in _sets(batch.column(0), k):
+                found.append(s)
+                size += len(s)
+                if size >= GATHERED:
+                    yield told(found)
+                    found, size = [], 0
+        if size:
+            yield told(found)
 
     return rows
 
@@ -125,8 +136,8 @@ def frequent_shingles(texts: DataFrame, k: int, frequent: int, scratch: Scratch)
 # --- 2. prefixes
 
 
-def _digest(x: np.ndarray, size: int) -> bytes:
-    return hashlib.blake2b(x.tobytes(), digest_size=size).digest()
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
 def _prefixes(k: int, percent: int, sent, buckets: int):
@@ -152,11 +163,11 @@ def _prefixes(k: int, percent: int, sent, buckets: int):
                         order = np.concatenate([order[~hot], s[hot]])
                 own.append(int((order < 0).sum()))
                 prefix = order[: n - -(-percent * n // 100) + 1]
-                digests.append(_digest(s, 16))
-                gids.append(int.from_bytes(_digest(np.concatenate([prefix, [n]]), 8), "little", signed=True))
+                digests.append(_digest(s))
+                gids.append(_digest(np.concatenate([prefix, [n]])))
                 prefixes.append(prefix)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(own, pa.int32())],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(gids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(own, pa.int32())],
                 ["_id", "_rid", "n", "fp", "gid", "prefix", "own"],
             )
 
@@ -171,7 +182,7 @@ def _tokens(k: int):
                 found = [s for s in _sets(texts[lo : lo + 500], k) if len(s)]
                 bits = [np.packbits(np.bincount(s & (BITS - 1), minlength=BITS) & 1).view(np.int64) for s in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_digest(s, 16) for s in found], pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["fp", "tokens", "bits"]
+                    [pa.array([_digest(s) for s in found], pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["fp", "tokens", "bits"]
                 )
 
     return rows
@@ -181,18 +192,67 @@ def _tokens(k: int):
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set digests whose whole sets link."""
+    """The rows of ``pairs`` whose sets, with the digests a and b, link."""
     left = tokens.select(F.col("fp").alias("a"), F.col("tokens").alias("ta"))
     right = tokens.select(F.col("fp").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+    return both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select(*pairs.columns)
 
 
 def _sizes_fit(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _linkable(percent: int):
+    """Whether two members of a crowd, the second one's columns ending in 2, may link and are not linked yet."""
+    both = F.col("n") + F.col("n2")
+    apart_bits = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(BITS // 64)), F.lit(0))
+    # The intersection is at most half of the sizes less the elements that only one has.
+    return (F.col("comp") != F.col("comp2")) & ((100 + percent) * F.least("common", "common2") >= percent * both) & ((100 + percent) * (both - apart_bits) >= 2 * percent * both)
+
+
+def crowd_components(crowds: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(node, comp): what the components ``comp`` of the rows of ``crowds`` become when their links are added.
+
+    ``crowds`` has crowd, fp, n, common and comp. None where there is no further link.
+    """
+    if not crowds.head(1):
+        return None
+    held = scratch.write(crowds.join(tokens.select("fp", "bits"), "fp"), "crowds")
+    edges, became, pivots, turn, linked = None, None, 1, 0, True
+    own = (F.col("n") - F.col("common")) / F.col("n")
+    while True:
+        now = held
+        if became is not None:
+            now = held.join(became.select(F.col("node").alias("comp"), F.col("comp").alias("_new")), "comp", "left").withColumn("comp", F.coalesce("_new", "comp")).drop("_new")
+            now = scratch.write(now.select(*held.columns), f"crowds_{turn}")
+        parts = now.groupBy("crowd", "comp").agg(F.count("*").alias("c"))
+        main = scratch.write(parts.groupBy("crowd").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")), f"main_{turn}")
+        left = main.agg(F.sum("all"), F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()
+        apart = now.join(main.select("crowd", "main"), "crowd").where("comp <> main")
+        last = left[1] <= PLAIN * left[0] or not linked
+        if last:
+            other = now.select("crowd", *[F.col(c).alias(c + "2") for c in now.columns if c != "crowd"])
+            tried = apart.join(other, "crowd").where(_linkable(percent) & ((F.col("comp2") == F.col("main")) | (F.col("fp") < F.col("fp2"))))
+        else:
+            place = F.row_number().over(Window.partitionBy("crowd").orderBy(own, F.xxhash64("fp"), "fp"))
+            source = now if turn == 0 else apart.drop("main")
+            best = source.withColumn("place", place).where(F.col("place") <= pivots).drop("place")
+            best = best.select("crowd", *[F.col(c).alias(c + "2") for c in now.columns if c != "crowd"])
+            tried = source.join(best, "crowd").where(_linkable(percent))
+        ends = [F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), F.least("comp", "comp2").alias("ca"), F.greatest("comp", "comp2").alias("cb")]
+        tried = scratch.write(tried.select(*ends).distinct(), f"tried_{turn}")
+        more = scratch.write(_verified(tried, tokens, percent).select("ca", "cb").distinct(), f"links_{turn}")
+        linked = bool(more.head(1))
+        if linked:
+            edges = more if edges is None else edges.unionByName(more)
+            became = components(edges, scratch, f"cc_{turn}", "ca", "cb")
+        if last:
+            return became
+        pivots, turn = 8 * pivots, turn + 1
+
+
 def ngram_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, frequent: int = FREQUENT, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -204,82 +264,70 @@ def ngram_components(
 
     last, buckets, limit = frequent_shingles(source, k, frequent, scratch)
     sent = spark.sparkContext.broadcast(last)  # MAX_FREQUENT numbers at most
-    ddl = f"_id {id_type}, _rid long, n int, fp binary, gid long, prefix array<long>, own int"
+    ddl = f"_id {id_type}, _rid binary, n int, fp binary, gid binary, prefix array<long>, own int"
     sets = source.mapInArrow(_prefixes(k, percent, sent, buckets), ddl).withColumn("pos", F.monotonically_increasing_id())
     sets = scratch.write(sets, "sets")
+    sent.unpersist()
 
+    # A group goes by the place of its first row, which is unique.
     members = sets.where("n > 0").groupBy("gid", "n", "fp", "own").agg(F.min("pos").alias("pos"), F.min("_rid").alias("_rid"), F.min("_id").alias("low_id"), F.count("*").alias("copies"))
     members = scratch.write(members, "members")
-    grouped = scratch.write(members.groupBy("gid").agg(F.min("pos").alias("pos"), F.count("*").alias("m")), "groups")
-    indexed = key_join(sets.select("pos", "gid", "n", "prefix"), grouped.select("pos", "m"), "pos", "inner")
-    info = scratch.write(indexed.select("gid", "n", "m", F.size("prefix").alias("k"), F.element_at("prefix", -1).alias("top")), "group_info")
+    grouped = scratch.write(members.groupBy("gid").agg(F.min("pos").alias("g"), F.count("*").alias("m")), "groups")
+    members = scratch.write(members.join(grouped.select("gid", "g"), "gid").drop("gid", "pos"), "grouped_members")
+    indexed = key_join(sets.select(F.col("pos").alias("g"), "n", "prefix"), grouped.select("g", "m"), "g", "inner")
+    info = scratch.write(indexed.select("g", "n", "m", F.size("prefix").alias("k"), F.element_at("prefix", -1).alias("top")), "group_info")
 
-    index = indexed.select(F.explode("prefix").alias("tok"), "gid", "n", "m").repartition("tok")
+    index = indexed.select(F.explode("prefix").alias("tok"), "g", "n", "m").repartition("tok")
     weights = index.groupBy("tok").agg(F.count("*").alias("c"), F.sum("m").alias("w")).where("c > 1").select("tok", "w")
-    shared = scratch.write(index.join(weights, "tok").select("tok", "gid", "n", "w"), "shared")
+    shared = scratch.write(index.join(weights, "tok").select("tok", "g", "n", "w"), "shared")
     hot = shared.where(F.col("w") > limit)
-    held = scratch.write(hot.groupBy("gid").agg(F.count("*").alias("h")), "hot_groups")
+    held = scratch.write(hot.groupBy("g").agg(F.count("*").alias("h")), "hot_groups")
 
     x = shared.where(F.col("w") <= limit)
-    y = x.select("tok", F.col("gid").alias("gid2"), F.col("n").alias("n2"))
-    met = x.join(y, "tok").where((F.col("gid") < F.col("gid2")) & _sizes_fit("n", "n2", percent))
-    met = met.groupBy("gid", "gid2").agg(F.count("*").alias("c"))
-    side = info.join(held, "gid", "left").select("gid", "n", "k", "top", F.coalesce("h", F.lit(0)).alias("h"))
+    y = x.select("tok", F.col("g").alias("g2"), F.col("n").alias("n2"))
+    met = x.join(y, "tok").where((F.col("g") < F.col("g2")) & _sizes_fit("n", "n2", percent))
+    met = met.groupBy("g", "g2").agg(F.count("*").alias("c"))
+    side = info.join(held, "g", "left").select("g", "n", "k", "top", F.coalesce("h", F.lit(0)).alias("h"))
     side = scratch.write(side, "group_side")
-    met = key_join(met, side, "gid", "inner", limit=300_000)
-    met = key_join(met, side.select(*[F.col(c).alias(c + "2") for c in side.columns]), "gid2", "inner", limit=300_000)
+    met = key_join(met, side, "g", "inner")
+    met = key_join(met, side.select(*[F.col(c).alias(c + "2") for c in side.columns]), "g2", "inner")
     # Up to the end of the prefix that ends first, the shared shingles are counted; the rest is bounded by what is left.
     rest = F.when(F.col("top") <= F.col("top2"), F.col("n") - F.col("k")).otherwise(F.col("n2") - F.col("k2"))
     most = F.col("c") + F.least("h", "h2") + rest
-    met = met.where((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))).select("gid", "gid2")
-    one = members.select("gid", F.col("fp").alias("a"))
-    two = members.select(F.col("gid").alias("gid2"), F.col("fp").alias("b"))
-    pairs = met.join(one, "gid").join(two, "gid2").select("a", "b")
-    few = grouped.where((F.col("m") > 1) & (F.col("m") <= limit)).select("gid")
-    inside = one.join(few, "gid", "left_semi")
-    inside = inside.join(inside.select("gid", F.col("a").alias("b")), "gid").where("a < b").select("a", "b")
+    met = met.where((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))).select("g", "g2")
+    one = members.select("g", F.col("fp").alias("a"))
+    two = members.select(F.col("g").alias("g2"), F.col("fp").alias("b"))
+    pairs = met.join(one, "g").join(two, "g2").select("a", "b")
+    few = grouped.where((F.col("m") > 1) & (F.col("m") <= limit)).select("g")
+    inside = one.join(few, "g", "left_semi")
+    inside = inside.join(inside.select("g", F.col("a").alias("b")), "g").where("a < b").select("a", "b")
     pairs = scratch.write(pairs.unionByName(inside).distinct(), "pairs")
 
+    # A member links in a crowd only if frequent shingles make up enough of its set.
     crowded = ["fp", "n", (F.col("n") - F.col("own")).alias("common")]
-    crowds = hot.select(F.col("tok").alias("crowd"), "gid").join(members, "gid").select("crowd", *crowded)
-    large = grouped.where(F.col("m") > limit).select("gid")
-    crowds = crowds.unionByName(members.join(large, "gid", "left_semi").select(F.col("gid").alias("crowd"), *crowded))
-    crowds = scratch.write(crowds, "crowds")
+    crowds = hot.select(F.col("tok").alias("crowd"), "g").join(members, "g").select("crowd", *crowded)
+    large = grouped.where(F.col("m") > limit).select("g")
+    crowds = crowds.unionByName(members.join(large, "g", "left_semi").select(F.col("g").alias("crowd"), *crowded))
+    crowds = scratch.write(crowds.where(100 * F.col("common") >= percent * F.col("n")), "crowd_members")
+    scratch.drop("shared", "frequent")
 
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).union(crowds.select("fp")).distinct()
     rids = scratch.write(members.join(wanted, "fp", "left_semi").select("_rid").distinct(), "wanted")
     tokens = key_join(source, rids, "_rid", "left_semi").select("_text").mapInArrow(_tokens(k), "fp binary, tokens array<long>, bits array<long>")
     tokens = scratch.write(tokens.dropDuplicates(["fp"]), "tokens")
 
-    links = scratch.write(_verified(pairs, tokens, percent), "links_pairs")
+    links = scratch.write(_verified(pairs, tokens, percent), "links")
     comps = components(links, scratch, "cc_pairs")
-    some = bool(crowds.head(1))
-    crowds = crowds.join(tokens.select("fp", "bits"), "fp")
-    for turn in range(ROUNDS + 1 if some else 0):
-        now = crowds.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("crowd", "fp", "n", "common", "bits", F.coalesce("comp", "fp").alias("comp"))
-        now = scratch.write(now, f"crowds_{turn}")
-        other = now.select("crowd", *[F.col(c).alias(c + "2") for c in ("fp", "n", "common", "bits", "comp")])
-        both = F.col("n") + F.col("n2")
-        apart_bits = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(BITS // 64)), F.lit(0))
-        # The intersection is at most half of the sizes less the elements that only one has.
-        linkable = (F.col("comp") != F.col("comp2")) & ((100 + percent) * F.least("common", "common2") >= percent * both) & ((100 + percent) * (both - apart_bits) >= 2 * percent * both)
-        if turn < ROUNDS:
-            near = F.struct(F.floor(10 * (F.col("n2") - F.col("common2")) / F.col("n2")), F.xxhash64("fp2", F.lit(turn)), F.col("fp2"))
-            pivot = other.groupBy("crowd").agg(F.min_by(F.struct("fp2", "n2", "common2", "bits2", "comp2"), near).alias("p")).select("crowd", "p.*")
-            tried = now.join(pivot, "crowd").where(linkable)
-        else:
-            main = now.groupBy("crowd", "comp").agg(F.count("*").alias("c")).groupBy("crowd").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            apart = now.join(main, "crowd").where(F.col("comp") != F.col("main"))
-            tried = apart.join(other, "crowd").where(linkable & ((F.col("comp2") == F.col("main")) | (F.col("fp") < F.col("fp2"))))
-        tried = scratch.write(tried.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct(), f"tried_{turn}")
-        more = scratch.write(_verified(tried, tokens, percent), f"links_{turn}")
-        if more.head(1):
-            joined = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
-            comps = components(joined, scratch, f"cc_{turn}")
+    crowds = crowds.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    became = crowd_components(crowds, tokens, percent, scratch)
 
     owned = members.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low_id", "copies", F.coalesce("comp", "fp").alias("comp"), F.col("comp").isNotNull().alias("linked"))
+    if became is not None:
+        owned = owned.join(became.select(F.col("node").alias("comp"), F.col("comp").alias("_new")), "comp", "left")
+        owned = owned.select("fp", "low_id", "copies", F.coalesce("_new", "comp").alias("comp"), (F.col("linked") | F.col("_new").isNotNull()).alias("linked"))
     lows = owned.where("linked").groupBy("comp").agg(F.min("low_id").alias("component_id"))
     labels = owned.where("linked OR copies > 1").join(lows, "comp", "left").select("fp", F.coalesce("component_id", "low_id").alias("component_id"))
     labels = scratch.write(labels, "labels")
-    out = key_join(sets.select("_id", "_rid", "n", "fp"), labels, "fp", "left", limit=500_000)
+    scratch.drop("tokens", "members", "grouped_members", "pairs", "crowds")
+    out = key_join(sets.select("_id", "_rid", "n", "fp"), labels, "fp", "left")
     return out.select(F.col("_id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), "_rid")
