@@ -10,8 +10,9 @@ then row key, then place; every other one is a non-first repeated span, and each
 removed, in the same document too.
 
 Null and empty texts have no runs and come back as they are. Repeated rows, equal in id and text, count as one document
-and are treated alike. Extra columns stay. Runs shared by very many documents are pre-aggregated before the shuffle and
-the join back is left to skew handling at run time; no list of a run's documents is ever built.
+and are treated alike. Extra columns stay, whatever their names; only columns named removed_spans or first_id are
+replaced. A very long text is bounded by its own row. Runs shared by very many documents are pre-aggregated before the
+shuffle and their first places are broadcast to their rows; no list of a run's documents is ever built.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, patched, row_key, slices
+from paperloom.llm.common import Scratch, hot_join, packed, patched, row_key, slices, unpacked
 from paperloom.llm.hashing import groups, range_hashes, word_spans
 
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -90,13 +91,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", par
     scratch = scratch or Scratch(docs.sparkSession)
     source = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_rid"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
-    spans = scratch.write(source.mapInArrow(_run_rows(p), f"_id {id_type}, _rid long, start int, end int, h1 long, h2 long"), "spans")
-    many = scratch.write(spans.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "span_hashes")
-    found = scratch.write(spans.join(many, ["h1", "h2"], "left_semi"), "span_repeats")
+    spans = scratch.write(source.mapInArrow(_run_rows(p), f"_id {id_type}, _rid binary, start int, end int, h1 long, h2 long"), "spans")
+    many = scratch.write(spans.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "span_hashes")
+    found = scratch.write(hot_join(spans, many, ["h1", "h2"], "n"), "span_repeats")
+    scratch.drop("spans")
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), F.col("start").alias("start"))
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("at"))
-    hits = found.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("at")))
-    return hits.select("_id", "_rid", "start", "end", F.col("at.id").alias("first_id"))
+    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.min("n").alias("n"))
+    firsts = scratch.write(firsts.select("h1", "h2", "n", F.col("at.id").alias("first_id"), F.col("at.rid").alias("at_rid"), F.col("at.start").alias("at_start")), "span_firsts")
+    hits = hot_join(found.drop("n"), firsts, ["h1", "h2"], "n").where(~((F.col("_rid") == F.col("at_rid")) & (F.col("start") == F.col("at_start"))))
+    return hits.select("_id", "_rid", "start", "end", "first_id")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,17 +115,15 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(..., text, spans) to (..., rest of the text, merged spans)."""
-    for part in slices(batches, 200):
-        texts, places = [], []
-        for t, c in zip(part.column(part.num_columns - 2).cast(pa.binary()), part.column(part.num_columns - 1), strict=True):
-            t, gone = t.as_py(), merge_spans([(x["start"], x["end"]) for x in c.as_py()])
-            edges = [0, *(x for s in gone for x in s), len(t)]
-            texts.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8"))
-            places.append([{"start": a, "end": b} for a, b in gone])
-        columns = [*part.columns[:-2], pa.array(texts, pa.string()), pa.array(places, _SPANS)]
-        yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "removed_spans"])
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The rest of each text and its merged spans."""
+    rest, places = [], []
+    for t, c in zip(texts.cast(pa.binary()), spans, strict=True):
+        t, gone = t.as_py(), merge_spans([(x["start"], x["end"]) for x in c.as_py()])
+        edges = [0, *(x for s in gone for x in s), len(t)]
+        rest.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8"))
+        places.append([{"start": a, "end": b} for a, b in gone])
+    return pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(places, _SPANS)], ["text", "spans"])
 
 
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", params: SpanParams | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -132,13 +133,13 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", params
     first_id, the smallest id of a document that keeps one of them.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    spans = repeated_spans(docs, key, text, params, scratch)
-    cuts = spans.groupBy("_rid").agg(F.collect_set(F.struct("start", "end")).alias("_cuts"), F.min("first_id").alias("first_id"))
+    spans = repeated_spans(docs, key, text, params, scratch).withColumnRenamed("_rid", "rid")
+    cuts = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("cuts"), F.min("first_id").alias("first_id"))
 
     def change(rows: DataFrame) -> DataFrame:
-        others = [c for c in rows.columns if c not in (text, "_cuts")]
-        ddl = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others), f"`{text}` string", "removed_spans array<struct<start:int,end:int>>"])
-        return rows.select(*others, text, "_cuts").mapInArrow(_cut, ddl)
+        cutter = F.arrow_udf(_cut, "struct<text:string,spans:array<struct<start:int,end:int>>>").asNondeterministic()  # cut once, not for each field
+        cut = rows.withColumn("cut", cutter(F.col("text"), F.col("cuts")))
+        return cut.withColumns({"text": F.col("cut.text"), "removed_spans": F.col("cut.spans")}).drop("cut", "cuts")
 
-    rows = docs.drop("removed_spans", "first_id").withColumn("_rid", row_key(key, text))
-    return patched(rows, cuts, "_rid", change, scratch, "span_cuts").drop("_rid")
+    out = patched(packed(docs, key, text), cuts, "rid", change, scratch, "span_cuts")
+    return unpacked(out, docs.columns, "removed_spans", "first_id", **{text: F.col("text")})
