@@ -14,9 +14,10 @@ is always a byte-for-byte repetition. The first occurrence stays: the one with t
 then row key, then place. Later ones go, in the same document too.
 
 Null and empty texts have no chunks and come back as they are (null stays null). Repeated rows, equal in id and text,
-count as one document and are treated alike. Extra columns stay as they are. A text whose every line was removed
-becomes empty; ``dedup_lines`` marks such rows with ``emptied``. A chunk shared by a large part of all documents is
-pre-aggregated before the shuffle, and joins on hashes are left to skew handling at run time.
+count as one document and are treated alike. Extra columns stay as they are, whatever their names; only columns named
+removed_lines, first_ids or emptied are replaced. A text whose every line was removed becomes empty; ``dedup_lines``
+marks such rows with ``emptied``. A very long text is bounded by its own row. A chunk shared by a large part of all
+documents is pre-aggregated before the shuffle, and its first place is broadcast to its rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, key_join, patched, row_key
+from paperloom.llm.common import Scratch, hot_join, key_join, packed, patched, row_key, unpacked
 
 _MASK = (1 << 64) - 1
 
@@ -107,7 +108,7 @@ def _chunk_rows(p: LineChunkParams, with_text: bool):
 
 
 def _batch(out: list[list], names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
-    kinds = [id_type, pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [id_type, pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names)
 
 
@@ -117,7 +118,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     scratch = scratch or Scratch(docs.sparkSession)
     source = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_rid"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
-    ddl = f"_id {id_type}, _rid long, first int, lines int, hash binary"
+    ddl = f"_id {id_type}, _rid binary, first int, lines int, hash binary"
     chunks = scratch.write(source.mapInArrow(_chunk_rows(p, False), ddl), "line_chunks")
     many = scratch.write(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line_hashes")
     wanted = scratch.write(key_join(chunks, many, "hash", "left_semi").select("_rid", "hash"), "line_wanted")
@@ -125,31 +126,33 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     bodies = again.mapInArrow(_chunk_rows(p, True), ddl + ", body binary")
     bodies = scratch.write(key_join(bodies, many, "hash", "left_semi"), "line_bodies")
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), F.col("first").alias("first"))
-    firsts = bodies.groupBy("hash", "body").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return bodies.join(firsts, ["hash", "body"]).where(~place.eqNullSafe(F.col("at"))).select("_id", "_rid", "first", "lines", F.col("at.id").alias("first_id"))
+    firsts = bodies.groupBy("hash", "body").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
+    firsts = scratch.write(firsts.select("hash", "body", "n", F.col("at.id").alias("first_id"), F.col("at.rid").alias("at_rid"), F.col("at.first").alias("at_first")), "line_firsts")
+    again = hot_join(bodies, firsts, ["hash", "body"], "n")
+    return again.where(~((F.col("_rid") == F.col("at_rid")) & (F.col("first") == F.col("at_first")))).select("_id", "_rid", "first", "lines", "first_id")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", params: LineChunkParams | None = None, scratch: Scratch | None = None) -> DataFrame:
     """All rows of ``docs`` with the repeated chunks cut out of ``text``; adds removed_lines, first_ids and emptied."""
     scratch = scratch or Scratch(docs.sparkSession)
-    cuts = repeated_chunks(docs, key, text, params, scratch)
+    cuts = repeated_chunks(docs, key, text, params, scratch).withColumnRenamed("_rid", "rid")
     # Repeated rows list the same chunk more than once.
-    cuts = cuts.groupBy("_rid").agg(F.collect_set(F.struct("first", "lines")).alias("_cuts"), F.array_sort(F.collect_set("first_id")).alias("first_ids"))
+    cuts = cuts.groupBy("rid").agg(F.collect_set(F.struct("first", "lines")).alias("cuts"), F.array_sort(F.collect_set("first_id")).alias("first_ids"))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         out = []
-        for t, c in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
-            gone = {i for x in c for i in range(x["first"], x["first"] + x["lines"])}
-            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
+        for t, c in zip(texts, cuts, strict=True):
+            gone = {i for x in c.as_py() for i in range(x["first"], x["first"] + x["lines"])}
+            out.append("\n".join(x for i, x in enumerate(t.as_py().split("\n")) if i not in gone))
         return pa.array(out, pa.string())
 
     def change(rows: DataFrame) -> DataFrame:
         # Cuts may overlap: every line counts once.
-        removed = F.size(F.array_distinct(F.flatten(F.transform("_cuts", lambda x: F.sequence(x["first"], x["first"] + x["lines"] - 1)))))
-        return rows.withColumns({"removed_lines": removed, text: cut(F.col(text), F.col("_cuts"))}).drop("_cuts")
+        removed = F.size(F.array_distinct(F.flatten(F.transform("cuts", lambda x: F.sequence(x["first"], x["first"] + x["lines"] - 1)))))
+        return rows.withColumns({"removed_lines": removed, "text": cut(F.col("text"), F.col("cuts"))}).drop("cuts")
 
-    rows = docs.drop("removed_lines", "first_ids", "emptied").withColumn("_rid", row_key(key, text))
-    out = patched(rows, cuts, "_rid", change, scratch, "line_cuts").drop("_rid")
+    out = patched(packed(docs, key, text), cuts, "rid", change, scratch, "line_cuts")
     out = out.withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0)))
-    return out.withColumn("emptied", (F.col("removed_lines") > 0) & ~F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("emptied", (F.col("removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return unpacked(out, docs.columns, "removed_lines", "first_ids", "emptied", **{text: F.col("text")})
