@@ -10,8 +10,9 @@ tokens. So an item is caught whole, with other punctuation and case, and with it
    stretches, and documents without a seed are gone.
 2. Stretches' seeds join the items' seeds; a pair of document and item goes on if the item positions whose seed occurs
    could cover enough.
-3. Each pair is tiled: the longest matches between unmarked tokens are found by running Karp-Rabin hashes over
-   windows of shrinking length, marked longest first, and counted.
+3. Each pair is tiled: running Karp-Rabin hashes over windows of the least length find the common runs, which are marked
+   longest first, cut back to what is unmarked, and counted. Of equal ones the first in the item goes first. A long text
+   of one repeated token costs item times text steps at most.
 
 The items are a stated set: they are dealt into blocks of about ``block_chars`` characters by hash, and each block is
 run against all documents, so what is sent to the workers has a fixed bound however large the benchmark is.
@@ -25,6 +26,7 @@ rows. Extra columns are ignored. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch, row_key
-from paperloom.llm.hashing import groups, shingles, word_hashes
+from paperloom.llm.hashing import groups, powers, shingles, word_hashes
 
 
 @dataclass(frozen=True)
@@ -68,74 +70,91 @@ def token_rows(texts: pa.Array) -> Iterator[np.ndarray]:
 
 # --- tiling
 
-_MOD = (1 << 61) - 1
-_BASE = 1_000_003_777
-
-
-def _windows(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(hash, place) of every window of ``size`` unmarked tokens, by a running Karp-Rabin hash."""
-    top = pow(_BASE, size - 1, _MOD)
-    value, length = 0, 0
-    for i, t in enumerate(tokens):
-        if not free[i]:
-            value = length = 0
+_BASE = np.uint64(1_000_003_777)
+#: Pairs of equal windows looked at together.
+PAIRS = 1_000_000
+
+
+def _windows(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every window of ``size`` tokens, by a running Karp-Rabin hash modulo 2**64."""
+    values = tokens.view(np.uint64)
+    up, down = powers(len(values) + 1, _BASE)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1], dtype=np.uint64)])
+    return (sums[size:] - sums[:-size]) * down[: len(values) - size + 1] if len(values) >= size else np.empty(0, np.uint64)
+
+
+def _common_runs(item: np.ndarray, text: np.ndarray, free: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    """(length, place in item, place in text) of every longest common run of ``size`` tokens or more.
+
+    Windows with equal hashes are compared token by token; those that follow each other on a diagonal are one run.
+    Windows of the item are taken in blocks, so that repeated tokens cost time for each pair but no memory.
+    """
+    of_item, of_text = _windows(item, size), _windows(text, size)
+    usable = np.flatnonzero(np.convolve(free, np.ones(size, np.int64), "valid") == size) if len(of_text) else np.empty(0, np.int64)
+    usable = usable[np.argsort(of_text[usable], kind="stable")]
+    known = of_text[usable]
+    low, high = np.searchsorted(known, of_item, "left"), np.searchsorted(known, of_item, "right")
+    edges = np.concatenate([[0], np.cumsum(high - low)])
+    runs = [np.empty((0, 3), np.int64)]
+    begin = 0
+    while begin < len(of_item):
+        end = max(int(np.searchsorted(edges, edges[begin] + PAIRS, "right")) - 1, begin + 1)
+        count = high[begin:end] - low[begin:end]
+        i = np.repeat(np.arange(begin, end), count)
+        j = usable[np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[begin:end], count)]
+        same = np.ones(len(i), np.bool_)
+        for k in range(size):
+            same &= item[i + k] == text[j + k]
+        i, diagonal = i[same], (j - i)[same]
+        order = np.lexsort((i, diagonal))
+        i, diagonal = i[order], diagonal[order]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(diagonal) != 0) | (np.diff(i) != 1)])) if len(i) else np.empty(0, np.int64)
+        runs.append(np.stack([diagonal[heads], i[heads], np.diff(np.concatenate([heads, [len(i)]]))], 1))
+        begin = end
+    every = np.concatenate(runs)
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    held: list[int] | None = None
+    for diagonal, i, n in every.tolist():
+        if held and held[0] == diagonal and held[1] + held[2] == i:  # goes on from the block before
+            held[2] += n
             continue
-        if length == size:
-            value = (value - tokens[i - size] * top) % _MOD
-            length -= 1
-        value = (value * _BASE + t) % _MOD
-        length += 1
-        if length == size:
-            yield value, i - size + 1
+        if held:
+            yield held[2] + size - 1, held[1], held[0] + held[1]
+        held = [diagonal, i, n]
+    if held:
+        yield held[2] + size - 1, held[1], held[0] + held[1]
 
 
 def tile(item: list[int], text: list[int | None], min_match: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in text, length). A None in ``text`` is a gap that no tile crosses."""
-    free_item, free_text = [True] * len(item), [t is not None for t in text]
-    spaced = [t if t is not None else 0 for t in text]
+    """Tiles (place in item, place in text, length). A None in ``text`` is a gap that no tile crosses.
+
+    The longest match between unmarked tokens is marked first; of equal ones the first in the item, then in the text. A
+    run that a longer tile has cut comes back as its unmarked rests. Time is bounded by item times text.
+    """
+    of_item = np.array(item, np.int64)
+    free_text = np.array([t is not None for t in text], np.bool_)
+    of_text = np.array([0 if t is None else t for t in text], np.int64)
+    free_item = np.ones(len(item), np.bool_)
+    if len(item) < min_match or len(text) < min_match:
+        return []
+    heap = [(-n, i, j) for n, i, j in _common_runs(of_item, of_text, free_text, min_match)]
+    heapq.heapify(heap)
     tiles = []
-    size = max(min(len(item), 20), min_match)
-    while size >= min_match:
-        places: dict[int, list[int]] = {}
-        for h, j in _windows(spaced, free_text, size):
-            places.setdefault(h, []).append(j)
-        matches = []
-        for h, i in _windows(item, free_item, size):
-            for j in places.get(h, ()):
-                n = 0
-                while i + n < len(item) and j + n < len(text) and free_item[i + n] and free_text[j + n] and item[i + n] == spaced[j + n]:
-                    n += 1
-                if n >= size:
-                    matches.append((n, i, j))
-        longest = max((m[0] for m in matches), default=0)
-        if longest > 2 * size:  # a longer one first
-            size = longest
-            continue
-        left = False
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if all(free_item[i : i + n]) and all(free_text[j : j + n]):
-                tiles.append((i, j, n))
-                free_item[i : i + n] = [False] * n
-                free_text[j : j + n] = [False] * n
-            else:
-                left = True  # part of it may still be free
-        if left and size > min_match or size > 2 * min_match:
-            size = max(size // 2 if size > 2 * min_match else min_match, min_match)
-        elif size > min_match:
-            size = min_match
-        elif left and tiles and _again(item, spaced, free_item, free_text, min_match):
+    while heap:
+        n, i, j = heapq.heappop(heap)
+        n = -n
+        free = free_item[i : i + n] & free_text[j : j + n]
+        if free.all():
+            tiles.append((i, j, n))
+            free_item[i : i + n] = free_text[j : j + n] = False
             continue
-        else:
-            break
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= min_match:
+                heapq.heappush(heap, (a - b, i + a, j + a))
     return tiles
 
 
-def _again(item: list[int], text: list[int], free_item: list[bool], free_text: list[bool], size: int) -> bool:
-    """Whether a match of ``size`` unmarked tokens is left."""
-    places = {h for h, _ in _windows(text, free_text, size)}
-    return any(h in places for h, _ in _windows(item, free_item, size))
-
-
 # --- Spark
 
 
@@ -170,7 +189,7 @@ def _stretches(seeds, min_match: int):
                     found.append(np.concatenate(held))
                     stretches.append(parts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int32())), pa.array(rids, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(stretches, pa.list_(pa.list_(pa.int64())))],
+                [batch.column(0).take(pa.array(ids, pa.int32())), pa.array(rids, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(stretches, pa.list_(pa.list_(pa.int64())))],
                 ["_id", "_rid", "seeds", "stretches"],
             )
 
@@ -225,7 +244,7 @@ def contaminated(
         lengths = {p.least(len(t)) for t, use in zip(tokens, usable, strict=True) if use}
         every = {n: np.unique(np.concatenate([s for s, t in zip(seeds, tokens, strict=True) if len(s) and p.least(len(t)) == n])) for n in sorted(lengths)}
         sent = spark.sparkContext.broadcast(every)
-        held = source.mapInArrow(_stretches(sent, p.min_match), f"_id {id_type}, _rid long, seeds array<long>, stretches array<array<long>>")
+        held = source.mapInArrow(_stretches(sent, p.min_match), f"_id {id_type}, _rid binary, seeds array<long>, stretches array<array<long>>")
         held = scratch.write(held, f"stretches_{block}")
         places = [(int(h), no) for no, s in enumerate(seeds) for h in s.view(np.int64)]
         seed_rows = spark.createDataFrame(pa.table({"seed": pa.array([x[0] for x in places], pa.int64()), "no": pa.array([x[1] for x in places], pa.int32())}))
@@ -241,7 +260,7 @@ def contaminated(
         hits = hits.where((F.col("hits") + spare) * least >= p.threshold * F.col("size")).select("_rid", "no")
         pairs = held.dropDuplicates(["_rid"]).select("_id", "_rid", "stretches").join(hits, "_rid").repartition("_rid", "no")
         pairs = pairs.select("_id", "_rid", "no", "stretches").mapInArrow(
-            _tiled(spark.sparkContext.broadcast(tokens), p), f"_id {id_type}, _rid long, no int, covered int, item_tokens int, tiles int"
+            _tiled(spark.sparkContext.broadcast(tokens), p), f"_id {id_type}, _rid binary, no int, covered int, item_tokens int, tiles int"
         )
         named = pairs.join(F.broadcast(size_rows.select("no", "item")), "no")
         named = named.select(F.col("_id").alias(key), F.col("item").alias(item), (F.col("covered") / F.col("item_tokens")).alias("coverage"), "covered", "item_tokens", "tiles", "_rid")
