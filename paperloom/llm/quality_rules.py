@@ -30,21 +30,34 @@ from pyspark.sql import functions as F
 
 SYMBOLS = b"#*$%&|<>"
 
-#: Stock phrases of pages around the text; compared in lower case. Fixed values.
+#: Stock phrases of pages around the text, in English, German, French and Spanish; compared in lower case. Fixed values.
 STOCK_PHRASES = (
     "accept all cookies",
+    "accepter tous les cookies",
+    "aceptar todas las cookies",
+    "alle cookies akzeptieren",
+    "alle rechte vorbehalten",
     "all rights reserved",
+    "conditions d'utilisation",
+    "datenschutzerklärung",
     "click here to",
     "cookie policy",
     "enable javascript",
     "javascript is disabled",
     "lorem ipsum",
+    "mentions légales",
+    "nutzungsbedingungen",
+    "política de privacidad",
+    "politique de confidentialité",
     "privacy policy",
     "sign up for our newsletter",
     "skip to main content",
     "subscribe to our newsletter",
     "terms of service",
     "terms of use",
+    "todos los derechos reservados",
+    "tous droits réservés",
+    "términos de uso",
 )
 
 #: A sentence end: a closing mark, quotes and brackets, then white space or the line's end; or a colon at the line's end.
@@ -139,6 +152,8 @@ RESULT_DDL = (
 def quality_rules(docs: DataFrame, text: str = "text", params: QualityParams | None = None, clean: bool = True, into: str = "quality") -> DataFrame:
     """All rows and columns of ``docs`` with a struct column ``into`` of the figures, the verdict and the clean text.
 
+    A column that has the name ``into`` is replaced; all others stay.
+
     ``clean=False`` leaves ``clean_text`` null, for callers that need the verdict only.
     """
     p = params or QualityParams()
@@ -146,11 +161,14 @@ def quality_rules(docs: DataFrame, text: str = "text", params: QualityParams | N
     @F.arrow_udf(RESULT_DDL)
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [judge(t, p) for t in texts.to_pylist()]
-            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in RESULT]
-            if not clean:
-                columns[-1] = [None] * len(rows)
-            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], fields=list(RESULT))
+            parts = [pa.array([], RESULT)]
+            for at in range(0, len(texts), 200):  # bounds what Python objects are made of at once
+                rows = [judge(t, p) for t in texts[at : at + 200].to_pylist()]
+                columns = [list(c) for c in zip(*rows, strict=True)]
+                if not clean:
+                    columns[-1] = [None] * len(rows)
+                parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], fields=list(RESULT)))
+            yield pa.concat_arrays(parts)
 
     # Marked so that a filter on the verdict does not make Spark judge every text twice.
     return docs.withColumn(into, judged.asNondeterministic()(F.col(text)))
