@@ -48,7 +48,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = F.array(*[F.struct(F.lit(-7).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.inline(turns))
     rows = rows.unionByName(extra).withColumn("parts", chat_format.text_part(F.col("text")))
     out = chat_format.loss_texts(chat_format.read_chats(chat_format.format_chats(rows)))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -91,7 +92,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = span_dedup.dedup_spans(docs).where("removed_spans IS NOT NULL")
     cut = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return out.select("doc_id", "first_id", F.size("removed_spans").alias("n_spans"), cut.alias("removed_chars"), "removed_spans", F.col("text").alias("clean_text"))
+    return out.select("doc_id", "first_id", F.size("removed_spans").alias("n_spans"), cut.alias("removed_bytes"), "removed_spans", F.col("text").alias("clean_text"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
         F.coalesce(F.crc32(binary), F.lit(0)).cast("long").alias("text_crc32"),
         F.pmod(F.monotonically_increasing_id(), F.lit(4096)).alias("_salt"),
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS_PER_PARTITION), 1)
     ranged = rows.repartitionByRange(parts, "_key", "text_crc32", "_salt").withColumn("_part", F.spark_partition_id())
     ranged = scratch.write(ranged, "shard_rows")
 

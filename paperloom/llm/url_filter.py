@@ -10,7 +10,8 @@ get the model's verdict: ``block`` when the predicted probability of the blocked
 The model is fitted on at most ``max_labelled`` labelled urls, those with the smallest hash of their id, so the choice
 does not depend on partitioning. With no labelled url, or labels of one class only, the verdict is that class for all
 urls (``allow`` without labels). Repeated rows are judged alike; an empty table gives an empty result. Rows are judged
-one by one without a shuffle; the rules are a parameter, ``MAX_RULES`` at most, and are compiled into the expression.
+one by one without a shuffle, very long urls too; extra columns stay, whatever their names, but for those that the
+result adds. The rules are a parameter, ``MAX_RULES`` at most, and are compiled into the expression.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch
+from paperloom.llm.common import Scratch, unpacked
 
 MAX_RULES = 1000
 
@@ -112,12 +113,12 @@ def filter_urls(
     from pyspark.ml.functions import vector_to_array
 
     p = params or UrlModelParams()
-    out = urls.drop("host", "path", "rule", "block_probability", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    out = urls.select(F.struct("*").alias("row"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     if isinstance(model, float):
         out = out.withColumn("block_probability", F.lit(model))
     else:
         out = model.transform(with_grams(out, "host", "path", p)).withColumn("block_probability", vector_to_array("_prob")[1])
-        out = out.drop("_grams", "_tf", "_prob", "_raw", "_pred")
     out = out.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("block_probability") > p.threshold, "block").otherwise("allow")
-    return out.withColumns({"rule": F.col("_rule.text"), "verdict": F.coalesce(F.col("_rule.verdict"), own)}).drop("_rule")
+    out = out.withColumns({"rule": F.col("_rule.text"), "verdict": F.coalesce(F.col("_rule.verdict"), own)})
+    return unpacked(out, urls.columns, "host", "path", "rule", "block_probability", "verdict")
