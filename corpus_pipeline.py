@@ -11,67 +11,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from paperloom.llm.common import Scratch, key_join, row_key
+from paperloom.llm.common import Scratch, key_join, packed, unpacked
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """``docs`` with a new text and, where the table has it, its length."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-#: Rows of an Arrow batch while the pipeline runs: bounds what each Python worker holds, as workers live through all stages.
-BATCH_ROWS = "1000"
-
-
-def _bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def _with_text(rows: DataFrame, columns: list[str], docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the text beside them and, where the table has it, its length."""
+    length = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {}
+    return unpacked(rows, columns, text=F.col("text"), **length)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose the lines that fail a line rule."""
-    _bound_batches(spark)
-    judged = quality_rules.quality_rules(docs, into="_quality").where("_quality.kept")
-    return _with_text(judged, F.col("_quality.clean_text")).select(*docs.columns)
+    """Rejected documents go; the others lose the lines that fail a line rule. Null and empty texts are rejected."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    judged = quality_rules.quality_rules(rows, into="quality").where("quality.kept")
+    return _with_text(judged.select("row", F.col("quality.clean_text").alias("text")), docs.columns, docs)
+
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """Repeated stretches of two or more lines go; so does a document of which nothing is left.
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated stretches of two or more lines go; so does a document of which nothing is left."""
-    _bound_batches(spark)
-    out = line_dedup.dedup_lines(docs, params=line_dedup.WHOLE).where(~F.col("emptied"))
-    return _with_text(out, F.col("text")).select(*docs.columns)
+    Null and empty texts stay as they are.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    out = line_dedup.dedup_lines(rows, params=line_dedup.WHOLE, scratch=scratch).where(~F.col("emptied"))
+    return _with_text(out.select("row", "text"), docs.columns, docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Of every group of near duplicates the document with the smallest id stays, once.
 
     Documents without a word are in no group and stay; rows with a null id stay too, unless a row with an id is in
     their group.
     """
-    _bound_batches(spark)
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     found = ngram_join.ngram_components(docs, scratch=scratch)
-    gone = found.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT doc_id <=> component_id").select("_rid").distinct()
+    gone = found.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("_rid").alias("rid")).distinct()
     gone = scratch.write(gone, "gone")
-    rest = key_join(docs.withColumn("_rid", row_key("doc_id", "text")), gone, "_rid", "left_anti")
+    rest = key_join(packed(docs, "doc_id", "text"), gone, "rid", "left_anti")
     # Repeated rows of the document that stays: one of them.
-    again = scratch.write(rest.where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").groupBy("_rid").count().where("count > 1").select("_rid"), "again")
-    once = key_join(rest, again, "_rid", "left_semi").dropDuplicates(["_rid"])
-    return key_join(rest, again, "_rid", "left_anti").unionByName(once).select(*docs.columns)
+    again = scratch.write(rest.where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").groupBy("rid").count().where("count > 1").select("rid"), "again")
+    once = key_join(rest, again, "rid", "left_semi").groupBy("rid").agg(F.first("row").alias("row")).select("row")
+    return unpacked(key_join(rest, again, "rid", "left_anti").select("row").unionByName(once), docs.columns)
 
 
-def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a benchmark item's tiles cover go."""
-    _bound_batches(spark)
-    scratch = Scratch(spark)
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """Documents that a benchmark item's tiles cover go; without items, and without text, all stay."""
+    scratch = scratch or Scratch(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = scratch.write(decontaminate.contaminated(docs, items, scratch=scratch).select("_rid").distinct(), "gone")
-    return key_join(docs.withColumn("_rid", row_key("doc_id", "text")), gone, "_rid", "left_anti").select(*docs.columns)
+    gone = scratch.write(decontaminate.contaminated(docs, items, scratch=scratch).select(F.col("_rid").alias("rid")).distinct(), "gone")
+    return unpacked(key_join(packed(docs, "doc_id", "text"), gone, "rid", "left_anti"), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, and whether they decode to its text."""
-    _bound_batches(spark)
+    """doc_id, the ids of every document, how many they are, and the digest of the bytes that they decode to.
+
+    Null and empty texts have no ids; repeated rows stay; other columns are not handed on.
+    """
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     out = bpe.encode(docs, vocabulary, decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -89,9 +84,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Stages that leave tables in a scratch folder, which ``run`` drops when their result is written.
+_WITH_SCRATCH = {lines, near_duplicates, benchmark_free}
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
+    """All stages over ``documents``. Extra columns pass through all but the last; an empty table gives no rows."""
+    results = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage_{i}")
+        own = Scratch(spark)
+        docs = results.write(stage(spark, docs, sf_dir, **({"scratch": own} if stage in _WITH_SCRATCH else {})), f"stage_{i}")
+        own.drop()
     return docs
