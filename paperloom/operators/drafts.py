@@ -16,13 +16,6 @@ def query_variants(questions: DataFrame, columns: tuple[str, ...], fallback: str
     return questions.select("question_id", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array(fallback))).alias("pos", "variant"))
 
 
-def discovery_terms(questions: DataFrame, question: str = "question") -> DataFrame:
-    """question_id, pos, term: the first Latin terms of a question that are not generic."""
-    found = F.array_distinct(F.regexp_extract_all(F.col(question), F.lit(f"({rules.LATIN_TERM})"), F.lit(1)))
-    kept = F.slice(F.filter(found, lambda x: ~F.lower(x).isin(*rules.GENERIC_TERMS)), 1, rules.MAX_TERMS)
-    return questions.select("question_id", F.posexplode(kept).alias("pos", "term"))
-
-
 def term_matches(text: Column, terms: Column) -> Column:
     """How many distinct terms of two or more characters a text contains, without case."""
     low = F.transform(terms, lambda x: F.lower(trim_all(x)))

@@ -9,7 +9,7 @@ from paperloom import rules
 from paperloom.operators import drafts as R
 from paperloom.plans import knowledge_queries, search_queries, table_queries
 from paperloom.plans.catalog import query
-from paperloom.plans.views_sql import add_view, listed, over, trimmed
+from paperloom.plans.views_sql import add_view, over, trimmed
 from paperloom.sources import views as V
 
 
@@ -22,12 +22,6 @@ def e6_query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.query_variants(b, ("a", "b", "c"))
 
 
-@query(f"SELECT item_id AS question_id, count(*) AS terms, min(x) AS first FROM (SELECT item_id, unnest((list_filter(regexp_extract_all(text, '{rules.LATIN_TERM}'), lambda x: NOT list_contains([{listed(rules.GENERIC_TERMS)}], lower(x))))[1:12]) AS x FROM benchmark) GROUP BY 1")
-def e14_discovery_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return R.discovery_terms(b).groupBy("question_id").agg(F.count("*").alias("terms"), F.min("term").alias("first"))
-
-
 @query("SELECT doc_id, len(list_filter(['the', 'of', 'de', 'und'], lambda x: contains(lower(text), x))) AS matches FROM documents")
 def e15_term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.array(*[F.lit(x) for x in ("the", " Of ", "de", "x", "und", "the")])

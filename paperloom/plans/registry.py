@@ -6,7 +6,7 @@ import importlib
 
 from paperloom.plans.catalog import ORACLES, QUERIES
 
-for _name in ("text_queries", "search_queries", "evidence_queries", "knowledge_queries", "table_queries", "draft_queries", "asset_queries", "stream_queries"):
+for _name in ("text_queries", "search_queries", "evidence_queries", "knowledge_queries", "table_queries", "draft_queries", "asset_queries", "routing_queries", "stream_queries"):
     importlib.import_module(f"paperloom.plans.{_name}")
 
 FLAGSHIP = "c6_bm25_topk"

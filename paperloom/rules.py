@@ -183,3 +183,85 @@ VISION_CONFIDENCE = 0.7
 #: Points of fact types and of section words, most first.
 FACT_POINTS = ((5, r"HYPERPARAMETER|^LOSS$|^DATASET$"), (4, r"ALGORITHM|^IMPLEMENTATION$"), (3, r"ARCHITECTURE"), (2, r"^EQUATION$|^PREPROCESSING$"))
 SECTION_POINTS = ((4, r"METHOD|MODEL|ALGORITHM"), (3, r"EXPERIMENT|RESULT|IMPLEMENT"), (2, r"ABSTRACT|INTRODUCTION"), (0, r"REFERENCE|CONFLICT|AUTHOR"))
+
+# --- routes of questions
+
+#: Labels of knowledge and of sections that a route may name.
+KNOWLEDGE_LABELS = (
+    "RESEARCH_DOMAIN", "RESEARCH_TASK", "RESEARCH_PROBLEM", "BACKGROUND", "METHOD", "MODEL_COMPONENT", "DATASET", "INPUT_VARIABLE",
+    "EXPERIMENT_SETTING", "METRIC", "RESULT", "COMPARISON", "CONTRIBUTION", "LIMITATION", "CONCLUSION", "FUTURE_WORK", "KEYWORD",
+)
+SECTION_LABELS = ("ABSTRACT", "INTRODUCTION", "RELATED_WORK", "METHOD", "EXPERIMENT", "RESULT", "DISCUSSION", "CONCLUSION", "APPENDIX")
+
+#: Intents by words: (intent, words, knowledge labels, sections). Those of the first list add up, the last one names the intent.
+ROUTES = (
+    ("DATASET", ("数据集", "数据来源", "样本", "scada", "dataset", "data set"), ("DATASET", "INPUT_VARIABLE"), ("DATA", "DATASET", "EXPERIMENTS", "EXPERIMENT")),
+    ("EXPERIMENT_SETTING", ("学习率", "批大小", "batch size", "超参数", "参数设置", "实验设置", "训练设置", "implementation detail"), ("EXPERIMENT_SETTING",), ("EXPERIMENTS", "EXPERIMENT", "METHODS", "METHOD")),
+    ("METRIC", ("评价指标", "评估指标", "指标", "metric", "mae", "rmse", "accuracy", "precision", "recall"), ("METRIC",), ("EXPERIMENTS", "EXPERIMENT", "RESULTS", "RESULT")),
+    ("RESULT", ("实验结果", "结果如何", "提升多少", "性能", "效果", "result", "performance", "对比结果"), ("RESULT", "COMPARISON"), ("RESULTS", "RESULT", "EXPERIMENTS", "EXPERIMENT")),
+    ("METHOD", ("什么方法", "使用的方法", "采用什么", "模型结构", "算法", "方法", "模型", "method", "model", "architecture"), ("METHOD", "MODEL_COMPONENT"), ("METHODS", "METHOD", "METHODOLOGY", "MODEL")),
+)
+#: Intents that stand alone, in the order in which they win over all others.
+SOLE_ROUTES = (
+    ("RESEARCH_TASK", ("研究问题", "解决什么问题", "研究任务", "研究目标", "task", "problem"), ("RESEARCH_TASK", "RESEARCH_PROBLEM"), ("ABSTRACT", "INTRODUCTION")),
+    ("LIMITATION", ("局限", "不足", "缺点", "限制", "limitation", "weakness"), ("LIMITATION",), ("LIMITATIONS", "DISCUSSION", "CONCLUSION")),
+    ("CONTRIBUTION", ("贡献", "创新点", "创新之处", "contribution", "novelty"), ("CONTRIBUTION",), ("ABSTRACT", "INTRODUCTION", "CONCLUSION")),
+)
+BROAD_WORDS = ("哪些论文", "相关论文", "研究方向", "发展趋势", "当前研究", "近年来", "综述", "survey", "trend", "related work")
+FUZZY_WORDS = ("新颖", "值得", "比较好", "相关的", "类似", "可能", "启发", "方向")
+WHOLE_WORDS = ("全面", "综合", "从整体", "详细介绍", "完整说明", "优缺点", "如何实现")
+MODEL_MARKERS = (
+    "为什么", "原因", "区别", "不同", "比较", "相比", "优缺点", "优势", "劣势", "影响", "关系", "如何结合", "是否适合", "为什么有效",
+    "why", "difference", "compare", "trade-off", "tradeoff", "relationship",
+)
+MODEL_LEAST, MODEL_HIGH = 0.60, 0.80
+CHOICES = ("NEEDED", "NOT_NEEDED", "UNCERTAIN")
+
+#: Words of a question that tell nothing, and phrases that are cut from it.
+STOP_TERMS = ("论文", "哪些", "什么", "如何", "使用", "进行", "相关", "研究", "方法", "模型", "结果", "数据", "实验", "分析", "比较", "介绍", "一个", "这个", "这些", "当前", "主要")
+STOP_PHRASES = ("请问", "帮我", "一下", "哪几篇", "有没有")
+QUESTION_TERM = r"[A-Za-z][A-Za-z0-9+_.-]{1,}"
+CATALOG_LOOSE = r"""[\s，,。；;：:（）()\[\]{}"']"""
+KNOWN_TERMS = ("VMD", "CEEMD", "CEEMDAN", "小波", "ARMA", "ARIMA", "VAR", "ESN", "克里金", "Transformer", "图神经网络", "图消息传递", "光伏", "LSTM")
+GRAPH_WORD, GRAPH_TERMS = "图", ("图结构", "节点", "近邻")
+TERM_SPLIT = r"[,，;；\n\s]+"
+
+#: Families of knowledge labels when gaps are looked for, with the sections that may fill them.
+GAP_FAMILIES = (
+    ("RESEARCH", ("RESEARCH_DOMAIN", "RESEARCH_TASK", "RESEARCH_PROBLEM", "KEYWORD"), ("ABSTRACT", "INTRODUCTION")),
+    ("METHOD", ("METHOD", "MODEL_COMPONENT"), ("METHOD",)),
+    ("DATASET", ("DATASET", "INPUT_VARIABLE"), ("EXPERIMENT", "METHOD")),
+    ("EXPERIMENT", ("EXPERIMENT_SETTING",), ("EXPERIMENT", "METHOD")),
+    ("METRIC", ("METRIC",), ("EXPERIMENT", "RESULT")),
+    ("RESULT", ("RESULT", "COMPARISON"), ("EXPERIMENT", "RESULT")),
+    ("CONTRIBUTION", ("CONTRIBUTION",), ("ABSTRACT", "INTRODUCTION", "CONCLUSION")),
+    ("LIMITATION", ("LIMITATION", "FUTURE_WORK"), ("DISCUSSION", "CONCLUSION")),
+    ("BACKGROUND", ("BACKGROUND", "CONCLUSION"), ("ABSTRACT", "INTRODUCTION", "RELATED_WORK")),
+)
+#: Sections to read first, by words of the question; the last entry holds for all others.
+SECTION_ORDERS = (
+    (("方法", "method", "模型", "框架"), ("METHOD", "RELATED_WORK", "INTRODUCTION")),
+    (("实验", "结果", "experiment", "result", "性能"), ("EXPERIMENT", "RESULT", "DISCUSSION")),
+    (("局限", "不足", "缺点", "limitation", "weakness"), ("DISCUSSION", "CONCLUSION", "RESULT", "EXPERIMENT")),
+    (("创新", "贡献", "contribution", "novel"), ("ABSTRACT", "INTRODUCTION", "METHOD", "CONCLUSION")),
+    (("对比", "比较", "区别", "compare", "difference"), ("METHOD", "EXPERIMENT", "RESULT", "DISCUSSION", "CONCLUSION")),
+    ((), ("ABSTRACT", "INTRODUCTION", "METHOD", "EXPERIMENT", "RESULT", "CONCLUSION")),
+)
+
+# --- model output, ideas and drafts
+
+MISSING_FIELD = "信息不足"
+UNUSABLE = r"信息不足|无法总结|无法提供"
+FIELD_MARK = r"(?m)^\s*(?:#{1,6}\s*)?(?:[-*]\s*)?(?:\d+[.、]\s*)?(?:\*\*)?"
+FIELD_END = r"(?:\*\*)?\s*[:：]?\s*"
+PROFILE_FIELDS = ("研究问题", "方法概述", "实验与评估", "主要贡献", "局限性", "关键词", "完整画像")
+IMPROVEMENT_INTENT = (
+    r"怎么改进|如何改进|怎样改进|如何优化|怎么优化|怎样优化|有什么建议|有哪些建议|给些建议|给点建议|有什么推荐|改进建议|优化建议|研究建议|"
+    r"改进方向|优化方向|研究方向|未来方向|未来研究|进一步研究|后续研究|下一步|还有什么可以|还可以做什么|还能做什么|值得探索|值得研究|值得深入|"
+    r"可以尝试|可以怎么提升|哪些方面可以改进|有没有更好的|怎么提升|如何提升|怎样提升|有什么不足|有哪些局限|局限性是什么|limitation|future work|"
+    r"future research|improvement|可以怎么扩展|如何扩展|怎么扩展"
+)
+WRITING_SECTIONS = ("ABSTRACT", "INTRODUCTION", "RELATED_WORK", "BACKGROUND", "DISCUSSION", "CONCLUSION", "METHOD")
+WRITING_CHARS = 36_000
+DEFAULT_OUTLINE = ("1.1 研究背景与问题提出", "1.2 相关技术与方法演进", "1.3 国内外研究现状", "1.4 现有研究不足", "1.5 本章小结")
+DONE_STATES, FAILED_STATES = ("COMPLETED", "PARSED", "VECTORIZED", "SUCCESS"), ("FAILED", "ERROR")
