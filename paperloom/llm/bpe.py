@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import slices
+from paperloom.llm.common import released, slices
 
 MARGIN = 8
 #: Pre-tokens remembered with their ids in each worker.
@@ -208,20 +208,20 @@ def encode(
     kept = [f"_key{i} {rows.schema[f'_key{i}'].dataType.simpleString()}" for i in range(len(keys))]
     out = [*names, "ids", *[decoded] * bool(decoded)]
 
-    short = rows.where(F.length("_text") <= p.chunk).mapInArrow(_whole(vocabulary, decoded), ", ".join([*kept, *results])).select(*out)
+    short = rows.where(F.length("_text") <= p.chunk).mapInArrow(released(_whole(vocabulary, decoded)), ", ".join([*kept, *results])).select(*out)
     long = rows.where(F.length("_text") > p.chunk).withColumn("_row", F.monotonically_increasing_id())
-    chunks = long.select("_row", "_text").mapInArrow(_cut(p), "_row long, _chunk int, _start int, _piece string, _last boolean")
-    chunks = chunks.repartition("_row", "_chunk").mapInArrow(_edges(vocabulary, p), "_row long, _chunk int, _start int, _piece string, _last boolean, _left array<int>, _right array<int>")
+    chunks = long.select("_row", "_text").mapInArrow(released(_cut(p)), "_row long, _chunk int, _start int, _piece string, _last boolean")
+    chunks = chunks.repartition("_row", "_chunk").mapInArrow(released(_edges(vocabulary, p)), "_row long, _chunk int, _start int, _piece string, _last boolean, _left array<int>, _right array<int>")
     order = Window.partitionBy("_row").orderBy("_chunk")
     common = F.array_min(F.array_intersect(F.lag("_right").over(order), F.col("_left")))
     chunks = chunks.withColumn("_from", F.when(F.col("_chunk") == 0, F.lit(0)).otherwise(common)).drop("_left", "_right")
     chunks = chunks.withColumns({"_to": F.lead("_from").over(order), "_broken": F.max(F.col("_from").isNull()).over(Window.partitionBy("_row"))})
-    parts = chunks.repartition("_row", "_chunk").mapInArrow(_encode_chunks(vocabulary, p), "_row long, _chunk int, _ids array<int>, _raw string")
+    parts = chunks.repartition("_row", "_chunk").mapInArrow(released(_encode_chunks(vocabulary, p)), "_row long, _chunk int, _ids array<int>, _raw string")
     parts = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_ids", "_raw"))).alias("_parts"))
     empty = F.array().cast("array<int>")
     flat = F.flatten(F.transform("_parts", lambda x: F.coalesce(x["_ids"], empty)))
     encoded = parts.select("_row", flat.alias("_ids"), F.array_join("_parts._raw", "").alias("_raw"))
-    encoded = encoded.mapInArrow(_rejoined(vocabulary, decoded), ", ".join(["_row long", *results]))
+    encoded = encoded.mapInArrow(released(_rejoined(vocabulary, decoded)), ", ".join(["_row long", *results]))
     return short.unionByName(long.drop("_text").join(encoded, "_row").select(*out))
 
 

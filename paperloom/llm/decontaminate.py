@@ -34,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from paperloom.llm.common import Scratch, row_key
+from paperloom.llm.common import Scratch, released, row_key
 from paperloom.llm.hashing import groups, powers, shingles, word_hashes
 
 
@@ -244,13 +245,14 @@ def contaminated(
         lengths = {p.least(len(t)) for t, use in zip(tokens, usable, strict=True) if use}
         every = {n: np.unique(np.concatenate([s for s, t in zip(seeds, tokens, strict=True) if len(s) and p.least(len(t)) == n])) for n in sorted(lengths)}
         sent = spark.sparkContext.broadcast(every)
-        held = source.mapInArrow(_stretches(sent, p.min_match), f"_id {id_type}, _rid binary, seeds array<long>, stretches array<array<long>>")
+        held = source.mapInArrow(released(_stretches(sent, p.min_match)), f"_id {id_type}, _rid binary, seeds array<long>, stretches array<array<long>>")
         held = scratch.write(held, f"stretches_{block}")
         places = [(int(h), no) for no, s in enumerate(seeds) for h in s.view(np.int64)]
         seed_rows = spark.createDataFrame(pa.table({"seed": pa.array([x[0] for x in places], pa.int64()), "no": pa.array([x[1] for x in places], pa.int32())}))
-        sizes = [(no, rows[no]["item"], len(t)) for no, t in enumerate(tokens)]
-        item_type = stated.schema["item"].dataType.simpleString()
-        size_rows = spark.createDataFrame(sizes, f"no int, item {item_type}, size int")
+        item_type = stated.schema["item"].dataType
+        sizes = {"no": range(len(rows)), "item": [r["item"] for r in rows], "size": [len(t) for t in tokens]}
+        kinds = [pa.int32(), to_arrow_type(item_type), pa.int32()]
+        size_rows = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(sizes.values(), kinds, strict=True)], list(sizes)))
         hits = held.select("_rid", F.explode("seeds").alias("seed")).join(F.broadcast(seed_rows), "seed").groupBy("_rid", "no").agg(F.countDistinct("seed").alias("hits"))
         # A seed that occurs once in the item covers at most the tokens of a seed; an item of few distinct seeds repeats them.
         distinct = seed_rows.groupBy("no").agg(F.count("*").alias("own"))
@@ -259,8 +261,8 @@ def contaminated(
         spare = F.col("size") - (least - 1) - F.col("own")
         hits = hits.where((F.col("hits") + spare) * least >= p.threshold * F.col("size")).select("_rid", "no")
         pairs = held.dropDuplicates(["_rid"]).select("_id", "_rid", "stretches").join(hits, "_rid").repartition("_rid", "no")
-        pairs = pairs.select("_id", "_rid", "no", "stretches").mapInArrow(
-            _tiled(spark.sparkContext.broadcast(tokens), p), f"_id {id_type}, _rid binary, no int, covered int, item_tokens int, tiles int"
+        pairs = pairs.select("_id", "_rid", "no", "stretches").mapInArrow(released(
+            _tiled(spark.sparkContext.broadcast(tokens), p)), f"_id {id_type}, _rid binary, no int, covered int, item_tokens int, tiles int"
         )
         named = pairs.join(F.broadcast(size_rows.select("no", "item")), "no")
         named = named.select(F.col("_id").alias(key), F.col("item").alias(item), (F.col("covered") / F.col("item_tokens")).alias("coverage"), "covered", "item_tokens", "tiles", "_rid")

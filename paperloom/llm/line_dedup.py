@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, hot_join, key_join, packed, patched, row_key, unpacked
+from paperloom.llm.common import Scratch, hot_join, key_join, packed, patched, released, row_key, unpacked
 
 _MASK = (1 << 64) - 1
 
@@ -119,11 +119,11 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     source = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_rid"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
     ddl = f"_id {id_type}, _rid binary, first int, lines int, hash binary"
-    chunks = scratch.write(source.mapInArrow(_chunk_rows(p, False), ddl), "line_chunks")
+    chunks = scratch.write(source.mapInArrow(released(_chunk_rows(p, False)), ddl), "line_chunks")
     many = scratch.write(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line_hashes")
     wanted = scratch.write(key_join(chunks, many, "hash", "left_semi").select("_rid", "hash"), "line_wanted")
     again = key_join(source, wanted.select("_rid").distinct(), "_rid", "left_semi")
-    bodies = again.mapInArrow(_chunk_rows(p, True), ddl + ", body binary")
+    bodies = again.mapInArrow(released(_chunk_rows(p, True)), ddl + ", body binary")
     bodies = scratch.write(key_join(bodies, many, "hash", "left_semi"), "line_bodies")
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), F.col("first").alias("first"))
     firsts = bodies.groupBy("hash", "body").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, key_join, row_key
+from paperloom.llm.common import Scratch, key_join, released, row_key
 from paperloom.llm.components import components
 from paperloom.llm.hashing import groups, shingle_sets
 
@@ -120,7 +120,7 @@ def frequent_shingles(texts: DataFrame, k: int, frequent: int, scratch: Scratch)
     """
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = 1 << min(max((int(size / 6 / BUCKET_SHINGLES)).bit_length(), 6), 24)
-    counted = texts.select("_text").mapInArrow(_packed(k, buckets), "bucket int, keys binary, more binary")
+    counted = texts.select("_text").mapInArrow(released(_packed(k, buckets)), "bucket int, keys binary, more binary")
     counted = scratch.write(counted.groupBy("bucket").applyInArrow(_counted(frequent), "key long, n long"), "frequent")
     levels = counted.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()  # 64 rows at most
     least, total = frequent + 1, 0
@@ -265,7 +265,7 @@ def ngram_components(
     last, buckets, limit = frequent_shingles(source, k, frequent, scratch)
     sent = spark.sparkContext.broadcast(last)  # MAX_FREQUENT numbers at most
     ddl = f"_id {id_type}, _rid binary, n int, fp binary, gid binary, prefix array<long>, own int"
-    sets = source.mapInArrow(_prefixes(k, percent, sent, buckets), ddl).withColumn("pos", F.monotonically_increasing_id())
+    sets = source.mapInArrow(released(_prefixes(k, percent, sent, buckets)), ddl).withColumn("pos", F.monotonically_increasing_id())
     sets = scratch.write(sets, "sets")
     sent.unpersist()
 
@@ -313,7 +313,7 @@ def ngram_components(
 
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).union(crowds.select("fp")).distinct()
     rids = scratch.write(members.join(wanted, "fp", "left_semi").select("_rid").distinct(), "wanted")
-    tokens = key_join(source, rids, "_rid", "left_semi").select("_text").mapInArrow(_tokens(k), "fp binary, tokens array<long>, bits array<long>")
+    tokens = key_join(source, rids, "_rid", "left_semi").select("_text").mapInArrow(released(_tokens(k)), "fp binary, tokens array<long>, bits array<long>")
     tokens = scratch.write(tokens.dropDuplicates(["fp"]), "tokens")
 
     links = scratch.write(_verified(pairs, tokens, percent), "links")

@@ -54,4 +54,14 @@ reach AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, b.y F
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS low FROM reach GROUP BY 1) m USING (doc_id)"""
 
 
-ORACLES = {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op6_ngram_join": op6()}
+def op7(shards: int = 24) -> str:
+    """The law is told in full; the checksum's table of 256 entries is made by its rule."""
+    crc = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a // 256, steps[xor(a % 256, b) + 1])), 4294967295)"""
+    return f"""WITH crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+sized AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {crc} AS text_crc32 FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents), crc),
+summed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM sized),
+placed AS (SELECT *, least({shards - 1}, CAST((2 * upto - size) * {shards} // (2 * total) AS INTEGER)) AS shard FROM summed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
+
+
+ORACLES = {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op6_ngram_join": op6(), "op7_sharding": op7()}

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import give_back
+
 SYMBOLS = b"#*$%&|<>"
 
 #: Stock phrases of pages around the text, in English, German, French and Spanish; compared in lower case. Fixed values.
@@ -169,6 +171,7 @@ def quality_rules(docs: DataFrame, text: str = "text", params: QualityParams | N
                     columns[-1] = [None] * len(rows)
                 parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], fields=list(RESULT)))
             yield pa.concat_arrays(parts)
+        give_back()
 
     # Marked so that a filter on the verdict does not make Spark judge every text twice.
     return docs.withColumn(into, judged.asNondeterministic()(F.col(text)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, hot_join, packed, patched, row_key, slices, unpacked
+from paperloom.llm.common import Scratch, hot_join, packed, patched, released, row_key, slices, unpacked
 from paperloom.llm.hashing import groups, range_hashes, word_spans
 
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -91,7 +91,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", par
     scratch = scratch or Scratch(docs.sparkSession)
     source = docs.select(F.col(key).alias("_id"), row_key(key, text).alias("_rid"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
-    spans = scratch.write(source.mapInArrow(_run_rows(p), f"_id {id_type}, _rid binary, start int, end int, h1 long, h2 long"), "spans")
+    spans = scratch.write(source.mapInArrow(released(_run_rows(p)), f"_id {id_type}, _rid binary, start int, end int, h1 long, h2 long"), "spans")
     many = scratch.write(spans.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "span_hashes")
     found = scratch.write(hot_join(spans, many, ["h1", "h2"], "n"), "span_repeats")
     scratch.drop("spans")

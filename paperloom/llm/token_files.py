@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, slices, small_batches
+from paperloom.llm.common import Scratch, released, slices, small_batches
 
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
@@ -267,14 +267,14 @@ def write_tokens(docs: DataFrame, vocabulary: WordVocabulary, path: str, end_id:
     scratch = Scratch(spark)
     key_type = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")).alias("_crc"))
-    coded = scratch.write(rows.mapInArrow(_encoded(vocabulary, end_id), f"_crc long, _key {key_type}, _ids binary"), "coded")
+    coded = scratch.write(rows.mapInArrow(released(_encoded(vocabulary, end_id)), f"_crc long, _key {key_type}, _ids binary"), "coded")
     size = coded.agg(F.sum(F.octet_length("_ids"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), 1)
     coded = coded.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
     coded = coded.repartitionByRange(parts, "_key", "_crc", "_salt").sortWithinPartitions("_key", "_crc", "_salt")
     with small_batches(spark):
         # Without compression: a code is where its directory says.
-        coded.select("_key", "_ids").mapInArrow(_segments, _SEGMENTS.format(key_type)).write.mode("overwrite").option("compression", "none").parquet(path)
+        coded.select("_key", "_ids").mapInArrow(released(_segments), _SEGMENTS.format(key_type)).write.mode("overwrite").option("compression", "none").parquet(path)
     scratch.drop()
 
 
@@ -309,7 +309,7 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
     """``key``, start, n_tokens and ids_crc32 of every stored document, read from the files."""
     segments = placed_segments(spark, path)
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    rows = segments.select("doc_ids", "counts", "codes", "start").mapInArrow(_documents, f"key {kind}, start long, n_tokens long, ids_crc32 long")
+    rows = segments.select("doc_ids", "counts", "codes", "start").mapInArrow(released(_documents), f"key {kind}, start long, n_tokens long, ids_crc32 long")
     return rows.withColumnRenamed("key", key)
 
 
