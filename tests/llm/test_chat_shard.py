@@ -61,3 +61,17 @@ def test_shards_with_one_key_one_giant_and_nothing(spark):
     rows = sharding.shard_by_bytes(spark.createDataFrame(same, "doc_id long, text string"), 5).collect()
     check_shards(rows, same, 5)
     assert sharding.shard_by_bytes(spark.createDataFrame([], "doc_id long, text string"), 5).count() == 0
+
+
+def test_shards_match_plain_sums(spark):
+    """The law told again: in key order, each row goes where the middle of its bytes lies."""
+    texts = [(i * 13 % 301, "x" * (i * 7919 % 97)) for i in range(300)] + [(None, "n"), (7, None), (7, "same"), (7, "same")]
+    got = sharding.shard_by_bytes(spark.createDataFrame(texts, "doc_id long, text string"), 9).collect()
+    ordered = sorted(((k is not None, k or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for k, t in texts))
+    total, upto, slots, expected = sum(x[3] for x in ordered), 0, {}, []
+    for known, key, crc, size in ordered:
+        shard = min((2 * upto + size) * 9 // (2 * total), 8)
+        upto += size
+        slots[shard] = slots.get(shard, -1) + 1
+        expected.append((key if known else None, size, crc, shard, slots[shard]))
+    assert sorted(map(str, expected)) == sorted(str((x["doc_id"], x["size"], x["text_crc32"], x["shard"], x["slot"])) for x in got)

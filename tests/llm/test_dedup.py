@@ -58,6 +58,19 @@ def test_components_of_large_near_copy_group(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == brute.components(docs)
 
 
+def test_crowds_of_several_clusters_by_rounds(spark, monkeypatch):
+    """Clusters that share a long passage meet in one crowd; with rounds of pivots and without, all links are found."""
+    r = random.Random(12)
+    hot = text(r, 60)
+    bases = [hot + " " + text(r, 9) for _ in range(6)]
+    docs = [(i, near(r, bases[i % 6], r.randrange(0, 4))) for i in range(150)] + [(400 + i, hot + " " + text(r, 40)) for i in range(30)]
+    expected = brute.components(docs)
+    for plain in (0, 20):
+        monkeypatch.setattr(ngram_join, "PLAIN", plain)
+        out = ngram_join.ngram_components(frame(spark, docs), frequent=20).collect()
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == expected
+
+
 def test_components_of_repeated_rows_and_nulls(spark):
     r = random.Random(3)
     t = text(r, 60)
@@ -103,6 +116,29 @@ def lines(r: random.Random, n: int) -> list[str]:
     return [text(r, 6).replace("\n", " ") for _ in range(n)]
 
 
+def plain_cuts(rows, p):
+    """The chunks again, each boundary hash made from scratch from the last lines' hashes."""
+    import xxhash
+
+    turned = lambda x, n: int(f"{x:064b}"[n:] + f"{x:064b}"[:n], 2)
+    begin, out = 0, []
+    for i in range(len(rows)):
+        value = 0
+        for back in range(min(p.window, i + 1)):
+            value ^= turned(xxhash.xxh3_64_intdigest(rows[i - back].encode()), back)
+        size = i + 1 - begin
+        low = (value * 0x9E3779B97F4A7C15 % 2**64 >> 32) < 2**32 // p.divisor
+        if size == p.max_lines or size >= p.min_lines and low:
+            out.append((begin, size))
+            begin = i + 1
+    left = len(rows) - begin
+    if left == 1 and out:
+        out[-1] = (out[-1][0], out[-1][1] + 1)
+    elif left:
+        out.append((begin, left))
+    return out
+
+
 def plain_line_dedup(docs, p):
     """Every chunk's bytes in order of documents; a chunk seen before goes."""
     seen, out = set(), {}
@@ -111,7 +147,7 @@ def plain_line_dedup(docs, p):
             out[i] = t
             continue
         rows, kept = t.split("\n"), []
-        for first, size in line_dedup.chunk_lines([x.encode() for x in rows], p):
+        for first, size in plain_cuts(rows, p):
             body = "\n".join(rows[first : first + size])
             if size > 1 and body.strip():
                 if body in seen:

@@ -70,3 +70,34 @@ def test_url_model_learns_and_degrades(spark):
     assert right >= 0.95 * len(held)
     assert url_filter.fit_url_model(rows.limit(0)) == 0.0
     assert url_filter.fit_url_model(rows.where("blocked = 1")) == 1.0
+
+
+def test_verdicts_are_those_of_the_fitted_weights(spark):
+    """Every verdict is computed again in plain Python from the model's weights: rules first, then the logistic function."""
+    import math
+    from collections import Counter
+
+    r = random.Random(3)
+    hosts = ["a.net", "news.example.net", "example.com", "x.org", "shop.example.com", "plain.de"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'fr', 'buy'])}/{r.choice(['tea', 'win', 'list'])}{r.randrange(50)}" for _ in range(300)] + [None, "", "no scheme", "http://plain.de"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "id long, url string")
+    model = url_filter.fit_url_model(rows.selectExpr("id", "url", "CASE WHEN url LIKE '%win%' THEN 1 ELSE 0 END AS blocked"))
+    tf, lr = model.stages
+    weights, base = lr.coefficients.toArray(), lr.intercept
+    p, verdicts = url_filter.UrlModelParams(), []
+    for x in url_filter.filter_urls(rows, model, RULES).collect():
+        rest = (x["url"] or "").split("://", 1)
+        host, path = "", ""
+        if len(rest) == 2:
+            cut = min([rest[1].index(c) for c in "/?#" if c in rest[1]] or [len(rest[1])])
+            host, path = rest[1][:cut].lower(), rest[1][cut:].split("?")[0].split("#")[0]
+        fits = [rule for rule in RULES if (host == rule.host or host.endswith("." + rule.host)) and path.startswith(rule.path)]
+        if fits:
+            expected = max(fits, key=lambda rule: len(rule.text)).verdict
+        else:
+            grams = [mark + part[i : i + n] for mark, part in (("h:", host), ("p:", path)) for n in p.ngrams for i in range(max(len(part) - n + 1, 1))]
+            score = base + sum(weights[tf.indexOf(g)] * c for g, c in Counter(grams).items())
+            expected = "block" if 1 / (1 + math.exp(-score)) > p.threshold else "allow"
+        assert (x["host"], x["path"], x["verdict"]) == (host, path, expected)
+        verdicts.append(expected)
+    assert {"allow", "block"} == set(verdicts)

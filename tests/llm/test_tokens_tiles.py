@@ -137,3 +137,25 @@ def test_short_items_and_scripts_without_spaces(spark):
     every = {(1, 1), (3, 2), (5, 3), (6, 1), (6, 4), (8, 7)}
     assert found() == every and found(block_chars=20) == every
     assert found(min_item=2) == every - {(8, 7)}
+
+
+def test_repeated_tokens_are_tiled_in_time():
+    import time
+
+    began = time.time()
+    assert decontaminate.tile([1] * 400, [1] * 4000, 5) == [(0, 0, 400)]
+    assert time.time() - began < 2
+
+
+def test_tiles_in_blocks_of_pairs_match_plain_version(monkeypatch):
+    r = random.Random(40)
+    for _ in range(300):
+        kinds = r.choice([2, 3, 8])
+        item = [r.randrange(kinds) for _ in range(r.randrange(1, 25))]
+        text = [None if r.random() < 0.1 else r.randrange(kinds) for _ in range(r.randrange(1, 40))]
+        least = r.choice([1, 2, 3, 5])
+        found = decontaminate.tile(item, text, least)
+        assert sum(n for _, _, n in found) == brute.tiles(item, text, least)
+        monkeypatch.setattr(decontaminate, "PAIRS", 3)
+        assert decontaminate.tile(item, text, least) == found
+        monkeypatch.undo()
