@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from paperloom import rules
 
 
+#: All characters up to U+0020.
+_LOW = "".join(map(chr, range(0x21)))
+#: Any noise rule: most lines meet none, so one search settles them.
+_ANY_NOISE = "|".join(f"(?:{pattern})" for _, pattern in rules.NOISE_RULES)
+
+
 def trim_all(text: Column) -> Column:
     """Without characters up to U+0020 at both ends."""
-    return F.regexp_replace(text, rules.EDGES, "")
+    return F.btrim(text, F.lit(_LOW))
 
 
 def collapse(text: Column) -> Column:
@@ -27,9 +33,9 @@ def has_any(text: Column, parts) -> Column:
 def noise_rule(line: Column) -> Column:
     """Name of the first noise rule that a line meets, or null."""
     low = F.lower(trim_all(line))
-    out = None
+    out = F.when(~low.rlike(_ANY_NOISE), F.lit(None).cast("string"))
     for name, pattern in rules.NOISE_RULES:
-        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
+        out = out.when(low.rlike(pattern), name)
     return out
 
 
@@ -38,7 +44,7 @@ def clean_text(text: Column) -> Column:
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     t = F.regexp_replace(t, r"([A-Za-z])-\n([A-Za-z])", "$1$2")
     lines = F.transform(F.split(t, "\n"), trim_all)
-    lines = F.filter(lines, lambda x: ~x.rlike(r"^\d{1,4}$") & noise_rule(x).isNull())
+    lines = F.filter(lines, lambda x: ~x.rlike(r"^\d{1,4}$") & ~F.lower(x).rlike(_ANY_NOISE))
     lines = F.transform(lines, lambda x: F.regexp_replace(x, r"[ \t]+", " "))
     return trim_all(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 

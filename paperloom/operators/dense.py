@@ -70,6 +70,11 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, dim_norm: float = 2
     return topk(both.select("query_id", "point_id", F.round(cosine(F.col("query"), F.col("embedding")), 8).alias("score")), k, ("query_id",), "point_id")
 
 
+def fact_text(*columns: str) -> Column:
+    """What is embedded of a fact: its parts that are there, each on a line."""
+    return F.concat_ws("\n", *columns)
+
+
 def derived_id(kind: str, key: Column) -> Column:
     """A name-based UUID (version 3) of ``KIND:id``."""
     h = F.md5(F.concat(F.lit(kind + ":"), key.cast("string")))

@@ -31,6 +31,50 @@ def rrf(routes: DataFrame, top: int, k: int = rules.RRF_K) -> DataFrame:
     return topk(fused, top, (Q,), "key", "rrf")
 
 
+def hydrate(hits: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
+    """Hits with what their chunks and papers say; hits of references, noise and chunks that are gone are dropped."""
+    live = chunks.where(~F.coalesce("is_reference", F.lit(False)) & ~F.coalesce("is_noise", F.lit(False)))
+    rows = hits.join(live.drop("is_reference", "is_noise"), "chunk_id").join(papers.select("paper_id", "title"), "paper_id", "left")
+    return rows.withColumn("title", F.coalesce("title", F.lit(rules.UNKNOWN_TITLE)))
+
+
+def hybrid_retrieve(asked: DataFrame, rewritten: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
+    """question_id, key, rrf, rank from three routes (question_id, chunk_id, rank), each cut at 3 k, 30 at most.
+
+    ``rewritten`` has rows only for questions whose rewriting says something else.
+    """
+    most, routes = min(3 * k, 30), None
+    for name, rows in (("dense", asked), ("rewritten", rewritten), ("lexical", lexical)):
+        rows = rows.where(F.col("rank") <= most).select(Q, F.col("chunk_id").alias("key"), F.lit(name).alias("route"), "rank")
+        routes = rows if routes is None else routes.unionByName(rows)
+    return rrf(routes, k)
+
+
+def discover(routes: DataFrame, meta: DataFrame, questions: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """question_id, pos, paper_id, key: evidence for questions to the whole library.
+
+    ``routes`` (question_id, route, source_type, chunk_id, score, rank) are fused inside each source type, each cut at
+    3 k, 30 at most; the papers are ranked by the fused hits and by how many ``terms`` (question_id, term) these hold,
+    cut by the question's phrase, and dealt. ``meta`` has chunk_id, paper_id, title, section_title and content.
+    """
+    most = min(3 * k, 30)
+    rows = routes.where(F.col("rank") <= most).withColumn("key", source_key())
+    fused = None
+    for kind, _ in rules.TYPE_WEIGHTS:
+        part = rrf(rows.where(F.col("source_type") == kind).select(Q, "key", "route", "rank"), most)
+        part = part.select(Q, "key", F.col("rrf").alias("score"), F.lit(kind).alias("source_type"))
+        fused = part if fused is None else fused.unionByName(part)
+    hits = fused.withColumn("chunk_id", F.substring_index("key", ":", -1).cast("long")).withColumn("hit_id", F.col("chunk_id")).join(meta, "chunk_id")
+    reviews = hits.where(is_review(F.col("title"))).select(Q, "paper_id").distinct()
+    ranked = rank_papers(hits, most, term_coverage(hits, terms), reviews)
+    chosen = select_candidates(ranked, questions, k)
+    order = F.row_number().over(Window.partitionBy(Q).orderBy("rank")).alias("rank")
+    listed = terms.groupBy(Q).agg(F.collect_set("term").alias("terms"))
+    text = F.lower(F.concat_ws(" ", "title", "section_title", "content"))
+    rows = hits.join(listed, Q, "left").withColumns({"background": background_only(F.col("section_title"), F.col("content")), "matches": F.coalesce(F.size(F.filter("terms", lambda t: text.contains(F.lower(t)))), F.lit(0))})
+    return round_robin(rows, chosen.select(Q, "paper_id", order), k)
+
+
 def aggregate_by_paper(hits: DataFrame, top: int) -> DataFrame:
     """question_id, paper_id, hits, max_score, avg_score, score, rank: half by share of hits, half by best score."""
     per = hits.where("paper_id IS NOT NULL").groupBy(Q, "paper_id").agg(

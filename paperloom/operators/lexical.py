@@ -24,11 +24,18 @@ def tokenize(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, tokens(F.col(text)).alias("tokens"))
 
 
+def _sized(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """key, tokens, doc_len of the chunks that have a token."""
+    return tokenize(chunks, key, text).where(F.size("tokens") > 0).withColumn("doc_len", F.size("tokens").cast("long"))
+
+
+def _counted(toks: DataFrame, key: str) -> DataFrame:
+    return toks.groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """key, term, tf, doc_len. Terms are counted inside each chunk's row before anything is exploded or shuffled."""
-    toks = tokenize(chunks, key, text).where(F.size("tokens") > 0).withColumn("doc_len", F.size("tokens").cast("long"))
-    terms = toks.select(key, "doc_len", F.explode("tokens").alias("term"))
-    return terms.groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
+    """key, term, tf, doc_len. Terms are counted in each task, as a chunk lies in one, before counts are shuffled."""
+    return _counted(_sized(chunks, key, text).select(key, "doc_len", F.explode("tokens").alias("term")), key)
 
 
 def doc_freq(posts: DataFrame) -> DataFrame:
@@ -46,6 +53,17 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content")
     return LexicalIndex(posts, doc_freq(posts), corpus_stats(chunks, key, text))
 
 
+def query_index(questions: DataFrame, chunks: DataFrame, question: str = "question", qkey: str = "question_id", key: str = "chunk_id", text: str = "content") -> LexicalIndex:
+    """The index as far as ``questions`` need it, for a set of questions that is asked once.
+
+    Tokens meet the questions' terms where they lie, so that only postings of these terms are counted and shuffled; their
+    document frequencies and the statistics are those of all chunks.
+    """
+    wanted = tokenize(questions, qkey, question).select(F.explode("tokens").alias("term")).distinct()
+    posts = _counted(_sized(chunks, key, text).select(key, "doc_len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi"), key)
+    return LexicalIndex(posts, doc_freq(posts), corpus_stats(chunks, key, text))
+
+
 def bm25(questions: DataFrame, index: LexicalIndex, question: str = "question", qkey: str = "question_id", key: str = "chunk_id") -> DataFrame:
     """qkey, key, score for every pair that shares a term; a repeated question term counts again.
 
@@ -66,16 +84,16 @@ def topk(scored: DataFrame, k: int, partition=("question_id",), key: str = "chun
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_scoped(questions: DataFrame, index: LexicalIndex, chunks: DataFrame, scope: DataFrame, k: int, mode: str = "post", key: str = "chunk_id") -> DataFrame:
-    """Top ``k`` inside ``scope`` (question_id, paper_id), without references and noise.
+def bm25_scoped(questions: DataFrame, index: LexicalIndex, chunks: DataFrame, scope: DataFrame | None, k: int, mode: str = "post", key: str = "chunk_id") -> DataFrame:
+    """Top ``k`` among ``chunks`` without references and noise, inside ``scope`` (question_id, paper_id) if there is one.
 
-    ``post`` filters after the limit, so that fewer may be left; ``pre`` filters before it.
+    A scope that holds for all questions is a filter of ``chunks``. ``post`` filters after the limit, so that fewer may
+    be left; ``pre`` filters before it.
     """
     meta = chunks.where(~F.col("is_reference") & ~F.col("is_noise")).select(key, "paper_id")
+    inside = lambda rows: rows.join(meta, key) if scope is None else rows.join(meta, key).join(scope, ["question_id", "paper_id"], "left_semi")
     scored = bm25(questions, index)
-    if mode == "post":
-        return topk(scored, k).join(meta, key).join(scope, ["question_id", "paper_id"], "left_semi")
-    return topk(scored.join(meta, key).join(scope, ["question_id", "paper_id"], "left_semi"), k)
+    return inside(topk(scored, k)) if mode == "post" else topk(inside(scored), k)
 
 
 def index_report(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:

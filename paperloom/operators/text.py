@@ -139,10 +139,12 @@ def extract_equations(pages: DataFrame, key: str, text: str = "text", most: int
 
 
 def extract_algorithms(pages: DataFrame, key: str, text: str = "text", chars: int = 1200) -> DataFrame:
-    """key, label, context: lines that name an algorithm, with the text from there on."""
-    at = F.regexp_instr(F.lower(F.col(text)), F.lit(r"(^|\n)[ \t]*(algorithm|pseudocode)"), F.lit(0))
-    rows = pages.withColumn("at", at).where("at > 0")
-    return rows.select(key, F.col("at").cast("long").alias("at"), T.collapse(F.substring(F.col(text), F.col("at"), F.lit(chars))).alias("context"))
+    """key, at, context: every line that names an algorithm or speaks of encoding, processing and decoding, with the text from there on."""
+    parts = F.split(F.concat(F.lit("\n"), F.col(text)), rules.ALGORITHM_LINE)
+    # The line end put before makes the lengths so far the place of each part but the first.
+    places = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
+    rows = pages.where(F.size(parts) > 1).select(key, F.col(text).alias("_t"), F.explode(F.slice(places, 1, F.size(parts) - 1)).alias("at"))
+    return rows.select(key, "at", T.collapse(F.substring(F.col("_t"), F.col("at"), F.lit(chars))).alias("context"))
 
 
 def nearby_text(text: Column, start: Column, chars: int) -> Column:

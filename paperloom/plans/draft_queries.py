@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom import rules
@@ -13,11 +13,11 @@ from paperloom.plans.views_sql import add_view, over, trimmed
 from paperloom.sources import views as V
 
 
-@query(f"SELECT item_id AS question_id, 0 AS pos, {trimmed('substr(text, 1, 60)')} AS variant FROM benchmark WHERE item_id % 3 <> 0 UNION ALL SELECT item_id, 1, {trimmed('concat(chr(81), chr(32), substr(text, 1, 20))')} FROM benchmark WHERE item_id % 3 = 1 UNION ALL SELECT item_id, 0, text FROM benchmark WHERE item_id % 3 = 0")
+@query(f"SELECT item_id AS question_id, 0 AS pos, {trimmed('text')} AS variant FROM benchmark WHERE item_id % 3 <> 0 UNION ALL SELECT item_id, 1, {trimmed('concat(chr(81), chr(32), text)')} FROM benchmark WHERE item_id % 3 = 1 UNION ALL SELECT item_id, 0, text FROM benchmark WHERE item_id % 3 = 0")
 def e6_query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, t = F.col("item_id"), F.col("text")
     b = V.table(spark, sf_dir, "benchmark").select(
-        i.alias("question_id"), t.alias("question"), F.when(i % 3 != 0, F.substring(t, 1, 60)).alias("a"), F.when(i % 3 == 1, F.concat(F.lit("Q "), F.substring(t, 1, 20))).otherwise("  ").alias("b"), F.when(i % 3 != 0, F.substring(t, 1, 60)).alias("c")
+        i.alias("question_id"), t.alias("question"), F.when(i % 3 != 0, t).alias("a"), F.when(i % 3 == 1, F.concat(F.lit("Q "), t)).otherwise("  ").alias("b"), F.when(i % 3 != 0, F.concat(F.lit(" "), t)).alias("c")
     )
     return R.query_variants(b, ("a", "b", "c"))
 
@@ -40,10 +40,10 @@ def e16_filter_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.filter_by_section(rows, ("Methods", "Experiment")).select("question_id", "chunk_id")
 
 
-@query(f"SELECT conv_id, turn, NOT regexp_matches(q, '{rules.EXPLICIT_PAPER}') AND (regexp_matches(q, '{rules.NEEDS_CONTEXT}') OR (length(q) <= 12 AND NOT regexp_matches(q, '[A-Za-z]{{3,}}'))) AS needs FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN substr(text, 1, 10) WHEN 1 THEN '继续 ' || text ELSE 'paper ' || conv_id || ' 它' END AS q FROM conversations)")
+@query(f"SELECT conv_id, turn, NOT regexp_matches(q, '{rules.EXPLICIT_PAPER}') AND (regexp_matches(q, '{rules.NEEDS_CONTEXT}') OR (length(q) <= 12 AND NOT regexp_matches(q, '[A-Za-z]{{3,}}'))) AS needs FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN CASE WHEN conv_id % 2 = 0 THEN turn || '?' ELSE text END WHEN 1 THEN '继续 ' || text ELSE 'paper ' || conv_id || ' 它' END AS q FROM conversations)")
 def g4_needs_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn") % 3
-    q = F.when(k == 0, F.substring("text", 1, 10)).when(k == 1, F.concat(F.lit("继续 "), "text")).otherwise(F.concat(F.lit("paper "), "conv_id", F.lit(" 它")))
+    q = F.when(k == 0, F.when(F.col("conv_id") % 2 == 0, F.concat("turn", F.lit("?"))).otherwise(F.col("text"))).when(k == 1, F.concat(F.lit("继续 "), "text")).otherwise(F.concat(F.lit("paper "), "conv_id", F.lit(" 它")))
     return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", R.needs_history(q).alias("needs"))
 
 
@@ -54,18 +54,27 @@ def g8_session_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.session_papers(m)
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || '；' || user_id WHEN 1 THEN event_type WHEN 2 THEN CAST(user_id AS VARCHAR) END AS value FROM events")
+#: A text as one line of words, which JSON takes as it is.
+_CLEAN = r"[^\p{L}\p{N}]+"
+_WORDS = f"trim(regexp_replace(text, '{_CLEAN}', ' ', 'g'))"
+
+
+def _words() -> Column:
+    return F.trim(F.regexp_replace("text", _CLEAN, " "))
+
+
+@query(f"SELECT doc_id, md5(coalesce(CASE doc_id % 4 WHEN 0 THEN {_WORDS} || '；' || doc_id WHEN 1 THEN {_WORDS} WHEN 2 THEN {_WORDS} || ' as it is' END, '~')) AS value FROM documents")
 def h5_flex_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.concat(F.lit('["'), "event_type", F.lit('", null, '), "user_id", F.lit("]"))).when(k == 1, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k == 2, F.col("user_id").cast("string")).otherwise("[]")
-    return V.table(spark, sf_dir, "events").select("event_id", R.flex_string(raw).alias("value"))
+    i = F.col("doc_id")
+    raw = F.when(i % 4 == 0, F.concat(F.lit('["'), _words(), F.lit('", null, '), i, F.lit("]"))).when(i % 4 == 1, F.concat(F.lit('"'), _words(), F.lit('"'))).when(i % 4 == 2, F.concat(_words(), F.lit(" as it is"))).otherwise("[]")
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(R.flex_string(raw), F.lit("~"))).alias("value"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE substr('no json, ' || event_type || ' only, and it is long', 1, 30) END AS title FROM events")
+@query(f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN {_WORDS} ELSE substr('no json, ' || {_WORDS} || ' only, and it is long', 1, 30) END) AS title FROM documents")
 def h6_salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = F.concat(F.lit('Sure:\n```json\n{"title": "'), "event_type", F.lit('", "n": {"a": 1}}\n``` done'))
-    raw = F.when(F.col("event_id") % 2 == 0, good).otherwise(F.concat(F.lit("no json, "), "event_type", F.lit(" only, and it is long")))
-    return V.table(spark, sf_dir, "events").select("event_id", R.salvage_json(raw, "title").alias("title"))
+    good = F.concat(F.lit('Sure:\n```json\n{"title": "'), _words(), F.lit('", "n": {"a": 1}}\n``` done'))
+    raw = F.when(F.col("doc_id") % 2 == 0, good).otherwise(F.concat(F.lit("no json, "), _words(), F.lit(" only, and it is long")))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(R.salvage_json(raw, "title")).alias("title"))
 
 
 @query(
@@ -121,21 +130,21 @@ def j18_top_section_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 add_view(
     "ideas",
     (),
-    "SELECT doc_id AS idea_id, substr(text, 1, 25) AS title, 'Tag' || (doc_id % 6) || ',' || lang AS tags, ['draft', 'idea', 'todo', 'implemented', 'manual'][doc_id % 5 + 1] AS save_type, CASE WHEN doc_id % 2 = 0 THEN 'rag_chat' ELSE 'own' END AS source_type, CASE WHEN doc_id % 3 > 0 THEN doc_id % 40 END AS session_id, doc_id AS update_time FROM documents",
+    "SELECT doc_id AS idea_id, text AS title, 'Tag' || (doc_id % 6) || ',' || lang AS tags, ['draft', 'idea', 'todo', 'implemented', 'manual'][doc_id % 5 + 1] AS save_type, CASE WHEN doc_id % 2 = 0 THEN 'rag_chat' ELSE 'own' END AS source_type, CASE WHEN doc_id % 3 > 0 THEN doc_id % 40 END AS session_id, doc_id AS update_time FROM documents",
 )
 
 
 def _ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return V.table(spark, sf_dir, "documents").select(
-        i.alias("idea_id"), F.substring("text", 1, 25).alias("title"), F.concat(F.lit("Tag"), i % 6, F.lit(","), "lang").alias("tags"), V.pick((*rules.SAVE_TYPES, "manual"), i % 5).alias("save_type"),
+        i.alias("idea_id"), F.col("text").alias("title"), F.concat(F.lit("Tag"), i % 6, F.lit(","), "lang").alias("tags"), V.pick((*rules.SAVE_TYPES, "manual"), i % 5).alias("save_type"),
         F.when(i % 2 == 0, "rag_chat").otherwise("own").alias("source_type"), F.when(i % 3 > 0, i % 40).alias("session_id"), i.alias("update_time"),
     )
 
 
-@query(over("SELECT idea_id, title FROM ideas WHERE (contains(lower(title), 'tag3') OR contains(lower(tags), 'tag3')) AND save_type = 'idea'", "ideas"))
+@query(over("SELECT idea_id, md5(title) AS title FROM ideas WHERE (contains(lower(title), 'tag3') OR contains(lower(tags), 'tag3')) AND save_type = 'idea'", "ideas"))
 def k1_search_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.search_ideas(_ideas(spark, sf_dir), "TAG3", save_type="idea").select("idea_id", "title")
+    return R.search_ideas(_ideas(spark, sf_dir), "TAG3", save_type="idea").select("idea_id", F.md5("title").alias("title"))
 
 
 @query(over("SELECT count(*) FILTER (WHERE save_type = 'draft') AS draft, count(*) FILTER (WHERE save_type = 'idea') AS idea, count(*) FILTER (WHERE save_type = 'todo') AS todo, count(*) FILTER (WHERE save_type = 'implemented') AS implemented, count(*) FILTER (WHERE save_type <> 'manual') AS total FROM ideas", "ideas"))

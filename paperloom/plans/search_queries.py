@@ -9,7 +9,7 @@ from paperloom import rules
 from paperloom.functions.text import tokens
 from paperloom.operators import dense, fusion, lexical
 from paperloom.plans.catalog import query
-from paperloom.plans.views_sql import add_view, listed, over, quoted
+from paperloom.plans.views_sql import add_view, choice, listed, over, quoted
 from paperloom.sources import views as V
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({x}, '')), {p}), lambda w: length(w) >= 2 AND NOT list_contains([{s}], w))"
@@ -39,7 +39,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lexical.bm25(V.questions(spark, sf_dir), lexical.build_index(_docs(spark, sf_dir)))
+    questions = V.questions(spark, sf_dir)
+    out = lexical.bm25(questions, lexical.query_index(questions, _docs(spark, sf_dir)))
     return out.withColumn("score", F.round("score", 8))
 
 
@@ -63,10 +64,9 @@ def c4_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.corpus_stats(_docs(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(over("SELECT question_id, chunk_id, CAST(floor(score * 1000) AS BIGINT) AS milli_score FROM scored", "scored"))
+@query(over("SELECT question_id, chunk_id, round(score, 6) AS score FROM scored", "scored"))
 def c5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lexical.bm25(V.questions(spark, sf_dir), lexical.build_index(_docs(spark, sf_dir)))
-    return out.select("question_id", "chunk_id", F.floor(F.col("score") * 1000).alias("milli_score"))
+    return _scored(spark, sf_dir).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def _topped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,15 +79,13 @@ def c6_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scoped(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    chunks = V.chunks(spark, sf_dir)
-    index = lexical.build_index(_docs(spark, sf_dir))
-    scope = V.questions(spark, sf_dir).select("question_id").crossJoin(V.paper_rows(spark, sf_dir).where("paper_id % 3 = 0").select("paper_id"))
-    out = lexical.bm25_scoped(V.questions(spark, sf_dir), index, chunks, scope, 10, mode)
-    return out.select("question_id", "chunk_id", "paper_id")
+    meta = V.chunks(spark, sf_dir).where("paper_id % 3 = 0")
+    return lexical.bm25_scoped(V.questions(spark, sf_dir), lexical.build_index(_docs(spark, sf_dir)), meta, None, 10, mode).select("question_id", "chunk_id", "paper_id")
 
 
 @query(over("SELECT question_id, chunk_id, paper_id FROM topped JOIN chunks USING (chunk_id) WHERE NOT is_reference AND NOT is_noise AND paper_id % 3 = 0", "topped", "chunks"))
 def c7_scoped_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scope for all questions: a filter of the chunks."""
     return _scoped(spark, sf_dir, "post")
 
 
@@ -177,7 +175,7 @@ def d6_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over("SELECT unit_id, concat_ws(chr(10), knowledge_type, subject_text, object_value, evidence_text) AS fact_text FROM units", "units"))
 def d7_fact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.units(spark, sf_dir).select("unit_id", F.concat_ws("\n", "knowledge_type", "subject_text", "object_value", "evidence_text").alias("fact_text"))
+    return V.units(spark, sf_dir).select("unit_id", dense.fact_text("knowledge_type", "subject_text", "object_value", "evidence_text").alias("fact_text"))
 
 
 @query()
@@ -185,6 +183,42 @@ def d8_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.lsh_topk(V.vector_queries(spark, sf_dir), V.vectors(spark, sf_dir), 5)
 
 
+# --- hits
+
+
+def _near_sql(queries: str, n: int) -> str:
+    return f"SELECT query_id AS question_id, point_id AS chunk_id, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS r FROM (SELECT query_id, point_id, {_COS} AS score FROM vectors CROSS JOIN {queries})) WHERE r <= {n}"
+
+
+ROUTE_NAMES = ("dense", "rewritten", "lexical")
+add_view("near_asked", ("vectors", "vector_queries"), _near_sql("vector_queries", 10))
+add_view("near_rewritten", ("vectors", "vector_queries2"), _near_sql("vector_queries2", 10))
+add_view(
+    "hits",
+    ("topped", "near_asked", "near_rewritten"),
+    f"""SELECT question_id, {choice(ROUTE_NAMES, "r")} AS route, {choice(V.VECTOR_TYPES, "chunk_id % 3")} AS source_type, chunk_id // 6 + 1 AS paper_id, chunk_id, round(score, 6) AS score, chunk_id * 3 + r AS hit_id FROM (
+  SELECT question_id, chunk_id, 0 AS r, score FROM near_asked UNION ALL SELECT question_id, chunk_id, 1, score FROM near_rewritten UNION ALL SELECT question_id, chunk_id, 2, round(score, 8) FROM topped)""",
+)
+
+
+def _near(spark: SparkSession, sf_dir: str, at: int, n: int) -> DataFrame:
+    out = dense.cosine_topk(V.vector_queries(spark, sf_dir, at), V.vectors(spark, sf_dir), n)
+    return out.select(F.col("query_id").alias("question_id"), F.col("point_id").alias("chunk_id"), "score", "rank")
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three routes find for the questions in all documents and vectors: the text, the question's vector and a rewritten one's."""
+    routes = (_near(spark, sf_dir, 0, 10), _near(spark, sf_dir, 50, 10), _topped(spark, sf_dir))
+    found = None
+    for r, rows in enumerate(routes):
+        rows = rows.select("question_id", "chunk_id", F.lit(r).alias("r"), "score")
+        found = rows if found is None else found.unionByName(rows)
+    c = F.col("chunk_id")
+    return found.select(
+        "question_id", V.pick(ROUTE_NAMES, F.col("r")).alias("route"), V.pick(V.VECTOR_TYPES, c % 3).alias("source_type"), (F.floor(c / 6) + 1).alias("paper_id"), "chunk_id", F.round("score", 6).alias("score"), (c * 3 + F.col("r")).alias("hit_id")
+    )
+
+
 # --- fusion
 
 add_view("routed", ("hits",), "SELECT *, source_type || ':' || chunk_id AS key, row_number() OVER (PARTITION BY question_id, route ORDER BY score DESC, hit_id) AS rank FROM hits")
@@ -197,7 +231,7 @@ add_view(
 
 @query(over("SELECT question_id, key, round(rrf, 8) AS rrf FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, key) AS r FROM fused) WHERE r <= 10", "fused"))
 def e2_e3_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = fusion.ranked_routes(V.hits(spark, sf_dir)).withColumn("key", fusion.source_key())
+    routes = fusion.ranked_routes(_hits(spark, sf_dir)).withColumn("key", fusion.source_key())
     return fusion.rrf(routes, 10).select("question_id", "key", F.round("rrf", 8).alias("rrf"))
 
 
@@ -210,29 +244,41 @@ def e2_e3_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def e1_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = V.chunks(spark, sf_dir).where(~F.col("is_reference") & ~F.col("is_noise")).select("chunk_id", "paper_id", "section_type")
-    rows = V.hits(spark, sf_dir).drop("paper_id").join(chunks, "chunk_id").join(V.paper_rows(spark, sf_dir).select("paper_id", "title"), "paper_id", "left")
+    rows = fusion.hydrate(_hits(spark, sf_dir).drop("paper_id"), V.chunks(spark, sf_dir), V.paper_rows(spark, sf_dir))
     return rows.select("hit_id", "question_id", "chunk_id", "title", "section_type")
 
 
 @query(
     over(
-        """SELECT question_id, key, round(rrf, 8) AS rrf FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, key) AS r FROM (
-  SELECT question_id, key, round(sum(1.0 / (60 + rank)), 10) AS rrf FROM (
-    SELECT question_id, chunk_id AS key, 'lexical' AS route, rank FROM topped
-    UNION ALL SELECT query_id, point_id, 'dense', r FROM (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY """
-        + _COS
-        + """ DESC, point_id) AS r FROM vectors CROSS JOIN vector_queries) WHERE r <= 10) GROUP BY ALL)) WHERE r <= 5""",
+        f"""SELECT question_id, key, round(rrf, 8) AS rrf FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, key) AS r FROM (
+  SELECT question_id, key, round(sum(1.0 / ({rules.RRF_K} + rank)), 10) AS rrf FROM (SELECT question_id, chunk_id AS key, 'lexical' AS route, rank FROM topped
+    UNION ALL SELECT question_id, chunk_id, 'dense', rank FROM near_asked UNION ALL SELECT question_id, chunk_id, 'rewritten', rank FROM near_rewritten WHERE question_id % 3 > 0) GROUP BY ALL)) WHERE r <= 5""",
         "topped",
-        "vectors",
-        "vector_queries",
+        "near_asked",
+        "near_rewritten",
     )
 )
 def e4_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = lexical.topk(_scored(spark, sf_dir), 10).select("question_id", F.col("chunk_id").alias("key"), F.lit("lexical").alias("route"), "rank")
-    near = dense.cosine_topk(V.vector_queries(spark, sf_dir), V.vectors(spark, sf_dir), 10)
-    near = near.select(F.col("query_id").alias("question_id"), F.col("point_id").alias("key"), F.lit("dense").alias("route"), "rank")
-    return fusion.rrf(lex.unionByName(near), 5).select("question_id", "key", F.round("rrf", 8).alias("rrf"))
+    """Three routes; a third of the questions were not rewritten, so that they have two."""
+    again = _near(spark, sf_dir, 50, 10).where("question_id % 3 > 0")
+    out = fusion.hybrid_retrieve(_near(spark, sf_dir, 0, 10), again, _topped(spark, sf_dir), 5)
+    return out.select("question_id", "key", F.round("rrf", 8).alias("rrf"))
+
+
+add_view("variant_terms", ("questions",), f"SELECT DISTINCT question_id, unnest({tokens_sql('question')}) AS term FROM questions")
+
+
+@query()
+def e5_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two variants of each question, each searched by type; the text's hits join the raw pool."""
+    variants = None
+    for n, at in enumerate((0, 50)):
+        found = dense.cosine_topk(V.vector_queries(spark, sf_dir, at), V.vectors(spark, sf_dir), 10, by_type=True)
+        found = found.select(F.col("query_id").alias("question_id"), F.lit(f"dense_{n}").alias("route"), F.col("content_type").alias("source_type"), F.col("point_id").alias("chunk_id"), "score", "rank")
+        variants = found if variants is None else variants.unionByName(found)
+    lex = _topped(spark, sf_dir).select("question_id", F.lit("bm25").alias("route"), F.lit("raw_chunk").alias("source_type"), "chunk_id", "score", "rank")
+    meta = V.chunks(spark, sf_dir).select("chunk_id", "paper_id", "section_title", "content").join(V.paper_rows(spark, sf_dir).select("paper_id", "title"), "paper_id", "left")
+    return fusion.discover(variants.unionByName(lex), meta, _asked(spark, sf_dir), _hit_terms(spark, sf_dir), 6).withColumn("pos", F.col("pos").cast("long"))
 
 
 add_view(
@@ -245,11 +291,11 @@ add_view(
 
 @query(over("SELECT question_id, paper_id, hits, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, paper_id) AS r FROM by_paper) WHERE r <= 5", "by_paper"))
 def e7_aggregate_by_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.aggregate_by_paper(V.hits(spark, sf_dir), 5).select("question_id", "paper_id", "hits", F.round("score", 6).alias("score"))
+    return fusion.aggregate_by_paper(_hits(spark, sf_dir), 5).select("question_id", "paper_id", "hits", F.round("score", 6).alias("score"))
 
 
 _WEIGHT = "CASE source_type " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in rules.TYPE_WEIGHTS) + " END"
-add_view("hit_terms", ("questions",), f"SELECT question_id, term FROM (SELECT question_id, unnest({tokens_sql('question')}[1:4]) AS term FROM questions) GROUP BY ALL")
+add_view("hit_terms", ("questions",), f"SELECT question_id, term FROM (SELECT question_id, unnest({tokens_sql('question')}) AS term FROM questions) GROUP BY ALL")
 add_view("hit_texts", ("hits", "chunks", "paper_rows"), "SELECT h.*, coalesce(p.title, '') AS title, c.content FROM hits h JOIN chunks c USING (chunk_id) LEFT JOIN paper_rows p ON p.paper_id = h.paper_id")
 add_view(
     "coverage",
@@ -276,18 +322,18 @@ add_view(
 def _hit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = V.chunks(spark, sf_dir).select("chunk_id", "content")
     titles = V.paper_rows(spark, sf_dir).select("paper_id", "title")
-    return V.hits(spark, sf_dir).join(chunks, "chunk_id").join(titles, "paper_id", "left")
+    return _hits(spark, sf_dir).join(chunks, "chunk_id").join(titles, "paper_id", "left")
 
 
 def _hit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.questions(spark, sf_dir).select("question_id", F.explode(F.slice(tokens(F.col("question")), 1, 4)).alias("term")).distinct()
+    return V.questions(spark, sf_dir).select("question_id", F.explode(tokens(F.col("question"))).alias("term")).distinct()
 
 
 def _ranked(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
     texts = _hit_texts(spark, sf_dir)
     coverage = fusion.term_coverage(texts, _hit_terms(spark, sf_dir))
-    reviews = V.hits(spark, sf_dir).join(V.paper_rows(spark, sf_dir), "paper_id").where(fusion.is_review(F.col("title"))).select("question_id", "paper_id").distinct()
-    return fusion.rank_papers(V.hits(spark, sf_dir), top, coverage, reviews)
+    reviews = _hits(spark, sf_dir).join(V.paper_rows(spark, sf_dir), "paper_id").where(fusion.is_review(F.col("title"))).select("question_id", "paper_id").distinct()
+    return fusion.rank_papers(_hits(spark, sf_dir), top, coverage, reviews)
 
 
 @query(over("SELECT question_id, paper_id, round(coverage, 6) AS coverage FROM coverage", "coverage"))
@@ -334,7 +380,7 @@ add_view("rr3", ("rr2",), "SELECT question_id, coalesce(min(CASE WHEN added = 0
     )
 )
 def e12_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.hits(spark, sf_dir).withColumns({"key": fusion.source_key(), "background": F.col("hit_id") % 5 == 0, "matches": F.col("hit_id") % 3})
+    rows = _hits(spark, sf_dir).withColumns({"key": fusion.source_key(), "background": F.col("hit_id") % 5 == 0, "matches": F.col("hit_id") % 3})
     return fusion.round_robin(rows, _ranked(spark, sf_dir, 4), 12).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -358,7 +404,7 @@ def e13_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def e17_compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.hits(spark, sf_dir)
+    rows = _hits(spark, sf_dir)
     out = fusion.compare_runs(rows.where("route = 'dense'"), rows.where("route = 'lexical'"))
     return out.withColumns({"avg_old": F.round("avg_old", 5), "avg_new": F.round("avg_new", 5)})
 

@@ -81,11 +81,14 @@ def a10_validate_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("paper_id", A.metadata_problem(F.col("title"), F.col("publish_year")).alias("problem")).where("problem IS NOT NULL")
 
 
-@query("SELECT doc_id, (doc_id % 4) || ',' || (doc_id % 3 + 1) || ',' || 7 AS raw, array_to_string(list_distinct_ordered, ',') AS ids FROM (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 4 = doc_id % 3 + 1 THEN [doc_id % 4, 7] ELSE [doc_id % 4, doc_id % 3 + 1, 7] END ELSE [doc_id % 3 + 1, 7] END AS list_distinct_ordered FROM documents)")
+_ID_LIST = "list_filter(list_transform(string_split(raw, ','), lambda x: TRY_CAST(trim(x) AS BIGINT)), lambda x: x IS NOT NULL AND x > 0)"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') AS ids FROM (SELECT doc_id, {_ID_LIST} AS ids FROM (SELECT doc_id, regexp_replace(md5(text), '[a-f]', ' , ', 'g') || ',x,7,7,-3' AS raw FROM documents))")
 def a11_a12_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    d = V.table(spark, sf_dir, "documents").select(i, F.concat_ws(",", (i % 4).cast("string"), (i % 3 + 1).cast("string"), F.lit("7")).alias("raw"))
-    return d.select("doc_id", "raw", F.array_join(A.normalize_ids(A.parse_ids(F.concat("raw", F.lit(",x,")))), ",").alias("ids"))
+    """Lists of numbers, blanks and words made of a digest of every whole text."""
+    raw = F.concat(F.regexp_replace(F.md5("text"), "[a-f]", " , "), F.lit(",x,7,7,-3"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(A.normalize_ids(A.parse_ids(raw)), ",").alias("ids"))
 
 
 @query(over("SELECT chunk_id, CASE WHEN chunk_id % 2 = 0 THEN 'UNKNOWN' ELSE section_type END AS section_type, md5(content) AS digest, CAST(ceil(length(content) / 4.0) AS BIGINT) AS token_count, length(content) AS char_count FROM chunks", "chunks"))

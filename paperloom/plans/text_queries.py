@@ -120,10 +120,10 @@ def b9_long_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("part", F.col("part").cast("long"))
 
 
-@query(over(f"SELECT paper_id, section_type, count(*) AS n_chunks, substr(arg_min({trimmed(chr(34) + 'content' + chr(34))}, chunk_index), 1, 1) AS initial FROM chunks GROUP BY paper_id, section_type", "chunks"))
+@query(over(f"""SELECT paper_id, section_type, count(*) AS n_chunks, md5(substr({trimmed("regexp_replace(arg_min(content, chunk_index), '\\s+', ' ', 'g')")}, 1, 500)) AS preview FROM chunks GROUP BY paper_id, section_type""", "chunks"))
 def b11_sections_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = X.sections_from_chunks(V.chunks(spark, sf_dir), ("paper_id", "section_type"))
-    return out.select("paper_id", "section_type", "n_chunks", F.substring("content_preview", 1, 1).alias("initial"))
+    return out.select("paper_id", "section_type", "n_chunks", F.md5("content_preview").alias("preview"))
 
 
 _USABLE = f"NOT is_reference AND NOT is_noise AND section_type NOT IN ('REFERENCES', 'BACK_MATTER') AND {trimmed('content')} <> ''"
@@ -156,7 +156,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     extra = F.concat(
         F.lit("\nFigure "), i % 3 + 1, F.lit(". Overview of part "), i % 5, F.lit("\nfig "), i % 3 + 1, F.lit(": again\nTable 2: results\nx_"), i % 4,
-        F.lit(" = y + 12 \nx_"), i % 4, F.lit(" = y + 12\nAlgorithm "), i % 2, F.lit(": train the model"),
+        F.lit(" = y + 12 \nx_"), i % 4, F.lit(" = y + 12\nAlgorithm "), i % 2, F.lit(": train the model\n then\n \tPseudocode of it\nend"),
     )
     return V.table(spark, sf_dir, "documents").select(i.alias("page_id"), F.concat("text", extra).alias("text"))
 
@@ -165,7 +165,7 @@ add_view(
     "asset_pages",
     (),
     """SELECT doc_id AS page_id, text || chr(10) || 'Figure ' || (doc_id % 3 + 1) || '. Overview of part ' || (doc_id % 5) || chr(10) || 'fig ' || (doc_id % 3 + 1) || ': again' || chr(10) || 'Table 2: results'
-  || chr(10) || 'x_' || (doc_id % 4) || ' = y + 12 ' || chr(10) || 'x_' || (doc_id % 4) || ' = y + 12' || chr(10) || 'Algorithm ' || (doc_id % 2) || ': train the model' AS text FROM documents""",
+  || chr(10) || 'x_' || (doc_id % 4) || ' = y + 12 ' || chr(10) || 'x_' || (doc_id % 4) || ' = y + 12' || chr(10) || 'Algorithm ' || (doc_id % 2) || ': train the model' || chr(10) || ' then' || chr(10) || ' ' || chr(9) || 'Pseudocode of it' || chr(10) || 'end' AS text FROM documents""",
 )
 
 
@@ -198,9 +198,15 @@ def b16_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_equations(_pages(spark, sf_dir), "page_id").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(over(f"""SELECT page_id, {trimmed("regexp_replace(substr(text, strpos(lower(text), chr(10) || 'algorithm'), 1200), '\\s+', ' ', 'g')")} AS context FROM asset_pages""", "asset_pages"))
+@query(
+    over(
+        f"""SELECT page_id, at, {trimmed("regexp_replace(substr(text, at, 1200), '\\s+', ' ', 'g')")} AS context FROM (SELECT page_id, text, x, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS at FROM (
+  SELECT page_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM asset_pages)) WHERE regexp_matches(x, '(?i)^[ \t]*(algorithm|pseudocode|encode-process-decode)')""",
+        "asset_pages",
+    )
+)
 def b17_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.extract_algorithms(_pages(spark, sf_dir), "page_id").select("page_id", "context")
+    return X.extract_algorithms(_pages(spark, sf_dir), "page_id").select("page_id", "at", "context")
 
 
 @query(over(f"""SELECT page_id, {trimmed("regexp_replace(substr(text, 101, 500), '\\s+', ' ', 'g')")} AS nearby FROM asset_pages""", "asset_pages"))

@@ -52,22 +52,18 @@ VIEWS = {
   doc_id % 6 = 5 AS is_reference, length(text) < 200 AS is_noise, round(length(text) % 100 / 100.0, 2) AS quality_score FROM documents""",
     ),
     "questions": ((), "SELECT item_id AS question_id, text AS question FROM benchmark"),
-    "gold": ((), "SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))"),
+    "gold": ((), "SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"),
     "vectors": ((), f"SELECT vec_id AS point_id, vec_id % 50 + 1 AS paper_id, {choice(VECTOR_TYPES, 'label % 3')} AS content_type, embedding FROM embeddings"),
     "vector_queries": ((), "SELECT vec_id // 100 AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0"),
-    "hits": (
-        (),
-        f"""SELECT vec_id % 10 AS question_id, {choice(("dense", "rewritten", "lexical"), "vec_id // 10 % 3")} AS route, {choice(VECTOR_TYPES, "label % 3")} AS source_type,
-  vec_id // 10 % 13 + 1 AS paper_id, vec_id // 20 % 40 AS chunk_id, round(abs(CAST(embedding[1] AS DOUBLE)) * 3, 4) AS score, vec_id AS hit_id FROM embeddings""",
-    ),
+    "vector_queries2": ((), "SELECT vec_id // 100 AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 50"),
     "units": (
         (),
         f"""SELECT d.doc_id AS unit_id, d.doc_id // 6 + 1 AS paper_id, {choice(UNIT_TYPES, "d.doc_id % 17")} AS knowledge_type, 'Subject ' || (d.doc_id % 5) AS subject_text,
-  'states' AS predicate_text, substr(d.text, 1, 40) AS object_value,
+  'states' AS predicate_text, CASE WHEN d.doc_id % 3 = 0 THEN d.source || ' ' || d.lang ELSE d.text END AS object_value,
   CASE WHEN quality = 1 AND toxic = 0 THEN 'GOLD' WHEN quality IS NOT NULL THEN 'SILVER' ELSE 'BRONZE' END AS confidence_level,
   {choice(("LLM", "USER", "PROFILE", "DETERMINISTIC", "SECTION_SUMMARY"), "d.doc_id % 5")} AS extraction_method,
   CASE WHEN d.doc_id % 19 = 0 THEN 'REJECTED' WHEN d.doc_id % 4 = 0 THEN 'CONFIRMED' ELSE 'AUTO' END AS verification_status,
-  CASE WHEN d.doc_id % 8 <> 0 THEN substr(d.text, 1, 60) END AS evidence_text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+  CASE WHEN d.doc_id % 8 <> 0 THEN d.text END AS evidence_text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
     "chat": ((), "SELECT conv_id AS session_id, turn AS msg_id, role, text AS content FROM conversations"),
     "spans": ((), "SELECT user_id AS request_id, event_type AS stage, value AS ms, ts, event_id FROM events"),

@@ -65,26 +65,28 @@ NOISE_RULES = (
     ("permission", r"provided proper attribution.*permission to reproduce|permission to reproduce.*provided proper attribution"),
     ("equal_contribution", r"equal contribution|work performed while at"),
     ("conference", r"conference on neural information processing systems|\bnips\s+\d{4}"),
-    ("arxiv", r"a *r *x *i *v *:"),
+    ("arxiv", r"a *r *x *i *v *:"),  # "arxiv:" with blanks anywhere
     ("affiliation", r"^[a-z]\s+(school|department|college|faculty|institute|laboratory|university)\b"),
 )
 
+#: The line ends before lines that name an algorithm.
+ALGORITHM_LINE = r"(?<=\n)(?=(?i:[ \t]*(?:algorithm|pseudocode|encode-process-decode)))"
+
 TARGET_CHARS, MAX_CHARS, OVERLAP_CHARS, NOISE_CHARS = 1600, 2200, 200, 30
 
 # --- lexical index
 
 TOKEN_SPLIT = r"[\s.,;:!?()\[\]{}<>\"'=+\-*/|\\@#$%^&~`]+"
 K1, B = 1.5, 0.75
-STOPWORDS = tuple(
-    (
-        "a an the is are was were be been being have has had do does did will would could should may might can shall in on "
-        "at to for of with by from as into through during before after above below between and but or nor not so yet both "
-        "either neither each every all any few more most other some such no only own same this that these those it its we "
-        "they them their our he she his her which who whom what when where how if then than also about just very too well "
-        "here there zero one two three first second using used based proposed results show shown table figure fig et al via "
-        "per due thus"
-    ).split()
-)
+STOPWORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "and", "but", "or", "nor", "not", "so", "yet", "both", "either", "neither", "each", "every", "all", "any",
+    "few", "more", "most", "other", "some", "such", "no", "only", "own", "same", "this", "that", "these", "those", "it", "its", "we", "they", "them",
+    "their", "our", "he", "she", "his", "her", "which", "who", "whom", "what", "when", "where", "how", "if", "then", "than", "also", "about", "just",
+    "very", "too", "well", "here", "there", "zero", "one", "two", "three", "first", "second", "using", "used", "based", "proposed", "results", "show",
+    "shown", "table", "figure", "fig", "et", "al", "via", "per", "due", "thus",
+)
 
 # --- ranking
 

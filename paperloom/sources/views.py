@@ -13,8 +13,15 @@ UNIT_TYPES = (
 )
 
 
+#: A table of fewer bytes may be one row group, which one task would read and work on alone.
+SMALL_TABLE = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; rows of a small one are dealt to all cores, a larger one is parted by its own files."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism) if int(size.toString()) < SMALL_TABLE else df
 
 
 def pick(values, index):
@@ -84,10 +91,19 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question_id, chunk_id): the document holds the first 40 characters of the item. Items are few; see FIXTURES."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 40).alias("head"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return d.join(F.broadcast(items), F.col("text").contains(F.col("head"))).select("question_id", "chunk_id")
+    """(question_id, chunk_id): the document holds the whole text of the item.
+
+    Documents meet items on the item's longest inner word, which a document that holds the item has as a word too; then
+    the texts are compared. Items without an inner word have no row.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    inner = F.slice(words("text"), 2, F.greatest(F.size(words("text")) - 2, F.lit(0)))
+    longest = F.array_sort(inner, lambda x, y: F.length(y) - F.length(x))
+    items = table(spark, sf_dir, "benchmark").where(F.size(inner) > 0).select(F.col("item_id").alias("question_id"), F.col("text").alias("item"), longest[0].alias("word"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(words("text"))).alias("word"))
+    pairs = d.join(items, "word").select("question_id", "chunk_id", "item")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return pairs.join(texts, "chunk_id").where(F.col("text").contains(F.col("item"))).select("question_id", "chunk_id")
 
 
 VECTOR_TYPES = ("paper_profile", "section_summary", "raw_chunk")
@@ -98,30 +114,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("vec_id").alias("point_id"), (F.col("vec_id") % 50 + 1).alias("paper_id"), pick(VECTOR_TYPES, F.col("label") % 3).alias("content_type"), "embedding")
 
 
-def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: every vector whose id is divisible by 100."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+def vector_queries(spark: SparkSession, sf_dir: str, at: int = 0) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100; ``at`` 50 stands for rewritten questions."""
+    v = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == at)
     return v.select(F.floor(F.col("vec_id") / 100).alias("query_id"), F.col("embedding").alias("query"))
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval hits made of vectors: ten questions, three routes, scores from the vectors' first number."""
-    v = table(spark, sf_dir, "embeddings")
-    i = F.col("vec_id")
-    return v.select(
-        (i % 10).alias("question_id"),
-        pick(("dense", "rewritten", "lexical"), F.floor(i / 10) % 3).alias("route"),
-        pick(VECTOR_TYPES, F.col("label") % 3).alias("source_type"),
-        (F.floor(i / 10) % 13 + 1).alias("paper_id"),
-        (F.floor(i / 20) % 40).alias("chunk_id"),
-        F.round(F.abs(F.element_at("embedding", 1).cast("double")) * 3, 4).alias("score"),
-        i.alias("hit_id"),
-    )
-
-
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knowledge units made of documents and their labels."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = table(spark, sf_dir, "labels")
     j = d.join(labels, "doc_id", "left")
     i = F.col("doc_id")
@@ -132,11 +133,11 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(UNIT_TYPES, i % 17).alias("knowledge_type"),
         F.concat(F.lit("Subject "), i % 5).alias("subject_text"),
         F.lit("states").alias("predicate_text"),
-        F.substring("text", 1, 40).alias("object_value"),
+        F.when(i % 3 == 0, F.concat_ws(" ", "source", "lang")).otherwise(F.col("text")).alias("object_value"),
         tier.alias("confidence_level"),
         pick(("LLM", "USER", "PROFILE", "DETERMINISTIC", "SECTION_SUMMARY"), i % 5).alias("extraction_method"),
         F.when(i % 19 == 0, "REJECTED").when(i % 4 == 0, "CONFIRMED").otherwise("AUTO").alias("verification_status"),
-        F.when(i % 8 != 0, F.substring("text", 1, 60)).alias("evidence_text"),
+        F.when(i % 8 != 0, F.col("text")).alias("evidence_text"),
     )
 
 
