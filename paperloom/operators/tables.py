@@ -19,6 +19,11 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
+def upsert_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` take the place of those in ``old`` with equal keys."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new)
+
+
 def upsert_versioned(old: DataFrame, new: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """One row for each key: new values win, an existing row keeps its id."""
     values = [c for c in new.columns if c not in (*keys, row_id)]

@@ -200,7 +200,7 @@ def b16_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     over(
-        f"""SELECT page_id, at, {trimmed("regexp_replace(substr(text, at, 1200), '\\s+', ' ', 'g')")} AS context FROM (SELECT page_id, text, x, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS at FROM (
+        f"""SELECT page_id, place AS "at", {trimmed("regexp_replace(substr(text, place, 1200), '\\s+', ' ', 'g')")} AS context FROM (SELECT page_id, text, x, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS place FROM (
   SELECT page_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM asset_pages)) WHERE regexp_matches(x, '(?i)^[ \t]*(algorithm|pseudocode|encode-process-decode)')""",
         "asset_pages",
     )

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; rows of a small one are dealt to all cores, a larger one is parted by its own files."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(spark.sparkContext.defaultParallelism) if int(size.toString()) < SMALL_TABLE else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if int(size) < SMALL_TABLE else df
 
 
 def pick(values, index):

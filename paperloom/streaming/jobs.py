@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.dialogue import latest_jobs
 from paperloom.operators.lexical import postings
-from paperloom.operators.tables import replace_by_key
+from paperloom.operators.tables import replace_by_key, upsert_rows
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -34,21 +35,57 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return query
 
 
-def run_fold(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], path: str, checkpoint: str) -> int:
-    """Fold every batch of what is there now into a table and stop; gives the number of the last state.
+#: Parts of a folded state; a batch rewrites those that its keys fall into.
+STATE_PARTS = 64
 
-    Batch n reads state n - 1 and writes ``path/state=n``, so a repeated batch overwrites itself with the same rows.
+
+def _versions(spark: SparkSession, path: str, n: int) -> dict[int, int]:
+    """The state that each part was last written in, as of batch ``n``; ``STATE_PARTS`` rows at most."""
+    return {r["part"]: r["state"] for r in spark.read.parquet(f"{path}/index/batch={n}").collect()} if n >= 0 else {}
+
+
+def _read_parts(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame | None:
+    paths = [f"{path}/data/state={s}/part={p}" for p, s in sorted(versions.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def run_fold(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], path: str, checkpoint: str, keys: tuple[str, ...], mode: str = "append") -> int:
+    """Fold every batch of what is there now into a table and stop; gives the number of the last state, for ``read_state``.
+
+    The state lies in parts by the hash of ``keys``, which no fold crosses. Batch n reads the parts that its keys fall
+    into, writes them anew as ``state=n`` and lists the newest version of each part; what is not touched is neither read
+    nor written. Versions that two listings lack are removed, so a batch that is repeated finds what it read before and
+    overwrites what it wrote.
     """
 
     def step(batch: DataFrame, n: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{path}/state={n - 1}") if n else None
-        fold(before, batch).write.mode("overwrite").parquet(f"{path}/state={n}")
-
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark, part = batch.sparkSession, F.pmod(F.xxhash64(*keys), F.lit(STATE_PARTS)).cast("int")
+        before = _versions(spark, path, n - 1)
+        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]
+        old = _read_parts(spark, path, {p: before[p] for p in touched if p in before})
+        fold(old, batch).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/state={n}")
+        now = before | dict.fromkeys(touched, n)
+        spark.createDataFrame(pa.table({"part": pa.array(list(now), pa.int32()), "state": pa.array(list(now.values()), pa.int64())})).coalesce(1).write.mode("overwrite").parquet(f"{path}/index/batch={n}")
+        earlier = _versions(spark, path, n - 2) if n > 1 else {}
+        for p, s in earlier.items():
+            if before.get(p) != s:
+                _drop(spark, f"{path}/data/state={s}/part={p}")
+
+    query = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query.lastProgress["batchId"] if query.lastProgress else -1
 
 
+def read_state(spark: SparkSession, path: str, last: int) -> DataFrame | None:
+    """The folded table as of state ``last``."""
+    return _read_parts(spark, path, _versions(spark, path, last))
+
+
 def together(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     return batch if state is None else state.unionByName(batch)
 
@@ -72,3 +109,8 @@ def keep_postings(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Postings of all chunks: those of a chunk that comes again are replaced; frequencies follow from them by grouping."""
     fresh = postings(batch)
     return fresh if state is None else replace_by_key(state, fresh, "chunk_id")
+
+
+def keep_windows(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The newest row of every window and stage, as an aggregation in update mode gives them."""
+    return batch if state is None else upsert_rows(state, batch, ["stage", "start"])
