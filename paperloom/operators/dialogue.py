@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import collapse, trim_all
+from paperloom import rules
+from paperloom.functions.text import collapse, occurrences, trim_all
 
 S, M = "session_id", "msg_id"
 
@@ -88,14 +89,21 @@ def citations(docs: DataFrame, key: str, text: str = "content") -> DataFrame:
 
 
 def audit_citations(docs: DataFrame, allowed: DataFrame, key: str, text: str = "content", least: int = 40) -> DataFrame:
-    """key, valid, invalid, papers, paragraphs, coverage: marks by whether the paper is allowed, and cited paragraphs."""
+    """key, valid, invalid, papers, paragraphs, coverage, uncited, warned: marks by whether the paper is allowed, and cited paragraphs.
+
+    ``uncited`` lists the allowed papers that no mark names; places where a source is missing count as invalid marks, and
+    ``warned`` says that there are some.
+    """
     marks = citations(docs, key, text).join(allowed.select(key, "paper_id", F.lit(True).alias("ok")), [key, "paper_id"], "left")
     counts = marks.groupBy(key).agg(F.count_if("ok").alias("valid"), F.count_if(F.col("ok").isNull()).alias("invalid"), F.count_distinct(F.when(F.col("ok"), F.col("paper_id"))).alias("papers"))
+    left = allowed.select(key, "paper_id").join(marks.select(key, "paper_id").distinct(), [key, "paper_id"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_set("paper_id")).alias("uncited"))
     paragraphs = F.filter(F.split(F.col(text), r"\n\s*\n"), lambda x: (F.length(trim_all(x)) >= least) & ~trim_all(x).startswith("#"))
-    shares = docs.select(key, F.size(paragraphs).alias("paragraphs"), F.size(F.filter(paragraphs, lambda x: x.rlike(CITATION))).alias("cited"))
-    out = shares.join(counts, key, "left").na.fill(0, ["valid", "invalid", "papers"])
+    missing = occurrences(F.col(text), rules.MISSING_SOURCE)
+    shares = docs.select(key, missing.alias("missing"), F.size(paragraphs).alias("paragraphs"), F.size(F.filter(paragraphs, lambda x: x.rlike(CITATION))).alias("cited"))
+    out = shares.join(counts, key, "left").join(left, key, "left").na.fill(0, ["valid", "invalid", "papers"])
     coverage = F.when(F.col("paragraphs") > 0, F.round(100.0 * F.col("cited") / F.col("paragraphs"), 1)).otherwise(0.0)
-    return out.select(key, "valid", "invalid", "papers", F.col("paragraphs").cast("long").alias("paragraphs"), coverage.alias("coverage"))
+    none = F.array().cast("array<bigint>")
+    return out.select(key, "valid", (F.col("invalid") + F.col("missing")).alias("invalid"), "papers", F.col("paragraphs").cast("long").alias("paragraphs"), coverage.alias("coverage"), F.coalesce("uncited", none).alias("uncited"), (F.col("missing") > 0).alias("warned"))
 
 
 def word_count(text: Column) -> Column:

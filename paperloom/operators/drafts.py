@@ -160,6 +160,13 @@ def usage_rollup(calls: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def guard_metrics(runs: DataFrame, by: str) -> DataFrame:
-    """Shares of results inside their scope and of references or noise among them."""
+    """Shares of a run's results: inside their scope, of references or noise; of its strategy and keywords; and whether
+    it used more than one granularity.
+
+    ``runs`` has in_scope, contaminated, source_type, right_strategy and keyword_share for every result of a run.
+    """
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
-    return runs.groupBy(by).agg(share("in_scope").alias("purity"), share("contaminated").alias("contamination"))
+    return runs.groupBy(by).agg(
+        share("in_scope").alias("purity"), share("contaminated").alias("contamination"), share("right_strategy").alias("strategy_accuracy"),
+        (F.count_distinct("source_type") > 1).alias("multi_granularity"), share("keyword_share").alias("keyword_coverage"),
+    )

@@ -131,8 +131,35 @@ def select_units(units: DataFrame, types: tuple[str, ...], n: int) -> DataFrame:
     return rows.withColumn("pos", pos).where(F.col("pos") <= limit).select("unit_id", "paper_id", "pos")
 
 
+def list_units(units: DataFrame, sections: DataFrame, key: str = "unit_id") -> DataFrame:
+    """Units that are not rejected, with their section's title, by type, section and id."""
+    rows = units.where("verification_status <> 'REJECTED'").join(sections.select(key, "section_title"), key, "left")
+    return rows.orderBy("knowledge_type", "section_title", key)
+
+
+def extraction_batches(summaries: DataFrame, chunks: DataFrame, size: int = 3, n_chunks: int = 4, chars: int = 7000) -> DataFrame:
+    """paper_id, batch, members, material: summaries (paper_id, section_id, summary, key_points), ``size`` to a batch, each
+    with its section's first chunks (section_id, chunk_index, content), cut."""
+    order = Window.partitionBy("section_id").orderBy("chunk_index")
+    first = chunks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_chunks)
+    texts = first.groupBy("section_id").agg(F.sort_array(F.collect_list(F.struct("_n", "content"))).alias("_cs"))
+    rows = summaries.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("section_id"))).join(texts, "section_id", "left")
+    told = F.concat_ws("\n", "summary", "key_points", F.array_join("_cs.content", "\n"))
+    rows = rows.select("paper_id", F.floor((F.col("n") - 1) / size).alias("batch"), F.struct("n", told.alias("t")).alias("r"))
+    out = rows.groupBy("paper_id", "batch").agg(F.count("*").alias("members"), F.sort_array(F.collect_list("r")).alias("rs"))
+    return out.select("paper_id", "batch", "members", F.substring(F.array_join("rs.t", "\n"), 1, chars).alias("material"))
+
+
+def catalog_listing(papers: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """paper_id, title, status of every paper; NOT_BUILT where there is no catalog row (paper_id, status)."""
+    return papers.join(catalogs.select("paper_id", "status"), "paper_id", "left").select("paper_id", "title", F.coalesce("status", F.lit("NOT_BUILT")).alias("status"))
+
+
 def build_catalog(units: DataFrame) -> DataFrame:
-    """paper_id, tags by group (first seen order, limited), units, verified."""
+    """paper_id, tags by group (first seen order, limited), units, verified, text of the first 30 units, status.
+
+    A catalog without a method is PARTIAL.
+    """
     live = units.where("verification_status <> 'REJECTED'")
     groups = (
         ("domains", ("RESEARCH_DOMAIN", "KEYWORD"), 12), ("tasks", ("RESEARCH_TASK", "RESEARCH_PROBLEM"), 12), ("methods", ("METHOD", "MODEL_COMPONENT"), 16),
@@ -148,7 +175,11 @@ def build_catalog(units: DataFrame) -> DataFrame:
         *[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("grp") == g, F.struct("n", "tag")))), lambda x: x["tag"]), "; ").alias(g) for g, _, _ in groups]
     )
     counts = live.groupBy("paper_id").agg(F.count("*").alias("units"), F.count_if(F.col("verification_status").isin("CONFIRMED", "CORRECTED")).alias("verified"))
-    return counts.join(listed, "paper_id", "left")
+    first = live.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("unit_id"))).where(F.col("n") <= 30)
+    line = F.concat_ws(" ", "knowledge_type", "subject_text", "predicate_text", "object_value")
+    texts = first.groupBy("paper_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), "\n").alias("catalog_text"))
+    out = counts.join(texts, "paper_id").join(listed, "paper_id", "left")
+    return out.withColumn("status", F.when(F.coalesce("methods", F.lit("")) != "", "COMPLETED").otherwise("PARTIAL"))
 
 
 def apply_feedback(events: DataFrame) -> DataFrame:
@@ -197,9 +228,9 @@ def logical_key() -> Column:
 
 
 def merge_facts(facts: DataFrame) -> DataFrame:
-    """One row for each paper, key and value: the most certain source (smallest on ties) and how many support it."""
+    """One row for each paper, key and value: the most certain source (smallest on ties), how many support it and which."""
     rows = facts.where((trim_all(F.col("fact_key")) != "") & (trim_all(F.col("fact_value")) != "")).withColumns({"logical": logical_key(), "value": _plain("fact_value")})
-    return rows.groupBy("paper_id", "logical", "value").agg(F.max_by("chunk_id", F.struct("confidence", -F.col("chunk_id"))).alias("chunk_id"), F.max("confidence").alias("confidence"), F.count("*").alias("support"))
+    return rows.groupBy("paper_id", "logical", "value").agg(F.max_by("chunk_id", F.struct("confidence", -F.col("chunk_id"))).alias("chunk_id"), F.max("confidence").alias("confidence"), F.count("*").alias("support"), F.array_sort(F.collect_set("chunk_id")).alias("sources"))
 
 
 def fact_conflicts(merged: DataFrame) -> DataFrame:
@@ -227,6 +258,12 @@ def critical_coverage(facts: DataFrame) -> DataFrame:
     return have.select("paper_id", F.round((n - F.size(missing)) / n, 4).alias("coverage"), F.array_join(missing, ",").alias("missing"))
 
 
+def provenance_coverage(facts: DataFrame) -> DataFrame:
+    """paper_id, coverage: the share of facts that name their source, page and evidence."""
+    whole = F.col("source_kind").isNotNull() & F.col("page_number").isNotNull() & F.col("evidence_text").isNotNull()
+    return facts.groupBy("paper_id").agg(F.round(F.avg(whole.cast("double")), 4).alias("coverage"))
+
+
 def readiness(coverage: Column, conflicts: Column, missing: Column) -> Column:
     return F.when(coverage == 0, "NOT_READY").when(conflicts > 0, "NEEDS_REVIEW").when(missing != "", "PARTIAL").otherwise("READY")
 

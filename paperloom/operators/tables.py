@@ -69,10 +69,11 @@ def allocate_sort_order(new: DataFrame, categories: DataFrame, order: str = "nam
     return new.crossJoin(F.broadcast(last)).withColumn("sort_order", F.col("_last") + 10 * F.row_number().over(Window.orderBy(order))).drop("_last")
 
 
-def metadata_problem(title: Column, year: Column) -> Column:
+def metadata_problem(title: Column, year: Column, journal: Column | None = None) -> Column:
     """Why a row's metadata is refused, or null."""
     t = trim_all(F.coalesce(title, F.lit("")))
-    return F.when(t == "", "title missing").when(F.length(t) > 500, "title too long").when(year.isNotNull() & ~year.between(1000, 2100), "year out of range")
+    out = F.when(t == "", "title missing").when(F.length(t) > 500, "title too long").when(year.isNotNull() & ~year.between(1000, 2100), "year out of range")
+    return out if journal is None else out.when(F.length(trim_all(journal)) > 500, "journal too long")
 
 
 def normalize_ids(ids: Column) -> Column:

@@ -115,6 +115,13 @@ def drop_low_value(chunks: DataFrame, min_chars: int = 80) -> DataFrame:
     return chunks.where((F.length(low) >= min_chars) & ~low.rlike(r"^(references|reference|bibliography)") & (links < 3))
 
 
+def asset_rows(found: DataFrame, kind: str, confidence: float, version: str, key: str = "page_id", text: str = "expression") -> DataFrame:
+    """key, asset_type, confidence, content_hash, revision, pos: each content of a page once, where it first stands."""
+    rows = found.select(key, F.lit(kind).alias("asset_type"), F.lit(confidence).alias("confidence"), F.sha2(text, 256).alias("content_hash"), "pos")
+    rows = rows.groupBy(key, "asset_type", "confidence", "content_hash").agg(F.min("pos").cast("long").alias("pos"))
+    return rows.withColumn("revision", F.sha2(F.concat_ws("|", F.lit(version), F.col(key).cast("string"), "asset_type", "content_hash"), 256))
+
+
 CAPTION = r"(?im)^(fig(?:ure)?\.?|table)\s*([0-9]+)[.:]?\s*(.*)$"
 
 

@@ -181,9 +181,22 @@ def l4_usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.usage_rollup(calls, ("stage", "variant")).withColumn("ms", F.round("ms", 3))
 
 
-@query(over("SELECT question_id, round(avg(CASE WHEN paper_id % 2 = question_id % 2 THEN 1.0 ELSE 0.0 END), 5) AS purity, round(avg(CASE WHEN is_reference OR is_noise THEN 1.0 ELSE 0.0 END), 5) AS contamination FROM topped JOIN chunks USING (chunk_id) GROUP BY 1", "topped", "chunks"))
+@query(
+    over(
+        """SELECT question_id, round(avg(CASE WHEN paper_id % 2 = question_id % 2 THEN 1.0 ELSE 0.0 END), 6) AS purity, round(avg(CASE WHEN is_reference OR is_noise THEN 1.0 ELSE 0.0 END), 6) AS contamination, count(DISTINCT source_type) > 1 AS multi_granularity,
+  round(avg(CASE WHEN route = 'lexical' THEN 1.0 ELSE 0.0 END), 6) AS strategy_accuracy, round(avg(coalesce(len(list_filter(terms, lambda t: contains(lower(content), t))) / len(terms), 0.0)), 6) AS keyword_coverage FROM (SELECT h.*, c.is_reference, c.is_noise, c.content, t.terms FROM hits h JOIN chunks c USING (chunk_id)
+  LEFT JOIN (SELECT question_id, list(term) AS terms FROM hit_terms GROUP BY 1) t ON t.question_id = h.question_id) GROUP BY 1""",
+        "hits",
+        "chunks",
+        "hit_terms",
+    )
+)
 def l6_guard_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search_queries.c6_bm25_topk(spark, sf_dir).join(V.chunks(spark, sf_dir), "chunk_id")
-    rows = rows.select("question_id", (F.col("paper_id") % 2 == F.col("question_id") % 2).alias("in_scope"), (F.col("is_reference") | F.col("is_noise")).alias("contaminated"))
-    out = R.guard_metrics(rows, "question_id")
-    return out.select("question_id", F.round("purity", 5).alias("purity"), F.round("contamination", 5).alias("contamination"))
+    terms = search_queries._hit_terms(spark, sf_dir).groupBy("question_id").agg(F.collect_set("term").alias("terms"))
+    rows = search_queries._hits(spark, sf_dir).join(V.chunks(spark, sf_dir).drop("paper_id"), "chunk_id").join(terms, "question_id", "left")
+    held = F.size(F.filter("terms", lambda t: F.lower("content").contains(t))) / F.size("terms")
+    rows = rows.select(
+        "question_id", "source_type", (F.col("paper_id") % 2 == F.col("question_id") % 2).alias("in_scope"), (F.col("is_reference") | F.col("is_noise")).alias("contaminated"),
+        (F.col("route") == "lexical").alias("right_strategy"), F.coalesce(held, F.lit(0.0)).alias("keyword_share"),
+    )
+    return R.guard_metrics(rows, "question_id")

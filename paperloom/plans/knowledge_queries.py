@@ -89,13 +89,13 @@ def i5_dedupe_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of few papers, so that subjects meet."""
-    return V.units(spark, sf_dir).withColumn("paper_id", F.col("unit_id") % 9)
+    """Units of 400 documents as one paper, so that subjects meet; papers grow with the table."""
+    return V.units(spark, sf_dir).withColumn("paper_id", F.floor(F.col("unit_id") / 400))
 
 
 @query(
     over(
-        f"""SELECT unit_id, g AS conflict_group, count(DISTINCT v) OVER (PARTITION BY p, g) > 1 AS has_conflict FROM (SELECT unit_id, unit_id % 9 AS p, sha256({_joined(*K.GROUP_COLUMNS)}) AS g, {_loose("object_value")} AS v
+        f"""SELECT unit_id, g AS conflict_group, count(DISTINCT v) OVER (PARTITION BY p, g) > 1 AS has_conflict FROM (SELECT unit_id, unit_id // 400 AS p, sha256({_joined(*K.GROUP_COLUMNS)}) AS g, {_loose("object_value")} AS v
   FROM units WHERE knowledge_type IN ({listed(rules.CONFLICT_TYPES)}) AND extraction_method IN ('LLM', 'USER') AND verification_status <> 'REJECTED')""",
         "units",
     )
@@ -114,7 +114,7 @@ _GROUPS = "CASE WHEN knowledge_type IN ('RESEARCH_DOMAIN', 'KEYWORD') THEN 'doma
 
 @query(
     over(
-        f"""SELECT c.paper_id, c.units, c.verified, coalesce(t.methods, '') AS methods, coalesce(t.domains, '') AS domains FROM (SELECT paper_id, count(*) AS units, count(*) FILTER (WHERE verification_status IN ('CONFIRMED', 'CORRECTED')) AS verified FROM units WHERE verification_status <> 'REJECTED' GROUP BY 1) c
+        f"""SELECT c.paper_id, c.units, c.verified, coalesce(t.methods, '') AS methods, coalesce(t.domains, '') AS domains, md5(c.txt) AS catalog_text, CASE WHEN coalesce(t.methods, '') <> '' THEN 'COMPLETED' ELSE 'PARTIAL' END AS status FROM (SELECT paper_id, string_agg(concat_ws(' ', knowledge_type, subject_text, predicate_text, object_value), chr(10) ORDER BY unit_id) AS txt, count(*) AS units, count(*) FILTER (WHERE verification_status IN ('CONFIRMED', 'CORRECTED')) AS verified FROM units WHERE verification_status <> 'REJECTED' GROUP BY 1) c
   LEFT JOIN (SELECT paper_id, string_agg(tag, '; ' ORDER BY n) FILTER (WHERE g = 'methods') AS methods, string_agg(tag, '; ' ORDER BY n) FILTER (WHERE g = 'domains') AS domains FROM (
     SELECT *, row_number() OVER (PARTITION BY paper_id, g ORDER BY u, pos) AS n FROM (SELECT paper_id, g, substr(tag, 1, {rules.TOPIC_LABEL_CHARS}) AS tag, min(unit_id) AS u, min(pos) AS pos FROM (
       SELECT paper_id, unit_id, {_GROUPS} AS g, unnest({_tags("object_value")}) AS tag, generate_subscripts({_tags("object_value")}, 1) AS pos FROM units WHERE verification_status <> 'REJECTED') WHERE g IS NOT NULL GROUP BY 1, 2, 3))
@@ -124,13 +124,14 @@ _GROUPS = "CASE WHEN knowledge_type IN ('RESEARCH_DOMAIN', 'KEYWORD') THEN 'doma
 )
 def i8_build_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = K.build_catalog(V.units(spark, sf_dir))
-    return out.select("paper_id", "units", "verified", F.coalesce("methods", F.lit("")).alias("methods"), F.coalesce("domains", F.lit("")).alias("domains"))
+    return out.select("paper_id", "units", "verified", F.coalesce("methods", F.lit("")).alias("methods"), F.coalesce("domains", F.lit("")).alias("domains"), F.md5("catalog_text").alias("catalog_text"), "status")
 
 
 @query(
     over(
         f"""SELECT knowledge_type, label, papers, units FROM (SELECT knowledge_type, k, arg_min(label, unit_id) AS label, count(DISTINCT paper_id) AS papers, count(*) AS units FROM (
-  SELECT *, {_loose("label")} AS k FROM (SELECT *, {trimmed("object_value")} AS label FROM units WHERE verification_status <> 'REJECTED' AND knowledge_type IN ({listed(rules.TOPIC_TYPES)})) WHERE length(label) BETWEEN 2 AND 100) GROUP BY 1, 2)
+  SELECT *, {_loose("label")} AS k FROM (SELECT *, CASE WHEN length({trimmed("object_value")}) BETWEEN 2 AND 100 THEN {trimmed("object_value")} WHEN extraction_method IN ('LLM', 'USER') AND length({trimmed("subject_text")}) BETWEEN 2 AND 100 THEN {trimmed("subject_text")} END AS label
+    FROM units WHERE verification_status <> 'REJECTED' AND knowledge_type IN ({listed(rules.TOPIC_TYPES)})) WHERE label IS NOT NULL) GROUP BY 1, 2)
   ORDER BY units DESC, label, knowledge_type LIMIT 50""",
         "units",
     )
@@ -164,24 +165,26 @@ def i10_feedback_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(over("SELECT unit_id, paper_id, knowledge_type, section_title FROM units u LEFT JOIN (SELECT chunk_id AS unit_id, section_title FROM chunks) USING (unit_id) WHERE verification_status <> 'REJECTED'", "units", "chunks"))
 def i11_list_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = V.chunks(spark, sf_dir).select(F.col("chunk_id").alias("unit_id"), "section_title")
-    out = V.units(spark, sf_dir).where("verification_status <> 'REJECTED'").join(titles, "unit_id", "left")
-    return out.select("unit_id", "paper_id", "knowledge_type", "section_title").orderBy("knowledge_type", "section_title", "unit_id")
+    return K.list_units(V.units(spark, sf_dir), titles).select("unit_id", "paper_id", "knowledge_type", "section_title")
 
 
-@query(over("SELECT paper_id, (n - 1) // 3 AS batch, count(*) AS members, substr(string_agg(content, chr(10) ORDER BY n), 1, 7000) AS material FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS n FROM chunks) GROUP BY 1, 2", "chunks"))
+@query(
+    over(
+        """SELECT paper_id, (n - 1) // 3 AS batch, count(*) AS members, md5(substr(string_agg('Summary of ' || section_title || chr(10) || '- ' || section_type || chr(10) || coalesce(content, ''), chr(10) ORDER BY n), 1, 7000)) AS material
+  FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_id) AS n FROM chunks) GROUP BY 1, 2""",
+        "chunks",
+    )
+)
 def i12_extraction_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = V.chunks(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("chunk_index")))
-    rows = rows.select("paper_id", F.floor((F.col("n") - 1) / 3).alias("batch"), F.struct("n", F.col("content").alias("t")).alias("r"))
-    out = rows.groupBy("paper_id", "batch").agg(F.count("*").alias("members"), F.sort_array(F.collect_list("r")).alias("rs"))
-    return out.select("paper_id", "batch", "members", F.substring(F.array_join("rs.t", "\n"), 1, 7000).alias("material"))
+    rows = V.chunks(spark, sf_dir).withColumn("section_id", F.col("chunk_id"))
+    summaries = rows.select("paper_id", "section_id", F.concat(F.lit("Summary of "), "section_title").alias("summary"), F.concat(F.lit("- "), "section_type").alias("key_points"))
+    return K.extraction_batches(summaries, rows.select("section_id", "chunk_index", F.coalesce("content", F.lit("")).alias("content"))).withColumn("material", F.md5("material"))
 
 
 @query(over("SELECT p.paper_id, p.title, coalesce(c.status, 'NOT_BUILT') AS status FROM paper_rows p LEFT JOIN (SELECT DISTINCT paper_id, 'COMPLETED' AS status FROM units WHERE confidence_level = 'GOLD') c USING (paper_id)", "paper_rows", "units"))
 def i13_catalog_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = V.units(spark, sf_dir).where("confidence_level = 'GOLD'").select("paper_id", F.lit("COMPLETED").alias("status")).distinct()
-    return V.paper_rows(spark, sf_dir).join(built, "paper_id", "left").select("paper_id", "title", F.coalesce("status", F.lit("NOT_BUILT")).alias("status"))
+    return K.catalog_listing(V.paper_rows(spark, sf_dir), built)
 
 
 _F12 = ("METHOD", "MODEL_COMPONENT", "DATASET", "RESULT", "COMPARISON", "LIMITATION")
@@ -190,7 +193,7 @@ _F12 = ("METHOD", "MODEL_COMPONENT", "DATASET", "RESULT", "COMPARISON", "LIMITAT
 @query(
     over(
         f"""SELECT unit_id, paper_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY lead DESC, {_TIER} DESC, {_PRIORITY} DESC, unit_id) AS pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY paper_id, {_FAMILY} ORDER BY {_TIER} DESC, {_PRIORITY} DESC, unit_id) = 1 AS lead FROM (SELECT * EXCLUDE (paper_id), unit_id % 9 AS paper_id FROM units) WHERE verification_status <> 'REJECTED' AND knowledge_type IN ({listed(_F12)}))) WHERE pos <= 5""",
+  SELECT *, row_number() OVER (PARTITION BY paper_id, {_FAMILY} ORDER BY {_TIER} DESC, {_PRIORITY} DESC, unit_id) = 1 AS lead FROM (SELECT * EXCLUDE (paper_id), unit_id // 400 AS paper_id FROM units) WHERE verification_status <> 'REJECTED' AND knowledge_type IN ({listed(_F12)}))) WHERE pos <= 5""",
         "units",
     )
 )
@@ -211,17 +214,17 @@ _MINED = " UNION ALL ".join(
     for k, p in rules.PARAMETERS
 )
 add_view("mined", ("chunks",), _MINED)
-add_view("pooled", ("mined",), "SELECT * EXCLUDE (paper_id), paper_id % 12 AS paper_id, chunk_id * 10 AS fact_id FROM mined")
+add_view("pooled", ("mined",), "SELECT * EXCLUDE (paper_id), paper_id // 12 AS paper_id, chunk_id * 10 AS fact_id FROM mined")
 add_view(
     "merged",
     ("pooled",),
-    "SELECT paper_id, logical, value, min(chunk_id) AS chunk_id, max(confidence) AS confidence, count(*) AS support FROM (SELECT *, lower(fact_type) || '|' || lower(fact_key) AS logical, lower(fact_value) AS value FROM pooled) GROUP BY 1, 2, 3",
+    "SELECT paper_id, logical, value, min(chunk_id) AS chunk_id, max(confidence) AS confidence, count(*) AS support, array_to_string(list_sort(list(DISTINCT chunk_id)), ',') AS sources FROM (SELECT *, lower(fact_type) || '|' || lower(fact_key) AS logical, lower(fact_value) AS value FROM pooled) GROUP BY 1, 2, 3",
 )
 add_view("conflicted", ("merged",), "SELECT *, CASE WHEN count(DISTINCT value) OVER (PARTITION BY paper_id, logical) > 1 THEN 'conflict-' || substr(sha256(logical), 1, 16) END AS conflict_group FROM merged")
 
 
 def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.mine_hyperparameters(V.chunks(spark, sf_dir)).withColumn("paper_id", F.col("paper_id") % 12)
+    return K.mine_hyperparameters(V.chunks(spark, sf_dir)).withColumn("paper_id", F.floor(F.col("paper_id") / 12))
 
 
 @query(over("SELECT chunk_id, fact_key, fact_value FROM mined", "mined"))
@@ -231,7 +234,7 @@ def j1_mine_hyperparameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over("SELECT * FROM merged", "merged"))
 def j7_merge_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.merge_facts(_pooled(spark, sf_dir))
+    return K.merge_facts(_pooled(spark, sf_dir)).withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
 
 
 @query(over("SELECT paper_id, logical, value, conflict_group FROM conflicted", "conflicted"))
@@ -254,7 +257,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = V.units(spark, sf_dir)
     i = F.col("unit_id")
     return u.select(
-        i.alias("fact_id"), (i % 60).alias("paper_id"), V.pick(_TYPES, i % len(_TYPES)).alias("fact_type"), F.concat(F.lit("k"), i % 3).alias("fact_key"), F.col("object_value").alias("fact_value"),
+        i.alias("fact_id"), F.floor(i / 60).alias("paper_id"), V.pick(_TYPES, i % len(_TYPES)).alias("fact_type"), F.concat(F.lit("k"), i % 3).alias("fact_key"), F.col("object_value").alias("fact_value"),
         V.pick(_STATUSES, i % 5).alias("verification_status"), (i % 10 / 10.0).alias("confidence"), F.when(i % 17 == 0, "conflict-x").alias("conflict_group"),
         F.when(i % 4 != 0, "RAW_CHUNK").alias("source_kind"), (i % 30).alias("page_number"), "evidence_text",
     )
@@ -267,7 +270,7 @@ def _pick_sql(values, index: str) -> str:
 add_view(
     "facts",
     ("units",),
-    f"""SELECT unit_id AS fact_id, unit_id % 60 AS paper_id, {_pick_sql(_TYPES, f"unit_id % {len(_TYPES)}")} AS fact_type, 'k' || (unit_id % 3) AS fact_key, object_value AS fact_value, {_pick_sql(_STATUSES, "unit_id % 5")} AS verification_status,
+    f"""SELECT unit_id AS fact_id, unit_id // 60 AS paper_id, {_pick_sql(_TYPES, f"unit_id % {len(_TYPES)}")} AS fact_type, 'k' || (unit_id % 3) AS fact_key, object_value AS fact_value, {_pick_sql(_STATUSES, "unit_id % 5")} AS verification_status,
   unit_id % 10 / 10.0 AS confidence, CASE WHEN unit_id % 17 = 0 THEN 'conflict-x' END AS conflict_group, CASE WHEN unit_id % 4 <> 0 THEN 'RAW_CHUNK' END AS source_kind, unit_id % 30 AS page_number, evidence_text FROM units""",
 )
 add_view(
@@ -300,8 +303,7 @@ def j11_critical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over("SELECT paper_id, round(avg(CASE WHEN source_kind IS NOT NULL AND page_number IS NOT NULL AND evidence_text IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS coverage FROM facts GROUP BY 1", "facts"))
 def j12_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.col("source_kind").isNotNull() & F.col("page_number").isNotNull() & F.col("evidence_text").isNotNull()
-    return _facts(spark, sf_dir).groupBy("paper_id").agg(F.round(F.avg(whole.cast("double")), 4).alias("coverage"))
+    return K.provenance_coverage(_facts(spark, sf_dir))
 
 
 @query(over("SELECT paper_id, CASE WHEN coverage = 0 THEN 'NOT_READY' WHEN conflicts > 0 THEN 'NEEDS_REVIEW' WHEN missing <> '' THEN 'PARTIAL' ELSE 'READY' END AS status FROM covered", "covered"))

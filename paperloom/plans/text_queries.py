@@ -198,13 +198,15 @@ def b16_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_equations(_pages(spark, sf_dir), "page_id").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(
-    over(
-        f"""SELECT page_id, place AS "at", {trimmed("regexp_replace(substr(text, place, 1200), '\\s+', ' ', 'g')")} AS context FROM (SELECT page_id, text, x, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS place FROM (
+add_view(
+    "algorithms",
+    ("asset_pages",),
+    f"""SELECT page_id, place, {trimmed("regexp_replace(substr(text, place, 1200), '\\s+', ' ', 'g')")} AS context FROM (SELECT page_id, text, x, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS place FROM (
   SELECT page_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM asset_pages)) WHERE regexp_matches(x, '(?i)^[ \t]*(algorithm|pseudocode|encode-process-decode)')""",
-        "asset_pages",
-    )
 )
+
+
+@query(over('SELECT page_id, place AS "at", context FROM algorithms', "algorithms"))
 def b17_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_algorithms(_pages(spark, sf_dir), "page_id").select("page_id", "at", "context")
 
@@ -214,11 +216,14 @@ def b18_nearby_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", X.nearby_text(F.col("text"), F.lit(101), 500).alias("nearby"))
 
 
-@query(over("SELECT page_id, 'EQUATION' AS asset_type, 0.55 AS confidence, sha256(expression) AS content_hash, min(pos) AS pos FROM equations GROUP BY page_id, expression", "equations"))
+_HASHED = "SELECT page_id, '{kind}' AS asset_type, CAST({sure} AS DOUBLE) AS confidence, sha256({x}) AS content_hash, sha256('v1|' || page_id || '|{kind}|' || sha256({x})) AS revision, min(pos) AS pos FROM {table} GROUP BY page_id, {x}"
+
+
+@query(over(_HASHED.format(kind="EQUATION", sure=0.55, x="expression", table="equations") + " UNION ALL " + _HASHED.format(kind="ALGORITHM", sure=0.6, x="context", table="algorithms").replace("min(pos)", "min(place)"), "equations", "algorithms"))
 def b19_asset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.extract_equations(_pages(spark, sf_dir), "page_id")
-    rows = rows.select("page_id", F.lit("EQUATION").alias("asset_type"), F.lit(0.55).alias("confidence"), F.sha2("expression", 256).alias("content_hash"), "pos")
-    return rows.groupBy("page_id", "asset_type", "confidence", "content_hash").agg(F.min("pos").cast("long").alias("pos"))
+    pages = _pages(spark, sf_dir)
+    algorithms = X.extract_algorithms(pages, "page_id").withColumnRenamed("at", "pos")
+    return X.asset_rows(X.extract_equations(pages, "page_id"), "EQUATION", 0.55, "v1").unionByName(X.asset_rows(algorithms, "ALGORITHM", 0.6, "v1", text="context"))
 
 
 @query(f"""SELECT doc_id, substr({trimmed("regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')")}, 1, 300) AS preview FROM documents""")
