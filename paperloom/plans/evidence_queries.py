@@ -38,9 +38,23 @@ def f5_choose_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.choose_strategy(_requests(spark, sf_dir), papers, V.chunks(spark, sf_dir), papers.where("paper_id % 5 <> 0"), 3000)
 
 
-@query()
+_FRESH = "s.section <> x.section"
+_CLOSED = f"(NOT ({_FRESH}) AND s.closed)"
+_FITS = "s.used + x.used <= 1500"
+_TAKE = f"({_FITS} AND NOT {_CLOSED} AND NOT s.ended)"
+
+
+@query(
+    over(
+        f"""SELECT paper_id, array_to_string(f.out[1:20], ',') AS chunk_ids, f.used AS tokens FROM (SELECT paper_id, list_reduce(list_prepend({{'out': CAST([] AS BIGINT[]), 'used': CAST(0 AS BIGINT), 'section': '', 'closed': false, 'ended': false}},
+  list({{'out': [chunk_id], 'used': {_TOKENS}, 'section': section_type, 'closed': false, 'ended': false}} ORDER BY chunk_index)), lambda s, x: {{'out': CASE WHEN {_TAKE} THEN list_concat(s.out, x.out) ELSE s.out END, 'used': CASE WHEN {_TAKE} THEN s.used + x.used ELSE s.used END,
+    'section': x.section, 'closed': {_CLOSED} OR NOT ({_FITS}), 'ended': s.ended OR ({_FRESH} AND NOT ({_FITS}))}}) AS f FROM usable GROUP BY paper_id)""",
+        "usable",
+    )
+)
 def f6_fulltext_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.fulltext_context(V.chunks(spark, sf_dir), 1500)
+    out = E.fulltext_context(V.chunks(spark, sf_dir), 1500)
+    return out.select("paper_id", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"), "tokens")
 
 
 def _ranked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,10 +105,39 @@ def b7_sectionize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("paper_id", F.col("section_index").cast("long").alias("section_index"), "section_title", "section_type", F.md5("content").alias("digest"))
 
 
-@query()
+_NONE = "CAST([] AS VARCHAR[])"
+_FLAT_P = trimmed(r"regexp_replace(p, '\s+', ' ', 'g')")
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(content, '\\n\\s*\\n'), lambda p: {_FLAT_P}), lambda p: p <> '')"
+add_view(
+    "packed",
+    ("sections",),
+    f"""SELECT * EXCLUDE (f), CASE WHEN f.cur = '' THEN f.out ELSE list_append(f.out, f.cur) END AS texts FROM (SELECT *, list_reduce(list_prepend({{'out': {_NONE}, 'cur': ''}}, list_transform({_PARTS}, lambda p: {{'out': {_NONE}, 'cur': p}})),
+  lambda s, p: CASE WHEN length(s.cur) + length(p.cur) + 2 <= {rules.TARGET_CHARS} THEN {{'out': s.out, 'cur': CASE WHEN s.cur = '' THEN p.cur ELSE s.cur || chr(10) || chr(10) || p.cur END}}
+    ELSE {{'out': list_append(CASE WHEN s.cur = '' THEN s.out ELSE list_append(s.out, s.cur) END, p.cur), 'cur': ''}} END) AS f FROM sections)""",
+)
+_STEP = rules.MAX_CHARS - rules.OVERLAP_CHARS
+add_view(
+    "cut_chunks",
+    ("packed",),
+    f"""SELECT * EXCLUDE (cuts), generate_subscripts(cuts, 1) AS part, unnest(cuts) AS chunk FROM (SELECT *, flatten(list_transform(texts, lambda x: CASE WHEN length(x) <= {rules.MAX_CHARS} THEN [{TRIM_LINE}]
+  ELSE list_filter(list_transform(range(0, CAST(ceil((length(x) - {rules.MAX_CHARS}) / {float(_STEP)}) AS BIGINT) + 1), lambda i: {trimmed(f"substr(x, i * {_STEP} + 1, {rules.MAX_CHARS})")}), lambda y: y <> '') END)) AS cuts FROM packed)""",
+)
+_NOISY = f"(length(chunk) < {rules.NOISE_CHARS} OR section_type = 'BACK_MATTER')"
+
+
+@query(
+    over(
+        f"""SELECT c.paper_id, row_number() OVER (PARTITION BY c.paper_id ORDER BY section_index, part) - 1 AS chunk_index, section_index, section_title, section_type, md5(chunk) AS content,
+  md5('Paper Title: ' || title || chr(10) || 'Section Type: ' || section_type || chr(10) || 'Section Title: ' || section_title || chr(10) || 'Content:' || chr(10) || chunk) AS index_text, greatest(1, CAST(ceil(length(chunk) / 4.0) AS BIGINT)) AS token_count, length(chunk) AS char_count,
+  section_type = 'REFERENCES' AS is_reference, {_NOISY} AS is_noise, CASE WHEN {_NOISY} THEN CAST(0.2 AS DOUBLE) ELSE 1.0 END AS quality_score FROM cut_chunks c JOIN (SELECT paper_id, title FROM papers) USING (paper_id) WHERE chunk <> ''""",
+        "cut_chunks",
+        "papers",
+    )
+)
 def b8_b10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = V.papers(spark, sf_dir)
-    return X.build_chunks(X.sectionize(X.clean(papers)), papers)
+    out = X.build_chunks(X.sectionize(X.clean(papers)), papers)
+    return out.withColumns({"content": F.md5("content"), "index_text": F.md5("index_text")})
 
 
 @query(
