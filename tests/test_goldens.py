@@ -188,3 +188,20 @@ def test_outlines_and_restored_revisions(spark):
     after = writing.restore_revisions(rows, chosen).where("kind = 'VERSION_RESTORED'").collect()
     assert [(r["project_id"], r["revision_id"], r["content"]) for r in after] == [(1, 3, "a")]
     assert [r["revision_id"] for r in writing.revisions(rows).where("project_id = 1").orderBy("pos").collect()] == [2, 1]
+
+
+def test_discovery_deals_over_papers(spark):
+    """Three papers found alike give one row each before any gives a second; an unrewritten question has two routes."""
+    kinds = ("paper_profile", "section_summary", "raw_chunk")
+    routes = [(1, f"dense_{n}", kind, p * 10 + k, 1.0 / p, p) for n in (0, 1) for k, kind in enumerate(kinds) for p in (1, 2, 3)]
+    df = spark.createDataFrame(routes, "question_id long, route string, source_type string, chunk_id long, score double, rank int")
+    meta = spark.createDataFrame([(p * 10 + k, p, f"T{p}", "Method", "a graph of words" if p < 3 else "words") for p in (1, 2, 3) for k in range(3)], "chunk_id long, paper_id long, title string, section_title string, content string")
+    asked = spark.createDataFrame([(1, "tell about graphs")], "question_id long, question string")
+    terms = spark.createDataFrame([(1, "graph"), (1, "words")], "question_id long, term string")
+    out = fusion.discover(df, meta, asked, terms, 6).orderBy("pos").collect()
+    assert [r["paper_id"] for r in out[:3]] == [1, 2, 3] and all(r["key"].startswith("paper_profile") for r in out[:3])
+    assert [r["key"] for r in out[3:6]] == ["section_summary:11", "section_summary:21", "section_summary:31"]
+    near = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "question_id long, chunk_id long, rank int")
+    none = near.limit(0)
+    fused = {r["key"]: r["rrf"] for r in fusion.hybrid_retrieve(near, none, near.where("chunk_id = 6"), 5).collect()}
+    assert fused == {5: round(1 / 61, 10), 6: round(2 / 62, 10)}
