@@ -207,16 +207,28 @@ def feedback_audit(events: DataFrame) -> DataFrame:
 
 
 def mine_hyperparameters(chunks: DataFrame) -> DataFrame:
-    """paper_id, chunk_id, fact_type, fact_key, fact_value, confidence: every match of the parameter patterns."""
+    """paper_id, chunk_id, section_type, fact_type, fact_key, fact_value, unit, excerpt, confidence: every match of the parameter patterns."""
     s = F.upper(F.coalesce("section_type", F.lit("")))
     rows = chunks.where(~F.col("is_reference") & ~F.col("is_noise") & (s.contains("METHOD") | s.contains("EXPERIMENT") | s.contains("IMPLEMENT") | s.contains("MODEL")))
+    total = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
 
     def matches(name: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(name).alias("k"), x.alias("v")))
+        values, whole, between = (F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.split("content", pattern))
+
+        def row(value: Column, i: Column) -> Column:
+            start = total(between, i + 1) + total(whole, i)  # characters before the match
+            first = F.greatest(start - rules.EXCERPT_BEFORE, F.lit(0))
+            size = start - first + F.length(F.get(whole, i)) + rules.EXCERPT_AFTER
+            return F.struct(F.lit(name).alias("k"), value.alias("v"), F.substring(F.col("content"), first + 1, size).alias("e"))
+
+        return F.transform(values, row)
 
     found = F.flatten(F.array(*[matches(*p) for p in rules.PARAMETERS]))
     rows = rows.select("paper_id", "chunk_id", "section_type", F.explode(found).alias("f"))
-    return rows.select("paper_id", "chunk_id", "section_type", F.lit("HYPERPARAMETER").alias("fact_type"), F.col("f.k").alias("fact_key"), F.col("f.v").alias("fact_value"), F.lit(rules.FACT_CONFIDENCE).alias("confidence"))
+    unit = mapped(F.col("f.k"), tuple((u, (k,)) for k, u in rules.PARAMETER_UNITS), F.lit(None))
+    return rows.select(
+        "paper_id", "chunk_id", "section_type", F.lit("HYPERPARAMETER").alias("fact_type"), F.col("f.k").alias("fact_key"), F.col("f.v").alias("fact_value"), unit.alias("unit"), F.col("f.e").alias("excerpt"), F.lit(rules.FACT_CONFIDENCE).alias("confidence")
+    )
 
 
 def _plain(column: str) -> Column:

@@ -227,9 +227,26 @@ def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.mine_hyperparameters(V.chunks(spark, sf_dir)).withColumn("paper_id", F.floor(F.col("paper_id") / 12))
 
 
-@query(over("SELECT chunk_id, fact_key, fact_value FROM mined", "mined"))
+_UNITS = "CASE fact_key " + " ".join(f"WHEN '{k}' THEN '{u}'" for k, u in rules.PARAMETER_UNITS) + " ELSE '-' END"
+add_view(
+    "matched",
+    ("chunks",),
+    " UNION ALL ".join(
+        f"""SELECT chunk_id, content, '{k}' AS fact_key, unnest(vs) AS fact_value, unnest(ws) AS whole, unnest(list_transform(range(1, len(vs) + 1), lambda i: coalesce(list_sum(list_transform(bs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0))) AS start
+  FROM (SELECT chunk_id, content, regexp_extract_all(content, '{p}', 1) AS vs, regexp_extract_all(content, '{p}', 0) AS ws, regexp_split_to_array(content, '{p}') AS bs FROM chunks WHERE NOT is_reference AND NOT is_noise AND section_type IN ('METHOD', 'EXPERIMENT'))"""
+        for k, p in rules.PARAMETERS
+    ),
+)
+
+
+@query(
+    over(
+        f"SELECT chunk_id, fact_key, fact_value, {_UNITS} AS unit, substr(content, CAST(greatest(start - {rules.EXCERPT_BEFORE}, 0) + 1 AS BIGINT), CAST(start - greatest(start - {rules.EXCERPT_BEFORE}, 0) + length(whole) + {rules.EXCERPT_AFTER} AS BIGINT)) AS excerpt FROM matched",
+        "matched",
+    )
+)
 def j1_mine_hyperparameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.mine_hyperparameters(V.chunks(spark, sf_dir)).select("chunk_id", "fact_key", "fact_value")
+    return K.mine_hyperparameters(V.chunks(spark, sf_dir)).select("chunk_id", "fact_key", "fact_value", F.coalesce("unit", F.lit("-")).alias("unit"), "excerpt")
 
 
 @query(over("SELECT * FROM merged", "merged"))

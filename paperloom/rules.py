@@ -147,6 +147,8 @@ PARAMETERS = (
     ("dropout", r"(?i)dropout(?:\s+rate)?\s*(?:of|=|:|was|is)?\s*([0-9]+(?:\.[0-9]+)?)"),
     ("window_size", r"(?i)(?:window|sequence)\s+(?:size|length)\s*(?:of|=|:|was|is)?\s*(\d+)"),
 )
+PARAMETER_UNITS = (("batch_size", "samples"), ("epochs", "epochs"), ("window_size", "steps"))
+EXCERPT_BEFORE, EXCERPT_AFTER = 100, 160
 FACT_CONFIDENCE, TRUSTED_CONFIDENCE = 0.82, 0.70
 CRITICAL_GROUPS = (
     ("architecture", ("ARCHITECTURE", "ARCHITECTURE_COMPONENT", "ARCHITECTURE_CONNECTION")),
