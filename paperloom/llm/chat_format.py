@@ -17,7 +17,8 @@ parts only.
 
 Turns are ordered by turn number, then role, then text; repeated rows stay. Null role, text and parts count as empty,
 null turn numbers come first, and rows with a null conversation id form one conversation of their own. A turn without
-parts has an empty body. Rows are gathered by conversation, as the result is one string for each; nothing else is
+parts has an empty body. Turns that are equal in all are interchangeable. A very long text, or a conversation with a
+large part of all rows, is one string by nature and bounded by its own row. Rows are gathered by conversation, as the result is one string for each; nothing else is
 shuffled. All work is done by built-in expressions.
 """
 
