@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, released, slices, small_batches
+from paperloom.llm.common import Scratch, key_join, released, slices, small_batches
 
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
@@ -291,7 +291,8 @@ def placed_segments(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     places = segments.select("part", "seg", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("_before"))
     places = places.join(F.broadcast(_starts(segments)), "part").select("part", "seg", (F.col("_base") + F.col("_before")).alias("start"))
-    return segments.join(places, ["part", "seg"])
+    # A row for each million ids: as long as these fit, no code is shuffled to meet its start.
+    return key_join(segments, Scratch(spark).write(places, "places"), ["part", "seg"], "inner")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
