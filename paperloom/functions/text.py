@@ -10,9 +10,6 @@ from paperloom import rules
 
 #: All characters up to U+0020.
 _LOW = "".join(map(chr, range(0x21)))
-#: Any noise rule: most lines meet none, so one search settles them.
-_ANY_NOISE = "|".join(f"(?:{pattern})" for _, pattern in rules.NOISE_RULES)
-
 
 def trim_all(text: Column) -> Column:
     """Without characters up to U+0020 at both ends."""
@@ -30,22 +27,36 @@ def has_any(text: Column, parts) -> Column:
     return found
 
 
+def _meets(low: Column, name: str, pattern: str) -> Column:
+    needs = rules.NOISE_NEEDS.get(name)
+    return has_any(low, needs) & low.rlike(pattern) if needs else low.rlike(pattern)
+
+
 def noise_rule(line: Column) -> Column:
     """Name of the first noise rule that a line meets, or null."""
     low = F.lower(trim_all(line))
-    out = F.when(~low.rlike(_ANY_NOISE), F.lit(None).cast("string"))
+    out = None
+    for name, pattern in rules.NOISE_RULES:
+        test = _meets(low, name, pattern)
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out
+
+
+def is_noise(line: Column) -> Column:
+    """Whether a trimmed line meets a noise rule."""
+    low, out = F.lower(line), F.lit(False)
     for name, pattern in rules.NOISE_RULES:
-        out = out.when(low.rlike(pattern), name)
+        out = out | _meets(low, name, pattern)
     return out
 
 
 def clean_text(text: Column) -> Column:
     """Line ends unified, hyphen breaks joined, page numbers and noise lines dropped, blanks collapsed."""
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, r"([A-Za-z])-\n([A-Za-z])", "$1$2")
+    t = F.when(t.contains("-\n"), F.regexp_replace(t, r"([A-Za-z])-\n([A-Za-z])", "$1$2")).otherwise(t)
     lines = F.transform(F.split(t, "\n"), trim_all)
-    lines = F.filter(lines, lambda x: ~x.rlike(r"^\d{1,4}$") & ~F.lower(x).rlike(_ANY_NOISE))
-    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"[ \t]+", " "))
+    lines = F.filter(lines, lambda x: ~((F.length(x) <= 4) & x.rlike(r"^\d{1,4}$")) & ~is_noise(x))
+    lines = F.transform(lines, lambda x: F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, r"[ \t]+", " ")).otherwise(x))
     return trim_all(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 

@@ -11,6 +11,7 @@ from paperloom.operators import dense, fusion, lexical
 from paperloom.plans.catalog import query
 from paperloom.plans.views_sql import add_view, choice, listed, over, quoted
 from paperloom.sources import views as V
+from paperloom.sources.scratch import written
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({x}, '')), {p}), lambda w: length(w) >= 2 AND NOT list_contains([{s}], w))"
 
@@ -221,9 +222,10 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = rows.select("question_id", "chunk_id", F.lit(r).alias("r"), "score")
         found = rows if found is None else found.unionByName(rows)
     c = F.col("chunk_id")
-    return found.select(
+    rows = found.select(
         "question_id", V.pick(ROUTE_NAMES, F.col("r")).alias("route"), V.pick(V.VECTOR_TYPES, c % 3).alias("source_type"), (F.floor(c / 6) + 1).alias("paper_id"), "chunk_id", F.round("score", 6).alias("score"), (c * 3 + F.col("r")).alias("hit_id")
     )
+    return written(rows)
 
 
 # --- fusion
@@ -326,32 +328,31 @@ add_view(
 )
 
 
-def _hit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hit_texts(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
     chunks = V.chunks(spark, sf_dir).select("chunk_id", "content")
     titles = V.paper_rows(spark, sf_dir).select("paper_id", "title")
-    return _hits(spark, sf_dir).join(chunks, "chunk_id").join(titles, "paper_id", "left")
+    return hits.join(chunks, "chunk_id").join(titles, "paper_id", "left")
 
 
 def _hit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.questions(spark, sf_dir).select("question_id", F.explode(tokens(F.col("question"))).alias("term")).distinct()
 
 
-def _ranked(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
-    texts = _hit_texts(spark, sf_dir)
-    coverage = fusion.term_coverage(texts, _hit_terms(spark, sf_dir))
-    reviews = _hits(spark, sf_dir).join(V.paper_rows(spark, sf_dir), "paper_id").where(fusion.is_review(F.col("title"))).select("question_id", "paper_id").distinct()
-    return fusion.rank_papers(_hits(spark, sf_dir), top, coverage, reviews)
+def _ranked(spark: SparkSession, sf_dir: str, top: int, hits: DataFrame) -> DataFrame:
+    coverage = fusion.term_coverage(_hit_texts(spark, sf_dir, hits), _hit_terms(spark, sf_dir))
+    reviews = hits.join(V.paper_rows(spark, sf_dir), "paper_id").where(fusion.is_review(F.col("title"))).select("question_id", "paper_id").distinct()
+    return fusion.rank_papers(hits, top, coverage, reviews)
 
 
 @query(over("SELECT question_id, paper_id, round(coverage, 6) AS coverage FROM coverage", "coverage"))
 def e9_term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fusion.term_coverage(_hit_texts(spark, sf_dir), _hit_terms(spark, sf_dir))
+    out = fusion.term_coverage(_hit_texts(spark, sf_dir, _hits(spark, sf_dir)), _hit_terms(spark, sf_dir))
     return out.select("question_id", "paper_id", F.round("coverage", 6).alias("coverage"))
 
 
 @query(over("SELECT question_id, paper_id, covered_types, round(score, 6) AS score, rank FROM ranked WHERE rank <= 8", "ranked"))
 def e8_e10_rank_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir, 8).select("question_id", "paper_id", "covered_types", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _ranked(spark, sf_dir, 8, _hits(spark, sf_dir)).select("question_id", "paper_id", "covered_types", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +369,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def e11_select_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.select_candidates(_ranked(spark, sf_dir, 8), _asked(spark, sf_dir), 8).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.select_candidates(_ranked(spark, sf_dir, 8, _hits(spark, sf_dir)), _asked(spark, sf_dir), 8).withColumn("rank", F.col("rank").cast("long"))
 
 
 add_view("rr0", ("hits", "ranked"), """SELECT *, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY score DESC NULLS LAST, hit_id) - 1 AS place FROM (
@@ -387,8 +388,9 @@ add_view("rr3", ("rr2",), "SELECT question_id, coalesce(min(CASE WHEN added = 0
     )
 )
 def e12_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hits(spark, sf_dir).withColumns({"key": fusion.source_key(), "background": F.col("hit_id") % 5 == 0, "matches": F.col("hit_id") % 3})
-    return fusion.round_robin(rows, _ranked(spark, sf_dir, 4), 12).withColumn("pos", F.col("pos").cast("long"))
+    hits = _hits(spark, sf_dir)
+    rows = hits.withColumns({"key": fusion.source_key(), "background": F.col("hit_id") % 5 == 0, "matches": F.col("hit_id") % 3})
+    return fusion.round_robin(rows, _ranked(spark, sf_dir, 4, hits), 12).withColumn("pos", F.col("pos").cast("long"))
 
 
 _BACK = " OR ".join(f"contains(t, {quoted(m)})" for m in rules.BACKGROUND_MARKS)

@@ -5,9 +5,6 @@ Each writes its table to several files first, so that the stream has several bat
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +12,12 @@ from paperloom.operators import dialogue, knowledge
 from paperloom.plans.catalog import ORACLES, query
 from paperloom.plans.views_sql import over
 from paperloom.sources import views as V
+from paperloom.sources.scratch import shared_folder
 from paperloom.streaming import jobs as S
 
 FILES = 3
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share; on one machine, where none is named, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/paperloom-stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str, order: str, root: str) -> DataFrame:
     V.table(spark, sf_dir, name).repartitionByRange(FILES, order).write.parquet(f"{root}/in/{name}")
     return S.stream_table(spark, f"{root}/in/{name}/*.parquet")
@@ -37,7 +25,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, order: str, root: str)
 
 @query(over("SELECT paper_id, job_id, status FROM last_jobs", "last_jobs"))
 def m3_stream_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _scratch(spark)
+    root = shared_folder(spark)
     events = _stream(spark, sf_dir, "events", "event_id", root)
     status = F.when(F.col("event_type") == "purchase", "COMPLETED").when(F.col("event_type") == "error", "FAILED").otherwise("PROCESSING")
     rows = events.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("paper_id"), status.alias("status"), F.col("ts").alias("create_time"), F.lit(0).cast("long").alias("processed"), F.lit(20).cast("long").alias("total"))
@@ -47,7 +35,7 @@ def m3_stream_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM postings GROUP BY 1", "postings"))
 def m1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _scratch(spark)
+    root = shared_folder(spark)
     docs = _stream(spark, sf_dir, "documents", "doc_id", root).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     last = S.run_fold(docs, S.keep_postings, f"{root}/out", f"{root}/checkpoint", ("chunk_id",))
     return S.read_state(spark, f"{root}/out", last).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
@@ -55,7 +43,7 @@ def m1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["i10_apply_feedback"])
 def m2_stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _scratch(spark)
+    root = shared_folder(spark)
     events = _stream(spark, sf_dir, "events", "event_id", root)
     action = F.when(F.col("event_type") == "purchase", "CONFIRM").when(F.col("event_type") == "error", "REJECT").when(F.col("event_type") == "signup", "CORRECT")
     value = F.when(F.col("event_type") == "signup", F.concat(F.lit("v"), "event_id"))
@@ -67,7 +55,7 @@ def m2_stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(over("SELECT stage, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(ms), 2) AS total_ms FROM spans GROUP BY 1, 2", "spans"))
 def m4_windowed_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows as they stand at the end: the aggregation runs in update mode, and each window's newest row is kept."""
-    root = _scratch(spark)
+    root = shared_folder(spark)
     events = _stream(spark, sf_dir, "events", "ts", root)
     rows = events.select(F.col("event_type").alias("stage"), F.col("value").alias("ms"), F.col("ts").cast("timestamp").alias("ts"))
     last = S.run_fold(S.windowed_timings(rows, delay="40 days"), S.keep_windows, f"{root}/out", f"{root}/checkpoint", ("stage", "start"), "update")
