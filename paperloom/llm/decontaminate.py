@@ -55,10 +55,14 @@ class TilingParams:
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
+#: The first of these scripts' blocks begins here: most texts hold nothing beyond, which one range tells.
+_FROM_THAI = r"[\x{0E00}-\x{10FFFF}]"
+
+
 def plain(text: Column) -> Column:
     """The tokens of a text with single spaces between."""
     runs = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
-    return F.regexp_replace(runs, f"([{UNSPACED}])", " $1 ")
+    return F.when(runs.rlike(_FROM_THAI), F.regexp_replace(runs, f"([{UNSPACED}])", " $1 ")).otherwise(runs)
 
 
 def token_rows(texts: pa.Array) -> Iterator[np.ndarray]:
