@@ -12,8 +12,7 @@ Decoding concatenates the ranks' bytes, so it gives back the UTF-8 bytes of the
 
 Null counts as empty; an empty text has no ids. Repeated rows are encoded each for itself. An empty table gives an
 empty result. Other columns are kept if listed as keys. A long document's chunks are spread over tasks and only their
-boundaries and ids are gathered by document. Row numbers tie chunks to their row; a row's keys travel with its first
-chunk, so that each row is read once.
+boundaries and ids are gathered by document. Long rows are written once, as numbers tie their chunks to them.
 """
 
 from __future__ import annotations
@@ -28,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from paperloom.llm.common import released, slices
+from paperloom.llm.common import Scratch, released, slices
 
 MARGIN = 8
 #: Pre-tokens remembered with their ids in each worker.
@@ -118,16 +116,16 @@ def _whole(vocabulary: Vocabulary, decoded: str | None):
 
 
 def _rejoined(vocabulary: Vocabulary, decoded: str | None):
-    """(keys, ids of all chunks, text of a broken document) to (keys, ids)."""
+    """(row, ids of all chunks, text of a broken document) to (row, ids)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
         for part in slices(batches, 10):
             ids = []
-            for flat, raw in zip(part.column("_ids"), part.column("_raw"), strict=True):
+            for flat, raw in zip(part.column(1), part.column(2), strict=True):
                 text = raw.as_py()
                 ids.append(codec.whole(text) if text else flat.values.to_numpy())
-            yield _with_ids(codec, part.select(part.schema.names[:-2]), ids, decoded)
+            yield _with_ids(codec, part.select(["_row"]), ids, decoded)
 
     return rows
 
@@ -135,8 +133,7 @@ def _rejoined(vocabulary: Vocabulary, decoded: str | None):
 def _cut(p: BpeParams):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field(2).type
-            for row, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = text.as_py()
                 starts = list(range(0, len(t), p.chunk))
                 pieces = [t[s : s + p.chunk + p.overlap] for s in starts]
@@ -145,8 +142,8 @@ def _cut(p: BpeParams):
                     n = last.index(True) + 1
                     starts, pieces, last = starts[:n], pieces[:n], last[:n]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array(starts, pa.int32()), pa.array(pieces, pa.string()), pa.array(last, pa.bool_()), pa.array([keys.as_py()] + [None] * (len(starts) - 1), kind)],
-                    ["_row", "_chunk", "_start", "_piece", "_last", "_keys"],
+                    [pa.array([row] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array(starts, pa.int32()), pa.array(pieces, pa.string()), pa.array(last, pa.bool_())],
+                    ["_row", "_chunk", "_start", "_piece", "_last"],
                 )
 
     return rows
@@ -189,13 +186,13 @@ def _encode_chunks(vocabulary: Vocabulary, p: BpeParams):
                     pieces.append(m[0])
                 ids.append(np.array(codec.pieces(pieces), np.int32))
                 raw.append(None)
-            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_chunk"), part.column("_keys"), _list(ids), pa.array(raw, pa.string())], ["_row", "_chunk", "_keys", "_ids", "_raw"])
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_chunk"), _list(ids), pa.array(raw, pa.string())], ["_row", "_chunk", "_ids", "_raw"])
 
     return rows
 
 
 def encode(
-    docs: DataFrame, vocabulary: Vocabulary, keys: Sequence[str] = ("doc_id",), text: str = "text", params: BpeParams | None = None, decoded: str | None = None
+    docs: DataFrame, vocabulary: Vocabulary, keys: Sequence[str] = ("doc_id",), text: str = "text", params: BpeParams | None = None, decoded: str | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
     """``keys`` and ``ids`` (array<int>) for every row of ``docs``.
 
@@ -211,26 +208,21 @@ def encode(
     out = [*names, "ids", *[decoded] * bool(decoded)]
 
     short = rows.where(F.length("_text") <= p.chunk).mapInArrow(released(_whole(vocabulary, decoded)), ", ".join([*kept, *results])).select(*out)
-    # The keys travel with the first chunk, so a row is read once.
-    inside = F.struct(*[f"_key{i}" for i in range(len(keys))]) if keys else F.struct(F.lit(0).alias("_none"))
-    long = rows.where(F.length("_text") > p.chunk).select(F.monotonically_increasing_id().alias("_row"), "_text", inside.alias("_keys"))
-
-    held = StructField("_keys", long.schema["_keys"].dataType)  # null but for the first chunk
-    form = lambda before, after="": StructType([*StructType.fromDDL(before).fields, held, *(StructType.fromDDL(after).fields if after else [])])
-    piece = "_row long, _chunk int, _start int, _piece string, _last boolean"
-    chunks = long.mapInArrow(released(_cut(p)), form(piece))
-    chunks = chunks.repartition("_row", "_chunk").mapInArrow(released(_edges(vocabulary, p)), form(piece, "_left array<int>, _right array<int>"))
+    long = rows.where(F.length("_text") > p.chunk).withColumn("_row", F.monotonically_increasing_id())
+    long = (scratch or Scratch(docs.sparkSession)).write(long, "long")  # read twice, under one number
+    chunks = long.select("_row", "_text").mapInArrow(released(_cut(p)), "_row long, _chunk int, _start int, _piece string, _last boolean")
+    chunks = chunks.repartition("_row", "_chunk").mapInArrow(released(_edges(vocabulary, p)), "_row long, _chunk int, _start int, _piece string, _last boolean, _left array<int>, _right array<int>")
     order = Window.partitionBy("_row").orderBy("_chunk")
     common = F.array_min(F.array_intersect(F.lag("_right").over(order), F.col("_left")))
     chunks = chunks.withColumn("_from", F.when(F.col("_chunk") == 0, F.lit(0)).otherwise(common)).drop("_left", "_right")
     chunks = chunks.withColumns({"_to": F.lead("_from").over(order), "_broken": F.max(F.col("_from").isNull()).over(Window.partitionBy("_row"))})
-    parts = chunks.repartition("_row", "_chunk").mapInArrow(released(_encode_chunks(vocabulary, p)), form("_row long, _chunk int", "_ids array<int>, _raw string"))
-    parts = parts.groupBy("_row").agg(F.first("_keys", ignorenulls=True).alias("_keys"), F.array_sort(F.collect_list(F.struct("_chunk", "_ids", "_raw"))).alias("_parts"))
+    parts = chunks.repartition("_row", "_chunk").mapInArrow(released(_encode_chunks(vocabulary, p)), "_row long, _chunk int, _ids array<int>, _raw string")
+    parts = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_ids", "_raw"))).alias("_parts"))
     empty = F.array().cast("array<int>")
     flat = F.flatten(F.transform("_parts", lambda x: F.coalesce(x["_ids"], empty)))
-    encoded = parts.select(*[F.col("_keys").getField(f"_key{i}").alias(f"_key{i}") for i in range(len(keys))], flat.alias("_ids"), F.array_join("_parts._raw", "").alias("_raw"))
-    encoded = encoded.mapInArrow(released(_rejoined(vocabulary, decoded)), ", ".join([*kept, *results]))
-    return short.unionByName(encoded.select(*out))
+    encoded = parts.select("_row", flat.alias("_ids"), F.array_join("_parts._raw", "").alias("_raw"))
+    encoded = encoded.mapInArrow(released(_rejoined(vocabulary, decoded)), ", ".join(["_row long", *results]))
+    return short.unionByName(long.drop("_text").join(encoded, "_row").select(*out))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
