@@ -125,6 +125,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     again = key_join(source, wanted.select("_rid").distinct(), "_rid", "left_semi")
     bodies = again.mapInArrow(released(_chunk_rows(p, True)), ddl + ", body binary")
     bodies = scratch.write(key_join(bodies, many, "hash", "left_semi"), "line_bodies")
+    scratch.drop("line_chunks", "line_hashes", "line_wanted")
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), F.col("first").alias("first"))
     firsts = bodies.groupBy("hash", "body").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
     firsts = scratch.write(firsts.select("hash", "body", "n", F.col("at.id").alias("first_id"), F.col("at.rid").alias("at_rid"), F.col("at.first").alias("at_first")), "line_firsts")
