@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, key_join, released, slices, small_batches
+from paperloom.llm.common import Scratch, key_join, released, small_batches
 
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
@@ -212,70 +212,58 @@ class WordVocabulary:
 # --- files
 
 _SEGMENTS = "part int, seg int, n_tokens long, doc_ids array<{0}>, counts array<long>, codes binary"
-#: Bytes of ids, as they are shuffled, that one part should hold.
-PART_BYTES = 64 << 20
 
 
-def _encoded(vocabulary: WordVocabulary, end_id: int):
-    """(key, text) to (key, ids): sixteen bits for each id where they suffice, marked by the first byte."""
+def _segments(vocabulary: WordVocabulary, end_id: int):
+    end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = vocabulary.encoder()
-        for part in slices(batches, 256):
-            out = []
-            for coded in encoder.batch([x or "" for x in part.column(1).to_pylist()]):
-                ids = np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id))
-                narrow = int(ids.max()) < 1 << 16
-                out.append(b"\x02" + ids.astype("<u2").tobytes() if narrow else b"\x04" + ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*part.columns[2:], part.column(0), pa.array(out, pa.binary())], [*part.schema.names[2:], "_key", "_ids"])
+        encoder, part = vocabulary.encoder(), TaskContext.get().partitionId()
+        ids, texts, size, seg, kind = [], [], 0, 0, None
+        keys: list = []
+        held: list[bytes] = []
+        tokens = 0
+
+        def flush() -> pa.RecordBatch:
+            counts = [len(x) // 4 for x in held]
+            columns = [[part], [seg], [sum(counts)], [keys], [counts], [pack(np.frombuffer(b"".join(held), "<u4"))]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seg", "n_tokens", "doc_ids", "counts", "codes"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo in range(0, len(ids), 256):
+                some = [x or "" for x in texts[lo : lo + 256].to_pylist()]
+                for key, coded in zip(ids[lo : lo + 256], encoder.batch(some), strict=True):
+                    if held and tokens + len(coded) // 4 + 1 > SEGMENT_TOKENS:
+                        yield flush()
+                        keys, held, tokens, seg = [], [], 0, seg + 1
+                    keys.append(key)
+                    held.append(coded + end)
+                    tokens += len(coded) // 4 + 1
+        if held:
+            yield flush()
 
     return rows
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, seg, tokens, kind = TaskContext.get().partitionId(), 0, 0, None
-    keys: list = []
-    held: list[np.ndarray] = []
-
-    def flush() -> pa.RecordBatch:
-        counts = [len(x) for x in held]
-        columns = [[part], [seg], [sum(counts)], [keys], [counts], [pack(np.concatenate(held))]]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seg", "n_tokens", "doc_ids", "counts", "codes"])
-
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            coded = raw.as_py()
-            ids = np.frombuffer(coded, f"<u{coded[0]}", offset=1).astype(np.uint32)
-            if held and tokens + len(ids) > SEGMENT_TOKENS:
-                yield flush()
-                keys, held, tokens, seg = [], [], 0, seg + 1
-            keys.append(key)
-            held.append(ids)
-            tokens += len(ids)
-    if held:
-        yield flush()
+#: Bytes of text that one part should hold.
+PART_BYTES = 64 << 20
 
 
 def write_tokens(docs: DataFrame, vocabulary: WordVocabulary, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write the ids of all ``docs``, each with ``end_id`` behind, in key order to segment files in ``path``.
-
-    Texts are encoded where they lie; what is shuffled into key order is their ids.
-    """
+    """Write the ids of all ``docs``, each with ``end_id`` behind, in key order to segment files in ``path``."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     key_type = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")).alias("_crc"))
-    coded = scratch.write(rows.mapInArrow(released(_encoded(vocabulary, end_id)), f"_crc long, _key {key_type}, _ids binary"), "coded")
-    size = coded.agg(F.sum(F.octet_length("_ids"))).first()[0] or 0
+    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), 1)
-    coded = coded.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
-    coded = coded.repartitionByRange(parts, "_key", "_crc", "_salt").sortWithinPartitions("_key", "_crc", "_salt")
+    rows = rows.repartitionByRange(parts, "_key", "_crc", "_salt").sortWithinPartitions("_key", "_crc", "_salt")
     with small_batches(spark):
         # Without compression: a code is where its directory says.
-        coded.select("_key", "_ids").mapInArrow(released(_segments), _SEGMENTS.format(key_type)).write.mode("overwrite").option("compression", "none").parquet(path)
-    scratch.drop()
+        rows.select("_key", "_text").mapInArrow(released(_segments(vocabulary, end_id)), _SEGMENTS.format(key_type)).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def _starts(segments: DataFrame) -> DataFrame:
