@@ -119,7 +119,7 @@ def hot_join(big: DataFrame, keys: DataFrame, on: list[str], count: str, hot: in
     if table_bytes(top) > BROADCAST_BYTES:
         return big.join(keys, on)
     often = big.join(F.broadcast(top), on)
-    return often.unionByName(big.join(F.broadcast(top.select(*on)), on, "left_anti").join(keys.where(F.col(count) <= hot), on))
+    return often.unionByName(big.join(F.broadcast(top.select(*on)), on, "left_anti").join(keys.where(F.col(count) <= hot).hint("merge"), on))
 
 
 def slices(batches: Iterator, rows: int) -> Iterator:

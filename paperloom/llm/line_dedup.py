@@ -121,10 +121,10 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     ddl = f"_id {id_type}, _rid binary, first int, lines int, hash binary"
     chunks = scratch.write(source.mapInArrow(released(_chunk_rows(p, False)), ddl), "line_chunks")
     many = scratch.write(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line_hashes")
-    wanted = scratch.write(key_join(chunks, many, "hash", "left_semi").select("_rid", "hash"), "line_wanted")
+    wanted = scratch.write(chunks.join(many.hint("merge"), "hash", "left_semi").select("_rid", "hash"), "line_wanted")
     again = key_join(source, wanted.select("_rid").distinct(), "_rid", "left_semi")
     bodies = again.mapInArrow(released(_chunk_rows(p, True)), ddl + ", body binary")
-    bodies = scratch.write(key_join(bodies, many, "hash", "left_semi"), "line_bodies")
+    bodies = scratch.write(bodies.join(many.hint("merge"), "hash", "left_semi"), "line_bodies")  # the same join at every size
     scratch.drop("line_chunks", "line_hashes", "line_wanted")
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_rid").alias("rid"), F.col("first").alias("first"))
     firsts = bodies.groupBy("hash", "body").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
