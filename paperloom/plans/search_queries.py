@@ -65,7 +65,7 @@ def c4_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.corpus_stats(_docs(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(over("SELECT question_id, chunk_id, round(score, 6) AS score FROM scored", "scored"))
+@query(over("SELECT question_id, chunk_id, round(round(score, 8), 6) AS score FROM scored", "scored"))
 def c5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
 
