@@ -54,14 +54,50 @@ reach AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, b.y F
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS low FROM reach GROUP BY 1) m USING (doc_id)"""
 
 
+def _crc32(hexed: str) -> str:
+    """The checksum of bytes told in hexadecimal digits; its table ``steps`` of 256 entries is made by its rule in ``_STEPS``."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all({hexed}, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a // 256, steps[xor(a % 256, b) + 1])), 4294967295)"
+
+
+_STEPS = "crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps)"
+
+
 def op7(shards: int = 24) -> str:
-    """The law is told in full; the checksum's table of 256 entries is made by its rule."""
-    crc = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a // 256, steps[xor(a % 256, b) + 1])), 4294967295)"""
-    return f"""WITH crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
-sized AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {crc} AS text_crc32 FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents), crc),
+    """The law is told in full."""
+    return f"""WITH {_STEPS},
+sized AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {_crc32("h")} AS text_crc32 FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents), crc),
 summed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM sized),
 placed AS (SELECT *, least({shards - 1}, CAST((2 * upto - size) * {shards} // (2 * total) AS INTEGER)) AS shard FROM summed)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
 
 
-ORACLES = {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op6_ngram_join": op6(), "op7_sharding": op7()}
+def op11() -> str:
+    """Edits told forwards: for every row and state the cheapest edits so far, of equal ones the letters that come first."""
+    best = lambda *ways: f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+    way = lambda state, cost, letter, row: f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {state}.o || {row}}} END"
+    insert = lambda state, role: way(state, 5, "I", f"chr(10) || '{role}:'")
+    only = lambda condition, way: f"CASE WHEN {condition} THEN {way} END"
+    kept = lambda state, letter: only(f"stays AND starts_with(role, '{letter}')", way(state, "extra", "K", "chr(10) || role || ':' || text"))
+    named = lambda state, role: only("stays", way(state, "1 + extra", "R", f"chr(10) || '{role}:' || text"))
+    gone = lambda state: way(state, 2, "D", "''")
+    opened = lambda rows: f"SELECT *, {best('a', insert('u1', 'assistant'))} AS a1 FROM (SELECT *, {best('u', insert('q', 'user'), insert('s', 'user'), insert('a', 'user'))} AS u1 FROM {rows})"
+    return rf"""WITH RECURSIVE {_STEPS},
+told AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')))")} % 20 AS kind FROM conversations, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM told)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt)),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS met FROM placed),
+steps_in AS (SELECT conv_id, i, role, text, fault IN ('', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged),
+run AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 'o': ''}} AS q, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, o VARCHAR)) AS s, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, o VARCHAR)) AS u, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, o VARCHAR)) AS a FROM (SELECT DISTINCT conv_id FROM judged)
+  UNION ALL SELECT conv_id, i, {gone("q")}, {best(gone("s"), kept("q", "s"))}, {best(gone("u1"), *[w for x in ("q", "s", "a1") for w in (kept(x, "u"), named(x, "user"))])}, {best(gone("a1"), kept("u1", "a"), named("u1", "assistant"))}
+  FROM ({opened("(SELECT r.q, r.s, r.u, r.a, n.* FROM run r JOIN steps_in n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.i = r.i + 1)")})),
+ended AS (SELECT conv_id, {best("q", "a1")} AS w FROM ({opened("(SELECT * FROM run SEMI JOIN (SELECT conv_id AS c, max(i) AS m FROM judged GROUP BY 1) ON c IS NOT DISTINCT FROM conv_id AND m = i)")})),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE met NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(substr(w.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+ORACLES = {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op6_ngram_join": op6(), "op7_sharding": op7(), "op11_conversation_repair": op11()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sharding, span_dedup, token_files, url_filter
+from paperloom.llm import bpe, chat_format, chat_repair, decontaminate, line_dedup, ngram_join, quality_rules, sharding, span_dedup, token_files, url_filter
 from paperloom.llm.common import scratch_dir
 from paperloom.llm.oracles import ORACLES
 
@@ -110,6 +110,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = chat_repair.repair_report(chat_repair.repair_conversations(chat_repair.damaged(rows)))
+    # Conversations that lost every row come back empty.
+    whole = rows.select("conv_id").distinct().join(told.withColumnRenamed("conv_id", "_conv"), F.expr("conv_id <=> _conv"), "left").drop("_conv")
+    figures = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *figures, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +132,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_line_dedup,
         op10_token_files,
+        op11_conversation_repair,
     )
 }
 
