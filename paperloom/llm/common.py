@@ -59,6 +59,7 @@ class Scratch:
 def table_bytes(table: DataFrame) -> int:
     """About the bytes that the rows of a table of plain columns take in memory, by counting them."""
     wide = [F.octet_length(f.name) for f in table.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    wide += [8 * F.size(f.name) for f in table.schema.fields if f.dataType.simpleString() in ("array<int>", "array<bigint>")]
     told = table.agg(F.count("*").alias("n"), *[F.sum(x).alias(f"w{i}") for i, x in enumerate(wide)]).first()
     return told[0] * (24 + 8 * len(table.columns)) + sum(x or 0 for x in told[1:])
 

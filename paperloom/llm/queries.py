@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chat_format, chat_repair, decontaminate, line_dedup, ngram_join, quality_rules, sharding, span_dedup, token_files, url_filter
+from paperloom.llm import bpe, chat_format, chat_repair, decontaminate, line_dedup, ngram_join, quality_rules, sharding, span_dedup, suffix_dedup, token_files, url_filter
 from paperloom.llm.common import scratch_dir
 from paperloom.llm.oracles import ORACLES
 
@@ -119,6 +119,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", *figures, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.dedup_bytes(docs)
+    return out.select(
+        "doc_id",
+        F.coalesce("n_bytes", F.lit(0).cast("long")).alias("n_bytes"),
+        F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_spans"),
+        F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -133,6 +145,7 @@ QUERIES = {
         op9_line_dedup,
         op10_token_files,
         op11_conversation_repair,
+        op13_suffix_dedup,
     )
 }
 
