@@ -100,4 +100,29 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
-ORACLES = {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op6_ngram_join": op6(), "op7_sharding": op7(), "op11_conversation_repair": op11()}
+def op12(k: int = 10) -> str:
+    upper, term = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{term}')"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+totals AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM docs WHERE len(w) > 0),
+asked AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct({words})) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+held AS (SELECT r, doc_id, term, count(*) AS tf, n FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM held, totals GROUP BY 1),
+scored AS (SELECT q, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score FROM asked JOIN held USING (term) JOIN weights USING (term), totals GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= {k}"""
+
+
+def op13(width: int = 200) -> str:
+    """Every window of every text, by a 64-bit hash of its bytes in hexadecimal digits."""
+    return f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT r, i, hash(substr(h, 2 * i + 1, {2 * width})) AS m FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {width - 1})) AS i FROM texts WHERE length(h) >= {2 * width})),
+hit AS (SELECT r, i FROM windows WHERE m IN (SELECT m FROM windows GROUP BY 1 HAVING count(*) > 1)),
+begun AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {width}, true) AS new FROM hit),
+runs AS (SELECT r, min(i) AS a, max(i) + {width} AS b FROM (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM begun) GROUP BY r, run),
+gone AS (SELECT r, count(*) AS n, sum(b - a) AS bytes FROM runs GROUP BY 1),
+edges AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM (SELECT * FROM runs UNION ALL SELECT r, length(h) // 2, NULL FROM texts)),
+kept AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS h FROM edges JOIN texts USING (r) GROUP BY 1)
+SELECT doc_id, length(t.h) // 2 AS n_bytes, CAST(coalesce(bytes, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256 FROM texts t JOIN kept k USING (r) LEFT JOIN gone USING (r)"""
+
+
+ORACLES = {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op6_ngram_join": op6(), "op7_sharding": op7(), "op11_conversation_repair": op11(), "op12_ranked_search": op12(), "op13_suffix_dedup": op13()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chat_format, chat_repair, decontaminate, line_dedup, ngram_join, quality_rules, sharding, span_dedup, suffix_dedup, token_files, url_filter
+from paperloom.llm import bpe, chat_format, chat_repair, decontaminate, line_dedup, ngram_join, quality_rules, ranked_search, sharding, span_dedup, suffix_dedup, token_files, url_filter
 from paperloom.llm.common import scratch_dir
 from paperloom.llm.oracles import ORACLES
 
@@ -119,6 +119,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", *figures, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(table(spark, sf_dir, "benchmark").select("item_id", "text"), ranked_search.build_index(docs))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.dedup_bytes(docs)
@@ -145,6 +150,7 @@ QUERIES = {
         op9_line_dedup,
         op10_token_files,
         op11_conversation_repair,
+        op12_ranked_search,
         op13_suffix_dedup,
     )
 }

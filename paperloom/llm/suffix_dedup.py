@@ -285,10 +285,10 @@ def _repeated(table: pa.Table) -> pa.Table:
     doc, at = docs[own], pairs[own, 0] + hit - edge[own]
     begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(doc) != 0)])) if len(at) else np.empty(0, np.int64)
     end = np.concatenate([begin[1:], [len(at)]])[: len(begin)]
-    told, first = np.unique(doc[begin], return_index=True)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(doc[begin]) != 0])) if len(begin) else begin  # texts come in any order, each together
     flat = np.stack([at[begin], at[end - 1] + 1], axis=1).reshape(-1) if len(begin) else np.empty(0, np.int64)
     cuts = 2 * np.append(first, len(begin))
-    return pa.table({"doc": pa.array(told, pa.int64()), "tied": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))})
+    return pa.table({"doc": pa.array(doc[begin][first], pa.int64()), "tied": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))})
 
 
 # --- the operator

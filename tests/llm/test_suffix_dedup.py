@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from paperloom.llm import suffix_dedup
 
 
@@ -77,6 +79,16 @@ def test_nulls_short_texts_and_repeated_rows(spark):
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
+def test_batches_of_texts_in_any_order():
+    import pyarrow as pa
+
+    docs, pairs = np.array([9, 9, 4, 6], "<i8"), np.array([0, 3, 7, 9, 1, 2, 5, 8], "<u4")
+    hits = np.array([0, 1, 3, 5, 7], "<u4")  # of 3 + 2 + 1 + 3 windows
+    head = {"batch": 9, "docs": docs.tobytes(), "sizes": pairs.tobytes(), "places": hits.tobytes(), "flags": bytes([suffix_dedup._TIED] * 5)}
+    out = suffix_dedup._repeated(pa.Table.from_pylist([head])).to_pylist()
+    assert out == [{"doc": 9, "tied": [0, 2, 7, 8]}, {"doc": 4, "tied": [1, 2]}, {"doc": 6, "tied": [6, 7]}]
+
+
 def test_covers_hold_every_distance():
     for period, residues in suffix_dedup.COVERS.items():
         assert {(a - b) % period for a in residues for b in residues} == set(range(period))
