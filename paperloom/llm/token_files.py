@@ -99,6 +99,29 @@ class Segment:
             i, shift = self._rank(bits, ranks, i), shift + 8
         return value
 
+    @staticmethod
+    def _ranks(bits: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ones before each bit of ``at``: the directory's figure and the ones of at most one block."""
+        block = at // BLOCK
+        byte = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
+        part = np.where(byte < (at >> 3)[:, None], bits[np.minimum(byte, len(bits) - 1)], 0)
+        rest = bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)
+        return ranks[block].astype(np.int64) + np.bitwise_count(part).sum(axis=1, dtype=np.int64) + np.bitwise_count(rest)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The ids at many places, each found like ``get`` finds one."""
+        out = np.zeros(len(at), np.uint32)
+        for lo in range(0, len(at), 4096):
+            i, shift = np.asarray(at[lo : lo + 4096], np.int64), 0
+            where = np.arange(lo, lo + len(i))
+            for chunks, bits, ranks in self.levels:
+                out[where] |= chunks[i].astype(np.uint32) << np.uint32(shift)
+                if bits is None or not len(i):
+                    break
+                more = bits[i >> 3] >> (i & 7).astype(np.uint8) & 1 == 1
+                i, where, shift = self._ranks(bits, ranks, i[more]), where[more], shift + 8
+        return out
+
     def slice(self, begin: int, end: int) -> np.ndarray:
         out, where, shift = np.zeros(end - begin, np.uint32), np.arange(end - begin), 0
         for chunks, bits, ranks in self.levels:
@@ -147,6 +170,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         #: A text with one of these strings goes through the library whole, which gives it their ids.
         self.special = [t["content"] for t in json.loads(vocabulary).get("added_tokens", ())]
+        self.lowered = [x.encode("utf-8").lower() for x in self.special]
         self.model = self.tokenizer.model
         self.marks = regex.compile(r"\p{M}")
         self.letters = _byte_letters()
@@ -184,7 +208,10 @@ class WordEncoder:
             if len(self.known) > CACHE:
                 self.before, self.known = self.known, {}
             raw = t.encode("utf-8")
-            words = (raw if not raw.isascii() and self.marks.search(t) else raw.lower()).split()
+            low = raw.lower()
+            # What is a special string only in lower case stays in its own case.
+            own = not raw.isascii() and self.marks.search(t) or any(x in low for x in self.lowered)
+            words = (raw if own else low).split()
             get, learn = self.known.get, self._ids
             out.append(b"".join([get(w) or learn(w) for w in words]))
         return out
@@ -302,26 +329,28 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
     return rows.withColumnRenamed("key", key)
 
 
-def read_tokens(spark: SparkSession, path: str, positions: DataFrame, position: str = "position") -> DataFrame:
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, places, codes in zip(*(batch.column(c) for c in ("start", "places", "codes")), strict=True):
+            at = places.values.to_numpy() - start.as_py()
+            yield pa.RecordBatch.from_arrays([places.values, pa.array(Segment(codes.as_py()).take(at), pa.int64())], ["at", "token"])
+
+
+def read_tokens(spark: SparkSession, path: str, positions: DataFrame, position: str = "position", scratch: Scratch | None = None) -> DataFrame:
     """Adds ``token`` to ``positions``: the id at each place of the corpus, by direct access; outside of it null.
 
-    Positions meet segments on the megatoken that they lie in, so nothing is compared with every segment.
+    Positions meet the narrow table of segment places on the megatoken that they lie in and are gathered by segment, so
+    each segment's codes are joined once, whatever number of its places is asked for, and addressed in one call.
     """
+    scratch = scratch or Scratch(spark)
     unit = SEGMENT_TOKENS
-
-    @F.arrow_udf("int")
-    def at(codes: pa.Array, offsets: pa.Array) -> pa.Array:
-        opened: dict[bytes, Segment] = {}
-        out = []
-        for c, i in zip(codes, offsets.to_pylist(), strict=True):
-            data = c.as_py()
-            if data not in opened:
-                opened = {data: Segment(data)}
-            out.append(opened[data].get(i))
-        return pa.array(out, pa.int32())
-
-    segments = placed_segments(spark, path).select("start", "n_tokens", "codes", F.explode(F.sequence(F.floor(F.col("start") / unit), F.floor((F.col("start") + F.col("n_tokens") - 1) / unit))).alias("_unit"))
-    wanted = positions.select(F.col(position).alias("_at")).where("_at IS NOT NULL").distinct().withColumn("_unit", F.floor(F.col("_at") / unit))
-    found = wanted.join(segments, "_unit").where((F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("start") + F.col("n_tokens")))
-    found = found.select("_at", at(F.col("codes"), F.col("_at") - F.col("start")).alias("token"))
-    return positions.join(found, positions[position] == found["_at"], "left").drop("_at")
+    segments = placed_segments(spark, path)
+    units = F.sequence(F.floor(F.col("start") / unit), F.floor((F.col("start") + F.col("n_tokens") - 1) / unit))
+    places = segments.select("part", "seg", "start", "n_tokens", F.explode(units).alias("unit"))
+    wanted = positions.select(F.col(position).cast("long").alias("at")).where("at IS NOT NULL").distinct().withColumn("unit", F.floor(F.col("at") / unit))
+    found = wanted.join(places, "unit").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("n_tokens")))
+    # Places are distinct, so a list is no longer than its segment.
+    found = scratch.write(found.groupBy("part", "seg").agg(F.sort_array(F.collect_list("at")).alias("places")), "asked")
+    rows = segments.select("part", "seg", "start", "codes").join(found, ["part", "seg"]).select("start", "places", "codes")
+    told = rows.mapInArrow(released(_taken), "at long, token long").select(F.col("at").alias("_at"), F.col("token").cast("int").alias("token"))
+    return positions.join(told, positions[position] == told["_at"], "left").drop("_at")

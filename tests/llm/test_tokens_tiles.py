@@ -43,6 +43,7 @@ def test_codes_come_back_and_are_addressable(ids):
     array = np.array(ids, np.uint32)
     segment = token_files.Segment(token_files.pack(array))
     assert (segment.slice(0, len(ids)) == array).all()
+    assert (segment.take(np.arange(len(ids))[::-1]) == array[::-1]).all()
     for i in range(0, len(ids), 37):
         assert segment.get(i) == ids[i]
         assert (segment.slice(i, min(i + 41, len(ids))) == array[i : i + 41]).all()
@@ -63,9 +64,11 @@ def test_token_files_equal_the_library(spark, tmp_path):
         assert x["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
         every += ids
-    wanted = spark.createDataFrame([(p,) for p in (0, 5, 17, start - 1, start, -1, None)], "position long")
-    got = {x["position"]: x["token"] for x in token_files.read_tokens(spark, path, wanted).collect()}
-    assert got == {p: every[p] if p is not None and 0 <= p < start else None for p in (0, 5, 17, start - 1, start, -1, None)}
+    places = [*range(start), 5, 5, start, -1, None]
+    wanted = spark.createDataFrame([(p,) for p in places], "position long")
+    got = token_files.read_tokens(spark, path, wanted).collect()
+    assert len(got) == len(places)
+    assert {x["position"]: x["token"] for x in got} == {p: every[p] if p is not None and 0 <= p < start else None for p in places}
     empty = f"file://{tmp_path}/empty"
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), vocabulary, empty, 1)
     assert token_files.read_documents(spark, empty).count() == 0
@@ -81,6 +84,18 @@ def test_words_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_in_every_case_equal_the_library():
+    """What is a special string only in another case is text like any other, wherever it is glued to something."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_files.WordEncoder(f.read())
+    r = random.Random(11)
+    parts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startOfText|>", "<|endoftext|", "|>", "<|", "X", "é", "Word", ".", " ", "\n", "9", "É́"]
+    texts = ["<|ENDOFTEXT|>x", "a<|EndOfText|>b", "<|STARTOFTEXT|>x", "<|ENDOFTEXT|>", "<|endoftext|>A<|ENDOFTEXT|>"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_tiles_match_plain_version():
     r = random.Random(3)
     for _ in range(250):
