@@ -44,9 +44,9 @@ from paperloom.llm.hashing import _BYTE, groups, range_hashes
 #: Perfect difference sets by period, as Singer's rule gives them: fixed values.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 133: (0, 1, 3, 17, 21, 58, 65, 73, 100, 105, 111, 124)}
 #: Bytes of texts that a task gathers before it sends their names, and of the longest piece of a text.
-BATCH, PIECE = 8 << 20, 2 << 20
+BATCH, PIECE = 4 << 20, 1 << 20
 #: Names that one bucket should hold, and the largest number of buckets.
-BUCKET_NAMES, MAX_BUCKETS = 500_000, 1 << 16
+BUCKET_NAMES, MAX_BUCKETS = 250_000, 1 << 16
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: What is known of a name: it is there twice; its whole rank is; an earlier place has the rank.
 _SEEN, _TIED, _LATER = 1, 2, 4
@@ -242,7 +242,7 @@ def _settled(cover: Cover):
 # --- 4. suffix buckets
 
 
-def _window_rows(width: int, buckets: int, most: int = 1 << 20):
+def _window_rows(width: int, buckets: int, most: int = 1 << 19):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
         ranges: list[np.ndarray] = []
