@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import dialogue, knowledge
 from paperloom.plans.catalog import ORACLES, query
+from paperloom.plans.search_queries import tokens_sql
 from paperloom.plans.views_sql import over
 from paperloom.sources import views as V
 from paperloom.sources.scratch import shared_folder
@@ -29,16 +30,24 @@ def m3_stream_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events", "event_id", root)
     status = F.when(F.col("event_type") == "purchase", "COMPLETED").when(F.col("event_type") == "error", "FAILED").otherwise("PROCESSING")
     rows = events.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("paper_id"), status.alias("status"), F.col("ts").alias("create_time"), F.lit(0).cast("long").alias("processed"), F.lit(20).cast("long").alias("total"))
-    last = S.run_fold(rows, S.keep_latest_job, f"{root}/out", f"{root}/checkpoint", ("paper_id",))
-    return dialogue.latest_jobs(S.read_state(spark, f"{root}/out", last)).select("paper_id", "job_id", "status")
+    S.run_changes(dialogue.latest_jobs(rows), f"{root}/out", f"{root}/checkpoint")
+    return S.read_changes(spark, f"{root}/out", ("paper_id",)).select("paper_id", "job_id", "status")
 
 
-@query(over("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM postings GROUP BY 1", "postings"))
+@query(
+    over(
+        f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT paper_id, section_index, part, term, count(*) AS tf FROM (SELECT paper_id, section_index, part, unnest({tokens_sql('chunk')}) AS term FROM cut_chunks WHERE chunk <> '') GROUP BY ALL) GROUP BY 1",
+        "cut_chunks",
+    )
+)
 def m1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers as they come, a seventh of them as drafts first; cleaned, chunked and indexed in segments."""
     root = shared_folder(spark)
-    docs = _stream(spark, sf_dir, "documents", "doc_id", root).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    last = S.run_fold(docs, S.keep_postings, f"{root}/out", f"{root}/checkpoint", ("chunk_id",))
-    return S.read_state(spark, f"{root}/out", last).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    papers = V.papers(spark, sf_dir).withColumn("version", F.lit(2))
+    drafts = papers.where("paper_id % 7 = 0").withColumns({"text": F.concat(F.lit("Abstract\nDraft of what comes later on. "), F.substring("text", 1, 500)), "version": F.lit(1)})
+    papers.unionByName(drafts).repartitionByRange(FILES, "version", "paper_id").write.parquet(f"{root}/in/papers")
+    S.ingest(S.stream_table(spark, f"{root}/in/papers/*.parquet"), f"{root}/out", f"{root}/checkpoint")
+    return S.read_postings(spark, f"{root}/out").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(ORACLES["i10_apply_feedback"])
@@ -48,16 +57,29 @@ def m2_stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type") == "purchase", "CONFIRM").when(F.col("event_type") == "error", "REJECT").when(F.col("event_type") == "signup", "CORRECT")
     value = F.when(F.col("event_type") == "signup", F.concat(F.lit("v"), "event_id"))
     rows = events.select("event_id", F.col("user_id").alias("unit_id"), action.alias("action"), value.alias("object_value"), "ts").where("action IS NOT NULL")
-    last = S.run_fold(rows, S.keep_feedback, f"{root}/out", f"{root}/checkpoint", ("unit_id",))
-    return knowledge.apply_feedback(S.read_state(spark, f"{root}/out", last))
+    S.run_changes(knowledge.apply_feedback(rows), f"{root}/out", f"{root}/checkpoint")
+    return S.read_changes(spark, f"{root}/out", ("unit_id",))
 
 
-@query(over("SELECT stage, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(ms), 2) AS total_ms FROM spans GROUP BY 1, 2", "spans"))
-def m4_windowed_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows as they stand at the end: the aggregation runs in update mode, and each window's newest row is kept."""
+def _timings(spark: SparkSession, sf_dir: str, width: str, slide: str | None) -> DataFrame:
+    """Windows as they stand at the end. The delay is beyond all disorder of the files, so no row is dropped."""
     root = shared_folder(spark)
     events = _stream(spark, sf_dir, "events", "ts", root)
     rows = events.select(F.col("event_type").alias("stage"), F.col("value").alias("ms"), F.col("ts").cast("timestamp").alias("ts"))
-    last = S.run_fold(S.windowed_timings(rows, delay="40 days"), S.keep_windows, f"{root}/out", f"{root}/checkpoint", ("stage", "start"), "update")
-    out = S.read_state(spark, f"{root}/out", last)
-    return out.select("stage", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total_ms", 2).alias("total_ms"))
+    done = S.run_changes(S.windowed_timings(rows, width, slide, "40 days"), f"{root}/out", f"{root}/checkpoint")
+    out = S.read_changes(spark, f"{root}/out", ("stage", "start"))
+    return out.select("stage", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total_ms", 2).alias("total_ms"), F.round("avg_ms", 2).alias("avg_ms"), F.lit(S.dropped_rows(done)).cast("long").alias("dropped"))
+
+
+_TOLD = "count(*) AS n, round(sum(ms), 2) AS total_ms, round(round(avg(ms), 4), 2) AS avg_ms, CAST(0 AS BIGINT) AS dropped"
+
+
+@query(over(f"SELECT stage, time_bucket(INTERVAL 1 DAY, ts) AS start, {_TOLD} FROM spans GROUP BY 1, 2", "spans"))
+def m4_windowed_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _timings(spark, sf_dir, "1 day", None)
+
+
+@query(over(f"SELECT stage, time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * back AS start, {_TOLD} FROM spans, (SELECT unnest([0, 1, 2]) AS back) GROUP BY 1, 2", "spans"))
+def m4_sliding_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three days, one of them beginning every day."""
+    return _timings(spark, sf_dir, "3 days", "1 day")

@@ -1,17 +1,23 @@
-"""Streams whose final state equals the batch operators over the same rows."""
+"""Streams whose final state equals the batch operators over the same rows.
+
+Keyed state (latest jobs, feedback, windows) is kept by Spark's own state store: the batch operators are aggregations by
+key, which run as they are on a stream in update mode, and every batch appends the rows that it changes. What is written
+grows with a batch and not with the table. Long-running streams should use the RocksDB store
+(``spark.sql.streaming.stateStore.providerClass``), which keeps state on disk.
+
+The full-text index is kept in segments that are only appended; see ``ingest``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperloom.operators.dialogue import latest_jobs
+from paperloom.operators import text as X
 from paperloom.operators.lexical import postings
-from paperloom.operators.tables import replace_by_key, upsert_rows
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -22,10 +28,18 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 
 
 def windowed_timings(spans: DataFrame, width: str = "1 day", slide: str | None = None, delay: str = "2 days") -> DataFrame:
-    """stage, start, n, total_ms for every window; rows later than ``delay`` are dropped when it runs as a stream."""
+    """stage, start, n, total_ms, avg_ms for every window; rows later than ``delay`` are dropped when it runs as a stream."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     rows = spans.withWatermark("ts", delay).groupBy(window.alias("w"), "stage").agg(F.count("*").alias("n"), F.sum("ms").alias("total_ms"))
-    return rows.select("stage", F.col("w.start").alias("start"), "n", F.round("total_ms", 4).alias("total_ms"))
+    return rows.select("stage", F.col("w.start").alias("start"), "n", F.round("total_ms", 4).alias("total_ms"), F.round(F.col("total_ms") / F.col("n"), 4).alias("avg_ms"))
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators have dropped as later than the watermark, by its recent progress.
+
+    Spark counts them as they reach the state: rows that a task has put together before count once.
+    """
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -35,82 +49,113 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return query
 
 
-#: Parts of a folded state; a batch rewrites those that its keys fall into.
-STATE_PARTS = 64
+# --- keyed state
+
+
+def run_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run an aggregation in update mode over what is there now and stop; batch n's changed rows go to ``batch=n``.
+
+    A batch that is repeated overwrites what it wrote.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    query = stream.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
-def _versions(spark: SparkSession, path: str, n: int) -> dict[int, int]:
-    """The state that each part was last written in, as of batch ``n``; ``STATE_PARTS`` rows at most."""
-    return {r["part"]: r["state"] for r in spark.read.parquet(f"{path}/index/batch={n}").collect()} if n >= 0 else {}
+def read_changes(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
+    """The newest row of every key."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
-def _read_parts(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame | None:
-    paths = [f"{path}/data/state={s}/part={p}" for p, s in sorted(versions.items())]
-    return spark.read.parquet(*paths) if paths else None
+# --- segments of a full-text index
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def _folder(spark: SparkSession, path: str):
+    """The file system and path object of ``path``."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def run_fold(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], path: str, checkpoint: str, keys: tuple[str, ...], mode: str = "append") -> int:
-    """Fold every batch of what is there now into a table and stop; gives the number of the last state, for ``read_state``.
+def segments(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+    """(first batch, last batch, bytes of postings) of the live segments, in order: those that no larger one covers.
 
-    The state lies in parts by the hash of ``keys``, which no fold crosses. Batch n reads the parts that its keys fall
-    into, writes them anew as ``state=n`` and lists the newest version of each part; what is not touched is neither read
-    nor written. Versions that two listings lack are removed, so a batch that is repeated finds what it read before and
-    overwrites what it wrote.
+    A segment is there once its postings are committed.
     """
+    fs, pattern = _folder(spark, f"{path}/postings/first=*/last=*/_SUCCESS")
+    found = [tuple(map(int, re.search(r"first=(\d+)/last=(\d+)/", s.getPath().toString()).groups())) for s in fs.globStatus(pattern) or ()]
+    live: list[tuple[int, int]] = []
+    for first, last in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not live or last > live[-1][1]:
+            live.append((first, last))
+    return [(a, b, fs.getContentSummary(_folder(spark, f"{path}/postings/first={a}/last={b}")[1]).getLength()) for a, b in live]
 
-    def step(batch: DataFrame, n: int) -> None:
-        spark, part = batch.sparkSession, F.pmod(F.xxhash64(*keys), F.lit(STATE_PARTS)).cast("int")
-        before = _versions(spark, path, n - 1)
-        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]
-        old = _read_parts(spark, path, {p: before[p] for p in touched if p in before})
-        fold(old, batch).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/state={n}")
-        now = before | dict.fromkeys(touched, n)
-        spark.createDataFrame(pa.table({"part": pa.array(list(now), pa.int32()), "state": pa.array(list(now.values()), pa.int64())})).coalesce(1).write.mode("overwrite").parquet(f"{path}/index/batch={n}")
-        earlier = _versions(spark, path, n - 2) if n > 1 else {}
-        for p, s in earlier.items():
-            if before.get(p) != s:
-                _drop(spark, f"{path}/data/state={s}/part={p}")
-
-    query = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query.lastProgress["batchId"] if query.lastProgress else -1
 
+def _read(spark: SparkSession, path: str, name: str, parts: list[tuple[int, int, int]]) -> DataFrame:
+    return spark.read.parquet(*[f"{path}/{name}/first={a}/last={b}" for a, b, _ in parts])
 
-def read_state(spark: SparkSession, path: str, last: int) -> DataFrame | None:
-    """The folded table as of state ``last``."""
-    return _read_parts(spark, path, _versions(spark, path, last))
 
+def _newest(papers: DataFrame) -> DataFrame:
+    """The row of each paper's newest version; of equal versions the one of the last batch."""
+    return papers.groupBy("paper_id").agg(F.max(F.struct("version", "batch")).alias("v")).select("paper_id", "v.version", "v.batch")
 
-def together(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    return batch if state is None else state.unionByName(batch)
 
+def _write_segment(path: str, first: int, last: int, papers: DataFrame, posts: DataFrame) -> None:
+    papers.write.mode("overwrite").parquet(f"{path}/papers/first={first}/last={last}")
+    posts.write.mode("overwrite").parquet(f"{path}/postings/first={first}/last={last}")
 
-def keep_latest_job(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The last job of each paper with all its columns, so that it can be folded again."""
-    jobs = together(state, batch)
-    return jobs.join(latest_jobs(jobs).select("job_id"), "job_id", "left_semi").select(*jobs.columns)
 
+def merged_tail(sizes: list[int]) -> int:
+    """How many of the last segments to merge: from the last on, each that is at most twice as large as those behind it.
+
+    So a posting is written again a number of times that grows with the logarithm of the segments.
+    """
+    n, total = 1, sizes[-1]
+    while n < len(sizes) and sizes[-n - 1] <= 2 * total:
+        total += sizes[-n - 1]
+        n += 1
+    return n
 
-def keep_feedback(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Of each unit the last event and the last one with a value: what its state follows from."""
-    events = together(state, batch)
-    order = Window.partitionBy("unit_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    valued = Window.partitionBy("unit_id").orderBy(F.when(F.col("object_value").isNotNull(), 0).otherwise(1), F.desc("ts"), F.desc("event_id"))
-    rows = events.withColumns({"_a": F.row_number().over(order), "_v": F.row_number().over(valued)})
-    return rows.where((F.col("_a") == 1) | (F.col("_v") == 1)).select(*events.columns)
 
+def add_segment(batch: DataFrame, n: int, path: str) -> None:
+    """Index batch ``n`` of papers (paper_id, title, text, version) as a segment, and merge the last ones when they are small.
 
-def keep_postings(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Postings of all chunks: those of a chunk that comes again are replaced; frequencies follow from them by grouping."""
-    fresh = postings(batch)
-    return fresh if state is None else replace_by_key(state, fresh, "chunk_id")
+    Texts are cleaned, sectioned and chunked; of a paper that comes twice the newest version counts. A repeated batch is
+    written again, or is there already in a merged segment. What a merge replaces is removed after its commit.
+    """
+    spark = batch.sparkSession
+    if any(a < n <= b for a, b, _ in segments(spark, path)):
+        return
+    latest = batch.groupBy("paper_id").agg(F.max_by(F.struct("title", "text", "version"), "version").alias("p")).select("paper_id", "p.*")
+    chunks = X.build_chunks(X.sectionize(X.clean(latest)), latest)
+    posts = postings(chunks.withColumn("chunk_id", F.struct("paper_id", "chunk_index"))).select(F.col("chunk_id.paper_id").alias("paper_id"), F.col("chunk_id.chunk_index").alias("chunk_index"), "term", "tf", "doc_len")
+    _write_segment(path, n, n, latest.select("paper_id", "version", F.lit(n).alias("batch")), posts.withColumn("batch", F.lit(n)))
+    live = segments(spark, path)
+    tail = live[-merged_tail([size for _, _, size in live]) :]
+    if len(tail) > 1:
+        newest = _newest(_read(spark, path, "papers", tail))
+        kept = _read(spark, path, "postings", tail).join(newest.select("paper_id", "batch"), ["paper_id", "batch"], "left_semi")
+        _write_segment(path, tail[0][0], tail[-1][1], newest, kept)
+        for a, b, _ in tail:
+            for name in ("postings", "papers"):
+                fs, old = _folder(spark, f"{path}/{name}/first={a}/last={b}")
+                fs.delete(old, True)
+
+
+def ingest(papers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add what is there now of a stream of papers (paper_id, title, text, version) to the index at ``path`` and stop."""
+    query = papers.writeStream.foreachBatch(lambda batch, n: add_segment(batch, n, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
-def keep_windows(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The newest row of every window and stage, as an aggregation in update mode gives them."""
-    return batch if state is None else upsert_rows(state, batch, ["stage", "start"])
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """paper_id, chunk_index, term, tf, doc_len of every paper's newest version."""
+    live = segments(spark, path)
+    newest = _newest(_read(spark, path, "papers", live)).select("paper_id", "batch")
+    return _read(spark, path, "postings", live).join(newest, ["paper_id", "batch"], "left_semi").drop("batch")

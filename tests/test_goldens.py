@@ -95,33 +95,57 @@ def test_section_types(spark):
     assert {r["t"]: r["s"] for r in rows} == cases
 
 
+def files_of(df, n, path):
+    """``df`` in n files of rows by the remainder of their id, in order."""
+    for i in range(n):
+        df.where(F.col(df.columns[0]) % n == i).coalesce(1).write.mode("append").parquet(path)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     ts = datetime.datetime(2024, 1, 1)
     rows = [(i, "ab"[i % 2], float(i), ts + datetime.timedelta(hours=7 * i)) for i in range(60)]
     df = spark.createDataFrame(rows, "event_id long, stage string, ms double, ts timestamp")
-    for i in range(4):
-        df.where(f"event_id % 4 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/spans.parquet")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/spans.parquet")
-    late = streams.windowed_timings(stream, "1 day", None, "60 days")
-    streams.run_to_table(late, f"{tmp_path}/out", f"{tmp_path}/ck", "append")
-    got = spark.read.schema("stage string, start timestamp, n long, total_ms double").parquet(f"{tmp_path}/out").count()
-    whole = streams.windowed_timings(df).count()
-    assert got <= whole  # append mode holds back windows that the watermark has not passed
+    files_of(df, 4, f"{tmp_path}/in/spans")
+    stream = lambda name, like: spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/{name}")
+    for name, delay, whole in (("late", "60 days", True), ("short", "1 hour", False)):
+        query = streams.run_changes(streams.windowed_timings(stream("spans", df), "2 days", "1 day", delay), f"{tmp_path}/{name}", f"{tmp_path}/ck_{name}")
+        got = sorted(map(tuple, streams.read_changes(spark, f"{tmp_path}/{name}", ("stage", "start")).collect()))
+        assert (got == sorted(map(tuple, streams.windowed_timings(df, "2 days", "1 day").collect()))) == whole
+        assert (streams.dropped_rows(query) == 0) == whole  # the files are dealt, so each holds rows of all days
     job = df.select(F.col("event_id").alias("job_id"), (F.col("event_id") % 7).alias("paper_id"), F.col("stage").alias("status"), F.lit(0).cast("long").alias("processed"), F.lit(1).cast("long").alias("total"), F.col("ts").alias("create_time"))
-    for i in range(3):
-        job.where(f"job_id % 3 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/jobs.parquet")
-    live = spark.readStream.schema(job.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/jobs.parquet")
-    last = streams.run_fold(live, streams.keep_latest_job, f"{tmp_path}/latest", f"{tmp_path}/ck2", ("paper_id",))
-    assert last == 2
-    final = dialogue.latest_jobs(streams.read_state(spark, f"{tmp_path}/latest", last))
-    assert sorted(map(tuple, final.collect())) == sorted(map(tuple, dialogue.latest_jobs(job).collect()))
+    files_of(job, 3, f"{tmp_path}/in/jobs")
+    last = job.where("job_id = 57").withColumns({"job_id": F.lit(90).cast("long"), "create_time": F.lit(ts + datetime.timedelta(days=90))})
+    last.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/jobs")
+    streams.run_changes(dialogue.latest_jobs(stream("jobs", job)), f"{tmp_path}/latest", f"{tmp_path}/ck2")
+    final = streams.read_changes(spark, f"{tmp_path}/latest", ("paper_id",)).select("paper_id", "job_id", "status", "processed", "total")
+    assert sorted(map(tuple, final.collect())) == sorted(map(tuple, dialogue.latest_jobs(job.unionByName(last)).collect()))
+    assert spark.read.parquet(f"{tmp_path}/latest/batch=3").count() == 1  # one key came, one row is written
     events = df.select("event_id", (F.col("event_id") % 5).alias("unit_id"), F.when(F.col("event_id") % 3 == 0, "CORRECT").otherwise("CONFIRM").alias("action"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("v"), "event_id")).alias("object_value"), "ts")
-    for i in range(3):
-        events.where(f"event_id % 4 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/feedback.parquet")
-    told = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/feedback.parquet")
-    last = streams.run_fold(told, streams.keep_feedback, f"{tmp_path}/feedback", f"{tmp_path}/ck3", ("unit_id",))
-    got = knowledge.apply_feedback(streams.read_state(spark, f"{tmp_path}/feedback", last))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knowledge.apply_feedback(events.where("event_id % 4 < 3")).collect()))
+    files_of(events, 4, f"{tmp_path}/in/feedback")
+    streams.run_changes(knowledge.apply_feedback(stream("feedback", events)), f"{tmp_path}/feedback", f"{tmp_path}/ck3")
+    got = streams.read_changes(spark, f"{tmp_path}/feedback", ("unit_id",))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knowledge.apply_feedback(events).collect()))
+
+
+def test_ingest_keeps_the_newest_version(spark, tmp_path):
+    """Segments equal the index of the newest texts; papers come twice, a batch is repeated, small segments are merged."""
+    body = lambda p, v: f"Abstract\nPaper {p} tells of words{v} and words{p}.\n\n" + "More text follows here. " * (p + v)
+    batches = [[(p, v) for p in some] for v, some in enumerate(((1, 2, 3, 4), (2, 5), (6,), (2, 3), (7, 8)))]
+    for n, papers in enumerate(batches):
+        rows = [(p, f"T{p}", body(p, v), v) for p, v in papers] + ([(2, "T2", "", 0)] if n == 3 else [])  # an older version comes late
+        frame = spark.createDataFrame(rows, "paper_id long, title string, text string, version int")
+        for _ in range(1 + (n == 2)):
+            streams.add_segment(frame, n, f"{tmp_path}/index")
+    newest = {p: v for papers in batches for p, v in papers}
+    whole = spark.createDataFrame([(p, f"T{p}", body(p, v)) for p, v in newest.items()], "paper_id long, title string, text string")
+    chunks = text.build_chunks(text.sectionize(text.clean(whole)), whole)
+    expected = lexical.postings(chunks.withColumn("chunk_id", F.struct("paper_id", "chunk_index"))).select("chunk_id.paper_id", "chunk_id.chunk_index", "term", "tf", "doc_len")
+    got = streams.read_postings(spark, f"{tmp_path}/index").select("paper_id", "chunk_index", "term", "tf", "doc_len")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    live = streams.segments(spark, f"{tmp_path}/index")
+    assert live[0][0] == 0 and live[-1][1] == 4 and len(live) < 5
+    assert all(b[0] == a[1] + 1 for a, b in zip(live, live[1:]))
+    assert streams.merged_tail([100, 8, 3, 1]) == 1 and streams.merged_tail([100, 8, 2, 3]) == 3
 
 
 def test_approximate_search_reaches_its_recall(spark):
