@@ -39,7 +39,7 @@ from paperloom.llm.common import Scratch, key_join, released, small_batches
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
 #: Words remembered with their ids in each worker: so many new ones, and as many that were new before them.
-CACHE = 200_000
+CACHE = 500_000
 MAX_VOCABULARY = 64_000_000
 
 
@@ -178,7 +178,9 @@ class WordEncoder:
         self.before: dict[bytes, bytes] = {}
 
     def _one(self, word: bytes) -> bytes:
-        if _PLAIN.fullmatch(word):
+        if word.isascii() and word.isalpha():
+            ids = [t.id for t in self.model.tokenize(word.decode("ascii").lower())]
+        elif _PLAIN.fullmatch(word):
             raw = word.decode("utf-8").lower().encode("utf-8")
             ids = [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]
         else:
