@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.text import has_any
+from paperloom.functions.text import has_any, trim_all
 from paperloom.operators.lexical import topk
 
 Q = "question_id"
@@ -31,10 +31,25 @@ def rrf(routes: DataFrame, top: int, k: int = rules.RRF_K) -> DataFrame:
     return topk(fused, top, (Q,), "key", "rrf")
 
 
+#: What a hit shows, whatever it points to.
+SHOWN = ("paper_id", "section_type", "section_title", "content")
+
+
 def hydrate(hits: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
-    """Hits with what their chunks and papers say; hits of references, noise and chunks that are gone are dropped."""
-    live = chunks.where(~F.coalesce("is_reference", F.lit(False)) & ~F.coalesce("is_noise", F.lit(False)))
-    rows = hits.join(live.drop("is_reference", "is_noise"), "chunk_id").join(papers.select("paper_id", "title"), "paper_id", "left")
+    """Hits with title, section_type, section_title and content.
+
+    Hits of chunks take these from their chunk, and are dropped where it is a reference, noise or gone. Profiles and
+    section summaries (source_type) carry their own paper_id, section and ``payload`` text; without a paper they are
+    dropped. Titles come from ``papers``.
+    """
+    kind = F.lower("source_type")
+    own = kind.isin("paper_profile", "section_summary")
+    plain = [c for c in hits.columns if c not in (*SHOWN, "payload")]
+    live = chunks.where(~F.coalesce("is_reference", F.lit(False)) & ~F.coalesce("is_noise", F.lit(False))).select("chunk_id", *SHOWN)
+    rows = hits.where(~F.coalesce(own, F.lit(False))).select(*plain).join(live, "chunk_id").select(*plain, *SHOWN)
+    section = lambda c: (F.when(kind == "section_summary", F.col(c)) if c in hits.columns else F.lit(None).cast("string")).alias(c)
+    told = hits.where(own & F.col("paper_id").isNotNull()).select(*plain, "paper_id", section("section_type"), section("section_title"), F.coalesce("payload", F.lit("")).alias("content"))
+    rows = rows.unionByName(told).join(papers.select("paper_id", "title"), "paper_id", "left")
     return rows.withColumn("title", F.coalesce("title", F.lit(rules.UNKNOWN_TITLE)))
 
 
@@ -65,8 +80,7 @@ def discover(routes: DataFrame, meta: DataFrame, questions: DataFrame, terms: Da
         part = part.select(Q, "key", F.col("rrf").alias("score"), F.lit(kind).alias("source_type"))
         fused = part if fused is None else fused.unionByName(part)
     hits = fused.withColumn("chunk_id", F.substring_index("key", ":", -1).cast("long")).withColumn("hit_id", F.col("chunk_id")).join(meta, "chunk_id")
-    reviews = hits.where(is_review(F.col("title"))).select(Q, "paper_id").distinct()
-    ranked = rank_papers(hits, most, term_coverage(hits, terms), reviews)
+    ranked = rank_papers(hits, most, term_coverage(hits, terms), reviews_to_demote(hits, questions))
     chosen = select_candidates(ranked, questions, k)
     order = F.row_number().over(Window.partitionBy(Q).orderBy("rank")).alias("rank")
     listed = terms.groupBy(Q).agg(F.collect_set("term").alias("terms"))
@@ -76,9 +90,20 @@ def discover(routes: DataFrame, meta: DataFrame, questions: DataFrame, terms: Da
 
 
 def aggregate_by_paper(hits: DataFrame, top: int) -> DataFrame:
-    """question_id, paper_id, hits, max_score, avg_score, score, rank: half by share of hits, half by best score."""
-    per = hits.where("paper_id IS NOT NULL").groupBy(Q, "paper_id").agg(
-        F.count("*").alias("hits"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score")
+    """question_id, paper_id, title, hits, max_score, avg_score, best (the two best hits' ids, best first), score, rank:
+    half by share of hits, half by best score.
+
+    The title is the first one that is not blank, in order of hit id. Hits without a score come last.
+    """
+    named = F.when(trim_all(F.col("title")) != "", F.struct("hit_id", "title"))
+    place = F.row_number().over(Window.partitionBy(Q, "paper_id").orderBy(F.desc_nulls_last("score"), "hit_id"))
+    rows = hits.where("paper_id IS NOT NULL").withColumn("_place", place)
+    per = rows.groupBy(Q, "paper_id").agg(
+        F.coalesce(F.min(named)["title"], F.lit(rules.UNKNOWN_TITLE)).alias("title"),
+        F.count("*").alias("hits"),
+        F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"),
+        F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("_place") <= 2, F.struct("_place", "hit_id")))), lambda x: x["hit_id"]).alias("best"),
     )
     most = F.max("hits").over(Window.partitionBy(Q))
     per = per.withColumn("score", F.round(F.col("hits") / most * 0.5 + F.col("max_score") * 0.5, 8))
@@ -99,6 +124,12 @@ def is_review(title: Column) -> Column:
     return has_any(F.lower(title), rules.REVIEW_WORDS)
 
 
+def reviews_to_demote(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, paper_id of the reviews (by title) among the hits of questions that do not ask for reviews."""
+    asking = questions.where(is_review(F.coalesce("question", F.lit("")))).select(Q)
+    return hits.where(is_review(F.col("title"))).select(Q, "paper_id").distinct().join(asking, Q, "left_anti")
+
+
 def type_scores(hits: DataFrame) -> DataFrame:
     """question_id, paper_id, source_type, normalized: (best + second / 4) over the type's best, 1 at most."""
     h = hits.where("paper_id IS NOT NULL").withColumns({"source_type": F.lower("source_type"), "score": F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0))})

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.operators.lexical import corpus_stats, postings, tokenize, topk
+from paperloom.operators.lexical import BROADCAST_TERMS, corpus_stats, postings, tokenize, topk
 from paperloom.sources.scratch import shared_folder
 
 LEVELS = 32
@@ -96,11 +96,12 @@ def _read(index: ImpactIndex, wanted: DataFrame, qkey: str, fits: Column) -> Dat
 
 
 def _scored(index: ImpactIndex, pairs: DataFrame, weights: DataFrame, qkey: str) -> DataFrame:
-    """qkey, key, score of ``pairs`` (qkey, key), from the chunks' forward rows."""
-    listed = weights.groupBy(qkey).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"))
-    known = F.transform("terms", lambda t: F.coalesce(F.element_at("weights", t["term"]), F.lit(0.0)) * t["boost"])
-    score = F.round(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), 8)
-    return index.forward.join(pairs, "key").join(listed, qkey).select(qkey, "key", score.alias("score"))
+    """qkey, key, score of ``pairs`` (qkey, key), each of which shares a term, from the chunks' forward rows."""
+    known = weights.select(qkey, "term", "w")
+    if known.count() <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+    rows = index.forward.join(pairs, "key").select(qkey, "key", F.explode("terms").alias("t")).select(qkey, "key", "t.term", "t.boost")
+    return rows.join(known, [qkey, "term"]).groupBy(qkey, "key").agg(F.round(F.sum(F.col("w") * F.col("boost")), 8).alias("score"))
 
 
 def entries(weights: DataFrame, qkey: str) -> DataFrame:

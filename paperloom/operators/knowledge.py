@@ -203,6 +203,68 @@ def feedback_audit(events: DataFrame) -> DataFrame:
     return events.select("event_id", "unit_id", "action", before.alias("before"), after.alias("after"))
 
 
+#: What a correction may change.
+CORRECTED = ("subject_text", "predicate_text", "object_value", "value_unit", "applicable_condition")
+
+
+def _valid(events: DataFrame) -> DataFrame:
+    """Events that count, their fields null where they change nothing: a correction needs a value."""
+    fields = {c: F.when((F.col("action") == "CORRECT") & (trim_all(F.col(c)) != ""), trim_all(F.col(c))) for c in CORRECTED}
+    rows = events.withColumns(fields)
+    return rows.where(F.col("action").isin("CONFIRM", "REJECT") | ((F.col("action") == "CORRECT") & F.col("object_value").isNotNull()))
+
+
+def corrected_units(units: DataFrame, events: DataFrame) -> DataFrame:
+    """``units`` after all ``events`` (event_id, unit_id, action, ts and the fields of ``CORRECTED``), in order of time, then id.
+
+    A confirmation or rejection sets status and tier; a correction also overwrites the fields that it names, which hold
+    until the next correction, and makes the unit a user's. normalized_key and conflict_group follow from what the unit
+    says then. Units without a valid event keep what they have; fields that ``units`` lacks start as null.
+    """
+    when, own = F.struct("ts", "event_id"), [c for c in CORRECTED if c in units.columns]
+    last = _valid(events).groupBy("unit_id").agg(
+        F.max_by("action", when).alias("_action"), F.max(F.col("action") == "CORRECT").alias("_corrected"), *[F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(f"_{c}") for c in CORRECTED]
+    )
+    rows = units.join(last, "unit_id", "left")
+    status = mapped(F.col("_action"), (("CONFIRM", "CONFIRMED"), ("REJECT", "REJECTED"), ("CORRECT", "CORRECTED")), F.col("verification_status"))
+    changed = {c: F.coalesce(f"_{c}", *([c] if c in own else [])) for c in CORRECTED}
+    changed |= {
+        "verification_status": status,
+        "confidence_level": F.when(F.col("_action") == "REJECT", "BRONZE").when(F.col("_action").isNotNull(), "GOLD").otherwise(F.col("confidence_level")),
+        "extraction_method": F.when(F.col("_corrected"), "USER").otherwise(F.col("extraction_method")),
+    }
+    rows = rows.withColumns(changed).drop("_action", "_corrected", *[f"_{c}" for c in CORRECTED])
+    return rows.withColumns({"normalized_key": normalized_key(), "conflict_group": F.sha2(join_nonblank(*GROUP_COLUMNS), 256)})
+
+
+def correction_audit(units: DataFrame, events: DataFrame) -> DataFrame:
+    """event_id, unit_id, action, field, before, after: what every event changed, status and tier included."""
+    rows = _valid(events).join(units.select("unit_id", "verification_status", "confidence_level", *[F.col(c).alias(f"_{c}") for c in CORRECTED if c in units.columns]), "unit_id")
+    order = Window.partitionBy("unit_id").orderBy("ts", "event_id")
+    so_far, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    status = mapped(F.col("action"), (("CONFIRM", "CONFIRMED"), ("REJECT", "REJECTED"), ("CORRECT", "CORRECTED")), F.lit(None))
+    tier = F.when(F.col("action") == "REJECT", "BRONZE").otherwise("GOLD")
+    field = lambda name, before, after: F.struct(F.lit(name).alias("field"), before.alias("before"), after.alias("after"))
+    told = [field("verification_status", F.coalesce(F.lag(status).over(order), "verification_status"), status), field("confidence_level", F.coalesce(F.lag(tier).over(order), "confidence_level"), tier)]
+    for c in CORRECTED:
+        first = F.col(f"_{c}") if f"_{c}" in rows.columns else F.lit(None).cast("string")
+        told.append(field(c, F.coalesce(F.last(c, ignorenulls=True).over(ahead), first), F.coalesce(F.last(c, ignorenulls=True).over(so_far), first)))
+    rows = rows.select("event_id", "unit_id", "action", F.array(*told).alias("told"))
+    return rows.select("event_id", "unit_id", "action", F.inline("told")).where("NOT before <=> after")
+
+
+def refreshed(stored: DataFrame, units: DataFrame, events: DataFrame, build) -> DataFrame:
+    """A table derived by ``build`` from units, such as ``build_catalog`` or ``flag_conflicts``, after ``events``.
+
+    Only papers of units with a valid event are built again, from ``corrected_units``; the rows of all others are those
+    of ``stored``. The papers' ids are few beside the units; they are found by a join on the events' units.
+    """
+    touched = units.join(_valid(events).select("unit_id").distinct(), "unit_id", "left_semi").select("paper_id").distinct()
+    own = units.join(touched, "paper_id", "left_semi")
+    fresh = build(corrected_units(own, events.join(own.select("unit_id"), "unit_id", "left_semi")))
+    return stored.join(touched, "paper_id", "left_anti").unionByName(fresh.select(*stored.columns))
+
+
 # --- facts
 
 
@@ -280,6 +342,21 @@ def readiness(coverage: Column, conflicts: Column, missing: Column) -> Column:
     return F.when(coverage == 0, "NOT_READY").when(conflicts > 0, "NEEDS_REVIEW").when(missing != "", "PARTIAL").otherwise("READY")
 
 
+def conflict_candidates(facts: DataFrame) -> DataFrame:
+    """paper_id, conflict_group, fact_key (of the first fact), candidates: the facts of every conflict, in order of page, then id."""
+    row = F.struct("page_number", "fact_id", "fact_key", "fact_value", "verification_status", "confidence")
+    rows = facts.where(trim_all(F.col("conflict_group")) != "").groupBy("paper_id", "conflict_group").agg(F.sort_array(F.collect_list(row)).alias("candidates"))
+    return rows.select("paper_id", "conflict_group", F.col("candidates")[0]["fact_key"].alias("fact_key"), "candidates")
+
+
+def safe_defaults(missing: Column, conflicts: Column) -> Column:
+    """array<string>: what a reader of a spec is told, from the names of missing groups (as ``critical_coverage`` lists
+    them) and the number of conflicts."""
+    lacks = F.split(F.coalesce(missing, F.lit("")), ",")
+    test = {"always": F.lit(True), "conflicts": conflicts > 0}
+    return F.filter(F.array(*[F.when(test.get(k, F.array_contains(lacks, k)), text) for k, text in rules.SAFE_DEFAULTS]), lambda x: x.isNotNull())
+
+
 def spec_revision(facts: DataFrame, version: str) -> DataFrame:
     """paper_id, revision: a hash over the paper's facts in order of id."""
     row = F.struct("fact_id", F.concat_ws("|", F.col("fact_id").cast("string"), "fact_value", "verification_status").alias("line"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions.text import tokens
+from paperloom.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -101,3 +102,46 @@ def index_report(chunks: DataFrame, key: str = "chunk_id", text: str = "content"
     toks = tokenize(chunks, key, text)
     sizes = toks.agg(F.count_if(F.size("tokens") > 0).alias("indexed"), F.count_if(F.size("tokens") == 0).alias("skipped"))
     return sizes.crossJoin(toks.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t").alias("terms")))
+
+
+#: Characters of the grams that a term is looked up by.
+GRAM = 3
+#: Terms, or grams of them, that are broadcast; more are met by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters: the text's characters put together with those after them, in one pass."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    runs = chars
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(runs, lambda x: x.isNotNull()))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def contained_terms(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term: every text (``key`` is unique) that contains a term of ``terms`` (term) as a substring, each pair once.
+
+    An index of character grams: texts keep the grams that some term has, with their frequencies; each term is looked
+    up by its rarest gram, and what meets on it is compared. A term of fewer than ``GRAM`` characters is a gram itself.
+    Empty terms and null texts meet nothing.
+    """
+    terms = written(terms.select("term").where("term <> ''").distinct().withColumn("n", F.least(F.char_length("term"), F.lit(GRAM))))
+    sizes = [r["n"] for r in terms.select("n").distinct().collect()]  # GRAM rows at most
+    none = F.array().cast("array<string>")
+    grams = lambda c, size: F.concat(none, *[F.when(size(n), _grams(c, n)).otherwise(none) for n in sizes])
+    asked = written(terms.select("term", F.explode(grams(F.col("term"), lambda n: F.col("n") == n)).alias("gram")))
+    wanted = written(asked.select("gram").distinct())
+    held = texts.select(key, F.explode(grams(F.col(text), lambda n: F.lit(True))).alias("gram"))
+    held = written(held.join(_few(wanted), "gram", "left_semi"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("df"))
+    picked = asked.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best"))
+    picked = written(picked.where("best.df > 0").select("term", "best.gram"))
+    met = held.join(_few(picked), "gram").groupBy(key).agg(F.collect_set("term").alias("terms"))
+    body = F.col(text)
+    return texts.select(key, text).join(met, key).select(key, F.explode(F.filter("terms", lambda t: body.contains(t))).alias("term"))

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions.text import has_any, trim_all
-from paperloom.operators.lexical import topk
+from paperloom.operators.lexical import contained_terms, topk
 
 Q = "question_id"
-#: Questions whose terms are sent to the catalog's tasks at once.
-QUESTION_BLOCK = 20_000
 
 
 def _labels(values) -> Column:
@@ -136,21 +134,23 @@ def loose(text: Column) -> Column:
 def discover_catalog(questions: DataFrame, terms: DataFrame, catalog: DataFrame, n: int) -> DataFrame:
     """question_id, paper_id, score, rank: the ``n`` catalog rows (paper_id, text, publish_year) that hold most terms.
 
-    A term of four or more letters counts twice; a question without terms takes the latest papers. The questions are a
-    stated set: they are counted and run in blocks, each of which meets every catalog row where it lies.
+    A term of four or more letters counts twice; a question without terms takes the latest papers. Distinct terms meet
+    the catalog by their rarest character gram, so no question is compared with every row.
     """
-    listed = terms.groupBy(Q).agg(F.array_sort(F.collect_set(loose(F.col("term")))).alias("terms"))
-    asked = questions.select(Q).join(listed, Q, "left").select(Q, F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda x: x != "").alias("terms"))
-    blocks = max(1, -(-asked.count() // QUESTION_BLOCK))
+    asked = questions.select(Q).distinct()
+    listed = terms.select(Q, loose(F.col("term")).alias("term")).where("term <> ''").join(asked, Q, "left_semi").distinct()
     rows = catalog.select("paper_id", "publish_year", loose(F.col("text")).alias("text"))
-    found = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64(Q), F.lit(blocks)) == b)
-        held = F.aggregate(F.transform("terms", lambda t: F.when(F.col("text").contains(t), F.when(F.length(t) >= 4, 2.0).otherwise(1.0)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-        score = F.when(F.size("terms") == 0, 1.0 + F.coalesce(F.col("publish_year") / 10000, F.lit(0.0))).otherwise(held)
-        best = topk(rows.join(F.broadcast(block)).select(Q, "paper_id", F.round(score, 8).alias("score")).where("score > 0"), n, (Q,), "paper_id")
-        found = best if found is None else found.unionByName(best)
-    return found
+    held = contained_terms(rows, listed.select("term"), "paper_id", "text")
+    worth = F.when(F.length("term") >= 4, 2.0).otherwise(1.0)
+    scored = listed.join(held, "term").groupBy(Q, "paper_id").agg(F.round(F.sum(worth), 8).alias("score"))
+    year = F.round(1.0 + F.coalesce(F.col("publish_year") / 10000, F.lit(0.0)), 8)
+    latest = rows.select("paper_id", year.alias("score")).orderBy(F.desc("score"), "paper_id").limit(n).collect()  # n rows
+    rest = asked.join(listed, Q, "left_anti")
+    if latest:
+        kind = rows.schema["paper_id"].dataType
+        some = F.array(*[F.struct(F.lit(r["paper_id"]).cast(kind).alias("paper_id"), F.lit(r["score"]).alias("score")) for r in latest])
+        scored = scored.unionByName(rest.select(Q, F.explode(some).alias("r")).select(Q, "r.paper_id", "r.score"))
+    return topk(scored, n, (Q,), "paper_id")
 
 
 def discovery_terms(questions: DataFrame, question: str = "question", keywords: tuple[str, ...] = ("keyword_terms", "keyword_query")) -> DataFrame:

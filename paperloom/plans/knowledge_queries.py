@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from paperloom import rules
 from paperloom.operators import knowledge as K
 from paperloom.plans.catalog import query
-from paperloom.plans.views_sql import add_view, listed, over, trimmed
+from paperloom.plans.views_sql import add_view, listed, over, quoted, trimmed
 from paperloom.sources import views as V
+from paperloom.sources.scratch import written
 
 
 def _joined(*cols: str) -> str:
@@ -93,13 +94,12 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.units(spark, sf_dir).withColumn("paper_id", F.floor(F.col("unit_id") / 400))
 
 
-@query(
-    over(
-        f"""SELECT unit_id, g AS conflict_group, count(DISTINCT v) OVER (PARTITION BY p, g) > 1 AS has_conflict FROM (SELECT unit_id, unit_id // 400 AS p, sha256({_joined(*K.GROUP_COLUMNS)}) AS g, {_loose("object_value")} AS v
-  FROM units WHERE knowledge_type IN ({listed(rules.CONFLICT_TYPES)}) AND extraction_method IN ('LLM', 'USER') AND verification_status <> 'REJECTED')""",
-        "units",
-    )
-)
+def _conflicts_sql(units: str) -> str:
+    return f"""SELECT unit_id, g AS conflict_group, count(DISTINCT v) OVER (PARTITION BY p, g) > 1 AS has_conflict FROM (SELECT unit_id, unit_id // 400 AS p, sha256({_joined(*K.GROUP_COLUMNS)}) AS g, {_loose("object_value")} AS v
+  FROM {units} WHERE knowledge_type IN ({listed(rules.CONFLICT_TYPES)}) AND extraction_method IN ('LLM', 'USER') AND verification_status <> 'REJECTED')"""
+
+
+@query(over(_conflicts_sql("units"), "units"))
 def i6_flag_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.flag_conflicts(_claims(spark, sf_dir)).select("unit_id", "conflict_group", "has_conflict")
 
@@ -112,18 +112,20 @@ def i7_split_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GROUPS = "CASE WHEN knowledge_type IN ('RESEARCH_DOMAIN', 'KEYWORD') THEN 'domains' WHEN knowledge_type IN ('RESEARCH_TASK', 'RESEARCH_PROBLEM') THEN 'tasks' WHEN knowledge_type IN ('METHOD', 'MODEL_COMPONENT') THEN 'methods' WHEN knowledge_type = 'DATASET' THEN 'datasets' WHEN knowledge_type = 'METRIC' THEN 'metrics' END"
 
 
-@query(
-    over(
-        f"""SELECT c.paper_id, c.units, c.verified, coalesce(t.methods, '') AS methods, coalesce(t.domains, '') AS domains, md5(c.txt) AS catalog_text, CASE WHEN coalesce(t.methods, '') <> '' THEN 'COMPLETED' ELSE 'PARTIAL' END AS status FROM (SELECT paper_id, string_agg(concat_ws(' ', knowledge_type, subject_text, predicate_text, object_value), chr(10) ORDER BY unit_id) AS txt, count(*) AS units, count(*) FILTER (WHERE verification_status IN ('CONFIRMED', 'CORRECTED')) AS verified FROM units WHERE verification_status <> 'REJECTED' GROUP BY 1) c
+def _catalog_sql(units: str) -> str:
+    return f"""SELECT c.paper_id, c.units, c.verified, coalesce(t.methods, '') AS methods, coalesce(t.domains, '') AS domains, md5(c.txt) AS catalog_text, CASE WHEN coalesce(t.methods, '') <> '' THEN 'COMPLETED' ELSE 'PARTIAL' END AS status FROM (SELECT paper_id, string_agg(concat_ws(' ', knowledge_type, subject_text, predicate_text, object_value), chr(10) ORDER BY unit_id) AS txt, count(*) AS units, count(*) FILTER (WHERE verification_status IN ('CONFIRMED', 'CORRECTED')) AS verified FROM {units} WHERE verification_status <> 'REJECTED' GROUP BY 1) c
   LEFT JOIN (SELECT paper_id, string_agg(tag, '; ' ORDER BY n) FILTER (WHERE g = 'methods') AS methods, string_agg(tag, '; ' ORDER BY n) FILTER (WHERE g = 'domains') AS domains FROM (
-    SELECT *, row_number() OVER (PARTITION BY paper_id, g ORDER BY u, pos) AS n FROM (SELECT paper_id, g, substr(tag, 1, {rules.TOPIC_LABEL_CHARS}) AS tag, min(unit_id) AS u, min(pos) AS pos FROM (
-      SELECT paper_id, unit_id, {_GROUPS} AS g, unnest({_tags("object_value")}) AS tag, generate_subscripts({_tags("object_value")}, 1) AS pos FROM units WHERE verification_status <> 'REJECTED') WHERE g IS NOT NULL GROUP BY 1, 2, 3))
-    WHERE n <= CASE g WHEN 'methods' THEN 16 ELSE 12 END GROUP BY 1) t USING (paper_id)""",
-        "units",
-    )
-)
+    SELECT *, row_number() OVER (PARTITION BY paper_id, g ORDER BY spot) AS n FROM (SELECT paper_id, g, substr(tag, 1, {rules.TOPIC_LABEL_CHARS}) AS tag, min((unit_id, pos)) AS spot FROM (
+      SELECT paper_id, unit_id, {_GROUPS} AS g, unnest({_tags("object_value")}) AS tag, generate_subscripts({_tags("object_value")}, 1) AS pos FROM {units} WHERE verification_status <> 'REJECTED') WHERE g IS NOT NULL GROUP BY 1, 2, 3))
+    WHERE n <= CASE g WHEN 'methods' THEN 16 ELSE 12 END GROUP BY 1) t USING (paper_id)"""
+
+
+@query(over(_catalog_sql("units"), "units"))
 def i8_build_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = K.build_catalog(V.units(spark, sf_dir))
+    return _told_catalog(K.build_catalog(V.units(spark, sf_dir)))
+
+
+def _told_catalog(out: DataFrame) -> DataFrame:
     return out.select("paper_id", "units", "verified", F.coalesce("methods", F.lit("")).alias("methods"), F.coalesce("domains", F.lit("")).alias("domains"), F.md5("catalog_text").alias("catalog_text"), "status")
 
 
@@ -162,6 +164,92 @@ def i10_feedback_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.feedback_audit(V.feedback(spark, sf_dir))
 
 
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback that corrects several fields; some corrections name no value and do not count."""
+    i = F.col("event_id")
+    correct = F.col("action") == "CORRECT"
+    return V.feedback(spark, sf_dir).withColumns(
+        {
+            "object_value": F.when(correct & (i % 7 != 0), F.concat(F.lit(" Value "), i % 11, F.lit("; Way "), i % 4)),
+            "subject_text": F.when(correct & (i % 2 == 0), F.concat(F.lit("Subject "), i % 6)).when(correct, " "),
+            "predicate_text": F.when(correct & (i % 3 == 0), "uses"),
+            "value_unit": F.when(correct & (i % 5 == 0), "ms"),
+            "applicable_condition": F.lit(None).cast("string"),
+        }
+    )
+
+
+add_view(
+    "corrections",
+    ("feedback",),
+    """SELECT * FROM (SELECT event_id, unit_id, action, ts, CASE WHEN action = 'CORRECT' AND event_id % 7 <> 0 THEN 'Value ' || (event_id % 11) || '; Way ' || (event_id % 4) END AS object_value, CASE WHEN action = 'CORRECT' AND event_id % 2 = 0 THEN 'Subject ' || (event_id % 6) END AS subject_text,
+  CASE WHEN action = 'CORRECT' AND event_id % 3 = 0 THEN 'uses' END AS predicate_text, CASE WHEN action = 'CORRECT' AND event_id % 5 = 0 THEN 'ms' END AS value_unit FROM feedback) WHERE action <> 'CORRECT' OR object_value IS NOT NULL""",
+)
+_LAST = lambda c: f"arg_max({c}, (ts, event_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+add_view(
+    "units_after",
+    ("units", "corrections"),
+    f"""SELECT u.unit_id, u.paper_id, u.knowledge_type, coalesce(l.subject_text, u.subject_text) AS subject_text, coalesce(l.predicate_text, u.predicate_text) AS predicate_text, coalesce(l.object_value, u.object_value) AS object_value, l.value_unit,
+  CASE action WHEN 'CONFIRM' THEN 'CONFIRMED' WHEN 'REJECT' THEN 'REJECTED' WHEN 'CORRECT' THEN 'CORRECTED' ELSE verification_status END AS verification_status, CASE WHEN action = 'REJECT' THEN 'BRONZE' WHEN action IS NOT NULL THEN 'GOLD' ELSE confidence_level END AS confidence_level,
+  CASE WHEN corrected THEN 'USER' ELSE extraction_method END AS extraction_method FROM units u LEFT JOIN (SELECT unit_id, arg_max(action, (ts, event_id)) AS action, bool_or(action = 'CORRECT') AS corrected, {_LAST("subject_text")}, {_LAST("predicate_text")}, {_LAST("object_value")}, {_LAST("value_unit")} FROM corrections GROUP BY 1) l USING (unit_id)""",
+)
+
+
+@query(
+    over(
+        f"SELECT unit_id, subject_text, predicate_text, md5(object_value) AS object_value, value_unit, verification_status, confidence_level, extraction_method, sha256({_joined(*K.KEY_COLUMNS)}) AS normalized_key, sha256({_joined(*K.GROUP_COLUMNS)}) AS conflict_group FROM units_after",
+        "units_after",
+    )
+)
+def i10_correct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.corrected_units(V.units(spark, sf_dir), _corrections(spark, sf_dir))
+    return out.select("unit_id", "subject_text", "predicate_text", F.md5("object_value").alias("object_value"), "value_unit", "verification_status", "confidence_level", "extraction_method", "normalized_key", "conflict_group")
+
+
+def _field_sql(c: str, first: str) -> str:
+    told = lambda upto: f"coalesce(last_value(c.{c} IGNORE NULLS) OVER (PARTITION BY c.unit_id ORDER BY c.ts, c.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND {upto}), {first})"
+    return f"SELECT c.event_id, c.unit_id, c.action, '{c}' AS field, {told('1 PRECEDING')} AS before, {told('CURRENT ROW')} AS after FROM corrections c JOIN units u USING (unit_id)"
+
+
+def _state_sql(c: str, value: str) -> str:
+    return f"SELECT c.event_id, c.unit_id, c.action, '{c}' AS field, coalesce(lag({value}) OVER (PARTITION BY c.unit_id ORDER BY c.ts, c.event_id), u.{c}) AS before, {value} AS after FROM corrections c JOIN units u USING (unit_id)"
+
+
+@query(
+    over(
+        "SELECT event_id, unit_id, action, field, md5(before) AS before, md5(after) AS after FROM ("
+        + " UNION ALL ".join(
+            [
+                _state_sql("verification_status", "CASE c.action WHEN 'CONFIRM' THEN 'CONFIRMED' WHEN 'REJECT' THEN 'REJECTED' ELSE 'CORRECTED' END"),
+                _state_sql("confidence_level", "CASE WHEN c.action = 'REJECT' THEN 'BRONZE' ELSE 'GOLD' END"),
+                *[_field_sql(c, f"u.{c}") for c in ("subject_text", "predicate_text", "object_value")],
+                _field_sql("value_unit", "NULL"),
+            ]
+        )
+        + ") WHERE before IS DISTINCT FROM after",
+        "units",
+        "corrections",
+    )
+)
+def i10_correction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.correction_audit(V.units(spark, sf_dir), _corrections(spark, sf_dir))
+    return out.withColumns({"before": F.md5("before"), "after": F.md5("after")})
+
+
+@query(over(_catalog_sql("units_after"), "units_after"))
+def i10_refresh_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored catalog with the papers of corrected units built again; it equals a full rebuild."""
+    units = V.units(spark, sf_dir)
+    return _told_catalog(K.refreshed(written(K.build_catalog(units)), units, _corrections(spark, sf_dir), K.build_catalog))
+
+
+@query(over(_conflicts_sql("units_after"), "units_after"))
+def i10_refresh_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _claims(spark, sf_dir)
+    flagged = lambda rows: K.flag_conflicts(rows).select("paper_id", "unit_id", "conflict_group", "has_conflict")
+    return K.refreshed(written(flagged(units)), units, _corrections(spark, sf_dir), flagged).select("unit_id", "conflict_group", "has_conflict")
+
+
 @query(over("SELECT unit_id, paper_id, knowledge_type, section_title FROM units u LEFT JOIN (SELECT chunk_id AS unit_id, section_title FROM chunks) USING (unit_id) WHERE verification_status <> 'REJECTED'", "units", "chunks"))
 def i11_list_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = V.chunks(spark, sf_dir).select(F.col("chunk_id").alias("unit_id"), "section_title")
@@ -313,6 +401,18 @@ def j10_spec_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classed(spark, sf_dir).groupBy("paper_id", "class").agg(F.count("*").alias("facts"))
 
 
+@query(
+    over(
+        "SELECT paper_id, conflict_group, arg_min(fact_key, (page_number, fact_id)) AS fact_key, count(*) AS n, md5(string_agg(concat_ws('|', fact_id, fact_value, verification_status), chr(10) ORDER BY page_number, fact_id)) AS candidates FROM facts WHERE conflict_group IS NOT NULL GROUP BY 1, 2",
+        "facts",
+    )
+)
+def j10_conflict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.conflict_candidates(_facts(spark, sf_dir))
+    lines = F.transform("candidates", lambda c: F.concat_ws("|", c["fact_id"].cast("string"), c["fact_value"], c["verification_status"]))
+    return out.select("paper_id", "conflict_group", "fact_key", F.size("candidates").cast("long").alias("n"), F.md5(F.array_join(lines, "\n")).alias("candidates"))
+
+
 @query(over("SELECT paper_id, coverage, missing FROM covered", "covered"))
 def j11_critical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.critical_coverage(_classed(spark, sf_dir))
@@ -323,12 +423,16 @@ def j12_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.provenance_coverage(_facts(spark, sf_dir))
 
 
-@query(over("SELECT paper_id, CASE WHEN coverage = 0 THEN 'NOT_READY' WHEN conflicts > 0 THEN 'NEEDS_REVIEW' WHEN missing <> '' THEN 'PARTIAL' ELSE 'READY' END AS status FROM covered", "covered"))
+_NOTES = {"always": "true", "conflicts": "conflicts > 0"}
+_TEXTS = ", ".join(f"CASE WHEN {_NOTES.get(k, f'list_contains(string_split(missing, chr(44)), {quoted(k)})')} THEN {quoted(t)} END" for k, t in rules.SAFE_DEFAULTS)
+
+
+@query(over(f"SELECT paper_id, CASE WHEN coverage = 0 THEN 'NOT_READY' WHEN conflicts > 0 THEN 'NEEDS_REVIEW' WHEN missing <> '' THEN 'PARTIAL' ELSE 'READY' END AS status, concat_ws(chr(10), {_TEXTS}) AS notes FROM covered", "covered"))
 def j13_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _classed(spark, sf_dir)
     conflicts = rows.groupBy("paper_id").agg(F.count_distinct("conflict_group").alias("conflicts"))
     both = K.critical_coverage(rows).join(conflicts, "paper_id")
-    return both.select("paper_id", K.readiness(F.col("coverage"), F.col("conflicts"), F.col("missing")).alias("status"))
+    return both.select("paper_id", K.readiness(F.col("coverage"), F.col("conflicts"), F.col("missing")).alias("status"), F.array_join(K.safe_defaults(F.col("missing"), F.col("conflicts")), "\n").alias("notes"))
 
 
 @query(over("SELECT paper_id, sha256('spec-v1' || chr(10) || string_agg(concat_ws('|', fact_id, fact_value, verification_status), chr(10) ORDER BY fact_id)) AS revision FROM facts GROUP BY 1", "facts"))

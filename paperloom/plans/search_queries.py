@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions.text import tokens
-from paperloom.operators import dense, fusion, lexical
+from paperloom.operators import dense, fusion, impact, lexical
 from paperloom.plans.catalog import query
 from paperloom.plans.views_sql import add_view, choice, listed, over, quoted
 from paperloom.sources import views as V
@@ -81,6 +81,13 @@ def c6_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topped(spark, sf_dir).select("question_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(over("SELECT question_id, chunk_id, rank FROM topped", "topped"))
+def c6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a stored index, without what cannot reach the tenth score."""
+    index = impact.build_impact_index(_docs(spark, sf_dir))
+    return impact.impact_topk(V.questions(spark, sf_dir), index, 10).select("question_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
 def _scoped(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     meta = V.chunks(spark, sf_dir).where("paper_id % 3 = 0")
     return lexical.bm25_scoped(V.questions(spark, sf_dir), lexical.build_index(_docs(spark, sf_dir)), meta, None, 10, mode).select("question_id", "chunk_id", "paper_id")
@@ -193,6 +200,14 @@ def d8_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.ivf_topk(V.vector_queries(spark, sf_dir), vectors, dense.fit_lists(vectors), 5, 32)
 
 
+@query()
+def d8_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantised codes; 40 vectors of each query are compared in full."""
+    vectors = V.vectors(spark, sf_dir)
+    book = dense.fit_codebook(vectors)
+    return dense.pq_topk(V.vector_queries(spark, sf_dir), vectors, dense.quantize(vectors, book), book, 5, 40)
+
+
 # --- hits
 
 
@@ -248,15 +263,20 @@ def e2_e3_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     over(
-        "SELECT h.hit_id, h.question_id, h.chunk_id, p.title, c.section_type FROM hits h JOIN chunks c USING (chunk_id) LEFT JOIN paper_rows p ON p.paper_id = c.paper_id WHERE NOT c.is_reference AND NOT c.is_noise",
+        """SELECT h.hit_id, h.question_id, h.chunk_id, coalesce(p.title, 'Unknown') AS title, h.section_type, h.content FROM (
+  SELECT hit_id, question_id, chunk_id, c.paper_id, c.section_type, md5(c.content) AS content FROM hits h JOIN chunks c USING (chunk_id) WHERE source_type = 'raw_chunk' AND NOT c.is_reference AND NOT c.is_noise
+  UNION ALL SELECT hit_id, question_id, chunk_id, paper_id, CASE WHEN source_type = 'section_summary' THEN 'SUMMARY' END, md5(CASE WHEN chunk_id % 5 = 0 THEN '' ELSE source_type || ' of ' || chunk_id END) FROM hits WHERE source_type <> 'raw_chunk') h LEFT JOIN paper_rows p ON p.paper_id = h.paper_id""".replace("Unknown", rules.UNKNOWN_TITLE),
         "hits",
         "chunks",
         "paper_rows",
     )
 )
 def e1_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.hydrate(_hits(spark, sf_dir).drop("paper_id"), V.chunks(spark, sf_dir), V.paper_rows(spark, sf_dir))
-    return rows.select("hit_id", "question_id", "chunk_id", "title", "section_type")
+    """Chunks with their text, profiles and summaries with the text that the hit carries; some carry none."""
+    payload = F.when(F.col("chunk_id") % 5 != 0, F.concat("source_type", F.lit(" of "), "chunk_id"))
+    hits = _hits(spark, sf_dir).withColumns({"payload": payload, "section_type": F.lit("SUMMARY")})
+    rows = fusion.hydrate(hits, V.chunks(spark, sf_dir), V.paper_rows(spark, sf_dir))
+    return rows.select("hit_id", "question_id", "chunk_id", "title", "section_type", F.md5("content").alias("content"))
 
 
 @query(
@@ -300,9 +320,21 @@ add_view(
 )
 
 
-@query(over("SELECT question_id, paper_id, hits, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, paper_id) AS r FROM by_paper) WHERE r <= 5", "by_paper"))
+@query(
+    over(
+        f"""SELECT b.question_id, b.paper_id, b.hits, round(b.score, 7) AS score, coalesce(t.title, '{rules.UNKNOWN_TITLE}') AS title, best FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, paper_id) AS r FROM by_paper) b
+  JOIN (SELECT question_id, paper_id, string_agg(hit_id, ',' ORDER BY n) AS best FROM (SELECT *, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY score DESC, hit_id) AS n FROM hits) WHERE n <= 2 GROUP BY ALL) USING (question_id, paper_id)
+  LEFT JOIN (SELECT question_id, h.paper_id, arg_min(title, hit_id) AS title FROM hits h JOIN paper_rows p ON p.paper_id = h.paper_id WHERE hit_id % 2 = 0 GROUP BY ALL) t USING (question_id, paper_id) WHERE r <= 5""",
+        "by_paper",
+        "hits",
+        "paper_rows",
+    )
+)
 def e7_aggregate_by_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.aggregate_by_paper(_hits(spark, sf_dir), 5).select("question_id", "paper_id", "hits", F.round("score", 6).alias("score"))
+    """Papers with title and two best hits; half of the hits carry a blank title."""
+    hits = _hits(spark, sf_dir).join(V.paper_rows(spark, sf_dir).select("paper_id", "title"), "paper_id", "left")
+    hits = hits.withColumn("title", F.when(F.col("hit_id") % 2 == 0, F.col("title")).otherwise(" "))
+    return fusion.aggregate_by_paper(hits, 5).select("question_id", "paper_id", "hits", F.round("score", 7).alias("score"), "title", F.array_join("best", ",").alias("best"))
 
 
 _WEIGHT = "CASE source_type " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in rules.TYPE_WEIGHTS) + " END"
@@ -320,7 +352,7 @@ add_view(
     ("hits", "coverage", "paper_rows"),
     f"""SELECT question_id, paper_id, score, covered_types, coverage, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, paper_id) AS rank FROM (
   SELECT question_id, paper_id, covered_types, coverage, round(CASE WHEN review THEN greatest(0.0, s - {rules.REVIEW_PENALTY}) ELSE s END, 8) AS score FROM (
-    SELECT b.question_id, b.paper_id, covered_types, coalesce(c.coverage, 0.0) AS coverage, p.title LIKE '%survey%' AS review,
+    SELECT b.question_id, b.paper_id, covered_types, coalesce(c.coverage, 0.0) AS coverage, p.title LIKE '%survey%' AND b.question_id % 5 <> 0 AS review,
       base + greatest(0, covered_types - 1) * {rules.CROSS_TYPE_BONUS} + coalesce(c.coverage, 0.0) * {rules.COVERAGE_WEIGHT} AS s FROM (
       SELECT question_id, paper_id, sum({_WEIGHT} * least(1.0, (best + {rules.SECOND_HIT_WEIGHT} * second) / top)) AS base, count(*) FILTER (WHERE top > 0) AS covered_types FROM (
         SELECT *, max(best) OVER (PARTITION BY question_id, source_type) AS top FROM (
@@ -342,7 +374,9 @@ def _hit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str, top: int, hits: DataFrame) -> DataFrame:
     coverage = fusion.term_coverage(_hit_texts(spark, sf_dir, hits), _hit_terms(spark, sf_dir))
-    reviews = hits.join(V.paper_rows(spark, sf_dir), "paper_id").where(fusion.is_review(F.col("title"))).select("question_id", "paper_id").distinct()
+    # A fifth of the questions ask for surveys themselves; so do those that only vectors stand for.
+    asked = hits.select("question_id").distinct().select("question_id", F.when(F.col("question_id") % 5 == 0, "a Survey of it").otherwise("how is it done").alias("question"))
+    reviews = fusion.reviews_to_demote(hits.join(V.paper_rows(spark, sf_dir), "paper_id"), asked)
     return fusion.rank_papers(hits, top, coverage, reviews)
 
 

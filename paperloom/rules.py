@@ -165,6 +165,13 @@ PARAMETERS = (
 )
 PARAMETER_UNITS = (("batch_size", "samples"), ("epochs", "epochs"), ("window_size", "steps"))
 EXCERPT_BEFORE, EXCERPT_AFTER = 100, 160
+#: What a reader of a spec is told, by what it lacks.
+SAFE_DEFAULTS = (
+    ("always", "Claim a metric of the paper only where evidence states it."),
+    ("dataset", "Without the dataset, small made-up input serves for smoke checks only."),
+    ("hyperparameters", "Missing hyper-parameters stay open settings; a default is not a fact of the paper."),
+    ("conflicts", "Conflicting facts are handed on with all their values; none is chosen."),
+)
 FACT_CONFIDENCE, TRUSTED_CONFIDENCE = 0.82, 0.70
 CRITICAL_GROUPS = (
     ("architecture", ("ARCHITECTURE", "ARCHITECTURE_COMPONENT", "ARCHITECTURE_CONNECTION")),
