@@ -33,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch |
     Null and empty texts stay as they are.
     """
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    out = line_dedup.dedup_lines(rows, params=line_dedup.WHOLE, scratch=scratch).where(~F.col("emptied"))
+    out = line_dedup.dedup_lines(rows, scratch=scratch).where(~F.col("emptied"))
     return _with_text(out.select("row", "text"), docs.columns, docs)
 
 
