@@ -71,6 +71,50 @@ def test_crowds_of_several_clusters_by_rounds(spark, monkeypatch):
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == expected
 
 
+def templated(r, n, passages, per=2, own=22, edits=0):
+    """Texts of shared passages and words of their own; no two of them link."""
+    out = []
+    for i in range(n):
+        parts = [p if not edits else near(r, p, edits) for p in r.sample(passages, per)]
+        out.append((i, " ".join([" ".join(f"w{r.randrange(10**9)}" for _ in range(own)), *parts])))
+    return out
+
+
+def compared(spark, docs, **how):
+    """(result, pairs that were compared in all) of one join."""
+    from paperloom.llm.common import Scratch
+
+    scratch = Scratch(spark)
+    out = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_components(frame(spark, docs), scratch=scratch, **how).collect()}
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = [s.getPath().toString() for s in fs.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.root))]
+    return out, sum(spark.read.parquet(t).count() for t in tables if t.rsplit("/", 1)[1].startswith(("tried_", "node_pairs", "links_", "pairs")))
+
+
+def test_templates_do_not_make_squares(spark):
+    """Texts that share two of twelve passages and link with nothing: twice the rows, about twice the work."""
+    r = random.Random(21)
+    passages = [" ".join(f"p{k}x{i}" for i in range(66)) for k in range(12)]
+    sizes = {}
+    for n in (300, 600):
+        docs = templated(r, n, passages)
+        out, sizes[n] = compared(spark, docs, frequent=20)
+        assert all(c == i for i, (_, c) in out.items())
+    assert sizes[600] <= 2.5 * sizes[300] + 200
+
+
+def test_templates_with_edits_and_links_match_all_pairs(spark, monkeypatch):
+    r = random.Random(22)
+    passages = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(5)]
+    docs = templated(r, 90, passages, own=6) + [(100 + i, t) for i, t in templated(r, 60, passages, own=6, edits=1)] + [(200 + i, t) for i, t in templated(r, 60, passages, per=3, own=4)]
+    docs += [(300 + i, near(r, docs[i * 3][1], 2)) for i in range(30)]
+    expected = brute.components(docs)
+    assert len({c for _, c in expected.values()}) < len(docs) - 20
+    for plain in (0, 20):
+        monkeypatch.setattr(ngram_join, "PLAIN", plain)
+        assert compared(spark, docs, frequent=8)[0] == expected
+
+
 def test_components_of_repeated_rows_and_nulls(spark):
     r = random.Random(3)
     t = text(r, 60)
@@ -126,35 +170,37 @@ def plain_cuts(rows, p):
         value = 0
         for back in range(min(p.window, i + 1)):
             value ^= turned(xxhash.xxh3_64_intdigest(rows[i - back].encode()), back)
-        size = i + 1 - begin
-        low = (value * 0x9E3779B97F4A7C15 % 2**64 >> 32) < 2**32 // p.divisor
-        if size == p.max_lines or size >= p.min_lines and low:
-            out.append((begin, size))
+        low = (value * 0x9E3779B97F4A7C15 % 2**64 >> 32) < int(2**32 * p.cut)
+        if low or i + 1 - begin == p.max_lines or i + 1 == len(rows):
+            out.append((begin, i + 1))
             begin = i + 1
-    left = len(rows) - begin
-    if left == 1 and out:
-        out[-1] = (out[-1][0], out[-1][1] + 1)
-    elif left:
-        out.append((begin, left))
     return out
 
 
 def plain_line_dedup(docs, p):
-    """Every chunk's bytes in order of documents; a chunk seen before goes."""
-    seen, out = set(), {}
+    """Every chunk's bytes in order of documents; one seen before goes with the lines around it that agree with the first."""
+    first, out = {}, {}
     for i, t in docs:
+        out[i] = t
         if not t or "\n" not in t:
-            out[i] = t
             continue
-        rows, kept = t.split("\n"), []
-        for first, size in plain_cuts(rows, p):
-            body = "\n".join(rows[first : first + size])
-            if size > 1 and body.strip():
-                if body in seen:
-                    continue
-                seen.add(body)
-            kept += rows[first : first + size]
-        out[i] = "\n".join(kept)
+        rows, gone = t.split("\n"), set()
+        cuts = plain_cuts(rows, p)
+        for c, (a, b) in enumerate(cuts):
+            body = tuple(rows[a:b])
+            if not "".join(body).strip():
+                continue
+            other, x, y, low, high = first.setdefault(body, (rows, a, b, cuts[c - 1][0] if c else a, cuts[c + 1][1] if c + 1 < len(cuts) else b))
+            if other is rows and x == a:
+                continue
+            left, right = a, b
+            while left > (cuts[c - 1][0] if c else a) and x > low and rows[left - 1] == other[x - 1]:
+                left, x = left - 1, x - 1
+            while right < (cuts[c + 1][1] if c + 1 < len(cuts) else b) and y < high and rows[right] == other[y]:
+                right, y = right + 1, y + 1
+            if sum(bool(r.strip()) for r in rows[left:right]) > 1:
+                gone |= set(range(left, right))
+        out[i] = "\n".join(r for k, r in enumerate(rows) if k not in gone)
     return out
 
 
@@ -180,7 +226,7 @@ def test_boundaries_resist_shifts():
     a = {b"\n".join(body[f : f + n]) for f, n in line_dedup.chunk_lines(body, p)}
     moved = [b"new one", b"new two", b"new three", *body]
     b = {b"\n".join(moved[f : f + n]) for f, n in line_dedup.chunk_lines(moved, p)}
-    assert len(a & b) >= len(a) - 3
+    assert len(a & b) >= len(a) - 2
 
 
 def test_line_dedup_of_repeated_rows(spark):
@@ -203,13 +249,13 @@ def plain_repeated_lines(docs):
     return gone
 
 
-def test_query_finds_every_short_passage(spark, tmp_path):
-    """Passages of 2 to 6 lines planted between a document's own lines lose all lines in later documents."""
+def test_query_finds_passages(spark, tmp_path):
+    """Passages of 2 to 9 lines planted between a document's own lines: nine tenths of their lines go, no other line does."""
     from paperloom.llm import queries
 
     r, docs, planted = random.Random(17), [], {}
-    for n in range(2, 7):
-        for _ in range(4):
+    for n in range(2, 10):
+        for _ in range(6):
             passage = lines(r, n)
             for first in (True, False):
                 own = lines(r, r.randrange(2, 8))
@@ -219,20 +265,38 @@ def test_query_finds_every_short_passage(spark, tmp_path):
                     planted[docs[-1][0]] = (own, passage)
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = {x["doc_id"]: x for x in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
-    assert sorted(out) == sorted(planted)
-    for i, (own, passage) in planted.items():
-        assert out[i]["clean_text"] == "\n".join(own) and out[i]["removed_lines"] == len(passage) and out[i]["first_id"] == i - 1
-
-
-def test_pairs_keep_the_first_of_each_line(spark):
+    assert set(out) <= set(planted) and all(x["first_id"] == i - 1 for i, x in out.items())
+    assert all(set(own) <= set(out[i]["clean_text"].split("\n")) for i, (own, _) in planted.items() if i in out)
+    assert sum(x["removed_lines"] for x in out.values()) >= 0.9 * sum(len(passage) for _, passage in planted.values())
+    assert all(out[i]["removed_lines"] >= len(passage) - 1 for i, (_, passage) in planted.items() if len(passage) > 5)
+
+
+def test_recall_comes_from_the_rolling_hash(spark):
+    """On a corpus of copies, excerpts and own lines nine tenths of all repeated lines are found; without boundaries few are."""
+    r, docs = random.Random(31), []
+    for i in range(120):
+        own = lines(r, r.randrange(1, 12))
+        if docs and r.random() < 0.6:
+            old = r.choice(docs)[1].split("\n")
+            a = r.randrange(len(old))
+            at = r.randrange(len(own) + 1)
+            own = own[:at] + old[a : a + r.randrange(2, 14)] + own[at:]
+        docs.append((i, "\n".join(own)))
+    gone = plain_repeated_lines(docs)
+    share = []
+    for p in (line_dedup.LineChunkParams(), line_dedup.LineChunkParams(cut=0.0)):
+        out = {x["doc_id"]: x["removed_lines"] for x in line_dedup.dedup_lines(frame(spark, docs), params=p).collect()}
+        assert all(n <= len(gone[i]) for i, n in out.items())
+        share.append(sum(out.values()) / sum(map(len, gone.values())))
+    assert share[0] >= 0.9 and share[1] < 0.3
+
+
+def test_the_first_of_each_line_stays(spark):
     r = random.Random(18)
     pool = lines(r, 12)
     docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 9)))) for i in range(40)]
     docs += [(50, "same\n" * 9 + "same"), (51, "\n\nhead\n\nbody\n\n"), (52, "other\nhead\n\nbody")]
-    out = {x["doc_id"]: x for x in line_dedup.dedup_lines(frame(spark, docs), params=line_dedup.WHOLE).collect()}
+    out = {x["doc_id"]: x for x in line_dedup.dedup_lines(frame(spark, docs)).collect()}
     assert {x for _, t in docs for x in t.split("\n")} == {x for row in out.values() for x in row["text"].split("\n")} | {""}
     gone = plain_repeated_lines(docs[:40])
-    for i, t in docs[:40]:
-        rest = [x for j, x in enumerate(t.split("\n")) if j not in gone[i]]
-        assert out[i]["text"] == "\n".join(rest) and out[i]["removed_lines"] == len(t.split("\n")) - len(rest)
-    assert out[52]["text"] == "other" and out[52]["removed_lines"] == 3 and out[50]["text"] == "same"
+    assert all(out[i]["removed_lines"] <= len(gone[i]) for i in range(40)) and out[50]["text"].startswith("same")
