@@ -27,7 +27,6 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
 
 
@@ -113,14 +112,24 @@ def unpacked(rows: DataFrame, columns: list[str], *added: str, **replaced: Colum
 def hot_join(big: DataFrame, keys: DataFrame, on: list[str], count: str, hot: int = 1000) -> DataFrame:
     """``big`` joined with the written table ``keys``, unique by ``on``, whose ``count`` says how many rows each key meets.
 
-    Keys of more than ``hot`` rows are few; they are broadcast if their measured size allows, so that no task gets all
-    rows of one key. The rest is joined by shuffle.
+    The keys with most rows, of more than ``hot`` rows and as many as ``BROADCAST_BYTES`` hold, are broadcast, so that no
+    task gets all rows of one key. The rest is joined by shuffle: each of these keys has fewer rows than any that was
+    broadcast, and so at most the rows of ``big`` divided by the number of those.
     """
+    level = F.floor(F.log2(F.col(count)))
     top = keys.where(F.col(count) > hot)
-    if table_bytes(top) > BROADCAST_BYTES:
-        return big.join(keys, on)
+    row = table_bytes(top) / max(top.count(), 1)
+    least, held = None, 0
+    for r in top.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 64 rows at most
+        held += r["count"]
+        if held * row > BROADCAST_BYTES:
+            break
+        least = max(hot + 1, 1 << int(r["level"]))
+    if least is None:
+        return big.join(keys.hint("merge"), on)
+    top = keys.where(F.col(count) >= least)
     often = big.join(F.broadcast(top), on)
-    return often.unionByName(big.join(F.broadcast(top.select(*on)), on, "left_anti").join(keys.where(F.col(count) <= hot).hint("merge"), on))
+    return often.unionByName(big.join(F.broadcast(top.select(*on)), on, "left_anti").join(keys.where(F.col(count) < least).hint("merge"), on))
 
 
 def slices(batches: Iterator, rows: int) -> Iterator:

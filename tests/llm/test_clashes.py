@@ -36,7 +36,7 @@ def test_operators_keep_clashing_columns(spark, docs):
     out = quality_rules.quality_rules(docs)
     assert out.columns == [*docs.columns, "quality"] and out.count() == 9
     kept(out)
-    out = line_dedup.dedup_lines(docs, params=line_dedup.WHOLE)
+    out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "removed_lines", "first_ids", "emptied"] and out.where("removed_lines > 0").count() >= 1
     kept(out)
     out = span_dedup.dedup_spans(docs)
