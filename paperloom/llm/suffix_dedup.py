@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, key_join, released, unpacked
+from paperloom.llm.common import Scratch, give_back, key_join, released, unpacked
 from paperloom.llm.hashing import _BYTE, groups, range_hashes
 
 #: Perfect difference sets by period, as Singer's rule gives them: fixed values.
@@ -135,6 +135,7 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
                 out.append((r["batch"], None, None, at[hit].tobytes(), back[lo:hi][hit].tobytes()))
     kinds = [pa.int64(), *[pa.binary()] * 4]
     columns = zip(*out) if out else [()] * 5
+    give_back()
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("batch", "docs", "sizes", "places", "flags"), columns, kinds, strict=True)})
 
 
@@ -233,6 +234,7 @@ def _settled(cover: Cover):
             flat = np.stack([a - edge[own], b - edge[own]], axis=1).reshape(-1)
             cuts = 2 * np.searchsorted(own, np.arange(len(docs) + 1))
             found.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())))
+        give_back()
         some = np.flatnonzero((np.diff(found[0].offsets) > 0) | (np.diff(found[1].offsets) > 0))
         return pa.table({"doc": pa.array(docs), "wanted": found[0], "tied": found[1]}).take(pa.array(some))
 
