@@ -106,6 +106,20 @@ def ivf_topk(queries: DataFrame, vectors: DataFrame, model: KMeansModel, k: int,
     return topk(both.select("query_id", "point_id", F.round(cosine(F.col("query"), F.col("embedding")), 8).alias("score")), k, ("query_id",), "point_id")
 
 
+def store_by_type(vectors: DataFrame, path: str) -> None:
+    """Vectors as a table with a partition for each content type, so that a search for some types reads no other file."""
+    vectors.write.mode("overwrite").partitionBy("content_type").parquet(path)
+
+
+def stored_topk(queries: DataFrame, path: str, kinds: DataFrame, k: int, by_type: bool = False) -> DataFrame:
+    """``cosine_topk`` over the stored vectors whose content_type is in ``kinds`` (content_type; a few rows).
+
+    The types are found when the query runs: Spark prunes the partitions by them before it lists what to scan.
+    """
+    vectors = queries.sparkSession.read.parquet(path).join(F.broadcast(kinds.select("content_type").distinct()), "content_type", "left_semi")
+    return cosine_topk(queries, vectors, k, by_type)
+
+
 @dataclass(frozen=True)
 class Codebook:
     """Centres of the pieces that vectors are cut into; all pieces share them."""

@@ -137,6 +137,20 @@ def latency_stats(runs: DataFrame, by: str, value: str) -> DataFrame:
     return runs.groupBy(by).agg(F.count("*").alias("runs"), F.round(F.avg(value), 4).alias("avg_ms"), F.round(F.percentile(value, F.lit(0.95)), 4).alias("p95_ms"))
 
 
+def latency_sketches(runs: DataFrame, by: str, part: Column, value: str) -> DataFrame:
+    """``by``, part, runs, total, sketch: a quantile sketch for each group and part, such as a day, to be kept."""
+    return runs.groupBy(by, part.alias("part")).agg(F.count(value).alias("runs"), F.sum(value).alias("total"), F.kll_sketch_agg_double(F.col(value).cast("double")).alias("sketch"))
+
+
+def sketched_stats(sketches: DataFrame, by: str, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """``by``, runs, avg_ms and estimated quantiles (p50_ms, ...) from sketches of any parts, merged; no value is read again.
+
+    A quantile's rank is off by 1.7 % at most, nearly always.
+    """
+    whole = sketches.groupBy(by).agg(F.sum("runs").alias("runs"), (F.sum("total") / F.sum("runs")).alias("avg_ms"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return whole.select(by, "runs", "avg_ms", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{round(100 * q)}_ms") for q in quantiles])
+
+
 def retrieval_metrics(found: DataFrame, gold: DataFrame, key: str = "question_id", item: str = "chunk_id") -> DataFrame:
     """question_id, recall, precision of each question with gold items; questions without a result count as nothing found."""
     right = found.select(key, item).distinct().join(gold.select(key, item).distinct(), [key, item]).groupBy(key).agg(F.count("*").alias("hit"))

@@ -83,9 +83,7 @@ def discover(routes: DataFrame, meta: DataFrame, questions: DataFrame, terms: Da
     ranked = rank_papers(hits, most, term_coverage(hits, terms), reviews_to_demote(hits, questions))
     chosen = select_candidates(ranked, questions, k)
     order = F.row_number().over(Window.partitionBy(Q).orderBy("rank")).alias("rank")
-    listed = terms.groupBy(Q).agg(F.collect_set("term").alias("terms"))
-    text = F.lower(F.concat_ws(" ", "title", "section_title", "content"))
-    rows = hits.join(listed, Q, "left").withColumns({"background": background_only(F.col("section_title"), F.col("content")), "matches": F.coalesce(F.size(F.filter("terms", lambda t: text.contains(F.lower(t)))), F.lit(0))})
+    rows = judged(hits, terms)
     return round_robin(rows, chosen.select(Q, "paper_id", order), k)
 
 
@@ -190,6 +188,14 @@ def background_only(title: Column, content: Column) -> Column:
     return has_any(text, rules.BACKGROUND_MARKS) & ~has_any(text, rules.DIRECT_MARKS)
 
 
+def judged(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Hits (with title, section_title and content) with background and matches, the number of the question's ``terms`` that they hold."""
+    listed = terms.groupBy(Q).agg(F.collect_set("term").alias("terms"))
+    text = F.lower(F.concat_ws(" ", "title", "section_title", "content"))
+    matches = F.coalesce(F.size(F.filter("terms", lambda t: text.contains(F.lower(t)))), F.lit(0))
+    return hits.join(listed, Q, "left").withColumns({"background": background_only(F.col("section_title"), F.col("content")), "matches": matches}).drop("terms")
+
+
 def round_robin(hits: DataFrame, ranked: DataFrame, k: int, continue_rounds: bool = False) -> DataFrame:
     """question_id, pos, paper_id, key: evidence dealt over the ranked papers.
 

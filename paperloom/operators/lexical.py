@@ -104,6 +104,18 @@ def index_report(chunks: DataFrame, key: str = "chunk_id", text: str = "content"
     return sizes.crossJoin(toks.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t").alias("terms")))
 
 
+def term_sketches(chunks: DataFrame, part: Column, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """part, indexed, skipped, sketch: counts of chunks and a distinct-count sketch of their terms for each part, to be kept."""
+    toks = chunks.select(part.alias("part"), tokens(F.col(text)).alias("tokens"))
+    sizes = toks.groupBy("part").agg(F.count_if(F.size("tokens") > 0).alias("indexed"), F.count_if(F.size("tokens") == 0).alias("skipped"))
+    return sizes.join(toks.select("part", F.explode("tokens").alias("t")).groupBy("part").agg(F.hll_sketch_agg("t", 14).alias("sketch")), "part", "left")
+
+
+def sketched_report(sketches: DataFrame) -> DataFrame:
+    """indexed, skipped, terms: ``index_report`` from sketches of any parts, merged; terms are off by 1 %, mostly."""
+    return sketches.agg(F.sum("indexed").alias("indexed"), F.sum("skipped").alias("skipped"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).cast("long").alias("terms"))
+
+
 #: Characters of the grams that a term is looked up by.
 GRAM = 3
 #: Terms, or grams of them, that are broadcast; more are met by a shuffle.

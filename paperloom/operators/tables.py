@@ -19,6 +19,11 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
+def rebuild_partitions(new: DataFrame, path: str, by: str) -> None:
+    """Write ``new`` over the partitions of ``by`` that it has rows of, in a stored table; other partitions keep their files."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def upsert_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` take the place of those in ``old`` with equal keys."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new)
@@ -121,3 +126,23 @@ def index_status(points: DataFrame, papers: DataFrame, kinds: tuple[str, ...]) -
 def manifest(files: DataFrame, path: str, content: str) -> DataFrame:
     """path, sha256 and size in bytes of every file."""
     return files.select(F.col(path).alias("path"), F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("bytes"))
+
+
+def export_json(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Rows as JSON lines, in order through the files by name: parts by ranges of ``order``, sorted inside."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
+
+
+def export_texts(files: DataFrame, path: str, kind: str, text: str, rows_a_file: int = 100_000) -> None:
+    """The texts as text files below a folder for each ``kind``."""
+    files.select(kind, text).write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy(kind).text(path)
+
+
+def exported_manifest(files: DataFrame, kind: str) -> DataFrame:
+    """kind, path, bytes, lines, digest of every file that lies in an exported folder, from the files themselves.
+
+    The digest is that of the file's bytes; ``files`` is the folder read as binary files.
+    """
+    lines = F.octet_length("content") - F.octet_length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
+    return files.select(kind, "path", F.col("length").alias("bytes"), lines.cast("long").alias("lines"), F.sha2("content", 256).alias("digest"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.operators import knowledge as K
+from paperloom.operators import tables
 from paperloom.plans.catalog import query
 from paperloom.plans.views_sql import add_view, listed, over, quoted, trimmed
 from paperloom.sources import views as V
-from paperloom.sources.scratch import written
+from paperloom.sources.scratch import shared_folder, written
 
 
 def _joined(*cols: str) -> str:
@@ -289,12 +290,24 @@ def f12_select_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.select_units(_claims(spark, sf_dir), _F12, 5).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(over("SELECT unit_id, paper_id, to_json({'subject': subject_text, 'object': object_value}) AS target FROM units WHERE verification_status <> 'REJECTED' AND evidence_text IS NOT NULL AND confidence_level IN ('GOLD', 'SILVER')", "units"))
+_EXPORT = over("SELECT unit_id, paper_id, to_json({'subject': subject_text, 'object': object_value}) AS target FROM units WHERE verification_status <> 'REJECTED' AND evidence_text IS NOT NULL AND confidence_level IN ('GOLD', 'SILVER')", "units")
+
+
+@query(_EXPORT)
 def a17_export_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.units(spark, sf_dir).where("verification_status <> 'REJECTED' AND evidence_text IS NOT NULL").where(K.tier_rank(F.col("confidence_level")) >= 2)
     return rows.select("unit_id", "paper_id", F.to_json(F.struct(F.col("subject_text").alias("subject"), F.col("object_value").alias("object"))).alias("target"))
 
 
+@query(_EXPORT)
+def a17_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as JSON lines in order of paper and unit, read back."""
+    path = f"{shared_folder(spark)}/dataset"
+    rows = a17_export_dataset(spark, sf_dir)
+    tables.export_json(rows, path, ["paper_id", "unit_id"])
+    return spark.read.schema(rows.schema).json(path)
+
+
 # --- facts
 
 _MINED = " UNION ALL ".join(

@@ -11,7 +11,7 @@ from paperloom.operators import dense, fusion, impact, lexical
 from paperloom.plans.catalog import query
 from paperloom.plans.views_sql import add_view, choice, listed, over, quoted
 from paperloom.sources import views as V
-from paperloom.sources.scratch import written
+from paperloom.sources.scratch import shared_folder, written
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({x}, '')), {p}), lambda w: length(w) >= 2 AND NOT list_contains([{s}], w))"
 
@@ -116,6 +116,15 @@ def c8_index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.index_report(_docs(spark, sf_dir))
 
 
+@query(over("SELECT count(*) FILTER (WHERE len(tokens) > 0) AS indexed, count(*) FILTER (WHERE len(tokens) = 0) AS skipped, true AS close FROM toks", "toks"))
+def c8_sketch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From sketches of ten parts; ``close``: the terms are within 5 % of the exact number."""
+    kept = written(lexical.term_sketches(_docs(spark, sf_dir), F.col("chunk_id") % 10))
+    exact = lexical.index_report(_docs(spark, sf_dir)).select(F.col("terms").alias("exact"))
+    both = lexical.sketched_report(kept).crossJoin(F.broadcast(exact))  # a row each
+    return both.select("indexed", "skipped", (F.abs(F.col("terms") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 # --- dense
 
 _H = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c + 2147483648) % 4294967296 - 2147483648)"
@@ -163,6 +172,15 @@ def d4_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(dense.cosine_topk(V.vector_queries(spark, sf_dir), part, 5))
 
 
+@query(_nearest("WHERE content_type <> 'paper_profile'", "query_id"))
+def d4_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors lie by content type; the types to search come from a table."""
+    path = f"{shared_folder(spark)}/vectors"
+    dense.store_by_type(V.vectors(spark, sf_dir), path)
+    kinds = V.vectors(spark, sf_dir).select("content_type").distinct().where("content_type <> 'paper_profile'")
+    return _found(dense.stored_topk(V.vector_queries(spark, sf_dir), path, kinds, 5))
+
+
 @query(_nearest("", "query_id, content_type"))
 def d5_topk_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(dense.cosine_topk(V.vector_queries(spark, sf_dir), V.vectors(spark, sf_dir), 5, by_type=True))
@@ -408,12 +426,20 @@ def e11_select_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.select_candidates(_ranked(spark, sf_dir, 8, _hits(spark, sf_dir)), _asked(spark, sf_dir), 8).withColumn("rank", F.col("rank").cast("long"))
 
 
-add_view("rr0", ("hits", "ranked"), """SELECT *, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY score DESC NULLS LAST, hit_id) - 1 AS place FROM (
+_BACK = " OR ".join(f"contains(t, {quoted(m)})" for m in rules.BACKGROUND_MARKS)
+_DIRECT = " OR ".join(f"contains(t, {quoted(m)})" for m in rules.DIRECT_MARKS)
+add_view(
+    "judged",
+    ("hit_texts", "hit_terms", "chunks"),
+    f"""SELECT h.* EXCLUDE (title, content), ({_BACK}) AND NOT ({_DIRECT}) AS background, (SELECT count(*) FROM hit_terms q WHERE q.question_id = h.question_id AND contains(lower(h.title || ' ' || t), q.term)) AS matches
+  FROM (SELECT x.*, lower(c.section_title || ' ' || c.content) AS t FROM hit_texts x JOIN chunks c USING (chunk_id)) h""",
+)
+add_view("rr0", ("judged", "ranked"), """SELECT *, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY score DESC NULLS LAST, hit_id) - 1 AS place FROM (
   SELECT h.*, h.source_type || ':' || h.chunk_id AS key, r.rank AS paper_rank, row_number() OVER (PARTITION BY h.question_id, h.paper_id, h.source_type, h.chunk_id ORDER BY h.score DESC, h.hit_id) AS n
-  FROM hits h JOIN ranked r ON r.question_id = h.question_id AND r.paper_id = h.paper_id AND r.rank <= 4) WHERE n = 1""")
+  FROM judged h JOIN ranked r ON r.question_id = h.question_id AND r.paper_id = h.paper_id AND r.rank <= 4) WHERE n = 1""")
 add_view("rr1", ("rr0",), "SELECT *, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY CASE WHEN source_type = 'paper_profile' THEN 0 ELSE 1 END, place) = 1 AS first FROM rr0")
 add_view("rr2", ("rr1",), """SELECT *, CASE WHEN first THEN 1 WHEN source_type <> 'paper_profile' AND row_number() OVER (PARTITION BY question_id, paper_id ORDER BY CASE WHEN source_type = 'paper_profile' OR first THEN 1 ELSE 0 END,
-  hit_id % 5 = 0, hit_id % 3 DESC, CASE WHEN source_type = 'section_summary' THEN 2 ELSE 1 END DESC, score DESC, hit_id) = 1 THEN 2 ELSE 3 END AS phase FROM rr1""")
+  background, matches DESC, CASE WHEN source_type = 'section_summary' THEN 2 ELSE 1 END DESC, score DESC, hit_id) = 1 THEN 2 ELSE 3 END AS phase FROM rr1""")
 add_view("rr3", ("rr2",), "SELECT question_id, coalesce(min(CASE WHEN added = 0 THEN place END), max(place) + 1) AS stop FROM (SELECT question_id, place, count(*) FILTER (WHERE phase = 3) AS added FROM rr2 GROUP BY ALL) GROUP BY ALL")
 
 
@@ -425,14 +451,12 @@ add_view("rr3", ("rr2",), "SELECT question_id, coalesce(min(CASE WHEN added = 0
 )
 def e12_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir)
-    rows = hits.withColumns({"key": fusion.source_key(), "background": F.col("hit_id") % 5 == 0, "matches": F.col("hit_id") % 3})
+    chunks = V.chunks(spark, sf_dir).select("chunk_id", "section_title", "content")
+    texts = hits.join(chunks, "chunk_id").join(V.paper_rows(spark, sf_dir).select("paper_id", "title"), "paper_id", "left")
+    rows = fusion.judged(texts, _hit_terms(spark, sf_dir)).withColumn("key", fusion.source_key())
     return fusion.round_robin(rows, _ranked(spark, sf_dir, 4, hits), 12).withColumn("pos", F.col("pos").cast("long"))
 
 
-_BACK = " OR ".join(f"contains(t, {quoted(m)})" for m in rules.BACKGROUND_MARKS)
-_DIRECT = " OR ".join(f"contains(t, {quoted(m)})" for m in rules.DIRECT_MARKS)
-
-
 @query(over(f"SELECT chunk_id, ({_BACK}) AND NOT ({_DIRECT}) AS background FROM (SELECT chunk_id, lower(section_title || ' ' || CASE WHEN chunk_id % 5 = 0 THEN 'Existing methods: ' ELSE '' END || content) AS t FROM chunks)", "chunks"))
 def e13_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.when(F.col("chunk_id") % 5 == 0, "Existing methods: ").otherwise(""), "content")

@@ -11,6 +11,7 @@ from paperloom.operators import tables as A
 from paperloom.plans.catalog import query
 from paperloom.plans.views_sql import add_view, listed, over, trimmed
 from paperloom.sources import views as V
+from paperloom.sources.scratch import shared_folder, written
 
 
 @query(over("SELECT p.paper_id, p.category_id, coalesce(p.publish_year, 0) AS publish_year, c.name FROM paper_rows p LEFT JOIN categories c USING (category_id) WHERE p.category_id = 3", "paper_rows", "categories"))
@@ -25,6 +26,16 @@ def a2_replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.replace_by_key(old, new, "paper_id")
 
 
+@query(over("SELECT chunk_id, paper_id, section_type FROM chunks WHERE section_type <> 'METHOD' UNION ALL SELECT chunk_id + 1000000, paper_id, section_type FROM chunks WHERE section_type = 'METHOD' AND paper_id % 2 = 0", "chunks"))
+def a2_rebuild_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One section's partition of a stored table is written anew."""
+    path = f"{shared_folder(spark)}/chunks"
+    rows = V.chunks(spark, sf_dir).select("chunk_id", "paper_id", "section_type")
+    rows.write.partitionBy("section_type").parquet(path)
+    A.rebuild_partitions(rows.where("section_type = 'METHOD' AND paper_id % 2 = 0").withColumn("chunk_id", F.col("chunk_id") + 1000000), path, "section_type")
+    return spark.read.parquet(path).select("chunk_id", "paper_id", "section_type")
+
+
 @query(
     over(
         """SELECT coalesce(o.paper_id, n.paper_id) AS paper_id, coalesce(o.chunk_index, n.chunk_index) AS chunk_index, coalesce(o.id, n.id) AS id, CASE WHEN n.summary IS NOT NULL THEN n.summary ELSE o.summary END AS summary FROM
@@ -124,6 +135,18 @@ def a18_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.manifest(files, "p", "text")
 
 
+@query(over("SELECT section_type, count(*) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM (SELECT section_type, '> ' || replace(content, chr(10), ' ') AS line FROM chunks WHERE NOT is_reference AND content IS NOT NULL) GROUP BY 1", "chunks"))
+def a18_export_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts as lines of text files below a folder for each section; told by the manifest of what lies there."""
+    path = f"{shared_folder(spark)}/excerpts"
+    line = F.concat(F.lit("> "), F.replace("content", F.lit("\n"), F.lit(" ")))
+    rows = V.chunks(spark, sf_dir).where("NOT is_reference AND content IS NOT NULL").select("section_type", line.alias("line"))
+    A.export_texts(rows, path, "section_type", "line")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    out = A.exported_manifest(files, "section_type")
+    return out.groupBy("section_type").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+
+
 @query(over("SELECT paper_id, CASE WHEN n IN (SELECT lower(name) FROM categories) THEN 'taken' ELSE 'twice' END AS problem FROM (SELECT *, count(*) OVER (PARTITION BY n) AS c FROM (SELECT paper_id, 'src' || (paper_id % 150) AS n FROM paper_rows)) WHERE c > 1 OR n IN (SELECT lower(name) FROM categories)", "paper_rows", "categories"))
 def a19_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = V.paper_rows(spark, sf_dir).select("paper_id", F.concat(F.lit(" SRC"), F.col("paper_id") % 150).alias("name"))
@@ -273,6 +296,17 @@ def l3_latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.latency_stats(V.spans(spark, sf_dir), "stage", "ms")
 
 
+@query(over("SELECT stage, count(*) AS runs, round(avg(ms), 4) AS avg_ms, true AS close FROM spans GROUP BY 1", "spans"))
+def l3_sketch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From sketches by day; ``close``: the estimates lie between the exact quantiles 2.5 % of ranks away."""
+    spans = V.spans(spark, sf_dir)
+    kept = written(D.latency_sketches(spans, "stage", F.to_date("ts"), "ms"))
+    exact = spans.groupBy("stage").agg(F.percentile("ms", F.array(*[F.lit(q) for q in (0.475, 0.525, 0.925, 0.975)])).alias("q"))
+    both = D.sketched_stats(kept, "stage").join(exact, "stage")
+    close = F.col("p50_ms").between(F.col("q")[0], F.col("q")[1]) & F.col("p95_ms").between(F.col("q")[2], F.col("q")[3])
+    return both.select("stage", "runs", F.round("avg_ms", 4).alias("avg_ms"), close.alias("close"))
+
+
 @query(
     over(
         """SELECT g.question_id, round(coalesce(h.hit, 0) / g.gold, 6) AS recall, round(CASE WHEN f.found > 0 THEN coalesce(h.hit, 0) / f.found ELSE 0.0 END, 6) AS precision FROM (SELECT question_id, count(*) AS gold FROM gold GROUP BY 1) g

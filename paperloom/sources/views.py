@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
+from paperloom.operators.lexical import contained_terms
 
 UNIT_TYPES = (
     "RESEARCH_DOMAIN", "RESEARCH_TASK", "RESEARCH_PROBLEM", "KEYWORD", "METHOD", "MODEL_COMPONENT", "DATASET", "INPUT_VARIABLE", "METRIC",
@@ -91,19 +92,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question_id, chunk_id): the document holds the whole text of the item.
-
-    Documents meet items on the item's longest inner word, which a document that holds the item has as a word too; then
-    the texts are compared. Items without an inner word have no row.
-    """
-    words = lambda c: F.split(c, r"\s+")
-    inner = F.slice(words("text"), 2, F.greatest(F.size(words("text")) - 2, F.lit(0)))
-    longest = F.array_sort(inner, lambda x, y: F.length(y) - F.length(x))
-    items = table(spark, sf_dir, "benchmark").where(F.size(inner) > 0).select(F.col("item_id").alias("question_id"), F.col("text").alias("item"), longest[0].alias("word"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(words("text"))).alias("word"))
-    pairs = d.join(items, "word").select("question_id", "chunk_id", "item")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return pairs.join(texts, "chunk_id").where(F.col("text").contains(F.col("item"))).select("question_id", "chunk_id")
+    """(question_id, chunk_id): the document holds the whole text of the item, found by the item's rarest gram."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("term"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return contained_terms(docs, items.select("term"), "chunk_id", "text").join(items, "term").select("question_id", "chunk_id")
 
 
 VECTOR_TYPES = ("paper_profile", "section_summary", "raw_chunk")
