@@ -111,12 +111,9 @@ def store_by_type(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").partitionBy("content_type").parquet(path)
 
 
-def stored_topk(queries: DataFrame, path: str, kinds: DataFrame, k: int, by_type: bool = False) -> DataFrame:
-    """``cosine_topk`` over the stored vectors whose content_type is in ``kinds`` (content_type; a few rows).
-
-    The types are found when the query runs: Spark prunes the partitions by them before it lists what to scan.
-    """
-    vectors = queries.sparkSession.read.parquet(path).join(F.broadcast(kinds.select("content_type").distinct()), "content_type", "left_semi")
+def stored_topk(queries: DataFrame, path: str, kinds: tuple[str, ...], k: int, by_type: bool = False) -> DataFrame:
+    """``cosine_topk`` over the stored vectors of some content types; the partitions of others are not read."""
+    vectors = queries.sparkSession.read.parquet(path).where(F.col("content_type").isin(*kinds))
     return cosine_topk(queries, vectors, k, by_type)
 
 

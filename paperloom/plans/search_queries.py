@@ -174,11 +174,10 @@ def d4_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_nearest("WHERE content_type <> 'paper_profile'", "query_id"))
 def d4_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors lie by content type; the types to search come from a table."""
+    """Vectors lie by content type; two of three types are searched."""
     path = f"{shared_folder(spark)}/vectors"
     dense.store_by_type(V.vectors(spark, sf_dir), path)
-    kinds = V.vectors(spark, sf_dir).select("content_type").distinct().where("content_type <> 'paper_profile'")
-    return _found(dense.stored_topk(V.vector_queries(spark, sf_dir), path, kinds, 5))
+    return _found(dense.stored_topk(V.vector_queries(spark, sf_dir), path, ("section_summary", "raw_chunk"), 5))
 
 
 @query(_nearest("", "query_id, content_type"))
