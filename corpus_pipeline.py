@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
 ``run`` writes every stage as Parquet in the shared scratch folder and reads it again for the next.
+
+Very long texts pass all stages whole, each bounded by its own row. Ties: of equal ids the row key decides which line or
+document stays first; repeated rows are treated alike until the third stage keeps one of them. An empty table gives no
+rows; nulls are told at each stage.
 """
 
 from __future__ import annotations
