@@ -7,15 +7,13 @@ from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.blocks import block_topk, cosines, looked_up
 from paperloom.operators.lexical import topk
 
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 20_000
-
 
 def hash_embed(text: Column) -> Column:
     """Four numbers from a text's length and its 31-based 32-bit hash (over UTF-16 units)."""
@@ -48,20 +46,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, by_type: bool = False) -> DataFrame:
-    """query_id, point_id, (content_type), score, rank: exact search of every vector for a stated set of queries.
+    """query_id, point_id, paper_id, content_type, score, rank: exact search of every vector for a stated set of queries.
 
-    The queries are counted and run in blocks of ``QUERY_BLOCK``: each vector row meets a block where it lies, and only
-    the best of each task are shuffled. Filter ``vectors`` before the call to search part of them.
+    All pairs are scored, block by block (``block_topk``). Filter ``vectors`` before the call to search part of them.
     """
     parts = ("query_id", "content_type") if by_type else ("query_id",)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(block)).withColumn("score", F.round(cosine(F.col("query"), F.col("embedding")), 8))
-        best = topk(scored.select("query_id", "point_id", "paper_id", "content_type", "score"), k, parts, "point_id")
-        found = best if found is None else found.unionByName(best)
-    return found
+    rows = vectors.select("point_id", "paper_id", "content_type", "embedding")
+    best = block_topk(queries.select("query_id", "query"), rows, k, cosines, by="content_type" if by_type else None, keep=("paper_id", "content_type"))
+    return topk(best, k, parts, "point_id")
 
 
 def _unit(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -80,10 +72,15 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.2
     as_rows = lambda df, key, col: _unit(df, key, col).select(key, array_to_vector("unit").alias("v"))
     index = as_rows(vectors, "point_id", "embedding")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(index)
-    # No two unit vectors are farther apart than 2: no candidate is dropped by its distance.
-    pairs = model.approxSimilarityJoin(as_rows(queries, "query_id", "query"), index, 2.1, "d").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.point_id").alias("point_id")).distinct()
-    both = pairs.join(vectors, "point_id").join(queries, "query_id")
-    return topk(both.select("query_id", "point_id", F.round(cosine(F.col("query"), F.col("embedding")), 8).alias("score")), k, ("query_id",), "point_id")
+
+    def hashed(rows: DataFrame, key: str) -> DataFrame:
+        """key, table, bucket, a row for each table."""
+        return model.transform(rows).select(key, F.posexplode("h").alias("table", "_h")).select(key, "table", vector_to_array("_h")[0].alias("bucket"))
+
+    left = queries.select("query_id", "query").join(hashed(as_rows(queries, "query_id", "query"), "query_id"), "query_id")
+    right = vectors.select("point_id", "embedding").join(hashed(index, "point_id"), "point_id")
+    best = block_topk(left, right, k, cosines, on=("table", "bucket"))
+    return topk(best.groupBy("query_id", "point_id").agg(F.max("score").alias("score")), k, ("query_id",), "point_id")
 
 
 def fit_lists(vectors: DataFrame, lists: int = 64, sample: int = 20_000, seed: int = 7) -> KMeansModel:
@@ -102,8 +99,9 @@ def ivf_topk(queries: DataFrame, vectors: DataFrame, model: KMeansModel, k: int,
     centres = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
     near = F.transform(centres, lambda c: F.struct((-cosine(F.col("query"), c["c"])).alias("d"), c["list"].alias("list")))
     probed = queries.select("query_id", F.explode(F.slice(F.array_sort(near), 1, probes)).alias("p")).select("query_id", F.col("p.list").alias("list"))
-    both = vectors.join(placed, "point_id").join(probed, "list").join(queries, "query_id")
-    return topk(both.select("query_id", "point_id", F.round(cosine(F.col("query"), F.col("embedding")), 8).alias("score")), k, ("query_id",), "point_id")
+    left = queries.select("query_id", "query").join(probed, "query_id")
+    right = vectors.select("point_id", "embedding").join(placed, "point_id")
+    return topk(block_topk(left, right, k, cosines, on=("list",)), k, ("query_id",), "point_id")
 
 
 def store_by_type(vectors: DataFrame, path: str) -> None:
@@ -157,21 +155,14 @@ def pq_topk(queries: DataFrame, vectors: DataFrame, codes: DataFrame, book: Code
     """Approximate search: all codes are scored by look-ups in each query's table of products, the ``rerank`` best
     vectors of a query are then compared in full.
 
-    Queries are a stated set and run in counted blocks like those of ``cosine_topk``; a code takes ``parts`` small
-    numbers, so what each block reads is a fraction of the vectors. Measure the recall on the data at hand.
+    Codes and tables meet block by block (``block_topk``); a code takes ``parts`` small numbers. Measure the recall on the
+    data at hand.
     """
-    tables = _unit(queries, "query_id", "query").select("query_id", _products(F.col("unit"), book).alias("table"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    score = reduce(lambda a, b: a + b, [F.col("table")[p][F.col("codes")[p]] for p in range(book.parts)])
-    found = None
-    for b in range(blocks):
-        block = tables.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = codes.join(F.broadcast(block)).select("query_id", "point_id", score.alias("score"))
-        best = topk(near, rerank, ("query_id",), "point_id").select("query_id", "point_id")
-        both = best.join(vectors.select("point_id", "embedding"), "point_id").join(queries, "query_id")
-        exact = topk(both.select("query_id", "point_id", F.round(cosine(F.col("query"), F.col("embedding")), 8).alias("score")), k, ("query_id",), "point_id")
-        found = exact if found is None else found.unionByName(exact)
-    return found
+    tables = _unit(queries, "query_id", "query").select("query_id", F.flatten(_products(F.col("unit"), book)).alias("table"))
+    near = block_topk(tables, codes.select("point_id", "codes"), rerank, looked_up, digits=None)
+    best = topk(near, rerank, ("query_id",), "point_id").select("query_id", "point_id")
+    both = best.join(vectors.select("point_id", "embedding"), "point_id").join(queries, "query_id")
+    return topk(both.select("query_id", "point_id", F.round(cosine(F.col("query"), F.col("embedding")), 8).alias("score")), k, ("query_id",), "point_id")
 
 
 def fact_text(*columns: str) -> Column:
