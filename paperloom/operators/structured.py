@@ -11,6 +11,7 @@ from paperloom import rules
 from paperloom.functions.text import has_any
 from paperloom.operators.evidence import merge_evidence
 from paperloom.operators.knowledge import mapped, tier_rank
+from paperloom.sources.scratch import written
 
 Q = "question_id"
 
@@ -102,8 +103,11 @@ def structured_evidence(plans: DataFrame, candidates: DataFrame, profiles: DataF
     a wanted label without a sure unit falls back to the sections that should hold it, a paper without any source to its
     first sections. What is then missing is retrieved for those papers only, else, if the question is vague or little
     was found, for all candidates. evidence: question_id, pos, key. decisions: question_id, supplement, reason.
+
+    Steps that later ones read more than once are written, or the plan would hold each of them again for every path to it.
     """
-    wanted = plans.select(Q, "scope", "layer", "confidence", "types", "sections").join(candidates, Q)
+    plans = written(plans.select(Q, "scope", "layer", "confidence", "types", "sections"))
+    wanted = written(plans.join(candidates, Q))
     layer = F.col("layer")
 
     def stage(rows: DataFrame, no: int) -> DataFrame:
@@ -115,24 +119,25 @@ def structured_evidence(plans: DataFrame, candidates: DataFrame, profiles: DataF
     known = wanted.where(layer.isin("KNOWLEDGE_UNIT", "PAPER_CATALOG")).join(units, "paper_id").where(typed)
     order = Window.partitionBy(Q, "paper_id").orderBy(F.desc(tier_rank(F.col("confidence_level"))), "unit_id")
     known = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(2, min(k, 6))).withColumn("key", F.concat(F.lit("knowledge:"), "unit_id"))
+    known = written(known.select(Q, "paper_id", "paper_pos", "key", "n", "knowledge_type", "confidence_level", "has_conflict"))
     sure = known.where(F.col("confidence_level").isin("GOLD", "SILVER") & ~F.coalesce("has_conflict", F.lit(False)))
     sure = sure.select(Q, "paper_id", gap_family(F.col("knowledge_type")).alias("family")).distinct()
     gaps = wanted.where((layer == "KNOWLEDGE_UNIT") & (F.size("types") > 0)).select(Q, "paper_id", "paper_pos", "sections", F.explode("types").alias("knowledge_type"))
-    gaps = gaps.withColumn("family", gap_family(F.col("knowledge_type"))).join(sure, [Q, "paper_id", "family"], "left_anti")
+    gaps = written(gaps.withColumn("family", gap_family(F.col("knowledge_type"))).join(sure, [Q, "paper_id", "family"], "left_anti"))
     asked = gaps.groupBy(Q, "paper_id", "paper_pos").agg(F.array_distinct(F.flatten(F.collect_list(expected_sections(F.col("knowledge_type"))))).alias("fallback"), F.first("sections").alias("sections"))
     asked = asked.withColumn("fallback", F.when(F.size("fallback") > 0, F.col("fallback")).otherwise(F.col("sections")))
-    filled = _first_sections(asked, summaries, "fallback", 4)
+    filled = written(_first_sections(asked, summaries, "fallback", 4))
     both = _first_sections(wanted.where(layer == "PROFILE_AND_SECTION"), summaries, "sections", 4)
-    found = stage(known, 1).unionByName(lead).unionByName(stage(filled, 2)).unionByName(stage(both, 3))
+    found = written(stage(known, 1).unionByName(lead).unionByName(stage(filled, 2)).unionByName(stage(both, 3)))
     bare = wanted.join(found.select(Q, "paper_id").distinct(), [Q, "paper_id"], "left_anti")
-    found = found.unionByName(stage(_first_sections(bare, summaries, "sections", 3), 4))
+    found = written(found.unionByName(stage(_first_sections(bare, summaries, "sections", 3), 4)))
 
     open_gaps = uncovered_types(gaps.select(Q, "paper_id", "knowledge_type"), filled, (Q, "paper_id")).select(Q, "paper_id")
     nothing = wanted.select(Q, "paper_id").join(found.select(Q, "paper_id").distinct(), [Q, "paper_id"], "left_anti")
-    missing = open_gaps.unionByName(nothing).distinct()
+    missing = written(open_gaps.unionByName(nothing).distinct())
     counts = wanted.groupBy(Q).agg(F.count_distinct("paper_id").alias("candidates")).join(found.groupBy(Q).agg(F.count_distinct("key").alias("sources")), Q, "left")
     counts = counts.join(missing.groupBy(Q).agg(F.count("*").alias("missing")), Q, "left")
-    decisions = needs_supplement(plans, counts)
+    decisions = written(needs_supplement(plans, counts))
 
     some = missing.select(Q, F.lit(True).alias("some")).distinct()
     scope = wanted.select(Q, "paper_id", "sections").join(missing.withColumn("lacks", F.lit(True)), [Q, "paper_id"], "left").join(some, Q, "left")

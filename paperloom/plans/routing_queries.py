@@ -13,6 +13,7 @@ from paperloom.plans.catalog import query
 from paperloom.plans.text_queries import trimmed
 from paperloom.plans.views_sql import add_view, choice, listed, over, quoted
 from paperloom.sources import views as V
+from paperloom.sources.scratch import written
 
 #: What the test questions ask beside their own text.
 ASKS = ("which dataset and metric", "limitation of the model", "哪些论文有新颖的方向", "请全面介绍", "比较 method result", "解决什么问题", "novelty and rmse", "类似的")
@@ -301,7 +302,7 @@ def f16_needs_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def f19_structured_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers of the request, or else of the catalog; the profiled, the units, the sections, then what retrieval adds."""
-    plans = _plans(spark, sf_dir)
+    plans = written(_plans(spark, sf_dir))
     asked = plans.where("scope <> 'LIBRARY'").select("question_id", F.posexplode(F.array_distinct("paper_ids")).alias("paper_pos", "paper_id"))
     found = _discovered(spark, sf_dir).join(plans.where("scope = 'LIBRARY'").select("question_id"), "question_id", "left_semi")
     candidates = asked.select("question_id", "paper_id", "paper_pos").unionByName(found.select("question_id", "paper_id", F.col("rank").alias("paper_pos")))

@@ -377,3 +377,11 @@ def test_scoped_search_ranks_rounded_scores(spark):
     asked = spark.createDataFrame([(1, "rye")], "question_id long, question string")
     for mode in ("pre", "post"):
         assert [r["chunk_id"] for r in lexical.bm25_scoped(asked, index, chunks, None, 1, mode).collect()] == [1]
+
+
+def test_structured_evidence_has_a_short_plan(spark):
+    """Steps that are read again are written: the plan had 11,209 lines, as each path held all steps before it."""
+    from paperloom.plans import registry
+
+    df = registry.QUERIES["f19_structured_evidence"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("\n") < 300
