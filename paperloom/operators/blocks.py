@@ -17,6 +17,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Queries and vectors of a block.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+#: Terms of queries and of points in a block of a sparse search.
+WEIGHT_BLOCK, ENTRY_BLOCK = 1 << 17, 1 << 20
 #: Pairs that are scored at once.
 PAIRS = 1 << 21
 DIGITS = 8
@@ -136,3 +138,53 @@ def block_topk(queries: DataFrame, vectors: DataFrame, k: int, scores: Callable,
     schema = StructType([StructField(f.name, f.dataType, True) for f in schema])
     cell = [*on, "_q", "_v"]
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_search(scores, k, digits, by, kept, to_arrow_schema(schema)), schema)
+
+
+def _sparse(k: int, digits: int, schema: pa.Schema) -> Callable:
+    def search(weights: pa.Table, entries: pa.Table) -> pa.Table:
+        if not len(weights) or not len(entries):
+            return schema.empty_table()
+        weights = weights.sort_by("query_id")
+        terms = pc.unique(weights["term"])
+        code = lambda table: pc.index_in(table["term"], value_set=terms)
+        held = entries.append_column("_code", code(entries)).sort_by([("_code", "ascending"), ("point_id", "ascending")])
+        codes, x = pc.fill_null(held["_code"], len(terms)).to_numpy(), held["x"].to_numpy()
+        starts = np.searchsorted(codes, np.arange(len(terms) + 1))
+        points, queries = pc.unique(entries["point_id"]).sort(), pc.unique(weights["query_id"])
+        point = pc.index_in(held["point_id"], value_set=points).to_numpy()
+        query, term, w = pc.index_in(weights["query_id"], value_set=queries).to_numpy(), code(weights).to_numpy(), weights["w"].to_numpy()
+        n, out = len(points), [schema.empty_table()]
+        step = max(1, PAIRS // n)
+        for start in range(0, len(queries), step):
+            some = slice(*np.searchsorted(query, [start, start + step]))
+            m, at = min(step, len(queries) - start), term[some]
+            sizes = starts[at + 1] - starts[at]
+            index = np.arange(sizes.sum()) + np.repeat(starts[at] - np.cumsum(sizes) + sizes, sizes)
+            cells = np.repeat((query[some] - start).astype(np.int64) * n, sizes) + point[index]
+            keys = np.bincount(cells, np.repeat(w[some], sizes) * x[index], m * n).astype(np.float64)  # of none: integers
+            keys[np.bincount(cells, minlength=m * n) == 0] = -np.inf  # no shared term
+            rows, columns, found = picked(keys.reshape(m, n), k, digits)
+            rows, columns, found = rows[found > -np.inf], columns[found > -np.inf], found[found > -np.inf]
+            out.append(pa.table([queries.take(pa.array(rows + start)), points.take(pa.array(columns)), pa.array(found)], names=["query_id", "point_id", "score"]).cast(schema))
+        return pa.concat_tables(out)
+
+    return search
+
+
+def sparse_topk(weights: DataFrame, entries: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
+    """query_id, point_id, score: of each pair of blocks the ``k`` points with the largest sums of ``w * x`` over shared terms.
+
+    ``weights`` has query_id, term, w and ``entries`` point_id, term, x, each term once for a query or point. All terms of a
+    query, and of a point, lie in one block; a block has about as many of them as the constants say. Among the rows are the
+    best of all, to be ranked once more. Scores are rounded to ``digits`` places before they are compared.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    count = lambda df, size, name: df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int").alias(name))
+    sizes = F.broadcast(count(weights, WEIGHT_BLOCK, "_nq").crossJoin(count(entries, ENTRY_BLOCK, "_nv")))  # one row
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = weights.crossJoin(sizes).withColumn("_q", block("query_id", "_nq")).withColumn("_v", each("_nv")).select("_q", "_v", "query_id", "term", "w")
+    right = entries.crossJoin(sizes).withColumn("_v", block("point_id", "_nv")).withColumn("_q", each("_nq")).select("_q", "_v", "point_id", "term", "x")
+    schema = StructType([StructField(n, t, True) for n, t in (("query_id", weights.schema["query_id"].dataType), ("point_id", entries.schema["point_id"].dataType), ("score", DoubleType()))])
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(_sparse(k, digits, to_arrow_schema(schema)), schema)

@@ -39,12 +39,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = V.questions(spark, sf_dir)
-    out = lexical.bm25(questions, lexical.query_index(questions, _docs(spark, sf_dir)))
-    return out.withColumn("score", F.round("score", 8))
-
-
 @query(over("SELECT chunk_id, list_aggregate(tokens, 'string_agg', ' ') AS tokens FROM toks WHERE len(tokens) > 0", "toks"))
 def c1_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("chunk_id", tokens(F.col("content")).alias("t")).where(F.size("t") > 0).select("chunk_id", F.array_join("t", " ").alias("tokens"))
@@ -73,7 +67,8 @@ def c5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.topk(_scored(spark, sf_dir), 10)
+    questions = V.questions(spark, sf_dir)
+    return lexical.bm25_topk(questions, lexical.query_index(questions, _docs(spark, sf_dir)), 10)
 
 
 @query(over("SELECT question_id, chunk_id, rank FROM topped", "topped"))
