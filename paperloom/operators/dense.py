@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators.blocks import block_topk, cosines, looked_up
 from paperloom.operators.lexical import topk
+from paperloom.sources.scratch import written
 
 
 def hash_embed(text: Column) -> Column:
@@ -83,10 +84,17 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.2
     return topk(best.groupBy("query_id", "point_id").agg(F.max("score").alias("score")), k, ("query_id",), "point_id")
 
 
+#: Tasks that a fitted sample is dealt to.
+FIT_PARTS = 16
+
+
 def fit_lists(vectors: DataFrame, lists: int = 64, sample: int = 20_000, seed: int = 7) -> KMeansModel:
-    """Centres of an inverted file, fitted on at most ``sample`` vectors, those with the smallest hashes of their id."""
+    """Centres of an inverted file, fitted on at most ``sample`` vectors, those with the smallest hashes of their id.
+
+    The sample is written and dealt to ``FIT_PARTS`` tasks, as a limit leaves it in one.
+    """
     units = _unit(vectors, "point_id", "embedding").withColumn("_h", F.xxhash64("point_id"))
-    some = units.orderBy("_h", "point_id").limit(sample).select(array_to_vector("unit").alias("v"))
+    some = written(units.orderBy("_h", "point_id").limit(sample).repartition(FIT_PARTS, "point_id")).select(array_to_vector("unit").alias("v"))
     return KMeans(k=lists, featuresCol="v", predictionCol="list", distanceMeasure="cosine", maxIter=15, seed=seed).fit(some)
 
 
@@ -96,10 +104,11 @@ def ivf_topk(queries: DataFrame, vectors: DataFrame, model: KMeansModel, k: int,
     Recall against ``cosine_topk`` grows with the share of lists that are read; measure it on the data at hand.
     """
     placed = model.transform(_unit(vectors, "point_id", "embedding").withColumn("v", array_to_vector("unit"))).select("point_id", "list")
+    placed = written(placed)  # counted, then joined
     centres = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
     near = F.transform(centres, lambda c: F.struct((-cosine(F.col("query"), c["c"])).alias("d"), c["list"].alias("list")))
     probed = queries.select("query_id", F.explode(F.slice(F.array_sort(near), 1, probes)).alias("p")).select("query_id", F.col("p.list").alias("list"))
-    left = queries.select("query_id", "query").join(probed, "query_id")
+    left = queries.select("query_id", "query").join(written(probed), "query_id")
     right = vectors.select("point_id", "embedding").join(placed, "point_id")
     return topk(block_topk(left, right, k, cosines, on=("list",)), k, ("query_id",), "point_id")
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import blocks, lexical
+from paperloom.operators import blocks, dense, lexical
 
 
 def _texts(spark):
@@ -41,3 +41,15 @@ def test_long_terms_are_looked_up_by_words(spark):
     assert sorted(map(tuple, out.collect())) == sorted((k, t) for k, x in texts for t in terms if x and t and t in x)
     words = spark.createDataFrame([("one two three four",), ("  ",), ("two words",)], "t string").select(lexical._inner_words(F.col("t")).alias("w"))
     assert [r["w"] for r in words.collect()] == [["two", "three"], [], []]
+
+
+def test_sample_of_lists_is_dealt(spark, monkeypatch):
+    """Before, the sample was one task's, and each vector was placed twice."""
+    asked = []
+    monkeypatch.setattr(dense, "written", lambda df, keep=dense.written: asked.append(df) or keep(df))
+    vectors = spark.range(300).select(F.col("id").alias("point_id"), F.array(*[F.cos(F.col("id") * 3.0 + i * i) for i in range(8)]).alias("embedding"))
+    queries = vectors.where("point_id % 10 = 0").select(F.col("point_id").alias("query_id"), F.col("embedding").alias("query"))
+    model = dense.fit_lists(vectors, 4)
+    assert asked[0].rdd.getNumPartitions() == dense.FIT_PARTS
+    got = dense.ivf_topk(queries, vectors, model, 1, 4).select("query_id", "point_id").collect()
+    assert len(asked) == 3 and all(r["query_id"] == r["point_id"] for r in got) and len(got) == 30
