@@ -1,8 +1,7 @@
 """A stored lexical index whose postings lie by impact, and exact top-k search that leaves out what cannot reach the k-th score.
 
 The part of a BM25 score that does not depend on the question (term frequency and length) is a posting's boost. Boosts are
-cut into ``LEVELS`` levels. The index keeps, in tables that are bucketed and sorted so that searches join them without a
-shuffle:
+cut into ``LEVELS`` levels. The index keeps, in tables that are bucketed so that searches join them without a shuffle:
 
 * ``postings`` (term, salt, level, key, boost), by term and salt: a salt from the chunk parts the rows of a common term;
 * ``terms`` (term, df, levels), by term: how many postings each level has and the largest boost in it;
@@ -16,7 +15,8 @@ Search, for a batch of questions:
    the threshold: a chunk that is nowhere above a cut is no result. Levels are given up in order of postings spared for
    each unit of score. Postings above the cuts are read and added up; a chunk whose sum and what its other terms may
    add at most miss the threshold is dropped.
-3. The chunks left are scored exactly by their forward rows.
+3. The chunks left are scored exactly by their forward rows, in blocks of questions and chunks (``sparse_topk``). A block
+   may hold pairs that were left out: their scores are below the threshold, so they change nothing.
 
 Ties and scores are those of ``lexical.topk`` over ``lexical.bm25``, as scores are rounded to 8 places before ranking.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
+from paperloom.operators.blocks import sparse_topk
 from paperloom.operators.lexical import BROADCAST_TERMS, corpus_stats, postings, tokenize, topk
 from paperloom.sources.scratch import shared_folder
 
@@ -50,10 +51,10 @@ class ImpactIndex:
     key: str
 
 
-def _stored(df: DataFrame, root: str, name: str, by: list[str], order: list[str], buckets: int) -> DataFrame:
+def _stored(df: DataFrame, root: str, name: str, by: list[str], buckets: int) -> DataFrame:
     """``df`` as an external table in the shared folder with ``buckets`` files, bucketed by ``by``."""
     table = f"paperloom_{name}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, by[0], *by[1:]).sortBy(order[0], *order[1:])
+    writer = df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, by[0], *by[1:])
     writer.option("path", f"{root}/{name}").saveAsTable(table)
     return df.sparkSession.table(table)
 
@@ -74,11 +75,11 @@ def build_impact_index(chunks: DataFrame, key: str = "chunk_id", text: str = "co
     posts = postings(chunks, key, text).crossJoin(F.broadcast(stats)).select(F.col(key).alias("key"), "term", boost.alias("boost"))
     level = F.least(F.floor(F.col("boost") * (LEVELS / (k1 + 1))), F.lit(LEVELS - 1)).cast("int")
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    posts = _stored(posts.select("term", salt.alias("salt"), level.alias("level"), "key", "boost"), root, "postings", ["term", "salt"], ["term", "level"], buckets)
+    posts = _stored(posts.select("term", salt.alias("salt"), level.alias("level"), "key", "boost"), root, "postings", ["term", "salt"], buckets)
     levels = posts.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("boost").alias("most"))
     terms = levels.groupBy("term").agg(F.sum("n").alias("df"), F.array_sort(F.collect_list(F.struct("level", "n", "most"))).alias("levels"))
-    terms = _stored(terms, root, "terms", ["term"], ["term"], buckets)
-    forward = _stored(posts.groupBy("key").agg(F.collect_list(F.struct("term", "boost")).alias("terms")), root, "forward", ["key"], ["key"], buckets)
+    terms = _stored(terms, root, "terms", ["term"], buckets)
+    forward = _stored(posts.groupBy("key").agg(F.collect_list(F.struct("term", "boost")).alias("terms")), root, "forward", ["key"], buckets)
     return ImpactIndex(posts, terms, forward, stats, key)
 
 
@@ -95,13 +96,17 @@ def _read(index: ImpactIndex, wanted: DataFrame, qkey: str, fits: Column) -> Dat
     return index.postings.join(salted.hint("shuffle_hash"), ["term", "salt"]).where(fits)
 
 
-def _scored(index: ImpactIndex, pairs: DataFrame, weights: DataFrame, qkey: str) -> DataFrame:
-    """qkey, key, score of ``pairs`` (qkey, key), each of which shares a term, from the chunks' forward rows."""
-    known = weights.select(qkey, "term", "w")
-    if known.count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
-    rows = index.forward.join(pairs, "key").select(qkey, "key", F.explode("terms").alias("t")).select(qkey, "key", "t.term", "t.boost")
-    return rows.join(known, [qkey, "term"]).groupBy(qkey, "key").agg(F.round(F.sum(F.col("w") * F.col("boost")), 8).alias("score"))
+def _best(index: ImpactIndex, keys: DataFrame, weights: DataFrame, k: int, qkey: str) -> DataFrame:
+    """qkey, key, score, rank: the ``k`` best of the chunks ``keys`` (key, each once) for each question, from their forward rows.
+
+    A chunk's terms are taken out of its row once for all questions, and only those that some question asks for.
+    """
+    asked = weights.select("term").distinct()
+    if asked.count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+    rows = index.forward.join(keys, "key", "left_semi").select(F.col("key").alias("point_id"), F.explode("terms").alias("t")).select("point_id", "t.term", F.col("t.boost").alias("x"))
+    best = sparse_topk(weights.select(F.col(qkey).alias("query_id"), "term", "w"), rows.join(asked, "term", "left_semi").select("point_id", "term", "x"), k)
+    return topk(best.select(F.col("query_id").alias(qkey), F.col("point_id").alias("key"), "score"), k, (qkey,), "key")
 
 
 def entries(weights: DataFrame, qkey: str) -> DataFrame:
@@ -118,14 +123,17 @@ def entries(weights: DataFrame, qkey: str) -> DataFrame:
     return rows.withColumn("ratio", spared).withColumn("ratio", F.max("ratio").over(term.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
 
 
-def thresholds(index: ImpactIndex, weights: DataFrame, k: int, qkey: str) -> tuple[DataFrame, DataFrame]:
-    """(qkey, threshold) of the questions of which k chunks were found, and the entries read for it."""
+def seeds(weights: DataFrame, k: int, qkey: str) -> DataFrame:
+    """qkey, term, at (level), n: the levels with the largest contributions, which are read for the threshold."""
     most = Window.partitionBy(qkey).orderBy(F.desc("most"), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = entries(weights, qkey).withColumn("before", F.coalesce(F.sum("n").over(most), F.lit(0))).where(F.col("before") < SEEDS * k)
-    seeds = seeds.select(qkey, "term", F.col("level").alias("at"), "n")
-    pairs = _read(index, seeds, qkey, F.col("level") == F.col("at")).select(qkey, "key").distinct()
-    best = topk(_scored(index, pairs, weights, qkey), k, (qkey,), "key")
-    return best.where(F.col("rank") == k).select(qkey, F.col("score").alias("threshold")), seeds
+    rows = entries(weights, qkey).withColumn("before", F.coalesce(F.sum("n").over(most), F.lit(0))).where(F.col("before") < SEEDS * k)
+    return rows.select(qkey, "term", F.col("level").alias("at"), "n")
+
+
+def seed_keys(index: ImpactIndex, first: DataFrame, qkey: str) -> DataFrame:
+    """The chunks of the levels ``first``. As an equality the level would be a key of the join, and all postings would be
+    shuffled, as they lie by term and salt only."""
+    return _read(index, first, qkey, F.col("level").between(F.col("at"), F.col("at"))).select("key").distinct()
 
 
 def cuts(weights: DataFrame, threshold: DataFrame, qkey: str) -> DataFrame:
@@ -151,13 +159,17 @@ def impact_topk(questions: DataFrame, index: ImpactIndex, k: int, question: str
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
     weights = written(question_weights(questions, index, question, qkey), "weights")
-    threshold, seeds = thresholds(index, weights, k, qkey)
-    chosen = written(cuts(weights, written(threshold, "threshold"), qkey), "cuts")
+    first = written(seeds(weights, k, qkey), "seeds")
+    keys = written(seed_keys(index, first, qkey), "first")
+    best = _best(index, keys, weights, k, qkey)
+    threshold = written(best.where(F.col("rank") == k).select(qkey, F.col("score").alias("threshold")), "threshold")
+    chosen = written(cuts(weights, threshold, qkey), "cuts")
     rest = chosen.groupBy(qkey).agg(F.sum("below").alias("rest"), F.max("threshold").alias("threshold"))
     found = _read(index, chosen.where("n > 0"), qkey, F.col("level") >= F.col("cut"))
     found = found.groupBy(qkey, "key").agg(F.sum(F.col("w") * F.col("boost") - F.col("below")).alias("over"))
     pairs = found.join(rest, qkey).where((F.col("over") + F.col("rest") >= F.col("threshold") - ROOM) | F.col("threshold").isNull()).select(qkey, "key")
     if told is not None:
         pairs = written(pairs, "candidates")
-        told |= {"seeds": seeds, "cuts": chosen, "candidates": pairs}
-    return topk(_scored(index, pairs, weights, qkey), k, (qkey,), "key").withColumnRenamed("key", index.key)
+        told |= {"seeds": first, "cuts": chosen, "candidates": pairs}
+    keys = written(pairs.select("key").distinct(), "keys")
+    return _best(index, keys, weights, k, qkey).withColumnRenamed("key", index.key)

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import blocks, dense, lexical
+from paperloom.operators import blocks, dense, impact, lexical
+from paperloom.sources.scratch import written
 
 
 def _texts(spark):
@@ -66,3 +67,17 @@ def test_texts_are_cut_once_and_counted_without_a_shuffle(spark, monkeypatch):
         plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
         assert plan.count("split(") == 1
     assert "Exchange" not in posts._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_impact_search_scores_in_blocks(spark):
+    """Before, every pair of a question and a candidate was joined with all terms of the chunk, and the seeds' read shuffled all postings."""
+    docs, asked = _texts(spark)
+    index = impact.build_impact_index(docs)
+    plain = lexical.bm25(asked, lexical.build_index(docs)).withColumn("score", F.round("score", 8))
+    rows = lambda df: sorted(map(tuple, df.select("question_id", "chunk_id", "score", "rank").collect()))
+    got = impact.impact_topk(asked, index, 3)
+    assert rows(got) == rows(lexical.topk(plain, 3))
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    first = written(impact.seeds(impact.question_weights(asked, index), 3, "question_id"))
+    plan = impact.seed_keys(index, first, "question_id")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 2 and plan.index("paperloom_postings") < plan.rindex("Exchange")  # the seeds, and the keys found
