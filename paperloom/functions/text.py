@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def collapse(text: Column) -> Column:
     return trim_all(F.regexp_replace(text, r"\s+", " "))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; Spark evaluates what stands in several branches of a CASE in each of them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def has_any(text: Column, parts) -> Column:
     found = F.lit(False)
     for p in parts:
@@ -42,21 +49,24 @@ def noise_rule(line: Column) -> Column:
     return out
 
 
-def is_noise(line: Column) -> Column:
-    """Whether a trimmed line meets a noise rule."""
-    low, out = F.lower(line), F.lit(False)
+def is_noise(low: Column) -> Column:
+    """Whether a trimmed lower-case line meets a noise rule."""
+    out = F.lit(False)
     for name, pattern in rules.NOISE_RULES:
         out = out | _meets(low, name, pattern)
     return out
 
 
 def clean_text(text: Column) -> Column:
-    """Line ends unified, hyphen breaks joined, page numbers and noise lines dropped, blanks collapsed."""
+    """Line ends unified, hyphen breaks joined, page numbers and noise lines dropped, blanks collapsed.
+
+    Inside a higher-order function Spark evaluates an expression wherever it stands, so a line carries its lower-case form.
+    """
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     t = F.when(t.contains("-\n"), F.regexp_replace(t, r"([A-Za-z])-\n([A-Za-z])", "$1$2")).otherwise(t)
-    lines = F.transform(F.split(t, "\n"), trim_all)
-    lines = F.filter(lines, lambda x: ~((F.length(x) <= 4) & x.rlike(r"^\d{1,4}$")) & ~is_noise(x))
-    lines = F.transform(lines, lambda x: F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, r"[ \t]+", " ")).otherwise(x))
+    lines = F.transform(F.transform(F.split(t, "\n"), trim_all), lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+    lines = F.filter(lines, lambda x: (x["line"] == "") | ~((F.length(x["line"]) <= 4) & x["line"].rlike(r"^\d{1,4}$")) & ~is_noise(x["low"]))
+    lines = F.transform(lines, lambda x: F.when(x["line"].contains("  ") | x["line"].contains("\t"), F.regexp_replace(x["line"], r"[ \t]+", " ")).otherwise(x["line"]))
     return trim_all(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -65,20 +75,26 @@ def _bare(title: Column) -> Column:
 
 
 def section_type_from_title(title: Column) -> Column:
-    bare = _bare(F.coalesce(title, F.lit("")))
-    out = None
-    for kind, how, parts in rules.TITLE_RULES:
-        test = bare.isin(*parts) if how == "is" else bare.rlike(parts[0]) if how == "match" else has_any(bare, parts)
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out.otherwise("UNKNOWN")
+    def kinds(bare: Column) -> Column:
+        out = None
+        for kind, how, parts in rules.TITLE_RULES:
+            test = bare.isin(*parts) if how == "is" else bare.rlike(parts[0]) if how == "match" else has_any(bare, parts)
+            out = F.when(test, kind) if out is None else out.when(test, kind)
+        return out.otherwise("UNKNOWN")
+
+    return _let(_bare(F.coalesce(title, F.lit(""))), kinds)
 
 
 def infer_section_type(title: Column, content: Column) -> Column:
-    by_title, bare = section_type_from_title(title), _bare(F.coalesce(content, F.lit("")))
-    out = F.when(by_title != "UNKNOWN", by_title)
-    for kind, parts in rules.CONTENT_RULES:
-        out = out.when(has_any(bare, parts), kind)
-    return out.otherwise("UNKNOWN")
+    def kinds(bare: Column) -> Column:
+        out = None
+        for kind, parts in rules.CONTENT_RULES:
+            test = has_any(bare, parts)
+            out = F.when(test, kind) if out is None else out.when(test, kind)
+        return out.otherwise("UNKNOWN")
+
+    by_title = section_type_from_title(title)
+    return F.when(by_title != "UNKNOWN", by_title).otherwise(_let(_bare(F.coalesce(content, F.lit(""))), kinds))
 
 
 def is_heading(line: Column) -> Column:

@@ -28,15 +28,16 @@ def sectionize(papers: DataFrame, key: str = "paper_id", text: str = "text") ->
 
     A heading opens a section and is not part of it; lines before the first one are the section "Unknown", if they have
     text. After a heading of references no line is a heading. A last section without text is dropped, unless it is the
-    only one. A paper's lines are windowed by paper, so no task holds more than its papers.
+    only one; so a paper without text has none. A filter on the text would be pushed below ``clean`` and run it twice. A
+    paper's lines are windowed by paper, so no task holds more than its papers.
     """
-    lines = explode_lines(papers.where(T.trim_all(F.col(text)) != ""), key, text)
+    lines = explode_lines(papers, key, text)
     heading = (F.col("line") != "") & T.is_heading(F.col("line"))
     lines = lines.withColumn("h", heading).withColumn("refs", F.col("h") & (T.section_type_from_title(F.col("line")) == "REFERENCES"))
     whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("pos")
-    lines = lines.withColumn("stop", F.min(F.when(F.col("refs"), F.col("pos"))).over(whole))
-    lines = lines.withColumn("h", F.col("h") & (F.coalesce(F.col("pos") <= F.col("stop"), F.lit(True))))
-    lines = lines.withColumn("sec", F.sum(F.col("h").cast("int")).over(order))
+    lines = lines.withColumn("done", F.max("refs").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    lines = lines.withColumn("h", F.col("h") & ~F.coalesce("done", F.lit(False)))
+    lines = lines.withColumn("sec", F.sum(F.col("h").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("h"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
     secs = lines.groupBy(key, "sec").agg(T.trim_all(body).alias("content"), F.max(F.when(F.col("h"), T.heading_title(F.col("line")))).alias("title"))
     some = F.sum(F.when((F.col("sec") > 0) | (F.col("content") != ""), 1).otherwise(0)).over(whole)
@@ -57,7 +58,9 @@ def long_windows(text: Column, size: int = rules.MAX_CHARS, overlap: int = rules
 
 def pack_paragraphs(content: Column, target: int = rules.TARGET_CHARS) -> Column:
     """array<string>: paragraphs put together up to ``target`` characters, a longer one alone; a fold over the section."""
-    parts = F.filter(F.transform(F.split(content, r"\n\s*\n"), T.collapse), lambda x: x != "")
+    # Single spaces are left as they are, so a paragraph without other white space need not be searched for it.
+    spaced = lambda x: T.has_any(x, ("  ", "\t", "\n", "\x0b", "\f", "\r"))
+    parts = F.filter(F.transform(F.split(content, r"\n\s*\n"), lambda x: F.when(spaced(x), T.collapse(x)).otherwise(T.trim_all(x))), lambda x: x != "")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
     flushed = lambda s: F.when(s["cur"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"])))
 

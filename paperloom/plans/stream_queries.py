@@ -41,12 +41,17 @@ def m3_stream_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def m1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers as they come, a seventh of them as drafts first; cleaned, chunked and indexed in segments."""
+    """Papers as they come, a seventh of them as drafts first; cleaned, chunked and indexed in segments.
+
+    All tasks write files; as many make a batch that there are about as many batches as ``FILES``.
+    """
     root = shared_folder(spark)
-    papers = V.papers(spark, sf_dir).withColumn("version", F.lit(2))
-    drafts = papers.where("paper_id % 7 = 0").withColumns({"text": F.concat(F.lit("Abstract\nDraft of what comes later on. "), F.substring("text", 1, 500)), "version": F.lit(1)})
-    papers.unionByName(drafts).repartitionByRange(FILES, "version", "paper_id").write.parquet(f"{root}/in/papers")
-    S.ingest(S.stream_table(spark, f"{root}/in/papers/*.parquet"), f"{root}/out", f"{root}/checkpoint")
+    papers = V.papers(spark, sf_dir)
+    drafts = papers.where("paper_id % 7 = 0").withColumn("text", F.concat(F.lit("Abstract\nDraft of what comes later on. "), F.substring("text", 1, 500)))
+    drafts.withColumn("version", F.lit(1)).coalesce(FILES).write.parquet(f"{root}/in/papers")
+    papers.withColumn("version", F.lit(2)).write.mode("append").parquet(f"{root}/in/papers")
+    files = len(spark.read.parquet(f"{root}/in/papers").inputFiles())
+    S.ingest(S.stream_table(spark, f"{root}/in/papers/*.parquet", -(-files // FILES)), f"{root}/out", f"{root}/checkpoint")
     return S.read_postings(spark, f"{root}/out").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 

@@ -105,42 +105,63 @@ def _newest(papers: DataFrame) -> DataFrame:
     return papers.groupBy("paper_id").agg(F.max(F.struct("version", "batch")).alias("v")).select("paper_id", "v.version", "v.batch")
 
 
+def _newest_postings(posts: DataFrame, papers: DataFrame) -> DataFrame:
+    """Postings of each paper's newest version. Only papers that came more than once have others, so these few are named."""
+    seen = papers.groupBy("paper_id").agg(F.max(F.struct("version", "batch"))["batch"].alias("newest"), F.collect_set("batch").alias("batches"))
+    old = seen.where(F.size("batches") > 1).select("paper_id", F.explode("batches").alias("batch"), "newest").where("batch <> newest")
+    return posts.join(old.select("paper_id", "batch"), ["paper_id", "batch"], "left_anti")
+
+
 def _write_segment(path: str, first: int, last: int, papers: DataFrame, posts: DataFrame) -> None:
     papers.write.mode("overwrite").parquet(f"{path}/papers/first={first}/last={last}")
     posts.write.mode("overwrite").parquet(f"{path}/postings/first={first}/last={last}")
 
 
-def merged_tail(sizes: list[int]) -> int:
+#: Bytes of the largest segment that a merge makes.
+MERGED_BYTES = 256 << 20
+
+
+def merged_tail(sizes: list[int], most: int = MERGED_BYTES) -> int:
     """How many of the last segments to merge: from the last on, each that is at most twice as large as those behind it.
 
-    So a posting is written again a number of times that grows with the logarithm of the segments.
+    So a posting is written again a number of times that grows with the logarithm of the segments, and not at all once its
+    segment is large: beyond ``most`` bytes a merge saves no files worth its writing.
     """
     n, total = 1, sizes[-1]
-    while n < len(sizes) and sizes[-n - 1] <= 2 * total:
+    while n < len(sizes) and sizes[-n - 1] <= min(2 * total, most - total):
         total += sizes[-n - 1]
         n += 1
     return n
 
 
+#: Tasks of a batch for each core, as papers differ in size.
+BATCH_TASKS = 4
+
+
 def add_segment(batch: DataFrame, n: int, path: str) -> None:
     """Index batch ``n`` of papers (paper_id, title, text, version) as a segment, and merge the last ones when they are small.
 
     Texts are cleaned, sectioned and chunked; of a paper that comes twice the newest version counts. A repeated batch is
-    written again, or is there already in a merged segment. What a merge replaces is removed after its commit.
+    written again, or is there already in a merged segment. What a merge replaces is removed after its commit. Texts are
+    shuffled once; titles and versions are found without them.
     """
     spark = batch.sparkSession
     if any(a < n <= b for a, b, _ in segments(spark, path)):
         return
-    latest = batch.groupBy("paper_id").agg(F.max_by(F.struct("title", "text", "version"), "version").alias("p")).select("paper_id", "p.*")
-    chunks = X.build_chunks(X.sectionize(X.clean(latest)), latest)
+    # One more, as files that were parted by the same hash into a multiple or part of this number would leave tasks empty.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), BATCH_TASKS * spark.sparkContext.defaultParallelism) + 1
+    newest = lambda *names: F.max_by(F.struct(*names), "version").alias("p")
+    texts = batch.repartition(tasks, "paper_id").groupBy("paper_id").agg(newest("text")).select("paper_id", "p.*")
+    titles = batch.groupBy("paper_id").agg(newest("title")).select("paper_id", "p.*")
+    chunks = X.build_chunks(X.sectionize(X.clean(texts)), titles)
     posts = postings(chunks.withColumn("chunk_id", F.struct("paper_id", "chunk_index"))).select(F.col("chunk_id.paper_id").alias("paper_id"), F.col("chunk_id.chunk_index").alias("chunk_index"), "term", "tf", "doc_len")
-    _write_segment(path, n, n, latest.select("paper_id", "version", F.lit(n).alias("batch")), posts.withColumn("batch", F.lit(n)))
+    versions = batch.groupBy("paper_id").agg(F.max("version").alias("version"))
+    _write_segment(path, n, n, versions.withColumn("batch", F.lit(n)), posts.withColumn("batch", F.lit(n)))
     live = segments(spark, path)
     tail = live[-merged_tail([size for _, _, size in live]) :]
     if len(tail) > 1:
-        newest = _newest(_read(spark, path, "papers", tail))
-        kept = _read(spark, path, "postings", tail).join(newest.select("paper_id", "batch"), ["paper_id", "batch"], "left_semi")
-        _write_segment(path, tail[0][0], tail[-1][1], newest, kept)
+        papers = _read(spark, path, "papers", tail)
+        _write_segment(path, tail[0][0], tail[-1][1], _newest(papers), _newest_postings(_read(spark, path, "postings", tail), papers))
         for a, b, _ in tail:
             for name in ("postings", "papers"):
                 fs, old = _folder(spark, f"{path}/{name}/first={a}/last={b}")
@@ -157,5 +178,4 @@ def ingest(papers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """paper_id, chunk_index, term, tf, doc_len of every paper's newest version."""
     live = segments(spark, path)
-    newest = _newest(_read(spark, path, "papers", live)).select("paper_id", "batch")
-    return _read(spark, path, "postings", live).join(newest, ["paper_id", "batch"], "left_semi").drop("batch")
+    return _newest_postings(_read(spark, path, "postings", live), _read(spark, path, "papers", live)).drop("batch")

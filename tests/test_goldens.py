@@ -271,6 +271,22 @@ def test_ingest_keeps_the_newest_version(spark, tmp_path):
     assert streams.merged_tail([100, 8, 3, 1]) == 1 and streams.merged_tail([100, 8, 2, 3]) == 3
 
 
+def test_ingest_evaluates_texts_once_and_leaves_large_segments(spark):
+    """A line is lower-cased once, a title bared once, a text cleaned once, spaces are kept; large segments are not merged."""
+    frame = spark.createDataFrame([(1, "T", "Abstract\nA  b\tc.\n\n\n\nd\u00a0e \x0b f\n\ng h"), (2, "T", " \n\n "), (3, "T", None), (4, "T", "References\nResults\nMethod")], "paper_id long, title string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(text.clean(frame)).count("lower(") == 1
+    assert plan(frame.select(T.section_type_from_title(F.col("text")).alias("kind"))).count("lower(") == 1
+    sections = text.sectionize(text.clean(frame))
+    assert plan(sections).count("{3,}") == 1
+    assert [tuple(r) for r in sections.select("paper_id", "section_index", "section_type", "content").orderBy("paper_id", "section_index").collect()] == [
+        (1, 0, "ABSTRACT", "A b c.\n\nd\u00a0e \x0b f\n\ng h"),
+        (4, 0, "REFERENCES", "Results\nMethod"),
+    ]
+    assert text.build_chunks(sections, frame).where("paper_id = 1").first()["content"] == "A b c.\n\nd\u00a0e f\n\ng h"
+    assert streams.merged_tail([200 << 20, 100 << 20]) == 1 and streams.merged_tail([150 << 20, 100 << 20]) == 2
+
+
 def test_quantised_search_reaches_its_recall(spark):
     """Nine tenths of the exact best five are found with full comparisons of at most a tenth of the pairs."""
     from paperloom.sources import views as V
